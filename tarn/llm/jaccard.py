@@ -13,9 +13,13 @@ words). Two documents link when 100 * intersection >= 75 * union. The join is ex
   subclass's tokens but one come to e + 1: then a partner shares a rare token or a pair in each case.
   Subclasses depend on a size level; a set near a level's edge is indexed at both levels. Sets of
   at most 64 tokens, where pairs cannot reach the bound, index their e + 1 first tokens singly.
-* Postings of up to `small_group` nodes give all pairs of fitting sizes. Larger ones give pairs with a few hubs
-  first; whatever then remains in another component than its group's main one is paired with all
-  the rest of the group, so no link between components is lost, and groups of copies cost linear time.
+* Postings of up to `small_group` nodes give all pairs of fitting sizes. Sets whose prefixes are rare tokens alone are
+  compared further only if the prefix tokens that they share leave the needed overlap possible.
+* A larger group gives each member a hub (of its band of sizes and the next), so a group of copies costs linear
+  time. After the components of these links are known, only members outside their hub group's main component are open.
+  Two members of a hub share at most the smaller of their overlaps with the hub, plus what they share outside it. So a
+  link that is still missing shows in shared tokens outside the hub (joined on hub and token, large groups of
+  which get hubs of their own in the next round), or in both overlaps with the hub being as large as the one needed.
 * Pairs are verified on the full sets.
 
 Components are found by star contractions (components.py). The driver holds only the frequent cells, at most
@@ -24,6 +28,7 @@ Components are found by star contractions (components.py). The driver holds only
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,6 +203,8 @@ def _is_frequent(tokens: np.ndarray, cells: np.ndarray, n_blocks: int) -> np.nda
 
 
 POSTING = np.dtype([("sig", "<u4"), ("node", "<i8"), ("n", "<u4")])
+#: Set in a posting's n where the index entries are the set's first tokens, all rare.
+PLAIN = 1 << 31
 
 
 def _postings(n_blocks: int, index_blocks: int, cells, percent: int):
@@ -205,11 +212,16 @@ def _postings(n_blocks: int, index_blocks: int, cells, percent: int):
         for sets, nodes in _distinct(batches, 2 * FLUSH):
             marks = _is_frequent(np.concatenate(sets), cells.value, n_blocks)
             ends = np.cumsum([len(s) for s in sets])
-            sigs = [np.unique(signatures(s, marks[e - len(s) : e], percent)) for s, e in zip(sets, ends, strict=True)]
+            sigs, plain = [], []
+            for s, e in zip(sets, ends, strict=True):
+                own = marks[e - len(s) : e]
+                sigs.append(np.unique(signatures(s, own, percent)))
+                plain.append(len(s) - own.sum() > allowed_misses(len(s), percent))
             times = [len(s) for s in sigs]
             block, local = _block(mix(np.concatenate(sigs)), index_blocks)
             rows = np.empty(len(block), dtype=POSTING)
-            rows["sig"], rows["node"], rows["n"] = local, np.repeat(np.array(nodes, np.int64), times), np.repeat([len(s) for s in sets], times)
+            sizes = np.array([len(s) for s in sets], np.uint32) | np.where(plain, np.uint32(PLAIN), np.uint32(0))
+            rows["sig"], rows["node"], rows["n"] = local, np.repeat(np.array(nodes, np.int64), times), np.repeat(sizes, times)
             order = np.argsort(block, kind="stable")
             rows, block = rows[order], block[order]
             out = [(k, rows[a:b].tobytes()) for k, a, b in _spans(block)]
@@ -222,44 +234,66 @@ def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)).astype(bool)
 
 
+def _needed(n: np.ndarray, m: np.ndarray, plain: np.ndarray, percent: int) -> np.ndarray:
+    """How many index entries a linked pair shares at least."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    rest = -(-percent * np.maximum(n, m) // 100) - 1
+    return np.where(plain, np.maximum(1, overlap - rest), 1)
+
+
+def band_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes of one band fit each other; sizes two bands apart never do."""
+    return np.floor(np.log(n) / -np.log(percent / 100) + 1e-9).astype(np.int64)
+
+
+def _sum_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns a, b, needed, shared; rows of equal a and b added up."""
+    x = np.concatenate(parts)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])])
+    out = x[first]
+    out[:, 3] = np.add.reduceat(x[:, 3], first)
+    return out
+
+
 def _candidates(small_group: int, percent: int):
-    """Pairs (a < b, sig null), and the members of large groups (sig, node, n, hub)."""
+    """Pairs (hub false, needed, shared) and memberships (hub true: a is b's hub)."""
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         rows = np.unique(np.concatenate([np.frombuffer(x, POSTING) for x in group["rows"]]))
         starts = np.flatnonzero(np.r_[True, rows["sig"][1:] != rows["sig"][:-1]])
         sizes = np.diff(np.r_[starts, len(rows)])
-        node, n = rows["node"], rows["n"].astype(np.int64)
-        pairs, large = [], []
+        node, n, plain = rows["node"], (rows["n"] & np.uint32(PLAIN - 1)).astype(np.int64), rows["n"] >= PLAIN
+        pairs: list[np.ndarray] = []
         for size in np.unique(sizes[(sizes > 1) & (sizes <= small_group)]).tolist():
             at = starts[sizes == size]
             for i in range(size - 1):
                 for j in range(i + 1, size):
                     x, y = at + i, at + j
                     keep = _fits(n[x], n[y], percent)
-                    pairs.append(np.column_stack([node[x][keep], node[y][keep]]))
-            if sum(map(len, pairs)) > 4_000_000:
-                pairs = [np.unique(np.concatenate(pairs), axis=0)]
-        for a, size in zip(starts[sizes > small_group].tolist(), sizes[sizes > small_group].tolist(), strict=True):
-            x = node[a : a + size]
-            m = n[a : a + size]
-            # one hub for each band of sizes that all fit each other
-            band = np.floor(np.log(m) / -np.log(percent / 100)).astype(np.int64)
-            hub = np.empty_like(x)
-            hubs = []
-            for k in np.unique(band):
-                own = np.flatnonzero(band == k)
-                best = own[np.argmin(x[own])]
-                hub[own] = x[best]
-                hubs.append(best)
-            keep = _fits(m, m[np.searchsorted(x, hub)], percent) & (x != hub)
-            pairs.append(np.column_stack([np.minimum(x, hub)[keep], np.maximum(x, hub)[keep]]))
-            for p, q in zip(hubs[:-1], hubs[1:], strict=True):
-                pairs.append(np.array([[min(x[p], x[q]), max(x[p], x[q])]], dtype=np.int64))
-            large.append(pd.DataFrame({"sig": (int(key[0]) << 32) + int(rows["sig"][a]), "a": x, "b": hub, "n": m}))
-        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        first = pd.DataFrame({"sig": np.full(len(both), -1, np.int64), "a": both[:, 0], "b": both[:, 1], "n": np.zeros(len(both), np.int64)})
-        return pd.concat([first, *large], ignore_index=True)
+                    x, y = x[keep], y[keep]
+                    pairs.append(np.column_stack([node[x], node[y], _needed(n[x], n[y], plain[x] & plain[y], percent), np.ones(len(x), np.int64)]))
+            if sum(map(len, pairs)) > 2_000_000:
+                pairs = [_sum_pairs(pairs)]
+        large = sizes > small_group
+        members = []
+        if large.any():
+            inside = np.repeat(large, sizes)
+            # the most usual member of a block's large groups is the likeliest to be near all
+            names, usual = np.unique(node[inside], return_counts=True)
+            for a, size in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+                x, band = node[a : a + size], band_of(n[a : a + size], percent)
+                often = usual[np.searchsorted(names, x)]
+                hubs = {}
+                for k in np.unique(band).tolist():
+                    own = np.flatnonzero(band == k)
+                    hubs[k] = x[own[np.lexsort((x[own], -often[own]))[0]]]
+                for k, hub in hubs.items():
+                    with_hub = x[(band == k) | (band == k - 1)]
+                    members.append(np.column_stack([np.full(len(with_hub), hub), with_hub])[with_hub != hub])
+        both = _sum_pairs(pairs) if pairs else np.zeros((0, 4), np.int64)
+        star = np.unique(np.concatenate(members), axis=0) if members else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"hub": np.r_[np.zeros(len(both), bool), np.ones(len(star), bool)], "a": np.r_[both[:, 0], star[:, 0]], "b": np.r_[both[:, 1], star[:, 1]], "needed": np.r_[both[:, 2], np.zeros(len(star), np.int64)], "shared": np.r_[both[:, 3], np.zeros(len(star), np.int64)]})
 
     return run
 
@@ -294,32 +328,70 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 
 def _verify(percent: int):
+    """Per pair: sizes, overlap, whether it links, and for a hub pair the tokens of b outside a."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                p, q = _tokens(x.as_py()), _tokens(y.as_py())
+            out = []
+            for hub, x, y in zip(*(batch.column(c).to_pylist() for c in ("hub", "x", "y")), strict=True):
+                p, q = _tokens(x), _tokens(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                rest = np.setdiff1d(q, p, assume_unique=True).view(np.int64) if hub else None
+                out.append((len(p), len(q), both, 100 * both >= percent * (len(p) + len(q) - both), rest))
+            sizes = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.bool_()), (4, pa.list_(pa.int64())))]
+            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("hub"), *sizes], names=["a", "b", "hub", "na", "nb", "both", "linked", "rest"])
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are similar enough."""
+def _verified(docs: DataFrame, pairs: DataFrame, bits: int, percent: int) -> DataFrame:
+    """The distinct pairs (hub, a, b), compared on their full sets."""
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     bitmap = spark.sparkContext.broadcast(_node_filter(ends, bits))
     sets = docs.mapInArrow(_wanted_sets(bitmap, bits), "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_verify(percent), "a long, b long")
+    joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "hub", "x", "y")
+    return durable(joined.mapInArrow(_verify(percent), "a long, b long, hub boolean, na long, nb long, both long, linked boolean, rest array<long>"))
+
 
+def _open_pairs(stars: DataFrame, named: DataFrame, percent: int, small_group: int, last: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs and memberships that may still link components within hub groups; None if all is settled.
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = 17, small_group: int = 24, frequent_cap: int = 1 << 21) -> DataFrame:
+    stars: verified memberships, a being b's hub.
+    """
+    roots = named.select(F.col("node").alias("b"), "root")
+    member = stars.select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "both", "rest").join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
+    votes = member.groupBy("hub", "root").agg(F.count("*").alias("votes"))
+    main = votes.groupBy("hub").agg(F.max_by("root", F.struct("votes", "root")).alias("main"))
+    least = member.groupBy("hub").agg(F.min("n").alias("least"))
+    member = durable(member.join(main, "hub").join(least, "hub").withColumn("odd", F.col("root") != F.col("main")))
+    if member.where("odd").isEmpty():
+        return None
+    overlap = lambda n, m: F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(float(100 + percent)) - 1e-9).cast("long")
+    fit = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("root") != F.col("root2"))
+    side = lambda df: df.select("hub", *[c for c in ("token",) if c in df.columns], F.col("b").alias("c"), F.col("n").alias("m"), F.col("both").alias("both2"), F.col("root").alias("root2"))
+    # both overlaps with the hub suffice: possible only near the threshold, for smaller partners
+    near = member.where(F.col("odd") & (F.col("both") >= overlap("n", "least")))
+    direct = near.join(side(member.drop("token")), "hub").where(fit & (F.least("both", "both2") >= overlap("n", "m"))).select("b", "c")
+    tokens = member.select("hub", "b", "n", "both", "root", "odd", F.explode("rest").alias("token"))
+    groups = durable(tokens.groupBy("hub", "token").agg(F.count("*").alias("size"), F.count_if("odd").alias("odds")).where("size > 1 and odds > 0"))
+    few = groups if last else groups.where(F.col("size") <= 4 * small_group)
+    own = tokens.join(few.select("hub", "token"), ["hub", "token"])
+    shared = own.where("odd").join(side(own), ["hub", "token"]).where(fit)
+    shared = shared.groupBy("hub", "b", "c").agg(F.count("*").alias("k"), F.first(overlap("n", "m") - F.least("both", "both2")).alias("needed")).where("k >= needed").select("b", "c")
+    pairs = direct.unionByName(shared).select(F.lit(False).alias("hub"), F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+    many = groups.where(F.col("size") > 4 * small_group) if not last else groups.limit(0)
+    band = F.floor(F.log("n") / -math.log(percent / 100) + 1e-9).cast("long")
+    grouped = tokens.join(many.select("hub", "token"), ["hub", "token"]).withColumn("band", band)
+    hubs = grouped.groupBy("hub", "token", "band").agg(F.max_by("b", F.struct("both", "b")).alias("own"))
+    reach = hubs.select("hub", "token", "own", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    stars = grouped.join(reach, ["hub", "token", "band"]).where("own <> b").select(F.lit(True).alias("hub"), F.col("own").alias("a"), "b").distinct()
+    return pairs, stars
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = 17, small_group: int = 32, frequent_cap: int = 1 << 21, rounds: int = 8) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing. Rows with equal ids
@@ -338,25 +410,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = min(27, max(18, int(count).bit_length() + 4))
     cells = spark.sparkContext.broadcast(frequent_cells(text, n_blocks, least, frequent_cap))
     index = text.mapInArrow(_postings(n_blocks, index_blocks, cells, percent), "block long, rows binary")
-    found = durable(index.groupBy("block").applyInPandas(_candidates(small_group, percent), "sig long, a long, b long, n long"))
-    pairs = durable(found.where("sig < 0").select("a", "b").distinct())
-    links = durable(_links(text, pairs, bits, percent))
-    named = connected_components(links)
-    large = found.where("sig >= 0").select("sig", F.col("a").alias("node"), "n")
-    if not large.isEmpty():
-        roots = named.select("node", "root")
-        member = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # the main component of a group: that of most members
-        votes = member.groupBy("sig", "root").agg(F.count("*").alias("votes"))
-        main = votes.groupBy("sig").agg(F.max_by("root", F.struct("votes", "root")).alias("main"))
-        member = durable(member.join(main, "sig"))
-        odd = member.where("root <> main").select("sig", F.col("node").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"))
-        rest = member.select("sig", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
-        fit = (100 * F.least("np", "nq") >= percent * F.greatest("np", "nq")) & (F.col("rp") != F.col("rq"))
-        more = odd.join(rest, "sig").where(fit).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        more = durable(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            named = connected_components(links.unionByName(_links(text, more, bits, percent)))
+    found = index.groupBy("block").applyInPandas(_candidates(small_group, percent), "hub boolean, a long, b long, needed long, shared long")
+    found = found.groupBy("hub", "a", "b").agg(F.max("needed").alias("needed"), F.sum("shared").alias("shared"))
+    todo = durable(found.where("shared >= needed").select("hub", "a", "b"))
+    tested = links = None
+    for round_no in range(rounds):
+        seen = _verified(text, todo, bits, percent)
+        tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
+        new = seen.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        named = connected_components(links)
+        stars = seen.where("hub")
+        if stars.isEmpty() or (more := _open_pairs(stars, named, percent, small_group, round_no == rounds - 2)) is None:
+            break
+        both_ways = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        todo = durable(more[0].join(both_ways, ["a", "b"], "left_anti").unionByName(more[1]))
+        if todo.isEmpty():
+            break
     # an empty set is a component of its own
     labelled = own.join(named, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     least_id = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
