@@ -369,6 +369,8 @@ def _open_pairs(stars: DataFrame, named: DataFrame, percent: int, small_group: i
     member = durable(member.join(main, "hub").join(least, "hub").withColumn("odd", F.col("root") != F.col("main")))
     if member.where("odd").isEmpty():
         return None
+    unsettled = member.where("odd").select("hub").distinct()
+    member = member.join(unsettled, "hub", "left_semi")
     overlap = lambda n, m: F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(float(100 + percent)) - 1e-9).cast("long")
     fit = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("root") != F.col("root2"))
     side = lambda df: df.select("hub", *[c for c in ("token",) if c in df.columns], F.col("b").alias("c"), F.col("n").alias("m"), F.col("both").alias("both2"), F.col("root").alias("root2"))
