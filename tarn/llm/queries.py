@@ -6,19 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
+from .fingerprints import fingerprints
 from .jaccard import jaccard_components
+from .lm import lm_scores
+from .mixing import mix
+from .quality import quality_scores
+from .records import read_records, write_records
+from .shards import shard_documents
+from .urls import filter_urls
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Path of the public vocabulary that the token-ID query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_records(_table(spark, sf_dir, "documents"), word_tokenizer()))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_jaccard_join": op4_jaccard_join,
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_jaccard_join, op5_fingerprints, op6_url_filters, op7_shards, op8_token_records, op9_warc, op10_lm_scores)
 }
 
 #: Words of DuckDB's column `text`: A-Z lower-cased, split as the contract says.
