@@ -47,15 +47,20 @@ def _add_signs(shift: int):
     return lambda total, h: _low(total + _low(F.shiftrightunsigned(h, shift), ONES), CLEAR)
 
 
-def vectors(text: Column) -> Column:
-    """The fingerprint as an array of longs: two wide lanes, LANES packed ones, the count."""
-    pieces = paragraphs(text)
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column computed once a row. A generator of one row keeps the optimizer from copying `value` into each place that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the fingerprint of a text column, as an array of longs: two wide lanes, LANES packed ones, the count."""
+    df = fixed(df, "__pieces", paragraphs(F.col(text)))
+    df = fixed(df, "__signs", _hashes(F.col("__pieces"), 3))
     zero = F.lit(0).cast("long")
-    out = [F.aggregate(_hashes(pieces, seed), zero, lambda a, h: _low(a + _low(h, WIDE), WIDE)) for seed in (1, 2)]
-    signs = _hashes(pieces, 3)
-    out += [F.aggregate(signs, zero, _add_signs(j)) for j in range(LANES)]
-    out.append(_low(F.size(pieces).cast("long"), LANE))
-    return F.array(*out)
+    out = [F.aggregate(_hashes(F.col("__pieces"), seed), zero, lambda a, h: _low(a + _low(h, WIDE), WIDE)) for seed in (1, 2)]
+    out += [F.aggregate(F.col("__signs"), zero, _add_signs(j)) for j in range(LANES)]
+    out.append(_low(F.size("__pieces").cast("long"), LANE))
+    return fixed(df, name, F.array(*out)).drop("__pieces", "__signs")
 
 
 def _sum(x: Column, y: Column, sign: int) -> Column:
@@ -132,14 +137,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = {p: parts[k - 1] for k, p in enumerate(parts)}
     target = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.col("part")
     ghosts = firsts.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), target.alias("part"), F.col("x.tie").alias("tie"), F.lit(True).alias("ghost"))
-    rows = base.withColumn("ghost", F.lit(False)).unionByName(ghosts).withColumn("v", vectors(F.col("text")))
+    rows = with_vector(base.withColumn("ghost", F.lit(False)).unionByName(ghosts), "text", "v")
     line = Window.partitionBy("part").orderBy("ghost", *order)
     rows = rows.withColumn("next", F.lead("text").over(line)).withColumn("w", F.lead("v").over(line)).where("not ghost")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "v", "w")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), vectors(F.col("edited")).alias("e"), "v", "w")
-    rows = rows.select("*", signs(F.col("v")).alias("sv"), signs(F.col("e")).alias("se"), signs(F.col("w")).alias("sw"))
+    rows = fixed(rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("x"), "v", "w"), "edited", F.col("x"))
+    rows = with_vector(rows.select("doc_id", "n_chars", "edited", "v", "w"), "edited", "e")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "e", "w")
+    for x in "vew":
+        rows = fixed(rows, f"s{x}", signs(F.col(x)))
     near = lambda y, sy: likeness(F.col("v"), F.col(y), F.col("sv"), F.col(sy))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("v")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), near("e", "se").alias("near_edited"), near("w", "sw").alias("near_next"))
