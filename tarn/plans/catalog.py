@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import entities, filters, graphs, scoring, sequences, sources, tables, texts  # noqa: F401
+from .views import REGISTRY, SQL
+
+QUERIES = REGISTRY
+ORACLES = SQL
