@@ -202,7 +202,8 @@ def _is_frequent(tokens: np.ndarray, cells: np.ndarray, n_blocks: int) -> np.nda
     return cells[at] == x
 
 
-POSTING = np.dtype([("sig", "<u4"), ("node", "<i8"), ("n", "<u4")])
+#: edge: how far a set is from the middle of its groups, as the share of its tokens that are rare.
+POSTING = np.dtype([("sig", "<u4"), ("node", "<i8"), ("n", "<u4"), ("edge", "<u2")])
 #: Set in a posting's n where the index entries are the set's first tokens, all rare.
 PLAIN = 1 << 31
 
@@ -212,16 +213,18 @@ def _postings(n_blocks: int, index_blocks: int, cells, percent: int):
         for sets, nodes in _distinct(batches, 2 * FLUSH):
             marks = _is_frequent(np.concatenate(sets), cells.value, n_blocks)
             ends = np.cumsum([len(s) for s in sets])
-            sigs, plain = [], []
+            sigs, plain, edge = [], [], []
             for s, e in zip(sets, ends, strict=True):
                 own = marks[e - len(s) : e]
                 sigs.append(np.unique(signatures(s, own, percent)))
+                edge.append(65535 * (len(s) - int(own.sum())) // len(s))
                 plain.append(len(s) - own.sum() > allowed_misses(len(s), percent))
             times = [len(s) for s in sigs]
             block, local = _block(mix(np.concatenate(sigs)), index_blocks)
             rows = np.empty(len(block), dtype=POSTING)
             sizes = np.array([len(s) for s in sets], np.uint32) | np.where(plain, np.uint32(PLAIN), np.uint32(0))
             rows["sig"], rows["node"], rows["n"] = local, np.repeat(np.array(nodes, np.int64), times), np.repeat(sizes, times)
+            rows["edge"] = np.repeat(np.array(edge, np.uint16), times)
             order = np.argsort(block, kind="stable")
             rows, block = rows[order], block[order]
             out = [(k, rows[a:b].tobytes()) for k, a, b in _spans(block)]
@@ -278,16 +281,14 @@ def _candidates(small_group: int, percent: int):
         large = sizes > small_group
         members = []
         if large.any():
-            inside = np.repeat(large, sizes)
-            # the most usual member of a block's large groups is the likeliest to be near all
-            names, usual = np.unique(node[inside], return_counts=True)
+            # one order for all blocks, so that the groups of a family of copies have few different hubs
             for a, size in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
                 x, band = node[a : a + size], band_of(n[a : a + size], percent)
-                often = usual[np.searchsorted(names, x)]
+                edge = rows["edge"][a : a + size]
                 hubs = {}
                 for k in np.unique(band).tolist():
                     own = np.flatnonzero(band == k)
-                    hubs[k] = x[own[np.lexsort((x[own], -often[own]))[0]]]
+                    hubs[k] = x[own[np.lexsort((x[own], edge[own]))[0]]]
                 for k, hub in hubs.items():
                     with_hub = x[(band == k) | (band == k - 1)]
                     members.append(np.column_stack([np.full(len(with_hub), hub), with_hub])[with_hub != hub])
