@@ -1 +1,170 @@
-"""Queries."""
+"""Time-window and sequence queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import sequences as op
+from .views import ctes, query
+
+TRAIL = "OVER (PARTITION BY {k} ORDER BY ts RANGE BETWEEN INTERVAL {d} DAY PRECEDING AND CURRENT ROW)"
+AHEAD = "OVER (PARTITION BY {k} ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL {d} FOLLOWING)"
+
+
+def trail(k, d):
+    return TRAIL.format(k=k, d=d)
+
+
+def ahead(k, d):
+    return AHEAD.format(k=k, d=d)
+
+
+@query("agg_w1_structuring_forward", ctes("txn") + f""", w AS (SELECT id, count(*) {ahead('sender', '365 DAY')} AS n, count(*) FILTER (WHERE amount >= 140000 AND amount < 150000) {ahead('sender', '365 DAY')} AS k, CAST(sum(amount) {ahead('sender', '365 DAY')} AS DOUBLE) AS total, max(amount) {ahead('sender', '365 DAY')} AS top, avg(amount) {ahead('sender', '365 DAY')} AS mean FROM txn)
+SELECT id, 'near_threshold' AS kind, round(least(1.0, k / 5 * 0.9), 6) AS confidence FROM w WHERE n >= 2 AND k >= 2 UNION ALL SELECT id, 'split', round(least(1.0, (total / 150000 - 1) * 0.5 + 0.5), 6) FROM w WHERE n >= 2 AND total >= 150000 AND top < 150000 AND mean > 10000""")
+def w1(t):
+    return op.structuring_forward(t.txn, days=365, least=2)
+
+
+@query("agg_w2_structuring", ctes("txn") + f""", u AS (SELECT * FROM txn WHERE amount >= 75000 AND amount < 150000), w AS (SELECT id, sender, count(*) {trail('sender', 30)} AS n, CAST(sum(amount) {trail('sender', 30)} AS DOUBLE) AS total FROM u)
+SELECT id, sender, n, total, CASE WHEN total >= 450000 THEN 'high' ELSE 'medium' END AS severity, round(least(0.95, 0.5 + (n - 3) * 0.1), 6) AS confidence FROM w WHERE n >= 2 AND total >= 150000""")
+def w2(t):
+    return op.structuring(t.txn, days=30, least=2, low=75_000)
+
+
+@query("agg_w3_structuring_share", ctes("txn") + "SELECT sender, count(*) AS n, CAST(count(*) FILTER (WHERE amount > 127500 AND amount < 150000) AS BIGINT) AS k FROM txn GROUP BY sender HAVING count(*) > 5 AND count(*) FILTER (WHERE amount > 127500 AND amount < 150000) / count(*) > 0.1")
+def w3(t):
+    return op.structuring_share(t.txn, share=0.1)
+
+
+@query("agg_w4_smurfing", ctes("txn") + f", w AS (SELECT id, receiver, CAST(len(list_distinct(list(sender) {trail('receiver', 7)})) AS INT) AS depositors, CAST(sum(amount) {trail('receiver', 7)} AS DOUBLE) AS total FROM txn) SELECT * FROM w WHERE depositors >= 3 AND total >= 150000")
+def w4(t):
+    return op.smurfing(t.txn)
+
+
+@query("agg_w5_velocity", ctes("event") + """, m AS (SELECT max(ts) AS t FROM event), h AS (SELECT entity, count(*) / greatest(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000), 1) AS base FROM event, m WHERE ts <= m.t - INTERVAL 1 DAY GROUP BY entity),
+n AS (SELECT entity, count(*) AS n FROM event, m WHERE ts > m.t - INTERVAL 1 DAY GROUP BY entity), r AS (SELECT n.entity, n, n / coalesce(base, 1) AS ratio FROM n LEFT JOIN h ON h.entity = n.entity)
+SELECT entity, n, round(ratio, 6) AS ratio, round(least(1.0, (ratio - 3) / 5 + 0.6), 6) AS confidence FROM r WHERE ratio > 1.5""")
+def w5(t):
+    last = F.broadcast(t.event.agg(F.max("ts").alias("t")))
+    e = t.event.join(last)
+    return op.velocity_spikes(e.where(F.expr("ts > t - INTERVAL 1 DAY")), e.where(F.expr("ts <= t - INTERVAL 1 DAY")), "entity", "ts", 1.5)
+
+
+@query("agg_w6_bursts", ctes("event") + f""", w AS (SELECT id, entity, count(*) {ahead('entity', '24 HOUR')} AS n, CAST(len(list_distinct(list(type) {ahead('entity', '24 HOUR')})) AS INT) AS types, (epoch_us(max(ts) {ahead('entity', '24 HOUR')}) - epoch_us(ts)) / 3.6e9 AS span FROM event)
+SELECT id, entity, n, types, round((least(1.0, n / 20) + least(1.0, types / 5) + 1 / (1 + span)) / 3, 6) AS risk FROM w WHERE n >= 3""")
+def w6(t):
+    return op.bursts(t.event)
+
+
+@query("agg_w7_coordinated", ctes("event") + ", e AS (SELECT * FROM event WHERE entity IN (1,2,3,4,5,6,7,8,9,10)) SELECT a.id, count(DISTINCT b.entity) AS n, round(count(DISTINCT b.entity) / 10, 6) AS confidence FROM e a JOIN e b ON b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.id HAVING count(DISTINCT b.entity) >= 2")
+def w7(t):
+    return op.coordinated(t.event, list(range(1, 11)))
+
+
+@query("agg_w8_contiguous", ctes("event") + ", s AS (SELECT id, entity, type, lead(type, 1) OVER w AS t1, lead(type, 2) OVER w AS t2 FROM event WINDOW w AS (PARTITION BY entity ORDER BY ts, id)) SELECT id, entity FROM s WHERE type = 'view' AND t1 = 'click' AND t2 = 'purchase'")
+def w8(t):
+    return op.contiguous(t.event, ["view", "click", "purchase"])
+
+
+@query("agg_w9_greedy_dedupe")
+def w9(t):
+    w = op.forward("entity", "ts", 86400)
+    x = t.event.select("entity", "id", F.unix_micros("ts").alias("start"), F.max(F.unix_micros("ts")).over(w).alias("end"), F.count("*").over(w).cast("double").alias("confidence"), F.collect_list("id").over(w).alias("events"))
+    return op.greedy_dedupe(x.where("confidence >= 3"))
+
+
+@query("agg_w10_greedy_clusters")
+def w10(t):
+    return op.greedy_clusters(t.event, least=4)
+
+
+@query("agg_w11_off_hours", ctes("event") + "SELECT entity, count(*) AS n FROM event WHERE dayofweek(ts) IN (0, 6) OR hour(ts) < 6 OR hour(ts) >= 22 GROUP BY entity HAVING count(*) >= 3")
+def w11(t):
+    return op.off_hours(t.event)
+
+
+@query("agg_w12_playbook", ctes("event") + """, f AS (SELECT entity, min(ts) FILTER (WHERE type = 'signup') AS a, min(ts) FILTER (WHERE type = 'view') AS b, min(ts) FILTER (WHERE type = 'refund') AS c, min(ts) FILTER (WHERE type = 'purchase') AS d FROM event GROUP BY entity),
+g AS (SELECT entity, a IS NOT NULL AS m0, b IS NOT NULL AND (a IS NULL OR floor((epoch_us(b) - epoch_us(a)) / 86400000000) <= 1) AS m1, c IS NULL AS m2, d IS NOT NULL AND (coalesce(a, b) IS NULL OR floor((epoch_us(d) - epoch_us(coalesce(a, b))) / 86400000000) <= 1) AS m3 FROM f)
+SELECT entity, round((m0::INT + m1::INT + m2::INT + m3::INT) / 4, 6) AS confidence, greatest(m0::INT, 2 * m1::INT, 3 * m2::INT, 4 * m3::INT) AS stage, CASE greatest(m0::INT, 2 * m1::INT, 3 * m2::INT, 4 * m3::INT) WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'refund' WHEN 3 THEN 'purchase' END AS next FROM g WHERE (m0::INT + m1::INT + m2::INT + m3::INT) / 4 >= 0.5""")
+def w12(t):
+    return op.playbook(t.event, ["signup", "view", "refund", "purchase"], 1, absent=["refund"])
+
+
+@query("agg_w13_next_event", ctes("event") + ", s AS (SELECT entity, list(type ORDER BY ts DESC, id DESC)[1] AS now FROM event GROUP BY entity) SELECT entity, CASE now WHEN 'signup' THEN 'view' WHEN 'view' THEN 'click' WHEN 'click' THEN 'purchase' END AS next FROM s WHERE now IN ('signup', 'view', 'click')")
+def w13(t):
+    now = t.event.groupBy("entity").agg(F.max_by("type", F.struct("ts", "id")).alias("now"))
+    following = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "view", "view", "click", "click", "purchase")]), F.col("now"))
+    return now.select("entity", following.alias("next")).where("next IS NOT NULL")
+
+
+@query("agg_w14_event_extraction", "SELECT o_orderkey AS entity, 'placed' AS type, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT l_orderkey, 'shipped_' || lower(l_returnflag), CAST(l_shipdate AS DATE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 400000")
+def w14(t):
+    big = t.orders.where("o_totalprice > 400000")
+    shipped = t.lineitem.join(big, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("entity"), F.concat(F.lit("shipped_"), F.lower("l_returnflag")).alias("type"), F.to_date("l_shipdate").alias("day"))
+    return big.select(F.col("o_orderkey").alias("entity"), F.lit("placed").alias("type"), F.to_date("o_orderdate").alias("day")).unionByName(shipped)
+
+
+@query("agg_w15_rapid_formation", "WITH f AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS formed, CAST(min(l_shipdate) AS DATE) AS taxed, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate) SELECT k, date_diff('day', formed, taxed) AS days, round(1 - date_diff('day', formed, taxed) / 30, 6) AS confidence FROM f WHERE date_diff('day', formed, taxed) BETWEEN 0 AND 30")
+def w15(t):
+    first = t.lineitem.groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).alias("taxed"))
+    x = t.orders.join(first, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("k"), F.datediff("taxed", F.to_date("o_orderdate")).alias("days"))
+    return x.where("days BETWEEN 0 AND 30").select("k", "days", F.round(1 - F.col("days") / 30, 6).alias("confidence"))
+
+
+CHANGES = "ch AS (SELECT person, company, from_date AS day, 'added' AS change FROM directs UNION ALL SELECT person, company, to_date, 'removed' FROM directs WHERE to_date IS NOT NULL)"
+
+
+def changes(t):
+    d = t.directs
+    return d.select("person", "company", F.col("from_date").alias("day"), F.lit("added").alias("change")).unionByName(d.where("to_date IS NOT NULL").select("person", "company", F.col("to_date").alias("day"), F.lit("removed").alias("change")))
+
+
+@query("agg_w16_director_velocity", ctes("directs", more=CHANGES) + "SELECT person, count(*) AS changes, round(count(*) / (730 / 365.0), 6) AS per_year, count(*) / (730 / 365.0) > 2 AS high FROM ch WHERE day >= DATE '1998-01-01' - 730 AND day <= DATE '1998-01-01' GROUP BY person")
+def w16(t):
+    x = changes(t).where("day >= DATE '1998-01-01' - 730 AND day <= DATE '1998-01-01'").groupBy("person").agg(F.count("*").alias("changes"))
+    return x.select("person", "changes", F.round(F.col("changes") / 2, 6).alias("per_year"), (F.col("changes") / 2 > 2).alias("high"))
+
+
+@query("agg_w17_change_log", ctes("directs", more=CHANGES) + "SELECT * FROM ch")
+def w17(t):
+    return changes(t)
+
+
+@query("agg_w18_trend", "WITH f AS (SELECT o_custkey, count(*) AS n, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS a, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS b FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE WHEN n < 2 OR a = 0 THEN 0 ELSE round((b - a) / a, 6) END AS trend FROM f")
+def w18(t):
+    x = op.trend(t.orders.withColumn("o", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "o", "o_totalprice")
+    return x.select("o_custkey", F.round("trend", 6).alias("trend"))
+
+
+@query("agg_w19_adjacent_gaps", "WITH g AS (SELECT o_custkey, date_diff('day', lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), CAST(o_orderdate AS DATE)) AS gap FROM orders) SELECT o_custkey, min(gap) AS gap FROM g GROUP BY o_custkey HAVING min(gap) < 30")
+def w19(t):
+    gap = F.datediff(F.to_date("o_orderdate"), F.lag(F.to_date("o_orderdate")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    return t.orders.select("o_custkey", gap.alias("gap")).groupBy("o_custkey").agg(F.min("gap").alias("gap")).where("gap < 30")
+
+
+@query("agg_w20_behaviour", ctes("txn") + ", b AS (SELECT id, sender, amount, avg(amount) OVER w AS mean, max(amount) OVER w AS top FROM txn WINDOW w AS (PARTITION BY sender ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT id, sender, coalesce(amount > 5 * mean, false) AS above_mean, coalesce(amount > 1.5 * top, false) AS above_max FROM b WHERE amount > 5 * mean OR amount > 1.5 * top")
+def w20(t):
+    return op.behaviour(t.txn)
+
+
+HASHES = "h AS (SELECT event_id, user_id, sha256(CAST(event_id AS VARCHAR)) AS own, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE lag(sha256(CAST(event_id AS VARCHAR))) OVER (PARTITION BY user_id ORDER BY event_id) END AS previous FROM events)"
+
+
+@query("agg_w21_hash_chain", f"WITH {HASHES} SELECT event_id FROM (SELECT *, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS expected FROM h) WHERE previous IS DISTINCT FROM expected")
+def w21(t):
+    own = F.sha2(F.col("event_id").cast("string"), 256)
+    before = F.lag(own).over(Window.partitionBy("user_id").orderBy("event_id"))
+    h = t.events.select("event_id", "user_id", own.alias("own"), F.when(F.col("event_id") % 50 == 0, F.lit("x")).otherwise(before).alias("previous"))
+    return op.chain_breaks(h, "user_id", "event_id", "own", "previous").select("event_id")
+
+
+@query("agg_w22_trend_bonus", ctes("event") + ", s AS (SELECT id, count(*) FILTER (WHERE value >= 50) OVER (PARTITION BY entity ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM event) SELECT id, CASE WHEN k >= 2 THEN round(least(0.15, 0.05 * k), 6) ELSE 0 END AS bonus FROM s")
+def w22(t):
+    k = F.count_if(F.col("value") >= 50).over(Window.partitionBy("entity").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1))
+    return t.event.select("id", F.when(k >= 2, F.round(F.least(F.lit(0.15), 0.05 * k), 6)).otherwise(F.lit(0.0)).alias("bonus"))
+
+
+@query("st_03_rate_limit", ctes("event") + ", w AS (SELECT id, count(*) OVER (PARTITION BY entity ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS n FROM event) SELECT id, n FROM w WHERE n > 3")
+def st3(t):
+    return op.rate_limited(t.event, "entity", "ts", 12 * 3600, 3).select("id", "n")
