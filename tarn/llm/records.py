@@ -12,9 +12,12 @@ in order hold all ids ascending. Token positions follow from the files' totals,
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ HEAD = struct.Struct("<QI")
 DOC = struct.Struct("<qBBxx")
 CHECK = struct.Struct("<I")
 INDEX_MAGIC = b"TARNIDX1"
-#: Words whose ids a worker remembers; when full it starts anew.
+#: Words whose ids a worker remembers; when full it keeps those that it met again.
 CACHE_WORDS = 600_000
 
 
@@ -55,44 +58,99 @@ class Encoder:
     """
 
     def __init__(self, path: str, by_word: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self._clear()
-
-    def _clear(self) -> None:
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:  # ids that end a run of letters or of other marks
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.codes: dict[bytes, int] = {}
         self.lens, self.flat, self.starts = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum())), lens
+
+    def _plain_ids(self, words: list[str], runs: np.ndarray, each: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of a known number of runs, encoded some hundred to a text, which is twice as fast."""
+        flat, lens = [], []
+        for at in range(0, len(words), each):
+            own, expected = words[at : at + each], runs[at : at + each]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == expected.sum() and (not len(ids) or stops[-1] == len(ids)):
+                lens.append(np.diff(np.r_[0, stops[np.cumsum(expected) - 1]]))
+            else:
+                ids, count = self._ids(own)
+                lens.append(count)
+            flat.append(ids)
+        return (np.concatenate(flat), np.concatenate(lens)) if flat else (self.flat[:0], self.lens[:0])
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        lens = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        if len(self.codes) + len(words) > CACHE_WORDS:
+            self._forget()
+        texts = [w.decode("utf-8", "replace") for w in words]
+        runs = np.fromiter((1 if t.isalpha() else 2 if t[-1] in ",.;:!?" and t[:-1].isalpha() else 0 for t in texts), np.int64, len(texts))
+        if self.ends is None:
+            runs[:] = 0
+        order = np.argsort(runs == 0, kind="stable")
+        words, texts, plain = [words[k] for k in order], [texts[k] for k in order], int((runs > 0).sum())
+        one, two = self._plain_ids(texts[:plain], runs[order][:plain]), self._ids(texts[plain:])
+        flat, lens = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
         at = len(self.codes)
         self.codes.update(zip(words, range(at, at + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
         self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+
+    def _forget(self) -> None:
+        """Keeps the words that were met again, unless those are too many as well."""
+        least = 2
+        while (kept := self.hits >= least).sum() > CACHE_WORDS // 2:
+            least *= 2
+        old = np.flatnonzero(kept)
+        place = np.full(len(kept), -1)
+        place[old] = np.arange(len(old))
+        self.codes = {w: int(place[c]) for w, c in self.codes.items() if kept[c]}
+        lens = self.lens[old]
+        ends = np.cumsum(lens)
+        n = int(ends[-1]) if len(ends) else 0
+        self.flat = self.flat[np.repeat(self.starts[old] - ends + lens, lens) + np.arange(n)]
+        self.starts, self.lens, self.hits = ends - lens, lens, np.ones(len(old), np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers."""
         if not self.by_word:
             return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         split = [t.split() for t in texts]  # of bytes: at ASCII white space only
-        new = {w for ws in split for w in ws if w not in self.codes}
-        if new:
-            if len(self.codes) + len(new) > CACHE_WORDS:
-                self._clear()
-                new = {w for ws in split for w in ws}
-            self._learn(list(new))
-        out = []
-        for ws in split:
-            codes = np.fromiter(map(self.codes.__getitem__, ws), np.int64, len(ws))
-            lens = self.lens[codes]
-            ends = np.cumsum(lens)
-            n = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[codes] - ends + lens, lens) + np.arange(n)])
-        return out
+        words = list(chain.from_iterable(split))
+        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            new = list({words[k] for k in missing})
+            full = len(self.codes) + len(new) > CACHE_WORDS
+            self._learn(new)
+            if full:  # the numbers have changed; what was forgotten is learned again
+                lost = list({w for w in words if w not in self.codes})
+                if lost:
+                    self._learn(lost)
+                codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+            else:
+                codes[missing] = [self.codes[words[k]] for k in missing]
+        self.hits += np.bincount(codes, minlength=len(self.hits))
+        lens = self.lens[codes]
+        ends = np.cumsum(lens)
+        n = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[codes] - ends + lens, lens) + np.arange(n)]
+        bounds = np.r_[0, ends][np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
