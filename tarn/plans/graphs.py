@@ -153,9 +153,9 @@ def gr_16(t):
     return x.where((F.col("n") >= 3) & (F.col("ended") > 1) & (F.col("ended") / F.col("n") > 0.5))
 
 
-@query("gr_17_nominee_network", ctes("company", "directs") + ", d AS (SELECT DISTINCT person, directs.company, address FROM directs JOIN company ON company.company = directs.company) SELECT person, count(*) AS n FROM d GROUP BY person HAVING count(*) > 5 AND count(*) = count(DISTINCT address)")
+@query("gr_17_nominee_network", ctes("company", "directs") + ", d AS (SELECT DISTINCT person, directs.company, agent || address AS address FROM directs JOIN company ON company.company = directs.company) SELECT person, count(*) AS n FROM d GROUP BY person HAVING count(*) > 5 AND count(*) = count(DISTINCT address)")
 def gr_17(t):
-    d = t.directs.select("person", "company").distinct().join(t.company.select("company", "address"), "company")
+    d = t.directs.select("person", "company").distinct().join(t.company.select("company", F.concat("agent", F.col("address").cast("string")).alias("address")), "company")
     return d.groupBy("person").agg(F.count("*").alias("n"), F.countDistinct("address").alias("a")).where("n > 5 AND n = a").select("person", "n")
 
 

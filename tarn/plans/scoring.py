@@ -1 +1,208 @@
-"""Queries."""
+"""Score queries, over features derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import scores as op
+from .views import ctes, query
+
+R = lambda x: F.round(x, 6)
+FEATURES = """f AS (SELECT p_partkey AS id, CAST(p_size % 6 AS INT) AS employees, CAST(p_retailprice * 100 AS DOUBLE) AS revenue, p_partkey % 4 = 0 AS generic, CAST(p_partkey % 900 AS INT) AS age_days, p_partkey % 9 = 0 AS postal, (p_partkey % 40) / 10.0 AS velocity,
+ p_partkey % 3 <> 0 AS reports, (p_partkey % 10) / 10.0 AS foreign_share, p_partkey % 50 = 0 AS circular, p_partkey % 8 = 0 AS foreign_director, CAST(p_partkey % 5 AS INT) AS shared, p_partkey % 7 = 0 AS dormant, p_partkey % 6 <> 0 AS f_skatt, p_partkey % 5 <> 0 AS vat FROM part)"""
+
+
+def features(t):
+    k = F.col("p_partkey")
+    return t.part.select(k.alias("id"), (F.col("p_size") % 6).cast("int").alias("employees"), (F.col("p_retailprice") * 100).alias("revenue"), (k % 4 == 0).alias("generic"), (k % 900).cast("int").alias("age_days"), (k % 9 == 0).alias("postal"), (k % 40 / 10).alias("velocity"), (k % 3 != 0).alias("reports"), (k % 10 / 10).alias("foreign_share"), (k % 50 == 0).alias("circular"), (k % 8 == 0).alias("foreign_director"), (k % 5).cast("int").alias("shared"), (k % 7 == 0).alias("dormant"), (k % 6 != 0).alias("f_skatt"), (k % 5 != 0).alias("vat"))
+
+
+def term(condition, value):
+    return f"CASE WHEN {condition} THEN {value} ELSE 0 END"
+
+
+c = F.col
+
+
+@query("sc_01_pattern_risk", ctes("event") + ", w AS (SELECT *, CASE type WHEN 'error' THEN 0.8 WHEN 'purchase' THEN 0.7 WHEN 'signup' THEN 0.5 ELSE 0.3 END AS w FROM event) SELECT entity, round(least(1.0, sum(least(value / 100, 1) * w) / sum(w) + least(0.2, 0.05 * count(*))), 6) AS score FROM w GROUP BY entity")
+def sc_01(t):
+    w = F.when(c("type") == "error", 0.8).when(c("type") == "purchase", 0.7).when(c("type") == "signup", 0.5).otherwise(0.3)
+    x = t.event.select("entity", w.alias("w"), F.least(c("value") / 100, F.lit(1.0)).alias("conf"))
+    return x.groupBy("entity").agg(R(F.least(F.lit(1.0), F.sum(c("conf") * c("w")) / F.sum("w") + F.least(F.lit(0.2), 0.05 * F.count("*")))).alias("score"))
+
+
+@query("sc_02_person_risk", f"WITH {FEATURES} SELECT id, round(least(1.0, {term('shared + employees >= 5', 'least(0.3, 0.1 + 0.05 * (shared + employees - 5))')} + least(0.5, 0.3 * (shared % 3)) + {term('velocity > 2', 'least(0.2, 0.1 * (velocity - 2))')} + least(0.15, 0.05 * employees) + 0.2 * foreign_share), 6) AS score FROM f")
+def sc_02(t):
+    return features(t).select("id", R(op.person_risk(c("shared") + c("employees"), c("shared") % 3, c("velocity"), c("employees"), c("foreign_share"))).alias("score"))
+
+
+@query("sc_03_company_risk", f"WITH {FEATURES} SELECT id, round(least(1.0, {term('employees = 0', 0.15)} + {term('revenue < 100000', 0.15)} + {term('generic', 0.15)} + {term('age_days / 30 < 12', '0.1 * (1 - age_days / 30 / 12)')} + {term('postal', 0.15)} + {term('velocity > 2', 'least(0.2, 0.1 * (velocity - 2))')} + {term('NOT reports', 0.15)} + {term('foreign_share > 0.5', 'least(0.2, foreign_share * 0.2)')} + {term('circular', 0.2)}), 6) AS score FROM f")
+def sc_03(t):
+    return features(t).select("id", R(op.company_risk(c("employees"), c("revenue"), c("generic"), c("age_days"), c("postal"), c("velocity"), c("reports"), c("foreign_share"), c("circular"))).alias("score"))
+
+
+@query("sc_04_address_risk", ctes("company", "directs") + f", a AS (SELECT address, count(DISTINCT c.company) AS companies, count(DISTINCT person) AS persons FROM company c LEFT JOIN directs d ON d.company = c.company GROUP BY address) SELECT address, round(least(1.0, {term('companies >= 10', 'least(0.4, 0.1 + 0.05 * companies / greatest(persons, 1))')} + CASE address % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.2 WHEN 2 THEN 0.1 ELSE 0 END + {term('address % 10 / 10 > 0.3', 'least(0.2, address % 10 / 10 * 0.3)')}), 6) AS score FROM a")
+def sc_04(t):
+    a = t.company.join(t.directs, "company", "left").groupBy("address").agg(F.countDistinct("company").alias("companies"), F.countDistinct("person").alias("persons"))
+    level = F.when(c("address") % 4 == 0, "PARTICULARLY").when(c("address") % 4 == 1, "RISK").when(c("address") % 4 == 2, "OTHER")
+    return a.select("address", R(op.address_risk(c("companies"), c("persons"), level, c("address") % 10 / 10)).alias("score"))
+
+
+A_FLAGS = {"no_employees": "employees = 0", "minimal_revenue": "revenue < 100000", "generic_sni_code": "generic", "recently_formed": "age_days < 365", "no_physical_address": "postal", "high_director_turnover": "velocity > 2", "no_annual_reports": "NOT reports", "foreign_director": "foreign_director", "multiple_directors_shared": "shared >= 2", "dormant": "dormant"}
+B_FLAGS = {"no_employees": "employees = 0", "minimal_revenue": "revenue < 100000", "generic_sni_code": "generic", "c_o_address": "postal", "no_annual_reports": "NOT reports"}
+D_FLAGS = {"no_employees": "employees = 0", "generic_sni": "generic", "recently_formed": "age_days < 365", "f_skatt_no_vat": "f_skatt AND NOT vat", "single_director": "shared = 1", "no_revenue": "revenue < 95000"}
+F_FLAGS = {"no_tax_registrations": "NOT f_skatt AND NOT vat", "f_skatt_no_vat": "f_skatt AND NOT vat", "vat_no_f_skatt": "vat AND NOT f_skatt", "no_employees": "employees = 0", "ab_no_activity": "dormant", "generic_sni": "generic", "recently_formed": "age_days < 730"}
+
+
+def shell(flags, weights):
+    return "least(1.0, " + " + ".join(term(flags[k], w) for k, w in weights.items()) + ")", "[x for x in [" + ", ".join(f"CASE WHEN {flags[k]} THEN '{k}' END" for k in weights) + "] if x IS NOT NULL]"
+
+
+def shell_sql(flags, weights, high, medium):
+    score, names = shell(flags, weights)
+    return f"WITH {FEATURES}, s AS (SELECT id, round({score}, 6) AS score, array_to_string(list_sort({names}), ',') AS flags FROM f) SELECT id, score, flags, CASE WHEN score >= {high} THEN 'high' WHEN score >= {medium} THEN 'medium' ELSE 'low' END AS band FROM s"
+
+
+def shell_query(t, flags, weights, high, medium):
+    score, names = op.flagged({k: F.expr(flags[k]) for k in weights}, weights)
+    x = features(t).select("id", R(score).alias("score"), names.alias("flags"))
+    return x.withColumn("band", op.bands(c("score"), high, medium))
+
+
+for _name, _flags, _weights, _high, _medium in (("sc_05_shell_indicators", A_FLAGS, op.SHELL_INDICATORS, 0.6, 0.4), ("sc_06_shell_network", B_FLAGS, op.SHELL_NETWORK, 0.6, 0.4), ("sc_08_shell_registry", D_FLAGS, op.SHELL_REGISTRY, 0.6, 0.4), ("sc_24_shell_tax", F_FLAGS, op.SHELL_TAX, 0.5, 0.25)):
+    query(_name, shell_sql(_flags, _weights, _high, _medium))(lambda t, a=_flags, w=_weights, h=_high, m=_medium: shell_query(t, a, w, h, m))
+
+
+@query("sc_07_shell_mean", f"WITH {FEATURES}, s AS (SELECT id, (employees = 0)::INT + postal::INT + (f_skatt AND NOT vat)::INT + (age_days < 365)::INT + generic::INT + (velocity > 2)::INT + dormant::INT AS n FROM f) SELECT id, round(n / 7, 6) AS score, round(n / 7 * 3, 6) AS z FROM s")
+def sc_07(t):
+    n = sum(x.cast("int") for x in (c("employees") == 0, c("postal"), c("f_skatt") & ~c("vat"), c("age_days") < 365, c("generic"), c("velocity") > 2, c("dormant")))
+    return features(t).select("id", R(n / 7).alias("score"), R(n / 7 * 3).alias("z"))
+
+
+@query("sc_09_demo_shell", ctes("company", "directs") + f", p AS (SELECT person, count(DISTINCT company) AS n FROM directs GROUP BY person), s AS (SELECT DISTINCT company FROM directs d JOIN p ON p.person = d.person WHERE n >= 15), a AS (SELECT address FROM company GROUP BY address HAVING count(*) >= 10) SELECT c.company, round({term('s.company IS NOT NULL', 0.3)} + {term('a.address IS NOT NULL', 0.2)} + {term('NOT f_skatt', 0.2)} + {term('employees < 3', 0.15)}, 6) AS score FROM company c LEFT JOIN s ON s.company = c.company LEFT JOIN a ON a.address = c.address")
+def sc_09(t):
+    d = t.directs.select("person", "company").distinct()
+    serial = d.groupBy("person").agg(F.count("*").alias("n")).where("n >= 15")
+    s = d.join(serial, "person", "left_semi").select(c("company").alias("s")).distinct()
+    a = t.company.groupBy(c("address").alias("a")).agg(F.count("*").alias("n")).where("n >= 10").select("a")
+    x = t.company.join(s, c("company") == c("s"), "left").join(a, c("address") == c("a"), "left")
+    one = lambda p, w: F.when(p, w).otherwise(0.0)
+    return x.select("company", R(one(c("s").isNotNull(), 0.3) + one(c("a").isNotNull(), 0.2) + one(~c("f_skatt"), 0.2) + one(c("employees") < 3, 0.15)).alias("score"))
+
+
+@query("sc_10_z_scores", "WITH n AS (SELECT c_nationkey AS address, count(*) AS d, avg(c_acctbal) AS b FROM customer GROUP BY c_nationkey), s AS (SELECT avg(d) AS md, stddev_samp(d) AS sd, avg(b) AS mb, stddev_samp(b) AS sb FROM n) SELECT address, round((d - md) / greatest(sd, 0.1), 6) AS z_density, round((b - mb) / greatest(sb, 0.1), 6) AS z_balance, round(greatest((d - md) / greatest(sd, 0.1), (b - mb) / greatest(sb, 0.1)), 6) AS composite FROM n, s")
+def sc_10(t):
+    n = t.customer.groupBy(c("c_nationkey").alias("address")).agg(F.count("*").alias("d"), F.avg("c_acctbal").alias("b"))
+    s = n.agg(F.avg("d").alias("md"), F.stddev_samp("d").alias("sd"), F.avg("b").alias("mb"), F.stddev_samp("b").alias("sb"))
+    zd, zb = op.anomaly(c("d"), c("md"), c("sd")), op.anomaly(c("b"), c("mb"), c("sb"))
+    return n.join(F.broadcast(s)).select("address", R(zd).alias("z_density"), R(zb).alias("z_balance"), R(F.greatest(zd, zb)).alias("composite"))
+
+
+AML = (("country", "id % 11 = 0", "0.9", 1.5), ("offshore", "id % 11 = 1", "0.5", 1.2), ("pep", "id % 13 = 0", "0.7", 1.5), ("sanctioned", "id % 101 = 0", "1.0", 2.0), ("industry", "generic", "0.6", 1.2), ("ownership", "shared > 0", "least(1.0, 0.2 * shared)", 1.0))
+
+
+@query("sc_11_aml_entity_risk", f"WITH {FEATURES}, s AS (SELECT id, " + " + ".join(term(a, w) for _, a, _, w in AML) + " AS w, " + " + ".join(term(a, f"{s} * {w}") for _, a, s, w in AML) + " AS s FROM f), r AS (SELECT id, CASE WHEN id % 101 = 0 THEN 1.0 WHEN w > 0 THEN s / w ELSE 0 END AS score FROM s) SELECT id, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'very_high' WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM r")
+def sc_11(t):
+    return op.factor_score(features(t), {n: (F.expr(a), F.expr(s).cast("double"), w) for n, a, s, w in AML}).select("id", R(c("score")).alias("score"), "level")
+
+
+@query("sc_12_transaction_risk", ctes("txn") + """, s AS (SELECT id, CASE WHEN amount >= 400000 THEN 0.8 WHEN amount >= 150000 THEN 0.5 WHEN amount >= 50000 THEN 0.3 END AS a, CASE WHEN kind = 'cash_deposit' THEN 0.6 END AS k FROM txn) SELECT id, round(coalesce((coalesce(a, 0) + coalesce(k, 0) * 1.5) / nullif((a IS NOT NULL)::INT + (k IS NOT NULL)::INT * 1.5, 0), 0.1), 6) AS score FROM s""")
+def sc_12(t):
+    a = F.when(c("amount") >= 400000, 0.8).when(c("amount") >= 150000, 0.5).when(c("amount") >= 50000, 0.3)
+    x = op.factor_score(t.txn, {"amount": (a.isNotNull(), a, 1.0), "channel": (c("kind") == "cash_deposit", 0.6, 1.5)})
+    return x.select("id", R(F.when(a.isNull() & (c("kind") != "cash_deposit"), 0.1).otherwise(c("score"))).alias("score"))
+
+
+@query("sc_13_construction", f"WITH {FEATURES}, s AS (SELECT id, shared + employees AS n, dormant::INT AS o FROM f) SELECT id, round(n / 11, 6) AS probability, CASE WHEN n >= 4 AND o = 0 THEN 'critical' WHEN n >= 3 AND o = 0 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS level, round(1 - 0.1 * (11 - n), 6) AS confidence FROM s")
+def sc_13(t):
+    p, level, confidence = op.construction(c("shared") + c("employees"), c("dormant").cast("int"))
+    return features(t).select("id", R(p).alias("probability"), level.alias("level"), R(confidence).alias("confidence"))
+
+
+@query("sc_14_bankruptcy", f"""WITH {FEATURES} SELECT id, round(0.25 * (foreign_share * 0.6 + velocity / 4 * 0.4) + 0.25 * (least(shared * 0.15, 0.6) + least(employees * 0.1, 0.3)) + 0.30 * least(1.0, {term('0.4 - foreign_share < -0.2', 0.2)} + {term('0.5 - velocity / 4 < -0.2', 0.2)} + least(employees * 0.1, 0.3) + least(shared * 0.05, 0.2))
++ 0.20 * (1 - (CASE WHEN velocity < 2 THEN greatest(0.0, 1 - velocity) ELSE 0 END + least(1.0, velocity / 2) + CASE WHEN foreign_share - 1 > -0.5 THEN 0.5 + foreign_share - 1 ELSE 0 END) / 3), 6) AS probability FROM f""")
+def sc_14(t):
+    f, v = c("foreign_share"), c("velocity")
+    return features(t).select("id", R(op.bankruptcy(f, v / 4, c("shared"), c("employees"), 0.4 - f, 0.5 - v / 4, c("employees"), c("shared"), v, v, f - 1)).alias("probability"))
+
+
+@query("sc_15_evasion", f"WITH {FEATURES} SELECT id, round(0.4 * (foreign_share + velocity / 4) / 2 + 0.3 * {term('NOT reports', 1.0)} + 0.3 * {term('circular', 1.0)}, 6) AS score FROM f")
+def sc_15(t):
+    flag = lambda x: F.when(x, 1.0).otherwise(0.0)
+    return features(t).select("id", R(0.4 * (c("foreign_share") + c("velocity") / 4) / 2 + 0.3 * flag(~c("reports")) + 0.3 * flag(c("circular"))).alias("score"))
+
+
+@query("sc_16_cross_domain", ctes("event") + ", d AS (SELECT entity, type, avg(value) / 100 AS s FROM event GROUP BY entity, type) SELECT a.entity, a.type AS d1, b.type AS d2, round((a.s + b.s) / 2, 6) AS strength FROM d a JOIN d b ON a.entity = b.entity AND a.type < b.type WHERE (a.s + b.s) / 2 >= 0.15")
+def sc_16(t):
+    d = t.event.groupBy("entity", "type").agg((F.avg("value") / 100).alias("s"))
+    per = d.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("type", "s"))).alias("v"))  # five domains at most
+    pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["type"] > a["type"]), lambda b: F.struct(a["type"].alias("d1"), b["type"].alias("d2"), ((a["s"] + b["s"]) / 2).alias("s")))))
+    x = per.select("entity", F.explode(pairs).alias("p")).where("p.s >= 0.15")
+    return x.select("entity", "p.d1", "p.d2", R(c("p.s")).alias("strength"))
+
+
+@query("sc_17_network_risk", ctes("directs") + ", s AS (SELECT person, count(DISTINCT company) AS n, avg(company % 10 / 10) AS m FROM directs GROUP BY person) SELECT person, round(least(1.0, m + 0.1 * n), 6) AS network, round(least(1.0, 0.3 + 0.05 * n + 0.1 * (n % 3)), 6) AS mill FROM s")
+def sc_17(t):
+    s = t.directs.groupBy("person").agg(F.countDistinct("company").alias("n"), F.avg(c("company") % 10 / 10).alias("m"))
+    return s.select("person", R(F.least(F.lit(1.0), c("m") + 0.1 * c("n"))).alias("network"), R(F.least(F.lit(1.0), 0.3 + 0.05 * c("n") + 0.1 * (c("n") % 3))).alias("mill"))
+
+
+@query("sc_18_alert_severity", ctes("txn") + "SELECT id, CASE WHEN amount >= 450000 THEN 'critical' WHEN amount >= 300000 THEN 'high' WHEN amount >= 150000 THEN 'medium' ELSE 'low' END AS severity FROM txn")
+def sc_18(t):
+    a = c("amount")
+    return t.txn.select("id", F.when(a >= 450000, "critical").when(a >= 300000, "high").when(a >= 150000, "medium").otherwise("low").alias("severity"))
+
+
+@query("sc_19_review_tier", f"WITH {FEATURES} SELECT id, CASE WHEN postal AND foreign_share >= 0.5 THEN 3 WHEN foreign_share >= 0.3 THEN 2 ELSE 1 END AS tier, NOT (postal AND foreign_share >= 0.5) OR reports AS exportable FROM f")
+def sc_19(t):
+    third = c("postal") & (c("foreign_share") >= 0.5)
+    return features(t).select("id", F.when(third, 3).when(c("foreign_share") >= 0.3, 2).otherwise(1).alias("tier"), (~third | c("reports")).alias("exportable"))
+
+
+@query("sc_20_report_priority", ctes("txn") + "SELECT sender, CASE WHEN sum(amount) >= 3000000 OR max(amount) >= 490000 THEN 'urgent' WHEN sum(amount) >= 1500000 THEN 'high' ELSE 'normal' END AS priority FROM txn GROUP BY sender")
+def sc_20(t):
+    total = F.sum("amount")
+    return t.txn.groupBy("sender").agg(F.when((total >= 3000000) | (F.max("amount") >= 490000), "urgent").when(total >= 1500000, "high").otherwise("normal").alias("priority"))
+
+
+@query("sc_21_referral_routing", ctes("txn") + ", r AS (SELECT * FROM (VALUES ('cash_deposit', 'police', 0.7), ('cash_deposit', 'fiu', 0.9), ('withdrawal', 'tax', 0.8), ('withdrawal', 'fiu', 0.6)) v(kind, authority, confidence)), m AS (SELECT id, authority, confidence + CASE WHEN amount > 400000 AND authority = 'police' THEN 0.3 ELSE 0 END AS s FROM txn JOIN r ON r.kind = txn.kind), k AS (SELECT id, authority, row_number() OVER (PARTITION BY id ORDER BY s DESC, authority) AS k FROM m) SELECT txn.id, coalesce(authority, 'fiu') AS authority FROM txn LEFT JOIN k ON k.id = txn.id AND k = 1")
+def sc_21(t):
+    rules = t.spark.createDataFrame([("cash_deposit", "police", 0.7), ("cash_deposit", "fiu", 0.9), ("withdrawal", "tax", 0.8), ("withdrawal", "fiu", 0.6)], "kind string, authority string, confidence double")
+    bonus = F.when((c("amount") > 400000) & (c("authority") == "police"), 0.3).otherwise(0.0)
+    best = t.txn.join(F.broadcast(rules), "kind", "left").groupBy("id").agg(F.min(F.struct((-(c("confidence") + bonus)).alias("s"), "authority")).alias("m"))
+    return best.select("id", F.coalesce("m.authority", F.lit("fiu")).alias("authority"))
+
+
+@query("sc_22_contagion", ctes("pay") + ", n AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM pay GROUP BY least(src, dst), greatest(src, dst)) SELECT a, b, round(least(1.0, 0.2 * n), 6) AS exposure, round(0.3 * least(1.0, 0.2 * n), 6) AS impact FROM n")
+def sc_22(t):
+    n = t.pay.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
+    e = F.least(F.lit(1.0), 0.2 * c("n"))
+    return n.select("a", "b", R(e).alias("exposure"), R(0.3 * e).alias("impact"))
+
+
+@query("sc_23_case_type", ctes("event") + ", s AS (SELECT entity, list(DISTINCT type) AS k FROM event GROUP BY entity) SELECT entity, CASE WHEN list_has_any(k, ['error']) AND list_has_any(k, ['purchase']) THEN 'fraud' WHEN list_has_any(k, ['signup']) THEN 'identity' ELSE 'other' END AS kind FROM s")
+def sc_23(t):
+    s = t.event.groupBy("entity").agg(F.collect_set("type").alias("k"))
+    has = lambda x: F.arrays_overlap("k", F.array(F.lit(x)))
+    return s.select("entity", F.when(has("error") & has("purchase"), "fraud").when(has("signup"), "identity").otherwise("other").alias("kind"))
+
+
+@query("sc_25_proxy_labels", ctes("directs") + "SELECT DISTINCT person, company FROM directs WHERE to_date IS NOT NULL AND from_date >= DATE '1996-01-01' AND to_date - DATE '1996-01-01' < 730")
+def sc_25(t):
+    return t.directs.where("to_date IS NOT NULL AND from_date >= DATE '1996-01-01' AND datediff(to_date, DATE '1996-01-01') < 730").select("person", "company").distinct()
+
+
+@query("sc_26_timeline_severity", ctes("txn", "event") + "SELECT id, 'txn' AS source, CASE WHEN amount >= 400000 THEN 'high' WHEN amount >= 150000 THEN 'medium' ELSE 'low' END AS severity FROM txn UNION ALL SELECT id, 'event', CASE type WHEN 'error' THEN 'high' ELSE 'low' END FROM event")
+def sc_26(t):
+    a = t.txn.select("id", F.lit("txn").alias("source"), F.when(c("amount") >= 400000, "high").when(c("amount") >= 150000, "medium").otherwise("low").alias("severity"))
+    return a.unionByName(t.event.select("id", F.lit("event").alias("source"), F.when(c("type") == "error", "high").otherwise("low").alias("severity")))
+
+
+@query("sc_27_cash_report", ctes("txn") + "SELECT id, sender, CAST(ts AS DATE) AS day, CAST(amount AS DOUBLE) AS amount FROM txn WHERE kind = 'cash_deposit' AND amount >= 150000")
+def sc_27(t):
+    return t.txn.where("kind = 'cash_deposit' AND amount >= 150000").select("id", "sender", F.to_date("ts").alias("day"), c("amount").cast("double").alias("amount"))
+
+
+@query("sf_46_failure_rate", "SELECT p_partkey, CASE WHEN CAST(40 + p_size AS VARCHAR) IN ('55','56','47','43') THEN 0.08 WHEN CAST(40 + p_size AS VARCHAR) IN ('70','82','64') THEN 0.05 ELSE 0.03 END AS rate FROM part")
+def sf_46(t):
+    return t.part.select("p_partkey", op.failure_rate((40 + c("p_size")).cast("string")).alias("rate"))
