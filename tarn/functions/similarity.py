@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _jaro_winkler(a: str, b: str) -> float:
@@ -23,7 +24,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     if not mine:
         return 0.0
     theirs = [ch for ch, f in zip(b, free, strict=True) if not f]
-    m, swaps = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    m, swaps = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):
@@ -33,7 +34,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_winkler(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
@@ -43,7 +44,7 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return _jw(F.lower(a), F.lower(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 

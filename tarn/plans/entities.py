@@ -1 +1,313 @@
-"""Queries."""
+"""Identifier, name and resolution queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import addresses as ad
+from ..functions import identifiers as idn
+from ..functions import names as nm
+from ..functions import similarity as sim
+from ..operators import graph
+from ..operators import resolution as op
+from .views import query
+
+c = F.col
+LUHN = "(10 - list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(s[i] AS INT) * 2 > 9 THEN CAST(s[i] AS INT) * 2 - 9 ELSE CAST(s[i] AS INT) * 2 END ELSE CAST(s[i] AS INT) END for i in range(1, len(s) + 1)]) % 10) % 10"
+NINE = "n AS (SELECT c_custkey AS id, lpad(CAST(550000000 + c_custkey * 7919 AS VARCHAR), 9, '0') AS s FROM customer)"
+
+
+def nine(t):
+    return t.customer.select(c("c_custkey").alias("id"), F.lpad((550000000 + c("c_custkey") * 7919).cast("string"), 9, "0").alias("s"))
+
+
+@query("sf_10_luhn", f"WITH {NINE} SELECT id, CAST({LUHN} AS INT) AS digit FROM n")
+def sf_10(t):
+    return nine(t).select("id", idn.luhn(c("s")).alias("digit"))
+
+
+@query("sf_11_organisation_number", f"WITH {NINE}, k AS (SELECT id, s || CASE WHEN id % 3 = 0 THEN CAST((id % 10) AS VARCHAR) ELSE CAST(CAST({LUHN} AS INT) AS VARCHAR) END AS o, CAST({LUHN} AS INT) AS d FROM n) SELECT id, substr(o, 3, 2) >= '20' AND substr(o, 10, 1) = CAST(d AS VARCHAR) AS valid, CASE WHEN substr(o, 3, 2) >= '20' AND substr(o, 10, 1) = CAST(d AS VARCHAR) THEN substr(o, 1, 6) || '-' || substr(o, 7) END AS shown FROM k")
+def sf_11(t):
+    last = F.when(c("id") % 3 == 0, (c("id") % 10).cast("string")).otherwise(idn.luhn(c("s")).cast("string"))
+    x = nine(t).select("id", idn.organisation_number(F.concat("s", last)).alias("o"))
+    return x.select("id", "o.valid", idn.format_orgnr(c("o.number")).alias("shown"))
+
+
+PERSON = "n AS (SELECT c_custkey AS id, '19' || lpad(CAST(30 + c_custkey % 60 AS VARCHAR), 2, '0') || lpad(CAST(1 + c_custkey % 12 AS VARCHAR), 2, '0') || lpad(CAST(1 + c_custkey % 31 + CASE WHEN c_custkey % 4 = 0 THEN 60 ELSE 0 END AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS y FROM customer), m AS (SELECT id, y, substr(y, 3) AS s FROM n)"
+
+
+@query("sf_12_personal_number", f"WITH {PERSON}, k AS (SELECT id, y, {LUHN} AS d, CAST(substr(y, 7, 2) AS INT) AS day FROM m), b AS (SELECT id, y, day > 60 AS co, try_cast(substr(y, 1, 4) || '-' || substr(y, 5, 2) || '-' || lpad(CAST(CASE WHEN day > 60 THEN day - 60 ELSE day END AS VARCHAR), 2, '0') AS DATE) AS birth FROM k) SELECT id, birth IS NOT NULL AS valid, birth, CASE WHEN birth IS NULL THEN NULL WHEN CAST(substr(y, 11, 1) AS INT) % 2 = 1 THEN 'M' ELSE 'F' END AS gender, CASE WHEN birth IS NOT NULL THEN co END AS coordination FROM b")
+def sf_12(t):
+    k = c("c_custkey")
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    y = F.concat(F.lit("19"), pad(30 + k % 60, 2), pad(1 + k % 12, 2), pad(1 + k % 31 + F.when(k % 4 == 0, 60).otherwise(0), 2), pad(k % 1000, 3))
+    x = t.customer.select(k.alias("id"), y.alias("y")).withColumn("p", F.concat("y", idn.luhn(F.substring("y", 3, 9)).cast("string")))
+    p = x.select("id", idn.personal_number(c("p"), F.to_date(F.lit("2026-01-01"))).alias("p"))
+    return p.select("id", "p.valid", "p.birth", "p.gender", "p.coordination")
+
+
+@query("sf_14_classify", f"WITH {NINE} SELECT id, 'ORG' AS kind FROM n WHERE substr(s, 3, 2) >= '20'")
+def sf_14(t):
+    full = F.concat("s", idn.luhn(c("s")).cast("string"))
+    return nine(t).select("id", idn.classify(full, F.to_date(F.lit("2026-01-01"))).alias("kind")).where("kind = 'ORG'")
+
+
+@query("sf_15_mask", "SELECT c_custkey, repeat('*', length(c_name) - 4) || right(c_name, 4) AS shown FROM customer")
+def sf_15(t):
+    return t.customer.select("c_custkey", idn.mask(c("c_name")).alias("shown"))
+
+
+@query("sf_16_candidate_ids", f"WITH {NINE}, k AS (SELECT id, lpad(CAST(CAST(s AS BIGINT) + j AS VARCHAR), 9, '0') AS s FROM n, (SELECT unnest(range(0, 3)) AS j) WHERE id < 100) SELECT id, s || CAST(CAST({LUHN} AS INT) AS VARCHAR) AS candidate FROM k")
+def sf_16(t):
+    return nine(t).where("id < 100").select("id", F.explode(idn.candidate_ids(c("s"), 3)).alias("candidate"))
+
+
+NAMES = "FROM (SELECT s_suppkey, s_name, lower(n_name) AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) s JOIN customer ON c_custkey % 100 = s_suppkey WHERE c_custkey < 600"
+
+
+def name_pairs(t):
+    s = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "s_name", F.lower("n_name").alias("n_name"))
+    return t.customer.where("c_custkey < 600").join(s, c("c_custkey") % 100 == c("s_suppkey"))
+
+
+@query("sf_01_jaro_winkler", f"SELECT c_custkey, round(jaro_winkler_similarity(lower(s_name), lower(c_name)), 6) AS score {NAMES}")
+def sf_01(t):
+    return name_pairs(t).select("c_custkey", F.round(sim.jaro_winkler(c("s_name"), c("c_name")), 6).alias("score"))
+
+
+@query("sf_02_levenshtein_ratio", f"SELECT c_custkey, round(1 - levenshtein(s_name, c_name) / greatest(length(s_name), length(c_name)), 6) AS score {NAMES}")
+def sf_02(t):
+    return name_pairs(t).select("c_custkey", F.round(sim.levenshtein_ratio(c("s_name"), c("c_name")), 6).alias("score"))
+
+
+@query("sf_03_token_jaccard", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))), 6) AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def sf_03(t):
+    b = t.part.select((c("p_partkey") - 1).alias("k"), c("p_name").alias("other"))
+    return t.part.join(b, c("p_partkey") == c("k")).select(c("p_partkey").alias("a"), (c("k") + 1).alias("b"), F.round(sim.token_jaccard(c("p_name"), c("other")), 6).alias("score"))
+
+
+@query("sf_04_phonetic", "SELECT p_partkey, upper(substr(p_name, 1, 4)) AS k FROM part")
+def sf_04(t):
+    return t.part.select("p_partkey", sim.phonetic(c("p_name")).alias("k"))
+
+
+@query("sf_05_gestalt")
+def sf_05(t):
+    return name_pairs(t).select("c_custkey", F.round(sim.gestalt(c("s_name"), c("c_name")), 6).alias("score"))
+
+
+@query("sf_06_watchlist_score", f"SELECT c_custkey, round(0.6 * (1 - levenshtein(s_name, c_name) / greatest(length(s_name), length(c_name))) + 0.4 * (lower(s_name) = lower(c_name))::INT, 6) AS score {NAMES}")
+def sf_06(t):
+    return name_pairs(t).select("c_custkey", F.round(sim.watchlist_score(c("s_name"), c("c_name")), 6).alias("score"))
+
+
+@query("sf_20_company_name", "SELECT p_partkey, upper(p_name) || ' AB' AS normalized, upper(p_name) AS base FROM part")
+def sf_20(t):
+    x = t.part.select("p_partkey", nm.company_name(F.concat(F.lit("Den "), "p_name", F.lit(", aktiebolag (i likvidation)"))).alias("n"))
+    return x.select("p_partkey", "n.normalized", "n.base")
+
+
+@query("sf_21_name_predicates", "SELECT p_partkey, regexp_matches(lower(p_name), 'ring|bolt') AS hit, array_to_string([upper(x[1]) || substr(x, 2) for x in string_split(p_name, ' ')], ' ') AS title FROM part")
+def sf_21(t):
+    return t.part.select("p_partkey", nm.name_contains(c("p_name"), ["ring", "bolt"]).alias("hit"), F.initcap("p_name").alias("title"))
+
+
+@query("sf_22_person_name", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 40))), '[^a-z\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents WHERE lang IN ('fr', 'es')")
+def sf_22(t):
+    return t.documents.where("lang IN ('fr', 'es')").select("doc_id", nm.person_name(F.substring("text", 1, 40)).alias("name"))
+
+
+@query("sf_23_strip_accents", "SELECT doc_id, strip_accents(substr(text, 1, 80)) AS plain FROM documents WHERE lang = 'fr'")
+def sf_23(t):
+    return t.documents.where("lang = 'fr'").select("doc_id", nm.strip_accents(F.substring("text", 1, 80)).alias("plain"))
+
+
+@query("sf_24_watchlist_name", "SELECT c_custkey, 'customer ' || substr(c_name, 10) AS name FROM customer")
+def sf_24(t):
+    return t.customer.select("c_custkey", nm.watchlist_name(F.concat(F.lit("Mr. "), "c_name")).alias("name"))
+
+
+@query("sf_25_register_name", "SELECT p_partkey, upper(p_name) AS name FROM part")
+def sf_25(t):
+    return t.part.select("p_partkey", nm.register_name(F.concat("p_name", F.lit(" Ltd."))).alias("name"))
+
+
+def written_addresses(t):
+    k = c("c_custkey")
+    street = F.concat(F.lit("Kungsg. "), (1 + k % 90).cast("string"), F.lit(", "))
+    box = F.concat(F.lit("c/o Firma AB, Box "), (100 + k % 50).cast("string"), F.lit(", "))
+    return t.customer.select(k, F.concat(F.when(k % 5 == 0, box).otherwise(street), F.lit("1"), (10 + k % 80).cast("string"), F.lit(" 43 Stockholm")).alias("a"))
+
+
+@query("sf_30_address_parse", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN CAST(100 + c_custkey % 50 AS VARCHAR) END AS box, CASE WHEN c_custkey % 5 <> 0 THEN 'kungsgatan' END AS street, CASE WHEN c_custkey % 5 <> 0 THEN CAST(1 + c_custkey % 90 AS VARCHAR) END AS number, '1' || (10 + c_custkey % 80) || '43' AS postal, c_custkey % 5 = 0 AS virtual FROM customer")
+def sf_30(t):
+    x = written_addresses(t).select("c_custkey", ad.parse(c("a")).alias("p"))
+    return x.select("c_custkey", "p.box", "p.street", "p.number", "p.postal", "p.virtual")
+
+
+@query("sf_31_postal_region", "SELECT c_custkey, CASE c_custkey % 10 WHEN 1 THEN 'Stockholm' WHEN 4 THEN 'Västra Götaland' WHEN 9 THEN 'Norrland' END AS region FROM customer WHERE c_custkey % 10 IN (1, 4, 9)")
+def sf_31(t):
+    code = ad.postal_code(F.concat((c("c_custkey") % 10).cast("string"), F.lit("11 43")))
+    return t.customer.where("c_custkey % 10 IN (1, 4, 9)").select("c_custkey", ad.region(code).alias("region"))
+
+
+@query("sf_32_address_equality", "SELECT c_custkey, c_custkey % 5 <> 0 AND c_custkey % 90 = 11 AND c_custkey % 80 = 1 AS same FROM customer")
+def sf_32(t):
+    return written_addresses(t).select("c_custkey", ad.same(c("a"), F.lit("Kungsgatan 12, 111 43 Stockholm")).alias("same"))
+
+
+KEY = "'1' || (10 + c_custkey % 80) || '43-' || CASE WHEN c_custkey % 5 = 0 THEN 'box' || (100 + c_custkey % 50) ELSE 'kungsgatan ' || (1 + c_custkey % 90) END"
+
+
+@query("sf_33_cluster_key", f"SELECT c_custkey, {KEY} AS k FROM customer")
+def sf_33(t):
+    return written_addresses(t).select("c_custkey", ad.cluster_key(ad.parse(c("a"))).alias("k"))
+
+
+@query("sf_34_address_clusters", f"SELECT {KEY} AS k, count(*) AS n FROM customer GROUP BY k HAVING count(*) > 1")
+def sf_34(t):
+    return written_addresses(t).groupBy(ad.cluster_key(ad.parse(c("a"))).alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("sf_40_blind_index")
+def sf_40(t):
+    return t.customer.select("c_custkey", idn.blind_index(c("c_name"), b"test key").alias("digest"))
+
+
+@query("sf_41_anonymous_name", "SELECT c_custkey, 'ANON-' || substr(sha256('s' || c_name), 1, 16) AS name FROM customer")
+def sf_41(t):
+    return t.customer.select("c_custkey", idn.anonymous_name(c("c_name"), "s").alias("name"))
+
+
+@query("sf_42_date_parse", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey < 2000")
+def sf_42(t):
+    month = F.element_at(F.array(*[F.lit(m) for m in nm.MONTHS]), F.month("o_orderdate"))
+    swedish = F.concat_ws(" ", F.day("o_orderdate").cast("string"), month, F.year("o_orderdate").cast("string"))
+    written = F.when(c("o_orderkey") % 2 == 0, swedish).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t.orders.where("o_orderkey < 2000").select("o_orderkey", nm.date_of(written).alias("day"))
+
+
+@query("sf_43_elapsed_days", "SELECT event_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 12:00:00')) / 86400000000) AS BIGINT) AS days FROM events")
+def sf_43(t):
+    from ..operators.sequences import elapsed_days
+
+    return t.events.select("event_id", elapsed_days(F.lit("2024-01-10 12:00:00").cast("timestamp"), c("ts")).alias("days"))
+
+
+@query("sf_44_roles", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'jewel' WHEN contains(p_name, 'bolt') THEN 'part' END AS kind FROM part")
+def sf_44(t):
+    return t.part.select("p_partkey", nm.role_of(c("p_name"), [("ring", "jewel"), ("bolt", "part")]).alias("kind"))
+
+
+@query("sf_45_json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def sf_45(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+MENTION = "m AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS identifier, CAST(c_custkey % 7 AS INT) AS year, lpad(CAST(c_custkey % 300 AS VARCHAR), 5, '1') AS postal FROM customer WHERE c_custkey < 150), e AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey AS VARCHAR) AS identifier, CAST(s_suppkey % 7 AS INT) AS year, lpad(CAST(s_suppkey % 300 AS VARCHAR), 5, '1') AS postal FROM supplier)"
+
+
+def mentions(t):
+    k = c("c_custkey")
+    m = t.customer.where("c_custkey < 150").select(k.alias("id"), c("c_name").alias("name"), F.when(k % 4 == 0, k.cast("string")).alias("identifier"), (k % 7).cast("int").alias("year"), F.lpad((k % 300).cast("string"), 5, "1").alias("postal"), c("c_mktsegment").alias("city"))
+    s = c("s_suppkey")
+    e = t.supplier.select(s.alias("id"), F.col("s_name").alias("name"), s.cast("string").alias("identifier"), (s % 7).cast("int").alias("year"), F.lpad((s % 300).cast("string"), 5, "1").alias("postal"), F.lit(None).cast("string").alias("city"))
+    return m, e
+
+
+HITS = f"WITH {MENTION}, h AS (SELECT m.id AS mention, e.id AS candidate, 0 AS tier FROM m JOIN e ON m.identifier = e.identifier UNION SELECT m.id, e.id, 1 FROM m JOIN e ON upper(substr(m.name, 1, 4)) = upper(substr(e.name, 1, 4)) UNION SELECT m.id, e.id, 1 FROM m JOIN e ON substr(m.postal, 1, 3) = substr(e.postal, 1, 3)), b AS (SELECT mention, min(tier) AS best FROM h GROUP BY mention), p AS (SELECT DISTINCT h.mention, candidate FROM h JOIN b ON b.mention = h.mention AND tier = best) "
+
+
+@query("er_01_block_keys", f"WITH {MENTION} SELECT id, 0 AS tier, 'id:' || identifier AS key FROM m WHERE identifier IS NOT NULL UNION SELECT id, 1, 'ph:' || upper(substr(name, 1, 4)) FROM m UNION SELECT id, 1, 'py:' || upper(substr(name, 1, 4)) || '_' || year FROM m UNION SELECT id, 1, 'po:' || substr(postal, 1, 3) FROM m UNION SELECT id, 2, 'tk:' || upper(name) FROM m")
+def er_01(t):
+    return op.block_keys(mentions(t)[0])
+
+
+@query("er_02_candidates", HITS + "SELECT mention, candidate FROM p")
+def er_02(t):
+    return op.candidate_pairs(*mentions(t))
+
+
+SCORE = """, s AS (SELECT mention, candidate, round(CASE WHEN m.identifier = e.identifier THEN 0.99 ELSE (4 * jaro_winkler_similarity(lower(m.name), lower(e.name)) + 2 * (lower(m.name) = lower(e.name))::INT + 2 * (1 - levenshtein(lower(m.name), lower(e.name)) / greatest(length(m.name), length(e.name))) + 2 * (m.year = e.year)::INT + (m.postal = e.postal)::INT) / 11 END, 6) AS score
+FROM p JOIN m ON m.id = mention JOIN e ON e.id = candidate) """
+
+
+@query("er_03_pair_scores", HITS + SCORE + "SELECT * FROM s")
+def er_03(t):
+    m, e = mentions(t)
+    return op.compare(op.candidate_pairs(m, e), m, e)
+
+
+@query("er_05_decisions", HITS + SCORE + ", k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, candidate) AS k FROM s) SELECT m.id AS mention, CASE WHEN score >= 0.95 THEN 'AUTO_MATCH' WHEN score >= 0.6 THEN 'REVIEW' ELSE 'NEW_ENTITY' END AS decision, coalesce(score, 1.0) AS score FROM m LEFT JOIN k ON k.mention = m.id AND k.k = 1")
+def er_05(t):
+    m, e = mentions(t)
+    return op.decide(m, op.compare(op.candidate_pairs(m, e), m, e)).select("mention", "decision", "score")
+
+
+@query("er_06_batch_stats", HITS + SCORE + ", k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, candidate) AS k FROM s) SELECT CASE WHEN score >= 0.95 THEN 'AUTO_MATCH' WHEN score >= 0.6 THEN 'REVIEW' ELSE 'NEW_ENTITY' END AS decision, count(*) AS n FROM m LEFT JOIN k ON k.mention = m.id AND k.k = 1 GROUP BY decision")
+def er_06(t):
+    m, e = mentions(t)
+    return op.decide(m, op.compare(op.candidate_pairs(m, e), m, e)).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query("er_07_clusters")
+def er_07(t):
+    m, e = mentions(t)
+    links = op.compare(op.candidate_pairs(m, e), m, e).where("score >= 0.6").select(c("mention").alias("src"), (c("candidate") + 1_000_000).alias("dst"))
+    every = m.select("id", "name").unionByName(e.select((c("id") + 1_000_000).alias("id"), "name"))
+    x = every.join(graph.components(links), c("id") == c("node")).select("component", "id", "name")
+    return op.cluster_names(x)
+
+
+@query("er_08_merge_attributes", "SELECT c_nationkey, arg_min(c_name, c_custkey) FILTER (WHERE c_acctbal > 0) AS name, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS segments FROM customer GROUP BY c_nationkey")
+def er_08(t):
+    rows = t.customer.select("c_nationkey", "c_custkey", F.when(c("c_acctbal") > 0, c("c_name")).alias("name"), F.array("c_mktsegment").alias("segments"))
+    x = op.merge_attributes(rows, "c_nationkey", "c_custkey", ["name"], ["segments"])
+    return x.select("c_nationkey", "name", F.array_join("segments", ",").alias("segments"))
+
+
+@query("er_09_exact_resolve", f"WITH {MENTION} SELECT m.id, coalesce('e' || e.id, 'new-' || substr(sha256(m.identifier), 1, 12)) AS entity, e.id IS NULL AS created FROM m LEFT JOIN e ON e.identifier = m.identifier WHERE m.identifier IS NOT NULL")
+def er_09(t):
+    m, e = mentions(t)
+    known = e.select("identifier", F.concat(F.lit("e"), c("id").cast("string")).alias("entity"))
+    return op.resolve_exact(m.where("identifier IS NOT NULL"), known)
+
+
+@query("er_10_legacy_matcher")
+def er_10(t):
+    x = name_pairs(t).select("c_custkey", "s_suppkey", F.round(sim.gestalt(c("s_name"), c("c_name")), 6).alias("score"))
+    return x.where("score >= 0.5").withColumn("match", c("score") >= 0.85)
+
+
+WATCH = "q AS (SELECT c_custkey AS id, lower(c_name) AS n, c_custkey % 3 AS born FROM customer WHERE c_custkey < 300), w AS (SELECT s_suppkey AS id, replace(lower(s_name), 'supplier', 'customer') AS n, lower(s_name) AS a, s_suppkey % 3 AS born FROM supplier)"
+
+
+@query("er_11_watchlist", f"WITH {WATCH}, x AS (SELECT q.id AS query, w.id AS entry, 'exact' AS match, 1.0 AS score, 1 AS r FROM q JOIN w ON q.n = w.n UNION ALL SELECT q.id, w.id, 'fuzzy', 0.6 * (1 - levenshtein(q.n, w.n) / 18) * CASE WHEN q.born <> w.born THEN 0.5 ELSE 1 END, 3 FROM q JOIN w ON q.n <> w.n AND 0.6 * (1 - levenshtein(q.n, w.n) / 18) >= 0.55) SELECT query, entry, match, round(score, 6) AS score FROM x")
+def er_11(t):
+    q = t.customer.where("c_custkey < 300").select(c("c_custkey").alias("id"), c("c_name").alias("name"), F.lit(None).cast("string").alias("identifier"), (c("c_custkey") % 3).alias("born"))
+    w = t.supplier.select(c("s_suppkey").alias("id"), F.regexp_replace("s_name", "Supplier", "Customer").alias("name"), c("s_name").alias("alias"), F.lit("none").alias("identifier"), (c("s_suppkey") % 3).alias("born"))
+    return op.screen(q, w, least=0.55)
+
+
+@query("jn_13_watchlist_screening", f"WITH {WATCH} SELECT q.id AS query, w.id AS entry FROM q JOIN w ON q.n = w.n")
+def jn_13(t):
+    return er_11(t).where("match = 'exact'").select("query", "entry")
+
+
+@query("er_12_merge_redirects", "WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 AND c_custkey > 0 THEN c_custkey - 1 END AS m FROM customer), w AS (SELECT id, id AS now FROM e UNION ALL SELECT w.id, e.m FROM w JOIN e ON e.id = w.now WHERE e.m IS NOT NULL) SELECT id, min(now) AS final FROM w GROUP BY id")
+def er_12(t):
+    k = c("c_custkey")
+    return op.follow_merges(t.customer.select(k.alias("id"), F.when((k % 5 != 0) & (k > 0), k - 1).alias("merged_into")))
+
+
+@query("er_13_relationship_extraction", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'DIRECTS' WHEN 'A' THEN 'OWNS' ELSE 'AUDITS' END AS relation, CASE WHEN l_linestatus = 'F' THEN 0.95 ELSE 0.7 END AS confidence FROM lineitem WHERE l_quantity > 45")
+def er_13(t):
+    kind = F.when(c("l_returnflag") == "R", "DIRECTS").when(c("l_returnflag") == "A", "OWNS").otherwise("AUDITS")
+    return t.lineitem.where("l_quantity > 45").select("l_orderkey", "l_linenumber", kind.alias("relation"), F.when(c("l_linestatus") == "F", 0.95).otherwise(0.7).alias("confidence"))
+
+
+@query("spec_03_resolution_accuracy", "WITH p AS (SELECT doc_id, n_chars > 2500 AS said FROM documents), j AS (SELECT said, quality = 1 AS truth FROM p JOIN labels l ON l.doc_id = p.doc_id) SELECT round(count(*) FILTER (WHERE NOT said AND NOT truth) / count(*) FILTER (WHERE NOT truth), 6) AS specificity, round(count(*) FILTER (WHERE said AND truth) / count(*) FILTER (WHERE truth), 6) AS sensitivity FROM j")
+def spec_03(t):
+    said, truth = c("n_chars") > 2500, c("quality") == 1
+    j = t.documents.join(t.labels, "doc_id")
+    return j.agg(F.round(F.try_divide(F.count_if(~said & ~truth), F.count_if(~truth)), 6).alias("specificity"), F.round(F.try_divide(F.count_if(said & truth), F.count_if(truth)), 6).alias("sensitivity"))
