@@ -1 +1,90 @@
-"""Queries."""
+"""Text queries over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import text as op
+from .views import query
+
+c = F.col
+FEAR, URGE = ["risk", "hand", "erth"], ["now", "the", "enly", "sist"]
+VOCABULARY = {"the": ("article", "low"), "of": ("article", "medium"), "der": ("article", "high"), "los": ("article", "low")}
+
+
+def hits(words, column="text"):
+    return "(" + " + ".join(f"CAST(contains(lower({column}), '{w}') AS INT)" for w in words) + ")"
+
+
+def score(words):
+    return f"least(1.0, 2 * ln({hits(words)} + 1) / ln({len(words) + 1}))"
+
+
+@query("tx_01_extract", r"SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS value FROM documents")
+def tx_01(t):
+    return op.extract(t.documents, F.to_date(F.lit("2026-01-01")), ["email"])
+
+
+@query("tx_02_spans")
+def tx_02(t):
+    return op.spans(t.documents)
+
+
+@query("tx_04_sentiment", f"SELECT doc_id, round({score(FEAR)}, 6) AS fear, round({score(URGE)}, 6) AS urgency, round(coalesce(({hits(FEAR)} - {hits(URGE)}) / nullif({hits(FEAR)} + {hits(URGE)}, 0), 0), 6) AS polarity FROM documents")
+def tx_04(t):
+    x = c("text")
+    return t.documents.select("doc_id", F.round(op.keyword_score(x, FEAR), 6).alias("fear"), F.round(op.keyword_score(x, URGE), 6).alias("urgency"), F.round(op.polarity(x, FEAR, URGE), 6).alias("polarity"))
+
+
+@query("tx_05_vocabulary")
+def tx_05(t):
+    return op.vocabulary_matches(t.documents, VOCABULARY)
+
+
+@query("tx_06_threat_risk", f"SELECT doc_id, round(least(1.0, (list_reverse_sort([CASE WHEN {hits(FEAR)} > 1 THEN 1.0 ELSE 0.2 END, CASE WHEN {hits(URGE)} > 1 THEN 0.5 ELSE 0.2 END])[1] + list_reverse_sort([CASE WHEN {hits(FEAR)} > 1 THEN 1.0 ELSE 0.2 END, CASE WHEN {hits(URGE)} > 1 THEN 0.5 ELSE 0.2 END])[2] / 2) / 3), 6) AS risk FROM documents")
+def tx_06(t):
+    x = c("text")
+    levels = F.array(F.when(op.keyword_hits(x, FEAR) > 1, "high").otherwise("low"), F.when(op.keyword_hits(x, URGE) > 1, "medium").otherwise("low"))
+    return t.documents.select("doc_id", F.round(op.threat_risk(levels), 6).alias("risk"))
+
+
+@query("tx_07_combined_risk", f"SELECT doc_id, round(({score(FEAR)} + {score(URGE)}) / 2, 6) AS risk, {score(FEAR)} > 0.9 AS flag FROM documents")
+def tx_07(t):
+    f, u = op.keyword_score(c("text"), FEAR), op.keyword_score(c("text"), URGE)
+    return t.documents.select("doc_id", F.round((f + u) / 2, 6).alias("risk"), (f > 0.9).alias("flag"))
+
+
+@query("tx_08_summary")
+def tx_08(t):
+    return t.documents.select("doc_id", op.summary(c("text"), 30).alias("summary"))
+
+
+@query("tx_09_roles_near_names")
+def tx_09(t):
+    return op.roles_near_names(t.documents.where("lang = 'en'"), ["the", "of"])
+
+
+@query("tx_10_tagged_fields", "SELECT page_id AS doc_id, CAST(0 AS INT) AS at, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages WHERE html LIKE '%<title>%'")
+def tx_10(t):
+    return op.tagged_fields(t.pages, ["title"], "page_id", "html")
+
+
+@query("tx_11_relations", r"SELECT DISTINCT doc_id, 'of' AS relation, p[1] AS subject, p[2] AS object, round(0.5 + CASE WHEN length(p[1]) > 5 THEN 0.1 ELSE 0 END + CASE WHEN length(p[2]) > 5 THEN 0.1 ELSE 0 END, 6) AS confidence FROM (SELECT doc_id, unnest([[regexp_extract(m, '([a-z]+) of ([a-z]+)', 1), regexp_extract(m, '([a-z]+) of ([a-z]+)', 2)] for m in regexp_extract_all(text, '[a-z]+ of [a-z]+')]) AS p FROM documents)")
+def tx_11(t):
+    return op.relations(t.documents, {"of": "([a-z]+) of ([a-z]+)"})
+
+
+@query("tx_12_language")
+def tx_12(t):
+    x = op.language(c("text"), {"en": ["the", "of", "and"], "de": ["der", "und", "die"], "fr": ["le", "et", "les"], "es": ["el", "los", "que"]}, "en")
+    return t.documents.select("doc_id", x.alias("lang"))
+
+
+@query("tx_13_justification", r"SELECT conv_id, turn, length(trim(text)) >= 10 AND len(list_distinct(string_split(replace(lower(trim(text)), ' ', ''), ''))) >= 3 AND len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: length(w) >= 3)) >= 2 AND NOT regexp_matches(replace(lower(trim(text)), ' ', ''), '^([asdfghjkl]+|[qwertyuiop]+|[zxcvbnm]+|[0-9]+)$') AS ok FROM conversations")
+def tx_13(t):
+    return t.conversations.select("conv_id", "turn", op.justified(c("text")).alias("ok"))
+
+
+@query("src_08_html_text", r"SELECT page_id, length(html) > 0 AS has FROM pages")
+def src_08(t):
+    return t.pages.select("page_id", (F.length(op.html_text(c("html"))) > 0).alias("has"))
