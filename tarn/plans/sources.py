@@ -1 +1,86 @@
-"""Queries."""
+"""Source and sink queries over the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import readers, sinks
+from .views import query
+
+c = F.col
+OLD = "old AS (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 3 = 0), new AS (SELECT p_partkey % 500 AS k, p_type AS v, p_partkey AS seq FROM part WHERE p_partkey % 2 = 0)"
+
+
+def old(t):
+    return t.part.where("p_partkey % 3 = 0").select(c("p_partkey").alias("k"), c("p_brand").alias("v"))
+
+
+def new(t):
+    return t.part.where("p_partkey % 2 = 0").select((c("p_partkey") % 500).alias("k"), c("p_type").alias("v"), c("p_partkey").alias("seq"))
+
+
+@query("src_05_incremental", "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def src_05(t):
+    return readers.changed_since(t.events, "ts", F.lit("2024-01-20").cast("timestamp")).select("event_id", "event_type")
+
+
+@query("src_11_flat_company", "SELECT CAST(p_partkey AS VARCHAR) AS orgnr, p_name AS name, p_brand AS form, DATE '2020-01-02' AS registered, 'Gatan ' || p_size || ', 11122 Stockholm' AS address, p_size > 40 AS removed FROM part")
+def src_11(t):
+    removed = F.when(c("p_size") > 40, F.struct(F.lit("2021-01-01").alias("datum")))
+    doc = F.to_json(F.struct(F.struct(c("p_partkey").cast("string").alias("identitetsbeteckning")).alias("identitet"), F.array(F.struct(c("p_name").alias("namn"))).alias("namn"), F.struct(c("p_brand").alias("kod")).alias("organisationsform"), F.lit("2020-01-02").alias("registreringsdatum"), F.struct(F.concat(F.lit("Gatan "), c("p_size").cast("string")).alias("utdelningsadress"), F.lit("11122").alias("postnummer"), F.lit("Stockholm").alias("postort")).alias("adress"), removed.alias("avregistrering")))
+    return readers.flat_company(t.part.select(doc.alias("doc")), "doc")
+
+
+@query("src_13_registry_company", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status, CASE WHEN c_acctbal > 5000 THEN 'large' WHEN c_acctbal > 1000 THEN 'medium' ELSE 'small' END AS size_class, c_mktsegment || ':' || c_nationkey AS address_key FROM customer")
+def src_13(t):
+    size = F.when(c("c_acctbal") > 5000, "large").when(c("c_acctbal") > 1000, "medium").otherwise("small")
+    return t.customer.select("c_custkey", F.when(c("c_acctbal") < 0, "inactive").otherwise("active").alias("status"), size.alias("size_class"), F.concat_ws(":", "c_mktsegment", c("c_nationkey").cast("string")).alias("address_key"))
+
+
+@query("snk_01_insert_or_ignore", f"WITH {OLD}, f AS (SELECT k, arg_min(v, seq) AS v FROM new GROUP BY k) SELECT k, v FROM old UNION ALL SELECT k, v FROM f WHERE k NOT IN (SELECT k FROM old)")
+def snk_01(t):
+    return sinks.insert_or_ignore(old(t), new(t), ["k"], "seq")
+
+
+@query("snk_02_insert_or_replace", f"WITH {OLD}, f AS (SELECT k, arg_max(v, seq) AS v FROM new GROUP BY k) SELECT coalesce(f.k, old.k) AS k, CASE WHEN f.k IS NULL THEN old.v ELSE f.v END AS v FROM old FULL JOIN f ON f.k = old.k")
+def snk_02(t):
+    return sinks.insert_or_replace(old(t), new(t), ["k"], "seq")
+
+
+@query("snk_03_count_upsert", f"WITH {OLD}, f AS (SELECT k, count(*) AS n, arg_max(v, seq) AS v FROM new GROUP BY k) SELECT coalesce(f.k, old.k) AS k, CAST(CASE WHEN old.k IS NULL THEN 0 ELSE 1 END + coalesce(n, 0) AS BIGINT) AS attempts, coalesce(f.v, old.v) AS v FROM old FULL JOIN f ON f.k = old.k")
+def snk_03(t):
+    return sinks.count_upsert(old(t).withColumn("attempts", F.lit(1)), new(t), "k", "seq", "v")
+
+
+@query("snk_04_coalesce_merge", f"WITH {OLD}, f AS (SELECT k, CASE WHEN k % 5 <> 0 THEN arg_max(v, seq) END AS v FROM new GROUP BY k) SELECT coalesce(f.k, old.k) AS k, coalesce(f.v, old.v) AS v, CASE WHEN f.k IS NULL THEN 'old' WHEN old.k IS NULL THEN 'new' ELSE 'both' END AS source FROM old FULL JOIN f ON f.k = old.k")
+def snk_04(t):
+    last = new(t).groupBy("k").agg(F.max_by("v", "seq").alias("v")).select("k", F.when(c("k") % 5 != 0, c("v")).alias("v"))
+    return sinks.coalesce_merge(old(t), last, "k", ["v"])
+
+
+@query("snk_06_nested_export", "SELECT o_orderkey, CAST(count(l_orderkey) AS INT) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def snk_06(t):
+    lines = t.lineitem.select(c("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    x = sinks.nested(t.orders.select("o_orderkey"), lines, "o_orderkey", "lines")
+    return x.select("o_orderkey", F.coalesce(F.array_size("lines"), F.lit(0)).alias("lines"))
+
+
+@query("snk_08_replace_by_prefix", "SELECT p_partkey, p_name FROM part WHERE NOT starts_with(p_name, 'red') UNION ALL SELECT p_partkey, 'red new' FROM part WHERE p_partkey < 10")
+def snk_08(t):
+    fresh = t.part.where("p_partkey < 10").select("p_partkey", F.lit("red new").alias("p_name"))
+    return sinks.replace_by_prefix(t.part.select("p_partkey", "p_name"), fresh, "p_name", "red")
+
+
+@query("snk_09_job_stats", "SELECT event_type AS stage, CASE WHEN value < 5 THEN 'failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY stage, status")
+def snk_09(t):
+    jobs = t.events.select(c("event_id").alias("job"), c("event_type").alias("stage"), F.lit("pending").alias("status"), F.lit(2).alias("retries"))
+    done = t.events.select(c("event_id").alias("job"), c("ts").alias("at"), (c("value") >= 5).alias("ok"))
+    return sinks.job_states(jobs, done).groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+@query("st_05_incremental_recompute", "WITH ch AS (SELECT DISTINCT user_id FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00') SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE user_id IN (SELECT user_id FROM ch) GROUP BY user_id")
+def st_05(t):
+    from ..streaming.streams import recompute_changed
+
+    changed = t.events.where(c("ts") > F.lit("2024-01-29").cast("timestamp")).select("user_id")
+    return recompute_changed(t.events, changed, "user_id", lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
