@@ -44,8 +44,8 @@ def dedupe_stream(alerts: DataFrame, keys: list[str], late: str = "1 day") -> Da
     return alerts.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def lockout_stream(attempts: DataFrame, most: int = 5, window_s: int = 900) -> DataFrame:
-    """(key, failures, blocked) after each batch: failures of the last `window_s` seconds, cleared by a success."""
+def lockout_stream(attempts: DataFrame, most: int = 5, window_s: int = 900, late: str = "10 minutes") -> DataFrame:
+    """(key, failures, blocked) after each batch: failures of the last `window_s` seconds, cleared by a success. A key is forgotten when the watermark is past its window."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
@@ -56,10 +56,10 @@ def lockout_stream(attempts: DataFrame, most: int = 5, window_s: int = 900) -> D
             for at, ok in sorted(zip(pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6, pdf["ok"], strict=True)):
                 times = [] if ok else [x for x in times if x > at - window_s] + [float(at)]
         state.update((times,))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(max(int((max(times, default=0) + window_s) * 1000), state.getCurrentWatermarkMs() + 1000))
         yield pd.DataFrame({"key": [key[0]], "failures": [len(times)], "blocked": [len(times) >= most]})
 
-    return attempts.groupBy("key").applyInPandasWithState(step, "key string, failures long, blocked boolean", "times array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return attempts.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key string, failures long, blocked boolean", "times array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
