@@ -32,7 +32,7 @@ PARAGRAPH = "(?<=\\n)|(?<=[.!?][ \\t])"
 
 def paragraphs(text: Column) -> Column:
     """The pieces of a text; they join to the text again. An empty or null text has none."""
-    return F.when(F.length(text) > 0, F.split(text, PARAGRAPH)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, F.array_remove(F.split(text, PARAGRAPH), "")).otherwise(F.array().cast("array<string>"))
 
 
 def _low(x: Column, mask: int) -> Column:
