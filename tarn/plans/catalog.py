@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entities, filters, graphs, scoring, sequences, sources, tables, texts  # noqa: F401
+from . import detectors, entities, filters, graphs, scoring, sequences, sources, tables, texts  # noqa: F401
 from .views import REGISTRY, SQL
 
 QUERIES = REGISTRY

@@ -92,3 +92,28 @@ def test_state_and_stages(spark, tmp_path):
     q = streams.staged(t, [("all", lambda df: df), ("good", flaky)], lambda name, df, n: seen.append((name, df.count())), str(tmp_path / "c2"))
     q.awaitTermination()
     assert seen == [("all", 7), ("good", 1)]
+
+
+def page_of(page, options):
+    return [(page * 2 + k, f"row {page}") for k in range(2)]
+
+
+def test_paged_source(spark):
+    from tarn.sources.paged import PagedSource
+
+    spark.dataSource.register(PagedSource)
+    df = spark.read.format("paged").option("fetcher", "tests.test_io_and_streams:page_of").option("pages", 3).schema("id long, name string").load()
+    assert sorted(r.id for r in df.collect()) == list(range(6))
+
+
+def test_detector_registry(spark):
+    from tarn.plans.detectors import Detector, Registry
+
+    r = Registry([Detector("x", "low", "t", lambda t: t, ["a"])])
+    r.add(Detector("y", "high", "u", lambda t: t, ["a", "b"]))
+    df = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    assert r.run(df).count() == 4
+    r.disable("x")
+    assert {tuple(row.entity_ids) for row in r.run(df).collect()} == {("1", "2"), ("3", "4")}
+    assert [d.name for d in r.by_typology("t")] == ["x"]
+    assert r.check(df, spark.createDataFrame([("4",)], "entity string")).count() == 1
