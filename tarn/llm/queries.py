@@ -34,7 +34,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "similarity")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,26 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
 FROM documents LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": OP4}
+#: Every window that is aligned on a shared shingle, compared as multisets; the best of each item and document, the first of equals.
+OP2 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+ds AS (SELECT doc_id, len(ws) AS n, i AS pos, array_to_string(ws[i + 1:i + 5], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)),
+bs AS (SELECT item_id, len(ws) AS n, i AS off, array_to_string(ws[i + 1:i + 5], ' ') AS sh FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM b WHERE len(ws) >= 5)),
+st AS (SELECT DISTINCT doc_id, item_id, bs.n, pos - off AS s FROM ds JOIN bs ON ds.sh = bs.sh WHERE pos >= off AND pos - off + bs.n <= ds.n),
+cw AS (SELECT st.doc_id, item_id, st.n, s, sh, count(*) AS c FROM st JOIN ds ON ds.doc_id = st.doc_id AND pos >= s AND pos <= s + st.n - 5 GROUP BY ALL),
+ci AS (SELECT item_id, sh, count(*) AS c FROM bs GROUP BY ALL),
+sim AS (SELECT doc_id, cw.item_id, n - 4 AS m, s, sum(least(cw.c, ci.c)) AS k FROM cw JOIN ci ON ci.item_id = cw.item_id AND ci.sh = cw.sh GROUP BY ALL),
+top AS (SELECT doc_id, item_id, s, CAST(k AS DOUBLE) / CAST(2 * m - k AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, s) AS r FROM sim)
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, similarity FROM top WHERE r = 1 AND similarity >= 0.75
+"""
+
+#: Base32 by groups of five hexadecimal digits, which are four letters each.
+OP9 = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 5 * (j // 4) + 1, 5))::INT >> (15 - 5 * (j % 4))) % 32 + 1, 1) for j in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM m
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op4_jaccard_join": OP4, "op9_warc": OP9}

@@ -59,7 +59,7 @@ def _refine(rows: DataFrame, key: str, cuts: dict[int, int], bins: int) -> dict[
     return found
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1 / 64, bins: int = 256, slot_bins: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1 / 16, bins: int = 256, slot_bins: int = 256) -> DataFrame:
     """Per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     size is the text's UTF-8 bytes plus 1, for a null text 1; its crc32 is that of the empty text. Equal texts share a shard unless
