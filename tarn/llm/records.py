@@ -17,7 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ._cluster import durable, new_dir, ready
 from ._files import NewFile, opened
-from ._words import text_buffers
+from ._words import steps
 
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -52,9 +52,9 @@ def frame(doc_id: int | None, tokens: np.ndarray, width: int) -> bytes:
 
 
 class Encoder:
-    """Token ids of texts. by_word: encode white-space-separated words one by one and remember them.
+    """Token ids of texts. by_word: encode white-space-separated words one by one and remember them by their 64-bit hash.
 
-    That gives the same ids for tokenizers that drop white space and never join across it.
+    That gives the same ids for tokenizers that drop white space and never join across it. A remembered word takes some 40 bytes.
     """
 
     def __init__(self, path: str, by_word: bool = True) -> None:
@@ -68,9 +68,8 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.codes: dict[bytes, int] = {}
-        self.lens, self.flat, self.starts = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.hits = np.zeros(0, np.int64)
+        self.keys, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
@@ -93,64 +92,67 @@ class Encoder:
             flat.append(ids)
         return (np.concatenate(flat), np.concatenate(lens)) if flat else (self.flat[:0], self.lens[:0])
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.codes) + len(words) > CACHE_WORDS:
-            self._forget()
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         runs = np.fromiter((1 if t.isalpha() else 2 if t[-1] in ",.;:!?" and t[:-1].isalpha() else 0 for t in texts), np.int64, len(texts))
         if self.ends is None:
             runs[:] = 0
         order = np.argsort(runs == 0, kind="stable")
-        words, texts, plain = [words[k] for k in order], [texts[k] for k in order], int((runs > 0).sum())
+        texts, plain = [texts[k] for k in order], int((runs > 0).sum())
         one, two = self._plain_ids(texts[:plain], runs[order][:plain]), self._ids(texts[plain:])
-        flat, lens = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
-        at = len(self.codes)
-        self.codes.update(zip(words, range(at, at + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+        lens = np.concatenate([one[1], two[1]])
+        starts = len(self.flat) + np.cumsum(lens) - lens
+        self.flat = np.concatenate([self.flat, one[0], two[0]])
+        every = np.concatenate([self.keys, keys[order]])
+        place = np.argsort(every, kind="stable")
+        self.keys = every[place]
+        self.starts, self.lens = np.concatenate([self.starts, starts])[place], np.concatenate([self.lens, lens])[place]
+        self.hits = np.concatenate([self.hits, np.zeros(len(keys), np.int32)])[place]
 
     def _forget(self) -> None:
         """Keeps the words that were met again, unless those are too many as well."""
         least = 2
         while (kept := self.hits >= least).sum() > CACHE_WORDS // 2:
             least *= 2
-        old = np.flatnonzero(kept)
-        place = np.full(len(kept), -1)
-        place[old] = np.arange(len(old))
-        self.codes = {w: int(place[c]) for w, c in self.codes.items() if kept[c]}
-        lens = self.lens[old]
-        ends = np.cumsum(lens)
-        n = int(ends[-1]) if len(ends) else 0
-        self.flat = self.flat[np.repeat(self.starts[old] - ends + lens, lens) + np.arange(n)]
-        self.starts, self.lens, self.hits = ends - lens, lens, np.ones(len(old), np.int64)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        lens = self.lens[kept]
+        self.flat = _gather(self.flat, self.starts[kept], lens)
+        self.keys, self.starts, self.lens, self.hits = self.keys[kept], np.cumsum(lens) - lens, lens, np.ones(len(lens), np.int32)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted keys stand, and which are absent."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, np.flatnonzero(self.keys[at] != keys)
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers."""
         if not self.by_word:
-            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]  # of bytes: at ASCII white space only
-        words = list(chain.from_iterable(split))
-        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(codes < 0).tolist()
-        if missing:
-            new = list({words[k] for k in missing})
-            full = len(self.codes) + len(new) > CACHE_WORDS
-            self._learn(new)
-            if full:  # the numbers have changed; what was forgotten is learned again
-                lost = list({w for w in words if w not in self.codes})
-                if lost:
-                    self._learn(lost)
-                codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-            else:
-                codes[missing] = [self.codes[words[k]] for k in missing]
-        self.hits += np.bincount(codes, minlength=len(self.hits))
-        lens = self.lens[codes]
-        ends = np.cumsum(lens)
-        n = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[codes] - ends + lens, lens) + np.arange(n)]
-        bounds = np.r_[0, ends][np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for text in column.to_pylist():
+                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+            return
+        for _, _, words in steps(column, lower=False):
+            keys, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+            at, absent = self._places(keys)
+            if len(self.keys) + len(absent) > CACHE_WORDS:
+                self._forget()
+                at, absent = self._places(keys)
+            if len(absent):
+                spots = first[absent]
+                self._learn(keys[absent], [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.starts[spots].tolist(), words.ends[spots].tolist(), strict=True)])
+                at, absent = self._places(keys)
+            self.hits[at] += 1
+            lens = self.lens[at][which]
+            ids = _gather(self.flat, self.starts[at][which], lens)
+            bounds = np.r_[0, np.cumsum(lens)][words.first].tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield ids[a:b]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + len], one after the other."""
+    ends = np.cumsum(lens)
+    n = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - ends + lens, lens) + np.arange(n)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -162,20 +164,6 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return _encoders[path, by_word]
 
 
-def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of about `most` bytes."""
-    data, offsets = text_buffers(batch.column("text"))
-    at, out, size = 0, [], 0
-    for k in range(len(offsets) - 1):
-        out.append(data[offsets[k] : offsets[k + 1]].tobytes())
-        size += len(out[-1])
-        if size >= most:
-            yield at, out
-            at, out, size = k + 1, [], 0
-    if out:
-        yield at, out
-
-
 def _write(folder: str, path: str, end: int | None, by_word: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -183,15 +171,13 @@ def _write(folder: str, path: str, end: int | None, by_word: bool):
         encode = encoder(path, by_word)
         width = 2 if max(encode.tokenizer.get_vocab_size(with_added_tokens=True), end or 0) <= 1 << 16 else 4
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for at, texts in _texts(batch):
+            for own, tokens in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
                 file = file or NewFile(f"{folder}/part-{part:06d}.rec")
-                for k, tokens in enumerate(encode.encode(texts)):
-                    if end is not None:
-                        tokens = np.append(tokens, np.uint32(end))
-                    offsets.append(file.size)
-                    file.write(frame(ids[at + k], tokens, width))
-                    n_docs, n_tokens = n_docs + 1, n_tokens + len(tokens)
+                if end is not None:
+                    tokens = np.append(tokens, np.uint32(end))
+                offsets.append(file.size)
+                file.write(frame(own, tokens, width))
+                n_docs, n_tokens = n_docs + 1, n_tokens + len(tokens)
         if file:
             file.close()
             index = NewFile(f"{folder}/part-{part:06d}.idx")
