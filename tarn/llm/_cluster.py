@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -48,3 +50,12 @@ def ready(spark: SparkSession) -> SparkSession:
 def blocks_for(items: int, each: int) -> int:
     """How many hash blocks hold about `each` items apiece."""
     return max(1, -(-int(items or 0) // each))
+
+
+def give_back() -> None:
+    """Returns the driver's freed memory to the system, which the C library else keeps."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

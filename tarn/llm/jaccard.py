@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, durable, ready
+from ._cluster import blocks_for, durable, give_back, ready
 from ._words import PLACE, U, mix, shingles, steps
 from .components import connected_components
 
@@ -350,6 +350,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, bits: int, percent: int) -> Dat
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     bitmap = spark.sparkContext.broadcast(_node_filter(ends, bits))
+    give_back()
     sets = docs.mapInArrow(_wanted_sets(bitmap, bits), "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import durable, ready
+from ._cluster import durable, give_back, ready
 from ._words import U, Words, steps
 
 BUCKET_BITS = 17
@@ -146,6 +146,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     spark = ready(docs.sparkSession)
     texts, known = training_rows(docs, labels, label_col, id_col, text_col, per_class, folds, held_out, seed)
     model = spark.sparkContext.broadcast(train(texts, known))
+    del texts, known
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +166,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     threshold = settings.pop("threshold", 0.3)
     texts, known = training_rows(docs, labels, id_col=id_col, text_col=text_col, **settings)
     model = spark.sparkContext.broadcast(train(texts, known))
+    del texts, known
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
