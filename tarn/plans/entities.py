@@ -238,6 +238,12 @@ def er_03(t):
     return op.compare(op.candidate_pairs(m, e), m, e)
 
 
+@query("er_04_identifier_scores", HITS + SCORE + "SELECT mention, candidate, score FROM s WHERE score = 0.99")
+def er_04(t):
+    m, e = mentions(t)
+    return op.compare(op.candidate_pairs(m, e), m, e).where("score = 0.99")
+
+
 @query("er_05_decisions", HITS + SCORE + ", k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, candidate) AS k FROM s) SELECT m.id AS mention, CASE WHEN score >= 0.95 THEN 'AUTO_MATCH' WHEN score >= 0.6 THEN 'REVIEW' ELSE 'NEW_ENTITY' END AS decision, coalesce(score, 1.0) AS score FROM m LEFT JOIN k ON k.mention = m.id AND k.k = 1")
 def er_05(t):
     m, e = mentions(t)

@@ -84,3 +84,9 @@ def st_05(t):
 
     changed = t.events.where(c("ts") > F.lit("2024-01-29").cast("timestamp")).select("user_id")
     return recompute_changed(t.events, changed, "user_id", lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
+
+
+@query("st_06_next_mark", "SELECT CAST(epoch_us(max(ts)) AS BIGINT) AS mark FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def st_06(t):
+    new = readers.changed_since(t.events, "ts", F.lit("2024-01-20").cast("timestamp"))
+    return readers.next_mark(new, "ts").select(F.unix_micros("mark").alias("mark"))
