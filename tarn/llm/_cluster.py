@@ -52,10 +52,15 @@ def blocks_for(items: int, each: int) -> int:
     return max(1, -(-int(items or 0) // each))
 
 
-def give_back() -> None:
-    """Returns the driver's freed memory to the system, which the C library else keeps."""
-    gc.collect()
+def trim() -> None:
+    """Returns this process's freed memory to the system, which the C library else keeps."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
+
+
+def give_back() -> None:
+    """The same for the driver, after collecting its garbage."""
+    gc.collect()
+    trim()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, durable, give_back, ready
+from ._cluster import blocks_for, durable, give_back, ready, trim
 from ._words import PLACE, U, mix, shingles, steps
 from .components import connected_components
 
@@ -146,6 +146,8 @@ def _distinct(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[li
                     sets, held = {}, 0
     if sets:
         yield list(sets.values()), list(sets)
+    sets = {}
+    trim()
 
 
 def _count_cells(n_blocks: int):
@@ -175,6 +177,8 @@ def _often(least: int):
             total[x[pairs[: len(pairs) // 2]]] += pairs[len(pairs) // 2 :] - 1
         cells = np.flatnonzero(total >= least)
         level = np.log2(np.maximum(total[cells], 1)).astype(np.int64)
+        del total
+        trim()
         return pd.DataFrame([(key[0], int(x), cells[level == x].astype(np.uint32).tobytes()) for x in np.unique(level)], columns=["block", "level", "cells"])
 
     return run

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import durable, give_back, ready
+from ._cluster import durable, give_back, ready, trim
 from ._words import U, Words, steps
 
 BUCKET_BITS = 17
@@ -172,5 +172,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.value.scores(batch.column(batch.schema.get_field_index(text_col))) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
