@@ -1,33 +1,30 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 The filter holds quantised bigram counts of the training documents: a bigram of count c is inserted as (bigram, j) for j up to
-log2(c / least). Its count is read back by repeated membership probes, j = 0, 1, ... until one fails. The
-filter has a fixed number of bits, whatever the corpus: it is made of segments, a bigram's bits all lie in the segment of
-its hash block, each segment is built by one task from exact counts, and takes the bigrams of the
-smallest count threshold that its capacity allows. So workers get a broadcast of known size.
+log2(c), those seen once too. Its count is read back by repeated membership probes, j = 0, 1, ... until one fails. The
+filter grows with the bigrams counted: it is made of segments, a bigram's bits all lie in the segment of its hash block, and
+each segment has as many bits as its own insertions need. No process holds more than a segment.
 
-Word counts are exact and unbounded in number, so they are not broadcast: documents are dealt into chunks, each chunk asks
-for the counts of its different words by hash block, and the answers meet the chunk's texts again.
+Neither words nor bigrams are bounded in number, so nothing is broadcast: documents are dealt into chunks, each chunk sends
+its different words and bigrams with their training counts to their hash blocks. A block's task adds the counts, builds the
+block's segment, probes it for the bigrams asked, and the answers meet the chunk's texts again.
 
 The model: P(w | v) = k * c(v, w) / c(v) + (1 - k) * (c(w) + 1) / (N + V + 1), with c(v, w) from the filter and 0 where that has
-none, and k the share of bigram occurrences that the filter's bigrams would still have with one
-occurrence less each. A document's first word takes the second term alone; the end token has bigrams like a word.
+none, and k the share of bigram occurrences that would be left with one occurrence less of each bigram. A document's first word takes the second term alone; the end token has bigrams like a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, durable, ready
-from ._words import PLACE, U, Words, mix, steps, text_buffers
-from .jaccard import _block, _spans
+from ._cluster import blocks_for, ready
+from ._words import PLACE, U, Words, mix, steps
+from .jaccard import _block
 
 END = U(0xD6E8FEB86659FD93)
 PROBES = 5
@@ -57,33 +54,6 @@ def _bigrams(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(tokens[at - 1] * PLACE[3] + tokens[at] * PLACE[4]), at
 
 
-def _counted(n_blocks: int, most: int = 1 << 21):
-    """Bigram counts of a portion by block: the 32-bit places in order, then those counts that are not 1."""
-
-    def flush(parts):
-        hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        block, place = _block(hashes, n_blocks)
-        rows = []
-        for k, a, b in _spans(block):
-            many = np.flatnonzero(counts[a:b] > 1)
-            rows.append((k, place[a:b].tobytes(), many.astype(np.uint32).tobytes() + counts[a:b][many].astype(np.uint32).tobytes()))
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "places", "many"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for _, _, words in steps(batch.column("text")):
-                parts.append(_bigrams(*_streams(words))[0])
-                held += len(parts[-1])
-                if held >= most:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield flush(parts)
-
-    return run
-
-
 def _bits(place: np.ndarray, level: int, bits: int) -> np.ndarray:
     """PROBES bit numbers of (place, level), one row a probe."""
     h = mix((place.astype(U) + U(1)) * PLACE[5] + np.array([level], U) * PLACE[6])
@@ -91,71 +61,29 @@ def _bits(place: np.ndarray, level: int, bits: int) -> np.ndarray:
     return ((h + np.arange(PROBES, dtype=U)[:, None] * step) & U(0xFFFFFFFF)) * U(bits) >> U(32)
 
 
-def _segment(bits: int):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        places, counts = [], []
-        for own, many in zip(group["places"], group["many"], strict=True):
-            x = np.frombuffer(own, np.uint32)
-            c = np.ones(len(x), np.int64)
-            pairs = np.frombuffer(many, np.uint32)
-            c[pairs[: len(pairs) // 2]] = pairs[len(pairs) // 2 :]
-            places.append(x)
-            counts.append(c)
-        places, at = np.unique(np.concatenate(places), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        total = int(counts.sum())
-        least = 2
-        while ((np.log2(counts[counts >= least] / least).astype(np.int64) + 1).sum()) * BITS_EACH > bits:
-            least += 1 + least // 4
-        places, counts = places[counts >= least], counts[counts >= least]
-        level = np.log2(counts / least).astype(np.int64)
-        field = np.zeros(bits, dtype=np.uint8)
-        for j in range(int(level.max()) + 1 if len(level) else 0):
-            field[_bits(places[level >= j], j, bits).ravel().astype(np.int64)] = 1
-        return pd.DataFrame({"block": [key[0]], "field": [np.packbits(field).tobytes()], "least": [least], "total": [total], "kept": [int((counts - 1).sum())]})
-
-    return run
-
-
-@dataclass
-class BigramFilter:
-    """A log-frequency Bloom filter of n_blocks segments of `bits` bits; least[k] is segment k's count threshold."""
-
-    field: np.ndarray
-    least: np.ndarray
-    bits: int
-    share: float
-
-    def counts(self, bigrams: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Count of each bigram, 0 where the filter has none. most: a bound of each count, so that impossible ones are not probed."""
-        block, place = _block(bigrams, len(self.least))
-        least = self.least[block]
-        out = np.zeros(len(bigrams))
-        left = np.flatnonzero(most >= least)
+def _levels(places: np.ndarray, counts: np.ndarray, each: int = 1 << 18) -> np.ndarray:
+    """What a block's segment, built from its counts, answers for each place: 0 for none, else 1 + the last level found."""
+    level = np.full(len(counts), -1)
+    level[counts > 0] = np.log2(counts[counts > 0]).astype(np.int64)
+    bits = max(64, int((level + 1).sum()) * BITS_EACH)
+    field = np.zeros(bits, dtype=bool)
+    for j in range(int(level.max(initial=-1)) + 1):
+        own = places[level >= j]
+        for a in range(0, len(own), each):
+            field[_bits(own[a : a + each], j, bits).ravel().astype(np.int64)] = True
+    out = np.zeros(len(places), np.uint8)
+    for a in range(0, len(places), each):
+        left = np.arange(a, min(a + each, len(places)))
         for j in range(64):
             if not len(left):
                 break
-            bit = block[left] * self.bits + _bits(place[left], j, self.bits).astype(np.int64)
-            hit = ((self.field[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).all(axis=0)
-            left = left[hit]
-            out[left] = least[left] * 2.0**j * (1.4 if j else 1.2)  # about the mean of a level's counts
-        return np.minimum(out, most)
-
-
-def bigram_filter(texts: DataFrame, filter_bits: int = 1 << 27, each: int = 1 << 20) -> BigramFilter:
-    """Built from all rows of texts (text)."""
-    ready(texts.sparkSession)
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = min(blocks_for(chars // 6, each), filter_bits >> 10)
-    bits = filter_bits // n_blocks & ~7
-    counted = texts.mapInArrow(_counted(n_blocks), "block long, places binary, many binary")
-    rows = counted.groupBy("block").applyInPandas(_segment(bits), "block long, field binary, least long, total long, kept long").collect()  # filter_bits in all
-    field, least = np.zeros(n_blocks * bits // 8, np.uint8), np.full(n_blocks, 2, np.int64)
-    for r in rows:
-        field[r["block"] * bits // 8 : (r["block"] + 1) * bits // 8] = np.frombuffer(r["field"], np.uint8)
-        least[r["block"]] = r["least"]
-    total, kept = sum(r["total"] for r in rows), sum(r["kept"] for r in rows)
-    return BigramFilter(field, least, bits, kept / total if total else 0.0)
+            left = left[field[_bits(places[left], j, bits).astype(np.int64)].all(axis=0)]
+            out[left] = j + 1
+    return out
+
+
+#: Count by answer, about the mean of a level's counts.
+COUNT_OF = np.array([0, 1, 2.4, *(1.4 * 2.0 ** np.arange(2, 64))])
 
 
 def _chunk_words(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -163,22 +91,33 @@ def _chunk_words(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield at, to, *_streams(words)
 
 
+def _tallied(parts: list[np.ndarray], weights: list[np.ndarray], n_blocks: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Different hashes in order, their sums of weights, and the range of each block."""
+    hashes, place = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate(weights), minlength=len(hashes)).astype(np.uint64)
+    edges = np.searchsorted(_block(hashes, n_blocks)[0], np.arange(n_blocks + 1))
+    return hashes, counts, list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
 def _ask(n_blocks: int):
-    """A chunk's different tokens by block, each with its training count there. Every block is asked, so that each answers."""
+    """A chunk's different tokens and bigrams by block, each with its training count there. Every block is asked, so that each answers."""
 
     def run(table: pa.Table) -> pa.Table:
         train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        parts, weights = [], []
+        parts, weights, pairs, pair_weights = [], [], [], []
         for at, to, tokens, first in _chunk_words(table):
             parts.append(tokens)
             weights.append(np.repeat(train[at:to], np.diff(first)))
-        hashes, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate(weights), minlength=len(hashes)).astype(np.uint64)
-        block, _ = _block(hashes, n_blocks)
-        edges = np.searchsorted(block, np.arange(n_blocks + 1))
+            found, second = _bigrams(tokens, first)
+            pairs.append(found)
+            pair_weights.append(weights[-1][second])
+        hashes, counts, spans = _tallied(parts, weights, n_blocks)
+        columns = {"hashes": [hashes[a:b].tobytes() for a, b in spans], "counts": [_small(counts[a:b]) for a, b in spans]}
+        hashes, counts, spans = _tallied(pairs, pair_weights, n_blocks)
+        places = hashes.astype(np.uint32)  # the low bits; the block is of the high ones
+        columns |= {"places": [places[a:b].tobytes() for a, b in spans], "pair_counts": [_small(counts[a:b]) for a, b in spans]}
         chunk = table.column("chunk")[0].as_py()
-        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-        return pa.table({"block": pa.array(range(n_blocks), pa.int64()), "chunk": pa.array([chunk] * n_blocks, pa.int64()), "hashes": pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([_small(counts[a:b]) for a, b in spans], pa.binary())})
+        return pa.table({"block": pa.array(range(n_blocks), pa.int64()), "chunk": pa.array([chunk] * n_blocks, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
     return run
 
@@ -193,31 +132,42 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.uint64)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Totals of each chunk's tokens in a block, and the block's tokens and different ones."""
-    asked = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
+def _totals(table: pa.Table, keys: str, kind: type, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Different keys asked in a block, their totals, the place of each asked one, and the range of each row."""
+    asked = [np.frombuffer(x, kind) for x in table.column(keys).to_pylist()]
     lens = [len(x) for x in asked]
-    given = [_wide(c, n) for c, n in zip(table.column("counts").to_pylist(), lens, strict=True)]
-    hashes, place = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.zeros(len(hashes), np.uint64)
+    given = [_wide(c, n) for c, n in zip(table.column(counts).to_pylist(), lens, strict=True)]
+    found, place = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.zeros(len(found), np.uint64)
     np.add.at(total, place, np.concatenate(given))
-    ends = np.cumsum(lens)
-    out = [_small(total[place[e - n : e]]) for e, n in zip(ends, lens, strict=True)]
-    rows = len(out)
-    return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "n": pa.array(lens, pa.int64()), "totals": pa.array(out, pa.binary()), "tokens": pa.array([int(total.sum())] * rows, pa.int64()), "kinds": pa.array([int((total > 0).sum())] * rows, pa.int64())})
+    ends = np.cumsum(lens).tolist()
+    return found, total, place, list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Totals of each chunk's tokens in a block and the filter's levels of its bigrams, and the block's tokens, different ones, bigrams and repeated ones."""
+    _, total, place, spans = _totals(table, "hashes", U, "counts")
+    places, pair_total, pair_place, pair_spans = _totals(table, "places", np.uint32, "pair_counts")
+    levels = _levels(places, pair_total)[pair_place]
+    rows, pairs = table.num_rows, int(pair_total.sum())
+    out = {"n": [b - a for a, b in spans], "totals": [_small(total[place[a:b]]) for a, b in spans], "levels": [levels[a:b].tobytes() for a, b in pair_spans]}
+    out |= {"tokens": [int(total.sum())] * rows, "kinds": [int((total > 0).sum())] * rows, "pairs": [pairs] * rows, "again": [pairs - int((pair_total > 0).sum())] * rows}
+    return pa.table({"chunk": table.column("chunk"), "block": table.column("block")} | {k: pa.array(v, pa.binary() if k in ("totals", "levels") else pa.int64()) for k, v in out.items()})
 
 
-def _score(model):
+def _score():
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({k: pa.array([], t) for k, t in RESULT.items()})
         answers = answers.sort_by("block")
         totals = np.concatenate([_wide(x, n) for x, n in zip(answers.column("totals").to_pylist(), answers.column("n").to_pylist(), strict=True)])
-        n_train, kinds = sum(answers.column("tokens").to_pylist()), sum(answers.column("kinds").to_pylist())
+        found_of = COUNT_OF[np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)]
+        n_train, kinds, n_pairs, again = (sum(answers.column(c).to_pylist()) for c in ("tokens", "kinds", "pairs", "again"))
         portions = list(_chunk_words(texts))
         hashes = np.unique(np.concatenate([p[2] for p in portions]))
+        every = np.unique(np.concatenate([_bigrams(*p[2:])[0] for p in portions]))
         base_of = np.log10((totals.astype(float) + 1) / (n_train + 1 * (kinds + 1)))
-        k = model.value.share
+        k = again / n_pairs if n_pairs else 0.0
         size = len(texts)
         n_tokens, n_known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         for at, to, tokens, first in portions:
@@ -226,7 +176,7 @@ def _score(model):
             owner = np.repeat(np.arange(to - at), np.diff(first))
             pairs, second = _bigrams(tokens, first)
             before = count[second - 1]
-            found = model.value.counts(pairs, np.minimum(before, count[second]))
+            found = np.minimum(found_of[np.searchsorted(every, pairs)], np.minimum(before, count[second]))
             log_p = unigram.copy()
             log_p[second] = np.log10(k * found / np.maximum(before, 1) + (1 - k) * 10 ** unigram[second])
             n_tokens[at:to] = np.diff(first)
@@ -241,23 +191,22 @@ def _score(model):
 RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, filter_bits: int = 1 << 27, chunk_chars: int = 6_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, chunk_chars: int = 6_000_000) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all rows whose crc32 of the id's text modulo `folds` is not `held_out`; a null id is learned from. Null texts are empty:
     one end token. Repeated rows count and score each. Without training rows every token has probability 1 in base_score. An
     empty table gives an empty result; other columns are ignored. Texts are read whole, each by one task.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     ids = F.col(id_col).cast("long")
     held = F.coalesce(F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(False))
     rows = docs.select(ids.alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast(bigram_filter(rows.where("not held_out").select("text"), filter_bits))
     chars, count = rows.agg(F.sum(F.length("text")), F.count("*")).first()
     chunks = max(blocks_for(chars or 0, chunk_chars), blocks_for(count, 1 << 16))
     n_blocks = blocks_for(chars or 0, 4 * chunk_chars)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition("chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(n_blocks), "block long, chunk long, hashes binary, counts binary")
-    answers = asked.groupBy("block").applyInArrow(_answer, "chunk long, block long, n long, totals binary, tokens long, kinds long")
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(n_blocks), "block long, chunk long, hashes binary, counts binary, places binary, pair_counts binary")
+    answers = asked.groupBy("block").applyInArrow(_answer, "chunk long, block long, n long, totals binary, levels binary, tokens long, kinds long, pairs long, again long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(), schema)

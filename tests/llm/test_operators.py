@@ -491,6 +491,30 @@ def test_lm_odd_rows(spark):
     assert all(r.base_score == 0 and r.n_known == 0 for r in lm_scores(none).collect())
 
 
+def test_lm_keeps_all_bigrams(spark):
+    """Scores by exact bigram counts, rounded as the filter's levels are; seen once or more, in one block or many."""
+    docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    streams = {d: [*words(text), None] for d, text in docs}
+    single, double = Counter(), Counter()
+    for d, tokens in streams.items():
+        if not held(d, 7, 2):
+            single.update(tokens)
+            double.update(zip(tokens, tokens[1:], strict=False))
+    n, v, k = sum(single.values()), len(single), 1 - len(double) / sum(double.values())
+    mean = [0, 1, 2.4, *(1.4 * 2.0**j for j in range(2, 40))]
+    want = {}
+    for d, tokens in streams.items():
+        p = [(single[t] + 1) / (n + v + 1) for t in tokens]
+        for at in range(1, len(tokens)):
+            found = min(mean[double[tokens[at - 1], tokens[at]].bit_length()], single[tokens[at - 1]], single[tokens[at]])
+            p[at] = k * found / max(single[tokens[at - 1]], 1) + (1 - k) * p[at]
+        want[d] = sum(math.log10(x) for x in p)
+    for size in (6_000_000, 50_000):
+        rows = lm_scores(documents(spark), chunk_chars=size).collect()
+        assert sum(abs(r.score - want[r.doc_id]) for r in rows) <= 0.01 * -sum(want.values())
+        assert all(abs(r.score - want[r.doc_id]) <= 0.05 * -want[r.doc_id] + 2 for r in rows)
+
+
 # queries and pipeline
 
 
