@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window of a document is as many words as a benchmark item has. Its fingerprint is the 64-bit SimHash of its five-word
+A window of a document is as many words as a benchmark item has, or the whole text where that is shorter. Its fingerprint is the 64-bit SimHash of its five-word
 shingles, each weighing as often as it occurs. Fingerprints are cut into radius + 1 blocks: two that differ in at
 most `radius` bits agree in a block, so an equality join on (item length, block, its bits) finds every pair
 within the radius. Candidates are verified on the shingles themselves: weighted Jaccard, the sum of the smaller
@@ -8,7 +8,8 @@ counts over the sum of the larger ones, must reach the threshold. The radius of
 deviations above the distance expected at a similarity of 0.75.
 
 A window without any benchmark shingle has similarity 0, so windows are laid only where a document shares a shingle
-with an item, aligned on it; that loses nothing and leaves a few windows for the rest of the work.
+with an item, aligned on it; that loses nothing and leaves a few windows for the rest of the work. An aligned window that
+would reach beyond an end of the text is moved to that end.
 Everything is DataFrame functions. The benchmark is the query set: its shingles are broadcast only up to
 `broadcast_rows` rows, and joined by shuffles beyond that.
 """
@@ -97,7 +98,8 @@ def weighted_jaccard(x: str, y: str) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.75, radius: int = 23, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, start, similarity, text_key): the best window of each item in each contaminated document.
 
-    start counts words from 0. Items of fewer than `size` words are one shingle of all their words. Null or empty
+    start counts words from 0. A passage cut off at an end of its document is compared by the full window at that end, and a
+    document shorter than the item as a whole. Items of fewer than `size` words are one shingle of all their words. Null or empty
     texts match nothing. Rows of equal id and text count once. Null ids are kept; text_key = xxhash64(id, text)
     tells rows apart. Items of equal text are all reported. Empty tables give an empty result. Texts are read whole;
     other columns are ignored.
@@ -113,13 +115,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = fixed(base, "hashes", word_hashes(F.col("text"))).select("key", "hashes")
     hits = None
     for k in sizes:
-        found = hashed.select("key", F.posexplode(shingle_hashes(F.col("hashes"), k)).alias("pos", "token"))
+        found = hashed.select("key", F.size("hashes").alias("n"), F.posexplode(shingle_hashes(F.col("hashes"), k)).alias("pos", "token"))
         found = found.join(small(grams.where(F.col("size") == k).select("token", "words", "offset")), "token")
-        found = found.select("key", F.lit(k).alias("size"), "words", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("words")))
+        found = found.select("key", F.lit(k).alias("size"), "words", start.alias("start"))
         hits = found if hits is None else hits.unionByName(found)
     places = durable(hits.distinct().groupBy("key").agg(F.collect_list(F.struct("size", "words", "start")).alias("windows")))
     laid = fixed(base.join(places, "key").dropDuplicates(["key"]), "hashes", word_hashes(F.col("text")))
-    laid = laid.select("key", "doc_id", "hashes", F.explode("windows").alias("w")).where(F.col("w.start") + F.col("w.words") <= F.size("hashes"))
+    laid = laid.select("key", "doc_id", "hashes", F.explode("windows").alias("w"))
     part = F.slice("hashes", F.col("w.start") + 1, F.col("w.words"))
     cut = fixed(laid.select("key", "doc_id", "w.size", "w.words", "w.start", part.alias("part")), "p", F.col("part"))
     marked = with_simhash(fixed(cut, "window", of_size("p")).select("key", "doc_id", "words", "start", "window"), "window", "mark")

@@ -156,6 +156,17 @@ def test_decontaminate_edits_and_odd_rows(spark):
     assert {r.item_id for r in contaminated(odd_rows(spark), bench, broadcast_rows=0).collect()} == {4}
 
 
+def test_decontaminate_truncated_passages(spark):
+    item = [f"q{k}" for k in range(40)]
+    other = [f"z{k}" for k in range(60)]
+    texts = {1: item[2:] + other, 2: other + item[:-3], 3: item[:-1], 4: item[:20] + item[21:], 5: item[1:], 6: item[:28], 7: item[20:] + other, 8: other + item[:20], 9: item[2:] + other[:1]}
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in texts.items()], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").coalesce(1)
+    for rows in (1_000_000, 0):
+        hits = {r.doc_id: (r.start, round(r.similarity, 6)) for r in contaminated(docs, bench, broadcast_rows=rows).collect()}
+        assert hits == {1: (0, round(34 / 38, 6)), 2: (57, round(33 / 39, 6)), 3: (0, round(35 / 36, 6)), 4: (0, 0.775), 5: (0, round(35 / 36, 6)), 9: (0, round(34 / 37, 6))}
+
+
 # quality
 
 
