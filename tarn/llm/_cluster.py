@@ -39,6 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(*tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case of its letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    return next(x for k in range(len(taken) + 1) if (x := f"__tarn{k}") not in taken)
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, wherever the driver was started."""
     env = spark.sparkContext.environment

@@ -1,17 +1,20 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window of a document is as many words as a benchmark item has, or the whole text where that is shorter. Its fingerprint is the 64-bit SimHash of its five-word
-shingles, each weighing as often as it occurs. Fingerprints are cut into radius + 1 blocks: two that differ in at
-most `radius` bits agree in a block, so an equality join on (item length, block, its bits) finds every pair
-within the radius. Candidates are verified on the shingles themselves: weighted Jaccard, the sum of the smaller
-counts over the sum of the larger ones, must reach the threshold. The radius of 23 lies four standard
-deviations above the distance expected at a similarity of 0.75.
-
-A window without any benchmark shingle has similarity 0, so windows are laid only where a document shares a shingle
-with an item, aligned on it; that loses nothing and leaves a few windows for the rest of the work. An aligned window that
-would reach beyond an end of the text is moved to that end.
-Everything is DataFrame functions. The benchmark is the query set: its shingles are broadcast only up to
-`broadcast_rows` rows, and joined by shuffles beyond that.
+A window of a document is as many words as a benchmark item has, or the whole text where that is shorter, at any offset. The
+similarity of a window and an item is the weighted Jaccard of their five-word shingles: the sum of the smaller counts over the sum
+of the larger ones.
+
+1. Two of m and m' shingles that reach similarity t share at least t (m + m') / (1 + t). So a window counts only if as many
+   of its places hold a shingle of the item. Those windows are found exactly, from the sorted places alone: if place i is the
+   first one at or after a window's start, then the start lies after place i - 1 and place i + need - 1 lies in the window.
+2. Such a window's fingerprint is the 128-bit SimHash of all its shingles, each weighing as often as it occurs. Fingerprints are cut into
+   radius + 1 blocks: two that differ in at most `radius` bits agree in one, so an equality join on (item, block, its
+   bits) finds every pair within the radius. At a similarity of 0.75 a bit differs with probability 0.17: 22 bits, and more
+   than 48 once in some ten million.
+3. The pairs found are compared on the shingles themselves.
+
+Everything is DataFrame functions. The benchmark is the query set: its shingles, and the runs of window starts, are broadcast
+only up to `broadcast_rows` rows, and joined by shuffles beyond that.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import durable
+from ._cluster import durable, free_name
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,11 +45,17 @@ def shingle_hashes(hashes: Column, size: int) -> Column:
     return F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Bits of one of the three counters in a long, so a window has up to four million shingles.
 LANES = 22
+#: Windows of one text that a row holds at a time.
+CHUNK = 256
+#: Bits of a fingerprint, 64 from each of the seeds.
+SEEDS = (42, 43)
+BITS = 64 * len(SEEDS)
 
 
-def _add_bits(shift: int, mask: Column):
-    return lambda total, x: total + F.shiftrightunsigned(x, shift).bitwiseAND(mask)
+def _add_bits(shift: int, mask: Column, seed: int):
+    return lambda total, x: total + F.shiftrightunsigned(F.xxhash64(x, F.lit(seed)), shift).bitwiseAND(mask)
 
 
 def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -55,26 +64,32 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_simhash(df: DataFrame, tokens: str, name: str) -> DataFrame:
-    """df with the 64-bit SimHash of an array of hashes, an element per occurrence. Three bit counters share a long."""
+    """df with the SimHash of an array of hashes, an element per occurrence, as an array of longs. Three bit counters share a long."""
     mask = F.lit(1 | 1 << LANES | 1 << 2 * LANES)
-    counters = [F.aggregate(F.col(tokens), F.lit(0).cast("long"), _add_bits(j, mask)) for j in range(LANES)]
+    counters = [F.aggregate(F.col(tokens), F.lit(0).cast("long"), _add_bits(j, mask, seed)) for seed in SEEDS for j in range(LANES)]
     df = fixed(df, "__counters", F.array(*counters))
-    out = F.lit(0).cast("long")
-    for bit in range(64):
-        count = F.shiftrightunsigned(F.get("__counters", F.lit(bit % LANES)), LANES * (bit // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
-        out = out.bitwiseOR(F.when(2 * count > F.size(tokens), F.lit(-(1 << 63) if bit == 63 else 1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return fixed(df, name, out).drop("__counters")
+    longs = []
+    for k in range(len(SEEDS)):
+        out = F.lit(0).cast("long")
+        for bit in range(64):
+            count = F.shiftrightunsigned(F.get("__counters", F.lit(k * LANES + bit % LANES)), LANES * (bit // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
+            out = out.bitwiseOR(F.when(2 * count > F.size(tokens), F.lit(-(1 << 63) if bit == 63 else 1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        longs.append(out)
+    return fixed(df, name, F.array(*longs)).drop("__counters")
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 1 blocks of a 64-bit fingerprint."""
-    n = radius + 1
-    sizes = [64 // n + (k < 64 % n) for k in range(n)]
-    return [(sum(sizes[:k]), size) for k, size in enumerate(sizes)]
+    """(first bit, bits) of radius + 1 blocks or some more, none of which lies in two longs."""
+    each = [-(-(radius + 1) // len(SEEDS))] * len(SEEDS)
+    out = []
+    for k, n in enumerate(each):
+        sizes = [64 // n + (j < 64 % n) for j in range(n)]
+        out += [(64 * k + sum(sizes[:j]), size) for j, size in enumerate(sizes)]
+    return out
 
 
 def _block_values(fingerprint: str, radius: int) -> Column:
-    parts = [F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1)).alias("bits")) for k, (at, size) in enumerate(blocks(radius))]
+    parts = [F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(F.get(fingerprint, F.lit(at // 64)), at % 64).bitwiseAND(F.lit((1 << size) - 1)).alias("bits")) for k, (at, size) in enumerate(blocks(radius))]
     return F.array(*parts)
 
 
@@ -82,12 +97,20 @@ def _first_equal_block(difference: str, number: str, radius: int) -> Column:
     """Whether no block before `number` is equal, so that each pair is verified once."""
     out = F.lit(True)
     for k, (at, size) in enumerate(blocks(radius)):
-        mask = ((1 << size) - 1) << at
+        mask = ((1 << size) - 1) << at % 64
         mask -= 1 << 64 if mask >= 1 << 63 else 0
-        out = out & ((F.col(number) <= k) | (F.col(difference).bitwiseAND(F.lit(mask).cast("long")) != 0))
+        out = out & ((F.col(number) <= k) | (F.get(difference, F.lit(at // 64)).bitwiseAND(F.lit(mask).cast("long")) != 0))
     return out
 
 
+def _starts(spots: str, need: str, width: str, last: str) -> Column:
+    """Runs (lo, hi) of the window starts 0 to `last` whose `width` places hold at least `need` of the sorted `spots`."""
+    at = lambda i: F.get(spots, i)
+    lo = lambda i: F.greatest(F.lit(0), at(i + F.col(need) - 1) - F.col(width) + 1, F.coalesce(at(i - 1) + 1, F.lit(0)))
+    runs = F.transform(F.sequence(F.lit(0), F.size(spots) - F.col(need)), lambda i: F.struct(lo(i).alias("lo"), F.least(at(i), F.col(last)).alias("hi")))
+    return F.filter(runs, lambda r: r["lo"] <= r["hi"])
+
+
 def weighted_jaccard(x: str, y: str) -> Column:
     """Sum of the smaller counts over the sum of the larger ones, of two arrays as multisets."""
     times = lambda array, t: F.size(F.filter(array, lambda e: e == t))
@@ -95,48 +118,60 @@ def weighted_jaccard(x: str, y: str) -> Column:
     return both / (F.size(x) + F.size(y) - both).cast("double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.75, radius: int = 23, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.75, radius: int = 48, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, item_id, start, similarity, text_key): the best window of each item in each contaminated document.
 
-    start counts words from 0. A passage cut off at an end of its document is compared by the full window at that end, and a
-    document shorter than the item as a whole. Items of fewer than `size` words are one shingle of all their words. Null or empty
-    texts match nothing. Rows of equal id and text count once. Null ids are kept; text_key = xxhash64(id, text)
-    tells rows apart. Items of equal text are all reported. Empty tables give an empty result. Texts are read whole;
-    other columns are ignored.
+    start counts words from 0; of windows that are as similar, the first. A document shorter than the item is compared as a
+    whole. Items of fewer than `size` words are one shingle of all their words. Null or empty texts match nothing. Rows of equal
+    id and text count once; null ids are kept; text_key = xxhash64(id, text) tells rows apart. Items of equal text, or equal id,
+    are compared once and all reported. Empty tables give an empty result. Texts are read whole, however long: a task
+    holds one text and CHUNK of its windows. Other columns are ignored, whatever their names.
     """
     items = fixed(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")), "hashes", word_hashes(F.col("t"))).where("size(hashes) > 0")
     items = items.withColumn("words", F.size("hashes")).withColumn("size", F.least(F.lit(size), F.col("words")))
     sizes = [r[0] for r in items.select("size").distinct().collect()] or [size]
     of_size = lambda column: F.coalesce(*[F.when(F.col("size") == k, shingle_hashes(F.col(column), k)) for k in sizes])
-    items = durable(with_simhash(fixed(items, "item", of_size("hashes")).select("item_id", "words", "size", "item"), "item", "item_mark"))
-    grams = durable(items.select("words", "size", F.posexplode("item").alias("offset", "token")).distinct())
+    named = durable(fixed(items, "item", of_size("hashes")).select("item_id", F.xxhash64("words", "item").alias("no"), "words", "size", "item"))
+    items = durable(with_simhash(named.select("no", "words", "size", "item").dropDuplicates(["no"]), "item", "item_mark"))
+    grams = durable(items.select("no", "words", "size", F.explode(F.array_distinct("item")).alias("token")))
     small = F.broadcast if grams.count() <= broadcast_rows else (lambda df: df)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     hashed = fixed(base, "hashes", word_hashes(F.col("text"))).select("key", "hashes")
     hits = None
     for k in sizes:
         found = hashed.select("key", F.size("hashes").alias("n"), F.posexplode(shingle_hashes(F.col("hashes"), k)).alias("pos", "token"))
-        found = found.join(small(grams.where(F.col("size") == k).select("token", "words", "offset")), "token")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("words")))
-        found = found.select("key", F.lit(k).alias("size"), "words", start.alias("start"))
+        found = found.join(small(grams.where(F.col("size") == k)), "token").select("key", "n", "no", "words", "size", "pos")
         hits = found if hits is None else hits.unionByName(found)
-    places = durable(hits.distinct().groupBy("key").agg(F.collect_list(F.struct("size", "words", "start")).alias("windows")))
-    laid = fixed(base.join(places, "key").dropDuplicates(["key"]), "hashes", word_hashes(F.col("text")))
-    laid = laid.select("key", "doc_id", "hashes", F.explode("windows").alias("w"))
-    part = F.slice("hashes", F.col("w.start") + 1, F.col("w.words"))
-    cut = fixed(laid.select("key", "doc_id", "w.size", "w.words", "w.start", part.alias("part")), "p", F.col("part"))
-    marked = with_simhash(fixed(cut, "window", of_size("p")).select("key", "doc_id", "words", "start", "window"), "window", "mark")
-    probe = marked.select("*", F.explode(_block_values("mark", radius)).alias("b")).select("key", "doc_id", "words", "start", "window", "mark", "b.no", "b.bits")
-    index = items.select("item_id", "words", "item", "item_mark", F.explode(_block_values("item_mark", radius)).alias("b")).select("item_id", "words", "item", "item_mark", "b.no", "b.bits")
-    pairs = probe.join(small(index), ["words", "no", "bits"]).withColumn("x", F.col("mark").bitwiseXOR(F.col("item_mark")))
-    pairs = pairs.where((F.bit_count("x") <= radius) & _first_equal_block("x", "no", radius))
+    spots = hits.groupBy("key", "n", "no", "words", "size").agg(F.sort_array(F.collect_set("pos")).alias("spots"))
+    spots = spots.withColumn("long", F.least("n", "words")).withColumn("width", F.col("long") - F.col("size") + 1).withColumn("last", F.col("n") - F.col("long"))
+    both = F.col("width") + F.col("words") - F.col("size") + 1
+    spots = spots.withColumn("need", F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * both - 1e-9).cast("int"))).where("size(spots) >= need")
+    places = durable(spots.select("key", "no", "size", "long", _starts("spots", "need", "width", "last").alias("runs")).where("size(runs) > 0"))
+    if (places.agg(F.sum(F.size("runs"))).first()[0] or 0) <= broadcast_rows:
+        laid = base.join(F.broadcast(places), "key")
+    else:
+        laid = base.join(places, "key")
+    laid = fixed(laid, "hashes", word_hashes(F.col("text"))).select("key", "doc_id", "no", "size", "long", "runs", "hashes")
+    laid = fixed(laid, "starts", F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"]))))
+    parts = F.transform(F.sequence(F.lit(1), F.size("starts"), F.lit(CHUNK)), lambda i: F.slice("starts", i, F.lit(CHUNK)))
+    laid = laid.select("key", "doc_id", "no", "size", "long", "hashes", F.explode(parts).alias("starts"))
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("hashes", s + 1, F.col("long")).alias("part")))
+    cut = laid.select("key", "doc_id", "no", "size", F.explode(cut).alias("w")).select("key", "doc_id", "no", "size", "w.start", "w.part")
+    marked = with_simhash(fixed(cut, "window", of_size("part")).select("key", "doc_id", "no", "start", "window"), "window", "mark")
+    probe = marked.select("*", F.explode(_block_values("mark", radius)).alias("b")).select("key", "doc_id", "no", "start", "window", "mark", F.col("b.no").alias("block"), "b.bits")
+    index = items.select("no", "item", "item_mark", F.explode(_block_values("item_mark", radius)).alias("b")).select("no", "item", "item_mark", F.col("b.no").alias("block"), "b.bits")
+    pairs = probe.join(small(index), ["no", "block", "bits"]).withColumn("x", F.zip_with("mark", "item_mark", lambda a, b: a.bitwiseXOR(b)))
+    distance = sum((F.bit_count(F.get("x", F.lit(k))) for k in range(1, len(SEEDS))), F.bit_count(F.get("x", F.lit(0))))
+    pairs = pairs.where((distance <= radius) & _first_equal_block("x", "block", radius))
     pairs = pairs.withColumn("similarity", weighted_jaccard("window", "item")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before")))
-    out = pairs.groupBy("key", "doc_id", "item_id").agg(best.alias("best"))
+    best = pairs.groupBy("key", "doc_id", "no").agg(best.alias("best"))
+    out = best.join(small(named.select("no", "item_id").distinct()), "no")
     return out.select("doc_id", "item_id", (-F.col("best.before")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"), F.col("key").alias("text_key"))
 
 
 def drop_contaminated(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hits name, null ids included."""
-    bad = hits.select(F.col("text_key").alias("__key")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")) == F.col("__key"), "left_anti")
+    """docs without the rows that hits name, by id and text: null ids and repeated rows included. Empty tables drop nothing; the columns of docs stay, whatever their names."""
+    mark = free_name(docs)
+    bad = hits.select(F.col("text_key").alias(mark)).distinct()
+    return docs.join(bad, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")) == F.col(mark), "left_anti")

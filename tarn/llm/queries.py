@@ -89,16 +89,18 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
 FROM documents LEFT JOIN n USING (doc_id)
 """
 
-#: Every window that is aligned on a shared shingle, compared as multisets; the best of each item and document, the first of equals.
+#: Every window that holds a shingle of the item, at every offset, compared as multisets; the best of each item and document, the first of
+#: equals. A document shorter than the item is one window. Items of fewer than five words are left out, as the table has none.
 OP2 = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
 ds AS (SELECT doc_id, len(ws) AS n, i AS pos, array_to_string(ws[i + 1:i + 5], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)),
 bs AS (SELECT item_id, len(ws) AS n, i AS off, array_to_string(ws[i + 1:i + 5], ' ') AS sh FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM b WHERE len(ws) >= 5)),
-st AS (SELECT DISTINCT doc_id, item_id, bs.n, pos - off AS s FROM ds JOIN bs ON ds.sh = bs.sh WHERE pos >= off AND pos - off + bs.n <= ds.n),
-cw AS (SELECT st.doc_id, item_id, st.n, s, sh, count(*) AS c FROM st JOIN ds ON ds.doc_id = st.doc_id AND pos >= s AND pos <= s + st.n - 5 GROUP BY ALL),
-ci AS (SELECT item_id, sh, count(*) AS c FROM bs GROUP BY ALL),
-sim AS (SELECT doc_id, cw.item_id, n - 4 AS m, s, sum(least(cw.c, ci.c)) AS k FROM cw JOIN ci ON ci.item_id = cw.item_id AND ci.sh = cw.sh GROUP BY ALL),
-top AS (SELECT doc_id, item_id, s, CAST(k AS DOUBLE) / CAST(2 * m - k AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, s) AS r FROM sim)
+ci AS (SELECT item_id, n - 4 AS m, sh, count(*) AS c FROM bs GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, m, least(m, ds.n - 4) AS w, ds.n, pos, sh, c FROM ds JOIN ci USING (sh)),
+st AS (SELECT doc_id, item_id, m, w, sh, c, unnest(range(greatest(0, pos - w + 1), least(pos, n - 4 - w) + 1)) AS s FROM hit),
+cw AS (SELECT doc_id, item_id, m, w, s, least(count(*), any_value(c)) AS k FROM st GROUP BY doc_id, item_id, m, w, s, sh),
+sim AS (SELECT doc_id, item_id, s, CAST(sum(k) AS DOUBLE) / CAST(any_value(m) + any_value(w) - sum(k) AS DOUBLE) AS similarity FROM cw GROUP BY doc_id, item_id, s),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM sim)
 SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, similarity FROM top WHERE r = 1 AND similarity >= 0.75
 """
 

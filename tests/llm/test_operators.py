@@ -123,11 +123,11 @@ def brute_hits(docs, items, least=0.75):
         for i, own in lists.items():
             k = min(5, len(own))
             grams = Counter(tuple(own[a : a + k]) for a in range(len(own) - k + 1))
-            for s in range(len(ws) - len(own) + 1):
+            for s in range(max(0, len(ws) - len(own)) + 1):
                 part = ws[s : s + len(own)]
                 mine = Counter(tuple(part[a : a + k]) for a in range(len(part) - k + 1))
                 both = sum((mine & grams).values())
-                if both / (2 * sum(grams.values()) - both) >= least:
+                if both and both / (sum(grams.values()) + sum(mine.values()) - both) >= least:
                     out.add((d, i))
                     break
     return out
@@ -167,6 +167,48 @@ def test_decontaminate_truncated_passages(spark):
         assert hits == {1: (0, round(34 / 38, 6)), 2: (57, round(33 / 39, 6)), 3: (0, round(35 / 36, 6)), 4: (0, 0.775), 5: (0, round(35 / 36, 6)), 9: (0, round(34 / 37, 6))}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontaminate_moved_blocks(spark, seed):
+    """Items whose blocks are moved, repeated, cut and mixed, at all offsets; items of equal text; repeated words."""
+    import random
+
+    dice = random.Random(seed)
+    items = [(k, " ".join(f"i{k}w{dice.randrange(40)}" for _ in range(dice.randrange(3, 70)))) for k in range(12)]
+    items += [(100, items[5][1]), (101, "a a a a a a a a a a a a"), (102, "a b a b a b a b a b a b")]
+    docs = [(0, None), (1, "a " * 300), (2, "b a " * 40)]
+    for d in range(3, 400):
+        ws = dice.choice(items)[1].split()
+        cuts = sorted(dice.randrange(len(ws) + 1) for _ in range(dice.randrange(3)))
+        parts = [ws[a:b] for a, b in zip([0, *cuts], [*cuts, len(ws)], strict=True)]
+        dice.shuffle(parts)
+        body = [w for p in parts for w in p]
+        for _ in range(dice.randrange(3)):
+            body[dice.randrange(len(body))] = "other"
+        docs.append((d, " ".join([*["x"] * dice.randrange(9), *body[dice.randrange(4) :], *(body if d % 5 == 0 else []), *["y"] * dice.randrange(9)])))
+    docs.append((900, "A" + items[0][1][1:] + " " + items[0][1][len(items[0][1]) // 2 :] + " " + items[0][1][: len(items[0][1]) // 2]))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_hits(docs, items)
+    for rows in (200_000, 0):
+        got = [(r.doc_id, r.item_id) for r in contaminated(table, bench, broadcast_rows=rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 100
+
+
+def test_decontaminate_halves_in_the_other_order(spark):
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(b + a)), (2, " ".join(["z"] * 50 + b + a + ["y"] * 50))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(a + b))], "item_id long, text string")
+    assert {(r.doc_id, r.start, round(r.similarity, 9)) for r in contaminated(docs, bench).collect()} == {(1, 0, round(52 / 60, 9)), (2, 50, round(52 / 60, 9))}
+
+
+def test_drop_contaminated_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)), 5), (1, "other", 6), (None, None, 7)], "doc_id long, text string, __tarn0 int").withColumn("text_key", F.lit(1)).withColumn("__key", F.lit(1))
+    bench = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
+    kept = drop_contaminated(docs, contaminated(docs, bench))
+    assert kept.columns == docs.columns and sorted(r["__tarn0"] for r in kept.collect()) == [6, 7]
+
+
 # quality
 
 
