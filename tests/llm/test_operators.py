@@ -374,6 +374,111 @@ def test_url_templates(spark):
     assert {r.template for r in filter_urls(many).collect()} == {"/*/p"}
 
 
+def brute_templates(paths, share=0.02, most=24, z=1.96, purity=0.8):
+    """paths: {(host, segments with $): (pages, n, bad)}; returns {(host, segments): (template, rejected)}, by recursion."""
+    leaf = {}
+
+    def grow(host, prefix, inside):
+        kids = defaultdict(list)
+        for rest, full in inside:
+            if rest:
+                kids[rest[0]].append((rest[1:], full))
+            else:
+                leaf[host, full] = prefix
+        count = {k: [sum(paths[host, f][j] for _, f in v) for j in range(3)] for k, v in kids.items()}
+        whole = sum(c[0] for c in count.values())
+        rare = {k for k, c in count.items() if len(kids) > most and c[0] < share * whole and k[0] != "{" and k != "$"}
+        joint = (sum(count[k][2] for k in rare) + 1) / (sum(count[k][1] for k in rare) + 2)
+        apart = {k for k in rare if count[k][1] >= 5 and abs(count[k][2] - count[k][1] * joint) > z * math.sqrt(count[k][1] * joint * (1 - joint)) + 0.5}
+        joined = defaultdict(list)
+        for k, v in kids.items():
+            joined["*" if k in rare - apart else k] += v
+        for k, v in joined.items():
+            grow(host, (*prefix, k), v)
+
+    for host in {h for h, _ in paths}:
+        grow(host, (), [(f, f) for h, f in paths if h == host])
+    counts = defaultdict(lambda: [0, 0])
+    for (host, f), t in leaf.items():
+        for k in range(len(t) + 1):
+            counts[host, t[:k]][0] += paths[host, f][1]
+            counts[host, t[:k]][1] += paths[host, f][2]
+    every, near, score = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), {}
+    for (host, t), c in counts.items():
+        for d in (every[t], near[".".join(host.split(".")[-2:]), t]):
+            d[0] += c[0]
+            d[1] += c[1]
+    toward = lambda prior, c: (c[1] + 2 * prior) / (c[0] + 2)
+    for host, t in sorted(counts, key=lambda x: len(x[1])):
+        if not t:
+            score[host, t] = toward(0.5, counts[host, t])
+            continue
+        line = sorted((c[1] / c[0], "/".join(u), u) for (h, u), c in counts.items() if h == host and u[:-1] == t[:-1] and c[0])
+        groups = []
+        for x in line:
+            if groups:
+                (n, b), (m, c) = counts[host, groups[-1][-1]], counts[host, x[2]]
+                q = (b + c) / (n + m)
+            if groups and c / m - b / n <= z * math.sqrt(q * (1 - q) * (1 / n + 1 / m)) + 1e-12:
+                groups[-1].append(x[2])
+            else:
+                groups.append([x[2]])
+        own = next((g for g in groups if t in g), [])
+        joint = [sum(counts[host, u][j] for u in own) for j in range(2)]
+        prior = toward(toward(score[host, t[:-1]], every[t]), near[".".join(host.split(".")[-2:]), t])
+        score[host, t] = toward(prior, joint)
+    return {k: ("/" + "/".join(t[:-1]) if len(t) > 1 else "", score[k[0], t] >= purity) for k, t in leaf.items()}
+
+
+def check_templates(spark, pages, rules, labels=None):
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    known = None if labels is None else spark.createDataFrame(labels, "page_id long, bad int")
+    got = filter_urls(table, rules=rules, labels=known).collect()
+    bad = dict(labels or [])
+    rows, paths = [], defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        segs = tuple("{n}" if x.isdigit() else x for x in r.path.split("/") if x)
+        segs = (*segs[:16], *["{more}"] * (len(segs) > 16), "$")
+        ruled = r.rule and next(v for v, x in rules if x == r.rule)
+        label = bad.get(r.page_id) if labels is not None else None if ruled is None else int(ruled == "block")
+        c = paths[r.host, segs]
+        c[0] += 1
+        c[1] += label is not None
+        c[2] += label or 0
+        rows.append((r, segs, ruled))
+    want = brute_templates(paths)
+    for r, segs, ruled in rows:
+        template, reject = want[r.host, segs]
+        assert (r.template, r.verdict) == (template, ruled or ("block" if reject else "allow"))
+    return got
+
+
+def test_url_templates_against_brute_force(spark):
+    import random
+
+    dice = random.Random(5)
+    hosts = ["a.site.org", "b.site.org", "c.other.org", "x.net"]
+    pages = []
+    for k in range(2500):
+        section = dice.choice(["news", "shop", "u", "u", "tag"])
+        tail = {"news": f"/{dice.randrange(9999)}", "shop": f"/{dice.choice('pqr')}/{dice.randrange(99)}", "u": f"/name{dice.choice('ghjklm')}{dice.randrange(70)}/{dice.choice(['posts', 'pics'])}", "tag": f"/t{dice.randrange(9)}z" + "/deep" * dice.randrange(20)}[section]
+        pages.append((k, f"https://{dice.choice(hosts)}/{section}{tail}?q"))
+    risk = lambda u: 0.97 if "/p/" in u or "pics" in u or "x.net" in u or "nameg1/" in u else 0.03
+    labels = [(k, int(dice.random() < risk(u))) for k, u in pages if dice.random() < 0.4 and "b.site" not in u]
+    got = check_templates(spark, pages, (), labels)
+    assert any("*" in r.template for r in got)
+    assert {r.verdict for r in got if r.host == "b.site.org"} == {"block", "allow"}
+    check_templates(spark, pages, (("block", "site.org/shop/"), ("allow", "org/news/")))
+
+
+def test_url_templates_of_the_table(spark):
+    rules = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{DATA_001}/pages.parquet").collect()]
+    got = check_templates(spark, [(k, re.sub(r"(\d+)\.html", r"\1", u)) for k, u in pages], rules)
+    free = Counter(r.verdict for r in got if r.rule is None)
+    assert free["block"] > 20 and free["allow"] > 20
+
+
 def test_urls_odd_rows(spark):
     rows = [(1, None), (2, "no scheme"), (None, "HTTP://A.NET/x"), (4, "x://"), (5, "http://EXAMPLE.net?q=/en/"), (5, "http://EXAMPLE.net?q=/en/"), (6, "http://a.b/c://d")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("h", F.lit(1)).withColumn("t", F.lit(1))
