@@ -30,8 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column | str) -> Column:
     """The text's words, A-Z lower-cased; an empty array for null and blank texts."""
-    trimmed = F.btrim(F.translate(text, UPPER, LOWER), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>"))
+    parts = F.array_remove(F.split(F.translate(text, UPPER, LOWER), SPACE), "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
 
 def word_hashes(text: Column | str) -> Column:
@@ -49,13 +49,12 @@ def shingle_hashes(hashes: Column, size: int) -> Column:
 LANES = 22
 #: Windows of one text that a row holds at a time.
 CHUNK = 256
-#: Bits of a fingerprint, 64 from each of the seeds.
-SEEDS = (42, 43)
-BITS = 64 * len(SEEDS)
+#: Longs of a fingerprint. Each has 64 bits of the tokens hashed with another seed.
+LONGS = 2
 
 
-def _add_bits(shift: int, mask: Column, seed: int):
-    return lambda total, x: total + F.shiftrightunsigned(F.xxhash64(x, F.lit(seed)), shift).bitwiseAND(mask)
+def _add_bits(shift: int, mask: Column):
+    return lambda total, x: total + F.shiftrightunsigned(x, shift).bitwiseAND(mask)
 
 
 def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -66,21 +65,22 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_simhash(df: DataFrame, tokens: str, name: str) -> DataFrame:
     """df with the SimHash of an array of hashes, an element per occurrence, as an array of longs. Three bit counters share a long."""
     mask = F.lit(1 | 1 << LANES | 1 << 2 * LANES)
-    counters = [F.aggregate(F.col(tokens), F.lit(0).cast("long"), _add_bits(j, mask, seed)) for seed in SEEDS for j in range(LANES)]
+    df = fixed(df, "__hashes", F.array(*[F.transform(tokens, lambda x, seed=seed: F.xxhash64(x, F.lit(seed))) for seed in range(LONGS)]))
+    counters = [F.aggregate(F.get("__hashes", F.lit(k)), F.lit(0).cast("long"), _add_bits(j, mask)) for k in range(LONGS) for j in range(LANES)]
     df = fixed(df, "__counters", F.array(*counters))
     longs = []
-    for k in range(len(SEEDS)):
+    for k in range(LONGS):
         out = F.lit(0).cast("long")
         for bit in range(64):
             count = F.shiftrightunsigned(F.get("__counters", F.lit(k * LANES + bit % LANES)), LANES * (bit // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
             out = out.bitwiseOR(F.when(2 * count > F.size(tokens), F.lit(-(1 << 63) if bit == 63 else 1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
         longs.append(out)
-    return fixed(df, name, F.array(*longs)).drop("__counters")
+    return fixed(df, name, F.array(*longs)).drop("__hashes", "__counters")
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
     """(first bit, bits) of radius + 1 blocks or some more, none of which lies in two longs."""
-    each = [-(-(radius + 1) // len(SEEDS))] * len(SEEDS)
+    each = [-(-(radius + 1) // LONGS)] * LONGS
     out = []
     for k, n in enumerate(each):
         sizes = [64 // n + (j < 64 % n) for j in range(n)]
@@ -93,13 +93,21 @@ def _block_values(fingerprint: str, radius: int) -> Column:
     return F.array(*parts)
 
 
-def _first_equal_block(difference: str, number: str, radius: int) -> Column:
+def _difference(k: int) -> Column:
+    return F.get("mark", F.lit(k)).bitwiseXOR(F.get("item_mark", F.lit(k)))
+
+
+def _distance() -> Column:
+    return sum((F.bit_count(_difference(k)) for k in range(1, LONGS)), F.bit_count(_difference(0)))
+
+
+def _first_equal_block(number: str, radius: int) -> Column:
     """Whether no block before `number` is equal, so that each pair is verified once."""
     out = F.lit(True)
     for k, (at, size) in enumerate(blocks(radius)):
         mask = ((1 << size) - 1) << at % 64
         mask -= 1 << 64 if mask >= 1 << 63 else 0
-        out = out & ((F.col(number) <= k) | (F.get(difference, F.lit(at // 64)).bitwiseAND(F.lit(mask).cast("long")) != 0))
+        out = out & ((F.col(number) <= k) | (_difference(at // 64).bitwiseAND(F.lit(mask).cast("long")) != 0))
     return out
 
 
@@ -160,10 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marked = with_simhash(fixed(cut, "window", of_size("part")).select("key", "doc_id", "no", "start", "window"), "window", "mark")
     probe = marked.select("*", F.explode(_block_values("mark", radius)).alias("b")).select("key", "doc_id", "no", "start", "window", "mark", F.col("b.no").alias("block"), "b.bits")
     index = items.select("no", "item", "item_mark", F.explode(_block_values("item_mark", radius)).alias("b")).select("no", "item", "item_mark", F.col("b.no").alias("block"), "b.bits")
-    pairs = probe.join(small(index), ["no", "block", "bits"]).withColumn("x", F.zip_with("mark", "item_mark", lambda a, b: a.bitwiseXOR(b)))
-    distance = sum((F.bit_count(F.get("x", F.lit(k))) for k in range(1, len(SEEDS))), F.bit_count(F.get("x", F.lit(0))))
-    pairs = pairs.where((distance <= radius) & _first_equal_block("x", "block", radius))
-    pairs = pairs.withColumn("similarity", weighted_jaccard("window", "item")).where(F.col("similarity") >= similarity)
+    pairs = probe.join(small(index), ["no", "block", "bits"]).where((_distance() <= radius) & _first_equal_block("block", radius))
+    pairs = fixed(pairs.select("key", "doc_id", "no", "start", "window", "item"), "similarity", weighted_jaccard("window", "item")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before")))
     best = pairs.groupBy("key", "doc_id", "no").agg(best.alias("best"))
     out = best.join(small(named.select("no", "item_id").distinct()), "no")
