@@ -13,7 +13,8 @@ words). Two documents link when 100 * intersection >= 75 * union. The join is ex
   subclass's tokens but one come to e + 1: then a partner shares a rare token or a pair in each case.
   Subclasses depend on a size level; a set near a level's edge is indexed at both levels. Sets of
   at most 64 tokens, where pairs cannot reach the bound, index their e + 1 first tokens singly.
-* Postings of up to `small_group` nodes give all pairs of fitting sizes. Sets whose prefixes are rare tokens alone are
+* Postings of up to `small_group` nodes, fewer than a rare token has, give all pairs of fitting sizes: at most 7.5 for a posting, at any size of the
+  corpus. A block of postings sums its pairs, and packs them by buckets of pairs, which add them up. Sets whose prefixes are rare tokens alone are
   compared further only if the prefix tokens that they share leave the needed overlap possible.
 * A larger group gives each member a hub (of its band of sizes and the next), so a group of copies costs linear
   time. After the components of these links are known, only members outside their hub group's main component are open.
@@ -37,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, durable, give_back, ready, trim
+from ._cluster import blocks_for, durable, free_name, give_back, ready, trim
 from ._words import PLACE, U, mix, shingles, steps
 from .components import connected_components
 
 BASE_LEVEL = 64
 FLUSH = 1 << 20
+#: Members of a hub that one task compares with it.
+HUB_ROWS = 1000
 CELL_BITS = 24
 
 
@@ -129,7 +132,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
         for k, tokens in _sets(batch):
             n[k], node[k] = len(tokens), _node(tokens)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(node)], names=["doc_id", "n_shingles", "node"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(node)], names=["doc_id", "text_key", "n_shingles", "node"])
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
@@ -253,6 +256,32 @@ def band_of(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / -np.log(percent / 100) + 1e-9).astype(np.int64)
 
 
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("needed", "<u4"), ("shared", "<u4")])
+
+
+def _packed(pairs: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, pairs) of columns a, b, needed, shared; a bucket holds all of what is known of a pair."""
+    rows = np.empty(len(pairs), PAIR)
+    for k, name in enumerate(PAIR.names):
+        rows[name] = pairs[:, k]
+    bucket = _block(mix(rows["a"].view(U) * PLACE[1] + rows["b"].view(U) * PLACE[2]), buckets)[0]
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    for k, a, b in _spans(bucket):
+        yield k, rows[a:b].tobytes()
+
+
+def _summed(key, group: pd.DataFrame) -> pd.DataFrame:
+    """The distinct memberships, and the pairs that share as many entries as they need."""
+    out = []
+    for hub, own in group.groupby("hub"):
+        rows = np.concatenate([np.frombuffer(x, PAIR) for x in own["pairs"]])
+        rows = _sum_pairs([np.column_stack([rows[name].astype(np.int64) for name in PAIR.names])])
+        rows = rows if hub else rows[rows[:, 3] >= rows[:, 2]]
+        out.append(pd.DataFrame({"hub": bool(hub), "a": rows[:, 0], "b": rows[:, 1]}))
+    return pd.concat(out)
+
+
 def _sum_pairs(parts: list[np.ndarray]) -> np.ndarray:
     """Columns a, b, needed, shared; rows of equal a and b added up."""
     x = np.concatenate(parts)
@@ -263,8 +292,8 @@ def _sum_pairs(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _candidates(small_group: int, percent: int):
-    """Pairs (hub false, needed, shared) and memberships (hub true: a is b's hub)."""
+def _candidates(small_group: int, percent: int, buckets: int):
+    """Pairs (hub false) and memberships (hub true: a is b's hub), packed by buckets."""
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         rows = np.unique(np.concatenate([np.frombuffer(x, POSTING) for x in group["rows"]]))
@@ -298,7 +327,9 @@ def _candidates(small_group: int, percent: int):
                     members.append(np.column_stack([np.full(len(with_hub), hub), with_hub])[with_hub != hub])
         both = _sum_pairs(pairs) if pairs else np.zeros((0, 4), np.int64)
         star = np.unique(np.concatenate(members), axis=0) if members else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"hub": np.r_[np.zeros(len(both), bool), np.ones(len(star), bool)], "a": np.r_[both[:, 0], star[:, 0]], "b": np.r_[both[:, 1], star[:, 1]], "needed": np.r_[both[:, 2], np.zeros(len(star), np.int64)], "shared": np.r_[both[:, 3], np.zeros(len(star), np.int64)]})
+        star = np.column_stack([star, np.zeros_like(star)])
+        out = [(bucket, hub, blob) for hub, found in ((False, both), (True, star)) for bucket, blob in _packed(found, buckets)]
+        return pd.DataFrame(out, columns=["bucket", "hub", "pairs"])
 
     return run
 
@@ -358,7 +389,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, bits: int, percent: int) -> Dat
     sets = docs.mapInArrow(_wanted_sets(bitmap, bits), "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "hub", "x", "y")
+    # a hub of thousands is sent to several tasks, each with a part of its members
+    large = durable(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_ROWS).select("a", F.ceil(F.col("n") / HUB_ROWS).cast("int").alias("parts")))
+    first = pairs.join(large, "a", "left_anti").join(x.hint("merge"), "a")
+    if not large.isEmpty():
+        copies = x.join(large, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = pairs.join(large, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+        first = first.unionByName(dealt.join(copies, ["a", "part"]).drop("part"))
+    joined = first.join(y.hint("merge"), "b").select("a", "b", "hub", "x", "y")
     return durable(joined.mapInArrow(_verify(percent), "a long, b long, hub boolean, na long, nb long, both long, linked boolean, rest array<long>"))
 
 
@@ -372,10 +410,12 @@ def _open_pairs(stars: DataFrame, named: DataFrame, percent: int, small_group: i
     votes = member.groupBy("hub", "root").agg(F.count("*").alias("votes"))
     main = votes.groupBy("hub").agg(F.max_by("root", F.struct("votes", "root")).alias("main"))
     least = member.groupBy("hub").agg(F.min("n").alias("least"))
-    member = durable(member.join(main, "hub").join(least, "hub").withColumn("odd", F.col("root") != F.col("main")))
-    if member.where("odd").isEmpty():
+    # a row a hub, written first, so that the joins can split a large hub
+    hubs = durable(main.join(least, "hub"))
+    member = durable(member.join(hubs, "hub").withColumn("odd", F.col("root") != F.col("main")))
+    unsettled = durable(member.where("odd").select("hub").distinct())
+    if unsettled.isEmpty():
         return None
-    unsettled = member.where("odd").select("hub").distinct()
     member = member.join(unsettled, "hub", "left_semi")
     overlap = lambda n, m: F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(float(100 + percent)) - 1e-9).cast("long")
     fit = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("root") != F.col("root2"))
@@ -399,18 +439,23 @@ def _open_pairs(stars: DataFrame, named: DataFrame, percent: int, small_group: i
     return pairs, stars
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = 17, small_group: int = 32, frequent_cap: int = 1 << 21, rounds: int = 8) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = 17, small_group: int = 16, frequent_cap: int = 1 << 21, rounds: int = 12) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included), component, text_key.
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing. Rows with equal ids
     or texts each get a row; a null id is never a component's name while the component has another id.
     An empty table gives an empty result; other columns are ignored, whatever their names. Texts of
-    any length are taken whole. Token hashes have 64 bits (48 when sets are compared).
+    any length are taken whole. Token hashes have 64 bits (48 when sets are compared). component names the component even where ids
+    repeat, null for an empty set; text_key = xxhash64(id, text) tells rows apart. What `rounds` - 1 rounds of hubs leave open
+    is compared pair by pair in the last.
     """
+    if rounds < 2:
+        raise ValueError("the last round compares what the others leave open, so there are two at least")
     spark: SparkSession = ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text = docs.select("text")
-    own = durable(docs.mapInArrow(_nodes, "doc_id long, n_shingles long, node long"))
+    own = docs.withColumn("text_key", F.xxhash64("doc_id", "text"))
+    own = durable(own.mapInArrow(_nodes, "doc_id long, text_key long, n_shingles long, node long"))
     tokens, count = own.agg(F.sum("n_shingles"), F.count("*")).first()
     n_blocks = blocks_for(tokens, 1 << 20)
     # as many postings as tokens at the very most, about a third in practice
@@ -418,9 +463,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = min(27, max(18, int(count).bit_length() + 4))
     cells = spark.sparkContext.broadcast(frequent_cells(text, n_blocks, least, frequent_cap))
     index = text.mapInArrow(_postings(n_blocks, index_blocks, cells, percent), "block long, rows binary")
-    found = index.groupBy("block").applyInPandas(_candidates(small_group, percent), "hub boolean, a long, b long, needed long, shared long")
-    found = found.groupBy("hub", "a", "b").agg(F.max("needed").alias("needed"), F.sum("shared").alias("shared"))
-    todo = durable(found.where("shared >= needed").select("hub", "a", "b"))
+    # a bucket gets what some blocks' postings make
+    packed = index.groupBy("block").applyInPandas(_candidates(small_group, percent, blocks_for(index_blocks, 8)), "bucket long, hub boolean, pairs binary")
+    todo = durable(packed.groupBy("bucket").applyInPandas(_summed, "hub boolean, a long, b long"))
     tested = links = None
     for round_no in range(rounds):
         seen = _verified(text, todo, bits, percent)
@@ -435,17 +480,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         todo = durable(more[0].join(both_ways, ["a", "b"], "left_anti").unionByName(more[1]))
         if todo.isEmpty():
             break
-    # an empty set is a component of its own
-    labelled = own.join(named, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
-    least_id = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
+    # an empty set is a component of its own; smallest ids are written first, so that the join can split a large component
+    labelled = own.join(durable(named), "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
+    least_id = durable(labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id")))
     out = labelled.join(least_id, "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"), F.col("root").alias("component"), "text_key")
 
 
-def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without all but the component's named document; of repeated ids one row stays, null ids all stay."""
-    kept = components.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = durable(kept.select(F.col("doc_id").alias("__kept"), "n"))
-    found = docs.join(kept.select("__kept").where("n = 1"), F.col(id_col) == F.col("__kept"), "left_semi")
-    again = docs.join(kept.select("__kept").where("n > 1"), F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return found.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each component: that of smallest id, of equal ids the one of smallest text_key, a null id last.
+
+    Rows are told apart by id and text, so repeated ids with different texts are judged each for itself, and rows of equal id and text
+    are one. Rows without words all stay. An empty table gives an empty result; the columns of docs stay, whatever their names.
+    """
+    mark = free_name(docs)
+    rows = components.groupBy("component", "text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("x")
+    kept = rows.where("component is not null").groupBy("component").agg(first).select(F.col("x.text_key").alias(mark), F.col("x.n").alias("n"))
+    kept = durable(kept.unionByName(rows.where("component is null").select(F.col("text_key").alias(mark), F.lit(1).cast("long").alias("n"))))
+    marked = docs.withColumn(mark, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    once = marked.join(kept.where("n = 1").select(mark), mark, "left_semi")
+    again = marked.join(kept.where("n > 1").select(mark), mark, "left_semi").dropDuplicates([mark])
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -297,6 +297,30 @@ def test_jaccard_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 8, 10, 11]
 
 
+def test_keep_one_by_row(spark):
+    """Repeated ids with other texts, null ids, repeated rows, clashing columns."""
+    text = "a b c d e f g h"
+    rows = [(7, "one two three"), (7, "four five six"), (3, text), (5, text), (5, "new words here"), (None, text), (None, "only here"), (None, "only here"), (9, "twice"), (9, "twice"), (2, ""), (2, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, k, "x", 1) for k, r in enumerate(rows)], "doc_id long, text string, __kept int, component string, __tarn0 int")
+    kept = keep_one(docs, jaccard_components(docs))
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == {(7, "one two three"): 1, (7, "four five six"): 1, (3, text): 1, (5, "new words here"): 1, (None, "only here"): 1, (9, "twice"): 1, (2, ""): 2, (None, None): 1}
+    assert keep_one(docs.limit(0), jaccard_components(docs.limit(0))).count() == 0
+
+
+def test_jaccard_large_hubs(spark, monkeypatch):
+    """A family of near copies whose hub is dealt to several tasks."""
+    from tarn.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HUB_ROWS", 20)
+    base = [f"v{k}" for k in range(90)]
+    rows = [(k, " ".join(base[: k % 89] + [f"e{k}"] + base[k % 89 :])) for k in range(150)] + [(1000 + k, f"other text number {k} of some words") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
