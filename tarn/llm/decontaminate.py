@@ -57,6 +57,10 @@ def _add_bits(shift: int, mask: Column):
     return lambda total, x: total + F.shiftrightunsigned(x, shift).bitwiseAND(mask)
 
 
+def _seeded(seed: int):
+    return lambda x: F.xxhash64(x, F.lit(seed))
+
+
 def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column computed once a row. A generator of one row keeps the optimizer from copying `value` into each place that uses it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -65,7 +69,7 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_simhash(df: DataFrame, tokens: str, name: str) -> DataFrame:
     """df with the SimHash of an array of hashes, an element per occurrence, as an array of longs. Three bit counters share a long."""
     mask = F.lit(1 | 1 << LANES | 1 << 2 * LANES)
-    df = fixed(df, "__hashes", F.array(*[F.transform(tokens, lambda x, seed=seed: F.xxhash64(x, F.lit(seed))) for seed in range(LONGS)]))
+    df = fixed(df, "__hashes", F.array(*[F.transform(tokens, _seeded(seed)) for seed in range(LONGS)]))
     counters = [F.aggregate(F.get("__hashes", F.lit(k)), F.lit(0).cast("long"), _add_bits(j, mask)) for k in range(LONGS) for j in range(LANES)]
     df = fixed(df, "__counters", F.array(*counters))
     longs = []
