@@ -14,10 +14,12 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one for local masters; an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(context, "_tarn_shared", None) or tempfile.mkdtemp(prefix="tarn-")
         context._tarn_shared = folder
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -33,6 +35,12 @@ def new_dir(spark: SparkSession, kind: str) -> str:
     return f"{folder}/tarn-{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder made by new_dir that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

@@ -27,4 +27,6 @@ class NewFile:
 
     def close(self) -> None:
         self.stream.close()
+        if self.system.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.system.delete_file(self.path)  # of an earlier run of the task; some systems refuse to move onto it
         self.system.move(self.temporary, self.path)

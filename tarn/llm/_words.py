@@ -11,8 +11,6 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
 #: Bytes of text that one step holds; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -24,47 +22,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=U) * BASE)
+BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES)
-        for key, base in (("up", BASE), ("down", BASE_INVERSE)):
-            x = np.full(size, base, dtype=U)
-            x[0] = U(1)
-            _powers[key] = np.cumprod(x, dtype=U)
-    return _powers["up"][:n], _powers["down"][:n]
+def _factors(a: int, b: int) -> np.ndarray:
+    """The odd multipliers of the places a to b of a word, independent of each other."""
+    return mix(np.arange(a + 1, b + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
+
+
+FACTORS = _factors(0, 1 << 10)
+
+
+def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end, a step's bytes at a time."""
+    n = len(data)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    tops, bottoms = offsets[:-1], offsets[1:] - 1
+    for a in range(0, n, STEP_BYTES):
+        b = min(n, a + STEP_BYTES)
+        part = data[max(0, a - 1) : min(n, b + 1)]
+        inside = np.zeros(b - a + 2, dtype=bool)
+        inside[int(a == 0) : int(a == 0) + len(part)] = (part != 32) & ((part < 9) | (part > 13))
+        own = inside[1:-1]
+        begin, stop = own & ~inside[:-2], own & ~inside[2:]
+        x = tops[np.searchsorted(tops, a) : np.searchsorted(tops, b)] - a
+        begin[x] = own[x]
+        x = bottoms[np.searchsorted(bottoms, a) : np.searchsorted(bottoms, b)] - a
+        stop[x] = own[x]
+        starts.append(np.flatnonzero(begin) + a)
+        ends.append(np.flatnonzero(stop) + (a + 1))
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Per word the sum over its bytes of the byte's value times its place's factor, a step's bytes at a time."""
+    out = np.zeros(len(starts), dtype=U)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + STEP_BYTES, side="right")))
+        b = int(ends[j - 1])
+        if b - a > STEP_BYTES:  # one long word
+            for x in range(a, b, STEP_BYTES):
+                y = min(b, x + STEP_BYTES)
+                out[i : i + 1] += (table[data[x:y]] * _factors(x - a, y - a)).sum(dtype=U)
+        else:
+            own = starts[i:j]
+            place = np.arange(a, b) - np.repeat(own, np.diff(own, append=b))
+            long = int((ends[i:j] - own).max())
+            factors = FACTORS if long <= len(FACTORS) else _factors(0, long)
+            total = np.zeros(b - a + 1, dtype=U)
+            np.cumsum(table[data[a:b]] * factors.take(place, mode="clip"), out=total[1:])
+            out[i:j] = total[ends[i:j] - a] - total[own - a]
+        i = j
+    return out
 
 
 class Words:
-    """The words of some consecutive texts: byte ranges, hashes, and first[i]:first[i + 1] for text i."""
+    """The words of some consecutive texts: byte ranges, hashes, and first[i]:first[i + 1] for text i.
+
+    A hash is multilinear: each place of a word has a factor of its own, so no pattern of bytes cancels out as in a polynomial.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
         self.data, self.offsets = data, offsets
-        n = len(data)
-        inside = np.ones(n + 1, dtype=bool)
-        inside[:n] = (data != 32) & ((data < 9) | (data > 13))
-        inside[n] = False
-        begin = np.ones(n, dtype=bool)
-        begin[1:] = ~inside[: n - 1]
-        edges = offsets[:-1][offsets[:-1] < n]
-        begin[edges] = True
-        begin &= inside[:n]
-        stop = ~inside[1:]
-        last = offsets[1:][offsets[1:] > 0] - 1
-        stop[last] = True
-        stop &= inside[:n]
-        self.starts = np.flatnonzero(begin)
-        self.ends = np.flatnonzero(stop) + 1
+        self.starts, self.ends = _edges(data, offsets)
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _power(n + 1)
-        total = np.zeros(n + 1, dtype=U)
-        np.cumsum((BYTE_LOWER if lower else BYTE)[data] * up[:n], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + U(0x51))
+        self.hashes = mix(_sums(data, self.starts, self.ends, BYTE_LOWER if lower else BYTE) + U(0x51))
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ._cluster import durable, new_dir, ready
 from ._files import NewFile, opened
-from ._words import steps
+from ._words import Words, steps
 
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -37,6 +37,8 @@ CHECK = struct.Struct("<I")
 INDEX_MAGIC = b"TARNIDX1"
 #: Words whose ids a worker remembers; when full it keeps those that it met again.
 CACHE_WORDS = 600_000
+#: Words of a very long text that are encoded at a time.
+ENCODE_WORDS = 1 << 19
 
 
 def masked(data: bytes) -> int:
@@ -131,22 +133,30 @@ class Encoder:
                 yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
             return
         for _, _, words in steps(column, lower=False):
-            keys, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-            at, absent = self._places(keys)
-            if len(self.keys) + len(absent) > CACHE_WORDS:
-                self._forget()
-                at, absent = self._places(keys)
-            if len(absent):
-                spots = first[absent]
-                self._learn(keys[absent], [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.starts[spots].tolist(), words.ends[spots].tolist(), strict=True)])
-                at, absent = self._places(keys)
-            self.hits[at] += 1
-            lens = self.lens[at][which]
-            ids = _gather(self.flat, self.starts[at][which], lens)
+            n = len(words.hashes)
+            if len(words) == 1 and n > ENCODE_WORDS:  # a very long text
+                yield np.concatenate([self._words_ids(words, a, min(n, a + ENCODE_WORDS))[0] for a in range(0, n, ENCODE_WORDS)])
+                continue
+            ids, lens = self._words_ids(words, 0, n)
             bounds = np.r_[0, np.cumsum(lens)][words.first].tolist()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 yield ids[a:b]
 
+    def _words_ids(self, words: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words a to b, and how many each has."""
+        keys, first, which = np.unique(words.hashes[a:b], return_index=True, return_inverse=True)
+        at, absent = self._places(keys)
+        if len(self.keys) + len(absent) > CACHE_WORDS:
+            self._forget()
+            at, absent = self._places(keys)
+        if len(absent):
+            spots = first[absent] + a
+            self._learn(keys[absent], [words.data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(words.starts[spots].tolist(), words.ends[spots].tolist(), strict=True)])
+            at, absent = self._places(keys)
+        self.hits[at] += 1
+        lens = self.lens[at][which]
+        return _gather(self.flat, self.starts[at][which], lens), lens
+
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + len], one after the other."""

@@ -598,6 +598,64 @@ def test_token_records_of_whole_texts(spark):
     assert x == read_records(write_records(odd_rows(spark), path)).orderBy("start").collect()
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_that_collide_in_polynomials(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.word_tokenizer())
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, word), (2, other), (3, f"{other} {word}"), (4, word[:-1]), (5, "x" * 3000 + word)]
+    got = {r.doc_id: r.ids for r in read_records(write_records(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), queries.word_tokenizer()), with_ids=True).collect()}
+    assert got == {d: [*t.encode(x, add_special_tokens=False).ids, 1] for d, x in docs}
+
+
+def test_words_in_steps(monkeypatch):
+    """Words, their ends and hashes do not depend on the steps, nor on where a text stands."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarn.llm import _words
+
+    texts = ["", " a bc\td ", None, "word", "Ab", "", "x" * 50 + " y", "  ", "é\u00a0z q\r\n1", thue_morse(300)]
+    want = [(re.findall(r"[^\x20\x09-\x0d]+", x or "")) for x in texts]
+    seen = {}
+    for size in (7, 16, 40, 1 << 20):
+        monkeypatch.setattr(_words, "STEP_BYTES", size)
+        for at, to, w in _words.steps(pa.array(texts), lower=False):
+            for k in range(at, to):
+                spots = range(w.first[k - at], w.first[k - at + 1])
+                assert [w.data[w.starts[i] : w.ends[i]].tobytes().decode() for i in spots] == want[k]
+                for i, x in zip(spots, want[k], strict=True):
+                    assert seen.setdefault(x, w.hashes[i]) == w.hashes[i]
+    assert len(set(seen.values())) == len(seen)
+    assert np.uint64 is _words.U
+
+
+def test_one_very_long_text():
+    """A text of 30 MB is hashed and encoded with memory of some eight times its size."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from tarn.llm import queries
+from tarn.llm.records import Encoder
+e = Encoder(queries.word_tokenizer())
+text = pa.array(["some words of no great meaning " * 1_000_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = next(e.encode(text))
+assert len(ids) % 1_000_000 == 0
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout)
+    assert used < 400
+
+
 # warc
 
 
