@@ -408,15 +408,13 @@ def _open_pairs(stars: DataFrame, named: DataFrame, percent: int, small_group: i
     roots = named.select(F.col("node").alias("b"), "root")
     member = stars.select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "both", "rest").join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
     votes = member.groupBy("hub", "root").agg(F.count("*").alias("votes"))
-    main = votes.groupBy("hub").agg(F.max_by("root", F.struct("votes", "root")).alias("main"))
+    main = votes.groupBy("hub").agg(F.max_by("root", F.struct("votes", "root")).alias("main"), F.count("*").alias("roots"))
     least = member.groupBy("hub").agg(F.min("n").alias("least"))
-    # a row a hub, written first, so that the joins can split a large hub
-    hubs = durable(main.join(least, "hub"))
-    member = durable(member.join(hubs, "hub").withColumn("odd", F.col("root") != F.col("main")))
-    unsettled = durable(member.where("odd").select("hub").distinct())
-    if unsettled.isEmpty():
+    # a row a hub whose members are of several components, written first, so that the join can split a large hub
+    hubs = durable(main.where("roots > 1").join(least, "hub"))
+    if hubs.isEmpty():
         return None
-    member = member.join(unsettled, "hub", "left_semi")
+    member = durable(member.join(hubs, "hub").withColumn("odd", F.col("root") != F.col("main")))
     overlap = lambda n, m: F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(float(100 + percent)) - 1e-9).cast("long")
     fit = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("root") != F.col("root2"))
     side = lambda df: df.select("hub", *[c for c in ("token",) if c in df.columns], F.col("b").alias("c"), F.col("n").alias("m"), F.col("both").alias("both2"), F.col("root").alias("root2"))
