@@ -6,8 +6,10 @@ filter grows with the bigrams counted: it is made of segments, a bigram's bits a
 each segment has as many bits as its own insertions need. No process holds more than a segment.
 
 Neither words nor bigrams are bounded in number, so nothing is broadcast: documents are dealt into chunks, each chunk sends
-its different words and bigrams with their training counts to their hash blocks. A block's task adds the counts, builds the
-block's segment, probes it for the bigrams asked, and the answers meet the chunk's texts again.
+its different words and bigrams with their training counts to the hash blocks that they fall in, and to no others. A block's task adds the counts, builds the
+block's segment, probes it for the bigrams asked, and the answers, written to the shared folder, meet the chunk's texts again. Blocks and
+chunks both grow with the corpus, so that the tasks' memory does not; what is sent is a number of bytes for each entry, as large as the
+corpus at most. The driver gets four totals.
 
 The model: P(w | v) = k * c(v, w) / c(v) + (1 - k) * (c(w) + 1) / (N + V + 1), with c(v, w) from the filter and 0 where that has
 none, and k the share of bigram occurrences that would be left with one occurrence less of each bigram. A document's first word takes the second term alone; the end token has bigrams like a word.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, ready
+from ._cluster import blocks_for, durable, ready
 from ._words import PLACE, U, Words, mix, steps
 from .jaccard import _block
 
@@ -100,7 +102,7 @@ def _tallied(parts: list[np.ndarray], weights: list[np.ndarray], n_blocks: int)
 
 
 def _ask(n_blocks: int):
-    """A chunk's different tokens and bigrams by block, each with its training count there. Every block is asked, so that each answers."""
+    """A chunk's different tokens and bigrams by block, each with its training count there, for the blocks that have any."""
 
     def run(table: pa.Table) -> pa.Table:
         train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -112,12 +114,13 @@ def _ask(n_blocks: int):
             pairs.append(found)
             pair_weights.append(weights[-1][second])
         hashes, counts, spans = _tallied(parts, weights, n_blocks)
-        columns = {"hashes": [hashes[a:b].tobytes() for a, b in spans], "counts": [_small(counts[a:b]) for a, b in spans]}
-        hashes, counts, spans = _tallied(pairs, pair_weights, n_blocks)
-        places = hashes.astype(np.uint32)  # the low bits; the block is of the high ones
-        columns |= {"places": [places[a:b].tobytes() for a, b in spans], "pair_counts": [_small(counts[a:b]) for a, b in spans]}
+        found, pair_counts, pair_spans = _tallied(pairs, pair_weights, n_blocks)
+        places = found.astype(np.uint32)  # the low bits; the block is of the high ones
+        blocks = [k for k in range(n_blocks) if spans[k][0] < spans[k][1] or pair_spans[k][0] < pair_spans[k][1]]
+        part = lambda x, spans, shown: pa.array([shown(x[slice(*spans[k])]) for k in blocks], pa.binary())
+        columns = {"hashes": part(hashes, spans, np.ndarray.tobytes), "counts": part(counts, spans, _small), "places": part(places, pair_spans, np.ndarray.tobytes), "pair_counts": part(pair_counts, pair_spans, _small)}
         chunk = table.column("chunk")[0].as_py()
-        return pa.table({"block": pa.array(range(n_blocks), pa.int64()), "chunk": pa.array([chunk] * n_blocks, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+        return pa.table({"block": pa.array(blocks, pa.int64()), "chunk": pa.array([chunk] * len(blocks), pa.int64())} | columns)
 
     return run
 
@@ -145,24 +148,24 @@ def _totals(table: pa.Table, keys: str, kind: type, counts: str) -> tuple[np.nda
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of each chunk's tokens in a block and the filter's levels of its bigrams, and the block's tokens, different ones, bigrams and repeated ones."""
+    """Totals of each chunk's tokens in a block and the filter's levels of its bigrams. The block's first row has its tokens, different ones, bigrams and repeated ones, others have 0."""
     _, total, place, spans = _totals(table, "hashes", U, "counts")
     places, pair_total, pair_place, pair_spans = _totals(table, "places", np.uint32, "pair_counts")
     levels = _levels(places, pair_total)[pair_place]
     rows, pairs = table.num_rows, int(pair_total.sum())
     out = {"n": [b - a for a, b in spans], "totals": [_small(total[place[a:b]]) for a, b in spans], "levels": [levels[a:b].tobytes() for a, b in pair_spans]}
-    out |= {"tokens": [int(total.sum())] * rows, "kinds": [int((total > 0).sum())] * rows, "pairs": [pairs] * rows, "again": [pairs - int((pair_total > 0).sum())] * rows}
+    sums = {"tokens": int(total.sum()), "kinds": int((total > 0).sum()), "pairs": pairs, "again": pairs - int((pair_total > 0).sum())}
+    out |= {name: [n] + [0] * (rows - 1) for name, n in sums.items()}
     return pa.table({"chunk": table.column("chunk"), "block": table.column("block")} | {k: pa.array(v, pa.binary() if k in ("totals", "levels") else pa.int64()) for k, v in out.items()})
 
 
-def _score():
+def _score(n_train: int, kinds: int, n_pairs: int, again: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({k: pa.array([], t) for k, t in RESULT.items()})
         answers = answers.sort_by("block")
         totals = np.concatenate([_wide(x, n) for x, n in zip(answers.column("totals").to_pylist(), answers.column("n").to_pylist(), strict=True)])
         found_of = COUNT_OF[np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)]
-        n_train, kinds, n_pairs, again = (sum(answers.column(c).to_pylist()) for c in ("tokens", "kinds", "pairs", "again"))
         portions = list(_chunk_words(texts))
         hashes = np.unique(np.concatenate([p[2] for p in portions]))
         every = np.unique(np.concatenate([_bigrams(*p[2:])[0] for p in portions]))
@@ -207,6 +210,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n_blocks = blocks_for(chars or 0, 4 * chunk_chars)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition("chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_ask(n_blocks), "block long, chunk long, hashes binary, counts binary, places binary, pair_counts binary")
-    answers = asked.groupBy("block").applyInArrow(_answer, "chunk long, block long, n long, totals binary, levels binary, tokens long, kinds long, pairs long, again long")
+    answers = durable(asked.groupBy("block").applyInArrow(_answer, "chunk long, block long, n long, totals binary, levels binary, tokens long, kinds long, pairs long, again long"))
+    sums = [int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("tokens", "kinds", "pairs", "again")]).first()]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(*sums), schema)
