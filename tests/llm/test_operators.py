@@ -356,6 +356,52 @@ def test_fingerprints(spark):
     assert sum(r.near_edited for r in rows) / len(rows) > 3 * sum(r.near_next for r in rows) / len(rows)
 
 
+def pieces(text):
+    return [p for p in re.split("(?<=\\n)|(?<=[.!?…][ \\t])|(?<=[。！？।။。])", text) if p]
+
+
+def test_fingerprint_likeness(spark):
+    """The likeness is within its error of the cosine of the multisets of pieces, in mean and singly."""
+    docs = documents(spark)
+    rows = {r.doc_id: r for r in fingerprints(docs).collect()}
+    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    off = []
+    for k, (d, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        for got, other in ((rows[d].near_edited, text[: len(text) - half] + following[:half]), (rows[d].near_next, following)):
+            x, y = Counter(pieces(text)), Counter(pieces(other))
+            size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            cosine = sum(v * y[p] for p, v in x.items()) / size if size else float(x == y)
+            off.append(got - cosine)
+    assert sum(map(abs, off)) / len(off) < 0.08 and max(map(abs, off)) < 0.5
+
+
+def test_fingerprints_in_many_ranges(spark):
+    """Ranges of a few rows; a third of all rows of one id or without; repeated rows are one in the order."""
+    rows = [(k if k % 3 else None if k % 2 else 7000, f"text {k}. And {k * 7} more.") for k in range(400)]
+    key = lambda r: (r[0] is None, -(r[0] or 0))
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), each=20).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = [t for d, t in rows if d == r.doc_id and len(t) == r.n_chars]
+        half = r.n_chars // 2
+        found = [(a, b) for a in own for d, b in rows if hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest() == r.edited_sha256]
+        assert found
+    unique = sorted((r for r in rows if r[0] is not None and r[0] < 7000), key=key)
+    by = {r.doc_id: r for r in got}
+    for a, b in zip(unique, unique[1:], strict=False):
+        half = len(a[1]) // 2
+        assert by[a[0]].edited_sha256 == hashlib.sha256((a[1][: len(a[1]) - half] + b[1][:half]).encode()).hexdigest()
+    twice = fingerprints(spark.createDataFrame([(3, "a b. c d"), (2, "e f. g h"), (2, "e f. g h"), (1, "i. j")], "doc_id long, text string")).collect()
+    assert len(twice) == 4
+    for r in twice:
+        n = r.n_chars
+        text = {3: "a b. c d", 2: "e f. g h", 1: "i. j"}[r.doc_id]
+        nxt = {3: "e f. g h", 2: "i. j", 1: "a b. c d"}[r.doc_id]
+        assert r.edited_sha256 == hashlib.sha256((text[: n - n // 2] + nxt[: n // 2]).encode()).hexdigest()
+
+
 def test_fingerprints_are_homomorphic(spark):
     t = spark.createDataFrame([("b.\na.\n", "c.\n", "a.\nb.\n", "c.\nb.\na.\n", "a. ")], "x string, y string, r string, all string, other string")
     for c in ("x", "y", "r", "all", "other"):
