@@ -107,24 +107,22 @@ def likeness(x: Column, y: Column, sx: Column, sy: Column) -> Column:
 
 
 def _chain(rows: DataFrame, each: int) -> DataFrame:
-    """(key, before, half): each row's predecessor and how many characters that one needs of it. rows: key, doc_id, tie, n; each key once.
+    """(key, before): each row's predecessor as (key, doc_id, half), half being how many characters it needs of the row. rows: key, doc_id, tie, n; each key once.
 
     Rows are dealt into ranges of about `each` by (doc_id, tie) in order, so a repeated or null id is as many ranges as it needs.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("key")]
     parts = max(1, -(-rows.count() // each))
+    own = F.struct("key", "doc_id", F.floor(F.col("n") / 2).cast("int").alias("half"))
     dealt = durable(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     line = Window.partitionBy("part").orderBy(*order)
-    linked = dealt.select("key", "part", F.floor(F.col("n") / 2).cast("int").alias("half"), F.lag("key").over(line).alias("before"), F.lag(F.floor(F.col("n") / 2).cast("int")).over(line).alias("needs"), F.lead("key").over(line).alias("after"))
-    linked = durable(linked)
+    linked = durable(dealt.select("key", "part", own.alias("own"), F.lag(own).over(line).alias("before"), F.lead("key").over(line).alias("after")))
     # a row per range
-    last = linked.where("after is null").select("part", F.col("key").alias("last"), F.col("half").alias("last_half"))
     ends = Window.orderBy("part")
     whole = ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = last.select((F.lead("part", 1).over(ends)).alias("next_part"), F.min("part").over(whole).alias("first_part"), "last", "last_half")
-    last = last.select(F.coalesce("next_part", "first_part").alias("part"), "last", "last_half")
-    heads = linked.where("before is null").join(last, "part").select("key", F.col("last").alias("before"), F.col("last_half").alias("half"))
-    return heads.unionByName(linked.where("before is not null").select("key", "before", F.col("needs").alias("half")))
+    last = linked.where("after is null").select(F.coalesce(F.lead("part", 1).over(ends), F.min("part").over(whole)).alias("part"), F.col("own").alias("last"))
+    heads = linked.where("before is null").join(last, "part").select("key", F.col("last").alias("before"))
+    return heads.unionByName(linked.where("before is not null").select("key", "before"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: int = 1_000_000) -> DataFrame:
@@ -138,17 +136,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.xxhash64("doc_id", "text"))
+    # both joins below take this, so its shuffle is done once
+    texts = base.select("key", "text")
     thin = durable(base.select("key", "doc_id", F.xxhash64("text").alias("tie"), F.length("text").alias("n")).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"), F.first("n").alias("n"), F.count("*").alias("rows")))
     chain = durable(_chain(thin.select("key", "doc_id", "tie", "n"), each).join(thin.select("key", "rows"), "key"))
-    begun = with_vector(base.join(chain, "key"), "text", "w").select(F.col("before").alias("key"), F.substring("text", F.lit(1), F.col("half")).alias("next"), "w", "rows")
+    begun = with_vector(texts.join(chain, "key"), "text", "w").select(F.col("before.key").alias("key"), F.col("before.doc_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("before.half")).alias("next"), "w", "rows")
     if thin.where("rows > 1").isEmpty():
         begun = begun.drop("rows")
     else:
-        again = begun.where("rows > 1").groupBy("key").agg(F.first("next").alias("next"), F.first("w").alias("w"))
+        again = begun.where("rows > 1").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("next").alias("next"), F.first("w").alias("w"))
         begun = begun.where("rows = 1").drop("rows").unionByName(again)
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("next"))
-    rows = with_vector(base.join(begun, "key"), "text", "v")
+    rows = with_vector(texts.join(begun, "key"), "text", "v")
     rows = fixed(rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("x"), "v", "w"), "edited", F.col("x"))
     rows = with_vector(rows.select("doc_id", "n_chars", "edited", "v", "w"), "edited", "e")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "e", "w")
