@@ -7,9 +7,9 @@ each segment has as many bits as its own insertions need. No process holds more
 
 Neither words nor bigrams are bounded in number, so nothing is broadcast: documents are dealt into chunks, each chunk sends
 its different words and bigrams with their training counts to the hash blocks that they fall in, and to no others. A block's task adds the counts, builds the
-block's segment, probes it for the bigrams asked, and the answers, written to the shared folder, meet the chunk's texts again. Blocks and
+block's segment, probes it for the bigrams asked, and the answers meet the chunk's texts again, with a row of four totals for each chunk. Blocks and
 chunks both grow with the corpus, so that the tasks' memory does not; what is sent is a number of bytes for each entry, as large as the
-corpus at most. The driver gets four totals.
+corpus at most.
 
 The model: P(w | v) = k * c(v, w) / c(v) + (1 - k) * (c(w) + 1) / (N + V + 1), with c(v, w) from the filter and 0 where that has
 none, and k the share of bigram occurrences that would be left with one occurrence less of each bigram. A document's first word takes the second term alone; the end token has bigrams like a word.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, durable, ready
+from ._cluster import blocks_for, ready
 from ._words import PLACE, U, Words, mix, steps
 from .jaccard import _block
 
@@ -154,16 +154,18 @@ def _answer(table: pa.Table) -> pa.Table:
     levels = _levels(places, pair_total)[pair_place]
     rows, pairs = table.num_rows, int(pair_total.sum())
     out = {"n": [b - a for a, b in spans], "totals": [_small(total[place[a:b]]) for a, b in spans], "levels": [levels[a:b].tobytes() for a, b in pair_spans]}
-    sums = {"tokens": int(total.sum()), "kinds": int((total > 0).sum()), "pairs": pairs, "again": pairs - int((pair_total > 0).sum())}
-    out |= {name: [n] + [0] * (rows - 1) for name, n in sums.items()}
+    sums = (int(total.sum()), int((total > 0).sum()), pairs, pairs - int((pair_total > 0).sum()))
+    out |= {name: [n] + [0] * (rows - 1) for name, n in zip(SUMS, sums, strict=True)}
     return pa.table({"chunk": table.column("chunk"), "block": table.column("block")} | {k: pa.array(v, pa.binary() if k in ("totals", "levels") else pa.int64()) for k, v in out.items()})
 
 
-def _score(n_train: int, kinds: int, n_pairs: int, again: int):
+def _score():
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({k: pa.array([], t) for k, t in RESULT.items()})
         answers = answers.sort_by("block")
+        n_train, kinds, n_pairs, again = (int(answers.column(c)[0].as_py()) for c in SUMS)
+        answers = answers.slice(1)
         totals = np.concatenate([_wide(x, n) for x, n in zip(answers.column("totals").to_pylist(), answers.column("n").to_pylist(), strict=True)])
         found_of = COUNT_OF[np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)]
         portions = list(_chunk_words(texts))
@@ -191,6 +193,8 @@ def _score(n_train: int, kinds: int, n_pairs: int, again: int):
     return run
 
 
+#: The training tokens, different ones, bigrams, and those that repeat another.
+SUMS = ("tokens", "kinds", "pairs", "again")
 RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
@@ -210,7 +214,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n_blocks = blocks_for(chars or 0, 4 * chunk_chars)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition("chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_ask(n_blocks), "block long, chunk long, hashes binary, counts binary, places binary, pair_counts binary")
-    answers = durable(asked.groupBy("block").applyInArrow(_answer, "chunk long, block long, n long, totals binary, levels binary, tokens long, kinds long, pairs long, again long"))
-    sums = [int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("tokens", "kinds", "pairs", "again")]).first()]
+    answers = asked.groupBy("block").applyInArrow(_answer, "chunk long, block long, n long, totals binary, levels binary, tokens long, kinds long, pairs long, again long")
+    # the totals come first in each chunk, as block -1
+    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(-1).cast("long").alias("block"), *SUMS)
+    answers = answers.select("chunk", "block", "n", "totals", "levels").unionByName(sums, allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(*sums), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(), schema)
