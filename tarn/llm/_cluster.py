@@ -48,9 +48,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def free_name(*tables: DataFrame) -> str:
-    """A column name that none of the tables has, in any case of its letters."""
-    taken = {c.lower() for t in tables for c in t.columns}
-    return next(x for k in range(len(taken) + 1) if (x := f"__tarn{k}") not in taken)
+    """A name that no column of the tables has or begins with, in any case of its letters."""
+    taken = [c.lower() for t in tables for c in t.columns]
+    return next(x for k in range(len(taken) + 1) if not any(c.startswith(x := f"__tarn{k}_") for c in taken))
 
 
 def ready(spark: SparkSession) -> SparkSession:

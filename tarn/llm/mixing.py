@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._cluster import durable, ready
+from ._cluster import durable, free_name, ready
 
 #: Documents that the landing decides, with the two at most that the flight leaves: all their roundings are compared.
 LANDING = 12
@@ -160,8 +160,15 @@ def _few(table: DataFrame, most: int = 100_000) -> bool:
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, and without those that it does not take."""
-    plan = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (word_count(F.col(text_col)) == F.col("__size"))
-    return docs.join(plan, here).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns])
+    """docs with each row repeated as often as the mix takes it, and without those that it does not take.
+
+    Rows of equal id, source and size are taken alike; nulls match nulls; rows without words are taken no times. Empty tables give an empty
+    result; the columns of docs stay, whatever their names.
+    """
+    mark = free_name(docs)
+    name = lambda x: f"{mark}_{x}"
+    plan = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    plan = plan.select(*[F.col(c).alias(name(c)) for c in ("doc_id", "source", "size", "copies")])
+    here = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name("doc_id"))) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(name("source"))) & (word_count(F.col(f"`{text_col}`")) == F.col(name("size")))
+    taken = docs.join(plan, here).withColumn(name("k"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(name("copies")))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -160,7 +160,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without the rows that the classifier rejects, in one pass over them."""
+    """docs without the rows that the classifier rejects, in one pass over them. params are those of quality_scores.
+
+    Null and empty texts score by the bias alone. Rows are judged one by one, so repeated ids may differ. Without labels all score 0.5
+    and stay. An empty table gives an empty result; the columns of docs stay, whatever their names.
+    """
     spark = ready(docs.sparkSession)
     settings = {"label_col": "quality", "per_class": 2000, "folds": 5, "held_out": 0, "seed": 5} | params
     threshold = settings.pop("threshold", 0.3)

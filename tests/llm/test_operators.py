@@ -203,10 +203,10 @@ def test_decontaminate_halves_in_the_other_order(spark):
 
 
 def test_drop_contaminated_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)), 5), (1, "other", 6), (None, None, 7)], "doc_id long, text string, __tarn0 int").withColumn("text_key", F.lit(1)).withColumn("__key", F.lit(1))
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)), 5), (1, "other", 6), (None, None, 7)], "doc_id long, text string, __tarn0_ int").withColumn("text_key", F.lit(1)).withColumn("__key", F.lit(1))
     bench = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
     kept = drop_contaminated(docs, contaminated(docs, bench))
-    assert kept.columns == docs.columns and sorted(r["__tarn0"] for r in kept.collect()) == [6, 7]
+    assert kept.columns == docs.columns and sorted(r["__tarn0_"] for r in kept.collect()) == [6, 7]
 
 
 # quality
@@ -301,7 +301,7 @@ def test_keep_one_by_row(spark):
     """Repeated ids with other texts, null ids, repeated rows, clashing columns."""
     text = "a b c d e f g h"
     rows = [(7, "one two three"), (7, "four five six"), (3, text), (5, text), (5, "new words here"), (None, text), (None, "only here"), (None, "only here"), (9, "twice"), (9, "twice"), (2, ""), (2, ""), (None, None)]
-    docs = spark.createDataFrame([(*r, k, "x", 1) for k, r in enumerate(rows)], "doc_id long, text string, __kept int, component string, __tarn0 int")
+    docs = spark.createDataFrame([(*r, k, "x", 1) for k, r in enumerate(rows)], "doc_id long, text string, __kept int, component string, __tarn0_ int")
     kept = keep_one(docs, jaccard_components(docs))
     assert kept.columns == docs.columns
     got = Counter((r.doc_id, r.text) for r in kept.collect())
@@ -825,3 +825,31 @@ def test_pipeline(spark):
     good = {r.doc_id for r in corpus_pipeline.quality_stage(spark, documents(spark), DATA_001).collect()}
     assert len(junk - good) <= 0.03 * len(junk)
     assert sizes[1] < 1000 and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[4] == sizes[5]
+
+
+def test_pipeline_odd_rows_and_empty_tables(spark, tmp_path):
+    """All stages on odd rows, on nothing, and with columns of the names that operators use inside."""
+    import corpus_pipeline
+
+    names = ["__copies", "__key", "__kept", "__tarn0_", "component", "copies", "size", "key", "hashes"]
+    docs = odd_rows(spark).select("doc_id", "text", "lang", "source", F.lit(1).alias("n_chars"), *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    labels = spark.createDataFrame([(6, 1, 0), (8, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three"), (2, None)], "item_id long, text string")
+    for case, (d, x, b) in {"odd": (docs, labels, bench), "none": (docs.limit(0), labels.limit(0), bench.limit(0)), "bare": (docs, labels.limit(0), bench.limit(0)), "item": (docs, labels.limit(0), bench)}.items():
+        folder = f"{tmp_path}/{case}"
+        for name, table in (("documents", d), ("labels", x), ("benchmark", b)):
+            table.write.parquet(f"{folder}/{name}.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, now = now, stage(spark, now, folder)
+            if k < 4:
+                assert now.columns == before.columns
+                now.write.parquet(f"{folder}/stage{k}")
+                now = spark.read.parquet(f"{folder}/stage{k}")
+            if case == "bare" and k in (0, 2):
+                assert now.count() == before.count()
+            if case == "item" and k == 2:
+                assert {r.doc_id for r in before.collect()} - {r.doc_id for r in now.collect()} == {4}
+        if case != "odd":
+            assert (now.count() > 0) == (case != "none")
+        assert corpus_pipeline.run(spark, folder).count() == now.count()
