@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Street abbreviations, and names that mark virtual offices.
-ABBREVIATIONS = (("gt.", "gatan"), ("g.", "gatan"), ("vg.", "vägen"), ("v.", "vägen"), ("pl.", "plan"), ("str.", "stråket"), ("all.", "allén"), ("tg.", "torget"), ("t.", "torget"))
+ABBREVIATIONS = (("gt.", "gatan"), ("gt", "gatan"), ("g.", "gatan"), ("vg.", "vägen"), ("vg", "vägen"), ("v.", "vägen"), ("pl.", "plan"), ("str.", "stråket"), ("all.", "allén"), ("tg.", "torget"), ("t.", "torget"))
 VIRTUAL = r"regus|spaces|mindspace|epicenter|convendum|no18|norrsken|the park|work\s*club|kontorshotell|business\s*center|företagshotell"
 #: First digit of a postal code to its region.
 REGIONS = {"1": "Stockholm", "2": "Skåne", "3": "Halland/Blekinge", "4": "Västra Götaland", "5": "Jönköping/Östergötland", "6": "Värmland/Örebro", "7": "Västmanland/Dalarna", "8": "Gävleborg/Jämtland", "9": "Norrland"}

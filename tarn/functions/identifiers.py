@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,12 +84,10 @@ def candidate_ids(start: Column, count: int) -> Column:
 
 def blind_index(column: Column, key: bytes) -> Column:
     """Hexadecimal HMAC-SHA-256 of the digits and letters of an identifier, upper-cased."""
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest())
-
-    return run(F.upper(F.regexp_replace(column, "[^0-9A-Za-z]", "")))
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    message = F.upper(F.regexp_replace(column, "[^0-9A-Za-z]", "")).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def anonymous_name(name: Column, salt: str = "") -> Column:

@@ -13,6 +13,7 @@ LEGAL_FORMS = (("AKTIEBOLAGET", "AB"), ("AKTIEBOLAG", "AB"), ("HANDELSBOLAGET",
 SHORT_FORMS = "AB|HB|KB|EF"
 ARTICLES = "THE|DEN|DET|DE"
 ACCENTED, PLAIN = "åäöéèêëáàâçñüïíìîóòôúùûßÅÄÖÉÈÊËÁÀÂÇÑÜÏÍÌÎÓÒÔÚÙÛ", "aaoeeeeaaacnuiiiiooouuusAAOEEEEAAACNUIIIIOOOUUU"
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "fru", "fröken")
 MONTHS = ("januari", "februari", "mars", "april", "maj", "juni", "juli", "augusti", "september", "oktober", "november", "december")
 
 
@@ -49,9 +50,9 @@ def person_name(name: Column, nicknames: Mapping[str, str] | None = None) -> Col
 
 
 def watchlist_name(name: Column) -> Column:
-    """Lower-cased, titles and punctuation gone."""
-    x = F.regexp_replace(F.lower(name), "\\b(mr|mrs|ms|dr|prof|herr|fru)\\b\\.?", " ")
-    return F.btrim(F.regexp_replace(F.regexp_replace(x, "(?U)[^\\w\\s]", " "), "\\s+", " "))
+    """Lower-cased, titles before a name and punctuation gone, so that a hyphen joins its parts."""
+    x = F.regexp_replace(F.lower(name), "(?U)\\b(" + "|".join(TITLES) + ")\\.?\\s+", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(x, "(?U)[^\\w\\s]", ""), "(?U)\\s+", " "))
 
 
 def name_contains(name: Column, words: Sequence[str]) -> Column:

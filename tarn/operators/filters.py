@@ -70,7 +70,7 @@ def timeline_slice(events: DataFrame, entities: Sequence, start, end, types: Seq
 
 
 def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row a key: the first in `order`. The row travels as a struct through a partial aggregate, so nothing is sorted."""
+    """One row a key: the first in `order`. Each task keeps its own first rows before the shuffle, as Spark limits row_number by groups."""
     from pyspark.sql.window import Window
 
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import durable
+from ..functions.names import watchlist_name
 from ..functions.similarity import jaro_winkler, levenshtein_ratio, phonetic, token_jaccard, watchlist_score
 
 STOP_WORDS = ("AB", "HB", "KB", "THE", "OCH", "AND")
@@ -93,34 +95,50 @@ def resolve_exact(mentions: DataFrame, identifiers: DataFrame) -> DataFrame:
     return x.select("id", F.coalesce("known", F.concat(F.lit("new-"), F.substring(F.sha2("identifier", 256), 1, 12))).alias("entity"), F.col("known").isNull().alias("created"))
 
 
-def follow_merges(entities: DataFrame, hops: int = 10) -> DataFrame:
-    """(id, final): each entity's last successor by merged_into, at most 2 ** hops steps away."""
-    step = entities.select("id", F.coalesce("merged_into", "id").alias("final"))
+def follow_merges(entities: DataFrame, hops: int = 40) -> DataFrame:
+    """(id, final): each entity's last successor by merged_into. Chains of 2 ** hops steps settle; a ring raises an error."""
+    step = durable(entities.select("id", F.coalesce("merged_into", "id").alias("final")))
     for _ in range(hops):
         following = step.select(F.col("id").alias("final"), F.col("final").alias("f2"))
-        nxt = step.join(following, "final", "left").select("id", F.coalesce("f2", "final").alias("final"))
-        if nxt.exceptAll(step).isEmpty():
-            return step
-        step = nxt
-    return step
+        nxt = durable(step.join(following, "final", "left").select("id", F.col("final").alias("was"), F.coalesce("f2", "final").alias("final")))
+        if nxt.where("final <> was").isEmpty():
+            return nxt.select("id", "final")
+        step = nxt.select("id", "final")
+    raise RuntimeError(f"merges did not settle in {hops} doublings, so some form a ring")
+
+
+def _first_tokens(names: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """(id, token) of names (id, name): of n tokens the n - ceil(share n) + 1 rarest ones."""
+    tokens = names.select("id", F.explode(F.array_distinct(F.array_remove(F.split("name", "\\s+"), ""))).alias("token"))
+    ranked = tokens.join(counts, "token", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("x"))
+    kept = F.size("x") - F.ceil(share * F.size("x") - 1e-9) + 1
+    return ranked.select("id", F.explode(F.slice("x", F.lit(1), kept.cast("int"))).alias("t")).select("id", "t.token")
 
 
 def screen(queries: DataFrame, entries: DataFrame, least: float = 0.85) -> DataFrame:
     """(query, entry, match, score) of names against a watchlist (id, name, alias, identifier, born), the best kind of match first.
 
-    identifier 1.0, exact name 1.0, alias 0.95, else a fuzzy score of at least `least` among entries that share a token's first three letters
-    with the query; a differing year of birth halves it.
+    Names are compared as `watchlist_name` writes them. identifier 1.0, exact name 1.0, alias 0.95, else a fuzzy score of at least `least`;
+    a differing birth halves it, and what then falls below `least` is no match. The score is 0.6 Levenshtein ratio + 0.4 token
+    Jaccard, so a Jaccard of (least - 0.6) / 0.4 is needed, and two such names share one of their rarest tokens: those
+    are joined, which loses nothing. That needs a `least` above 0.6. Null names match nothing.
     """
-    q = queries.select(F.col("id").alias("query"), F.lower("name").alias("qn"), F.col("identifier").alias("qi"), F.col("born").alias("qb"))
-    e = entries.select(F.col("id").alias("entry"), F.lower("name").alias("en"), F.lower("alias").alias("ea"), F.col("identifier").alias("ei"), F.col("born").alias("eb"))
+    if least <= 0.6:
+        raise ValueError("up to 0.6 names without a common token could match")
+    q = queries.select(F.col("id").alias("query"), watchlist_name(F.col("name")).alias("qn"), F.col("identifier").alias("qi"), F.col("born").alias("qb"))
+    e = entries.select(F.col("id").alias("entry"), watchlist_name(F.col("name")).alias("en"), watchlist_name(F.col("alias")).alias("ea"), F.col("identifier").alias("ei"), F.col("born").alias("eb"))
     hit = lambda df, kind, score: df.select("query", "entry", F.lit(kind).alias("match"), (F.lit(score) if isinstance(score, float) else score).alias("score"))
     by_id = hit(q.join(e, F.col("qi") == F.col("ei")), "identifier", 1.0)
     by_name = hit(q.join(e, F.col("qn") == F.col("en")), "exact", 1.0)
     by_alias = hit(q.join(e, F.col("qn") == F.col("ea")), "alias", 0.95)
-    starts = lambda c: F.array_distinct(F.transform(F.split(F.col(c), "\\s+"), lambda w: F.substring(w, 1, 3)))
-    near = q.withColumn("k", F.explode(starts("qn"))).join(e.withColumn("k2", F.explode(starts("en"))), F.col("k") == F.col("k2")).drop("k", "k2").distinct()
+    share = (least - 0.6) / 0.4
+    listed = e.select(F.col("entry").alias("id"), F.col("en").alias("name"))
+    counts = listed.select(F.explode(F.array_distinct(F.split("name", "\\s+"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    asked = _first_tokens(q.select(F.col("query").alias("id"), F.col("qn").alias("name")), counts, share).withColumnRenamed("id", "query")
+    known = _first_tokens(listed, counts, share).withColumnRenamed("id", "entry")
+    near = asked.join(known, "token").select("query", "entry").distinct().join(q, "query").join(e, "entry")
     halved = F.when(F.col("qb") != F.col("eb"), 0.5).otherwise(1.0)
-    fuzzy = hit(near.withColumn("s", watchlist_score(F.col("qn"), F.col("en"))).where(F.col("s") >= least), "fuzzy", F.col("s") * halved)
+    fuzzy = hit(near.withColumn("s", watchlist_score(F.col("qn"), F.col("en")) * halved).where(F.col("s") >= least), "fuzzy", F.col("s"))
     rank = F.when(F.col("match") == "identifier", 0).when(F.col("match") == "exact", 1).when(F.col("match") == "alias", 2).otherwise(3)
     every = by_id.unionByName(by_name).unionByName(by_alias).unionByName(fuzzy).withColumn("rank", rank)
     return every.groupBy("query", "entry").agg(F.min(F.struct("rank", "match", "score")).alias("x")).select("query", "entry", "x.match", F.round("x.score", 6).alias("score"))

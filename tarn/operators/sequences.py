@@ -35,17 +35,23 @@ def elapsed_days(start: Column, end: Column) -> Column:
     return F.floor((F.unix_micros(end) - F.unix_micros(start)) / (DAY * 1_000_000))
 
 
+def severity(amount: Column, amounts: Sequence[float], other: Column, others: Sequence[float], rising: bool = True) -> Column:
+    """critical, high or medium, by the first of three amounts that is reached or the first of three limits of another measure; else low."""
+    reached = [(amount >= a) | (other >= b if rising else other <= b) for a, b in zip(amounts, others, strict=True)]
+    return F.when(reached[0], "critical").when(reached[1], "high").when(reached[2], "medium").otherwise("low")
+
+
 def structuring(txns: DataFrame, days: int = 7, least: int = 3, total: float = REPORTING_THRESHOLD, low: float = 142_500, high: float = 150_000) -> DataFrame:
     """Payments just under the threshold, per sender over trailing days: one row per anchor whose window has `least` of them and `total`.
 
-    Severity by total / count of thresholds, confidence min(0.95, 0.5 + 0.1 (n - 3)).
+    Severity by total or number of payments, confidence min(0.95, 0.5 + 0.1 (n - least)).
     """
     under = txns.where((F.col("amount") >= low) & (F.col("amount") < high))
     w = trailing("sender", "ts", days * DAY)
     found = under.select("id", "sender", F.count("*").over(w).alias("n"), F.sum("amount").over(w).alias("total")).where((F.col("n") >= least) & (F.col("total") >= total))
-    severity = F.when(F.col("total") >= 3 * REPORTING_THRESHOLD, "high").otherwise("medium")
-    confidence = F.least(F.lit(0.95), 0.5 + (F.col("n") - 3) * 0.1)
-    return found.select("id", "sender", "n", F.col("total").cast("double").alias("total"), severity.alias("severity"), F.round(confidence, 6).alias("confidence"))
+    grade = severity(F.col("total"), [k * REPORTING_THRESHOLD for k in (5, 3, 2)], F.col("n"), (10, 7, 5))
+    confidence = F.least(F.lit(0.95), 0.5 + (F.col("n") - least) * 0.1)
+    return found.select("id", "sender", "n", F.col("total").cast("double").alias("total"), grade.alias("severity"), F.round(confidence, 6).alias("confidence"))
 
 
 def structuring_forward(txns: DataFrame, days: int = 3, least: int = 3, threshold: float = REPORTING_THRESHOLD) -> DataFrame:
@@ -66,10 +72,33 @@ def structuring_share(txns: DataFrame, least: int = 5, share: float = 0.3) -> Da
 
 
 def smurfing(txns: DataFrame, days: int = 7, least: int = 3, total: float = REPORTING_THRESHOLD) -> DataFrame:
-    """Recipients with `least` different depositors and `total` in trailing days; one row per anchor."""
+    """Recipients with `least` different depositors and `total` in trailing days; one row per anchor.
+
+    Severity by total or number of depositors, confidence 0.7 + min(0.25, 0.05 (depositors - least)).
+    """
     w = trailing("receiver", "ts", days * DAY)
     x = txns.select("id", "receiver", F.size(F.collect_set("sender").over(w)).alias("depositors"), F.sum("amount").over(w).cast("double").alias("total"))
-    return x.where((F.col("depositors") >= least) & (F.col("total") >= total))
+    x = x.where((F.col("depositors") >= least) & (F.col("total") >= total))
+    grade = severity(F.col("total"), (1_000_000, 500_000, 200_000), F.col("depositors"), (10, 7, 5))
+    confidence = 0.7 + F.least(F.lit(0.25), (F.col("depositors") - least) * 0.05)
+    return x.select("*", grade.alias("severity"), F.round(confidence, 6).alias("confidence"))
+
+
+def rapid_movement(ins: DataFrame, outs: DataFrame, hours: int = 24, least: float = 100_000, share: float = 0.8) -> DataFrame:
+    """Payments in of `least` at least, of which `share` leaves the account within `hours`: (id, account, amount, n, moved, hours, severity, confidence).
+
+    ins and outs: (id, account, ts, amount). Both are swept once an account by a range window, so no pairs are made. Severity by the
+    amount or the hours to the last payment out.
+    """
+    amount = F.col("amount").cast("decimal(18,2)")
+    both = ins.select("id", "account", "ts", amount.alias("amount"), F.lit(None).cast("decimal(18,2)").alias("gone"))
+    both = both.unionByName(outs.select(F.lit(None).alias("id"), "account", "ts", F.lit(None).alias("amount"), amount.alias("gone")))
+    w = forward("account", "ts", hours * 3600)
+    last = F.max(F.when(F.col("gone").isNotNull(), micros("ts"))).over(w)
+    x = both.select("id", "account", "amount", F.count("gone").over(w).alias("n"), F.sum("gone").over(w).alias("moved"), ((last - micros("ts")) / 3.6e9).alias("hours"))
+    x = x.where((F.col("amount") >= least) & (F.col("moved") >= share * F.col("amount")))
+    grade = severity(F.col("amount"), (1_000_000, 500_000, 200_000), F.col("hours"), (2, 6, 12), rising=False)
+    return x.select("id", "account", F.col("amount").cast("double").alias("amount"), "n", F.col("moved").cast("double").alias("moved"), F.round("hours", 6).alias("hours"), grade.alias("severity"), F.lit(0.75).alias("confidence"))
 
 
 def velocity_spikes(now: DataFrame, history: DataFrame, key: str, ts: str, factor: float = 3.0) -> DataFrame:

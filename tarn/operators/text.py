@@ -94,11 +94,11 @@ def threat_risk(severities: Column) -> Column:
 
 
 def summary(text: Column, most: int = 50) -> Column:
-    """Leading sentences of at most `most` words in all; at least the first."""
+    """Leading sentences of at most `most` words in all, up to the first that exceeds them; empty if that is the first of all."""
     sentences = F.split(F.btrim(F.coalesce(text, F.lit(""))), "(?<=[.!?])\\s+")
     size = lambda s: F.size(F.split(s, "\\s+"))
     begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
-    walk = F.aggregate(sentences, begin, lambda a, s: F.struct((a["n"] + size(s)).alias("n"), F.when((a["n"] == 0) | (a["n"] + size(s) <= most), F.concat(a["kept"], F.array(s))).otherwise(a["kept"]).alias("kept")))
+    walk = F.aggregate(sentences, begin, lambda a, s: F.struct((a["n"] + size(s)).alias("n"), F.when(a["n"] + size(s) <= most, F.concat(a["kept"], F.array(s))).otherwise(a["kept"]).alias("kept")))
     return F.array_join(walk["kept"], " ")
 
 

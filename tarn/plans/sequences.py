@@ -27,7 +27,7 @@ def w1(t):
 
 
 @query("agg_w2_structuring", ctes("txn") + f""", u AS (SELECT * FROM txn WHERE amount >= 75000 AND amount < 150000), w AS (SELECT id, sender, count(*) {trail('sender', 30)} AS n, CAST(sum(amount) {trail('sender', 30)} AS DOUBLE) AS total FROM u)
-SELECT id, sender, n, total, CASE WHEN total >= 450000 THEN 'high' ELSE 'medium' END AS severity, round(least(0.95, 0.5 + (n - 3) * 0.1), 6) AS confidence FROM w WHERE n >= 2 AND total >= 150000""")
+SELECT id, sender, n, total, CASE WHEN total >= 750000 OR n >= 10 THEN 'critical' WHEN total >= 450000 OR n >= 7 THEN 'high' WHEN total >= 300000 OR n >= 5 THEN 'medium' ELSE 'low' END AS severity, round(least(0.95, 0.5 + (n - 2) * 0.1), 6) AS confidence FROM w WHERE n >= 2 AND total >= 150000""")
 def w2(t):
     return op.structuring(t.txn, days=30, least=2, low=75_000)
 
@@ -37,7 +37,7 @@ def w3(t):
     return op.structuring_share(t.txn, share=0.1)
 
 
-@query("agg_w4_smurfing", ctes("txn") + f", w AS (SELECT id, receiver, CAST(len(list_distinct(list(sender) {trail('receiver', 7)})) AS INT) AS depositors, CAST(sum(amount) {trail('receiver', 7)} AS DOUBLE) AS total FROM txn) SELECT * FROM w WHERE depositors >= 3 AND total >= 150000")
+@query("agg_w4_smurfing", ctes("txn") + f", w AS (SELECT id, receiver, CAST(len(list_distinct(list(sender) {trail('receiver', 7)})) AS INT) AS depositors, CAST(sum(amount) {trail('receiver', 7)} AS DOUBLE) AS total FROM txn) SELECT *, CASE WHEN total >= 1000000 OR depositors >= 10 THEN 'critical' WHEN total >= 500000 OR depositors >= 7 THEN 'high' WHEN total >= 200000 OR depositors >= 5 THEN 'medium' ELSE 'low' END AS severity, round(0.7 + least(0.25, (depositors - 3) * 0.05), 6) AS confidence FROM w WHERE depositors >= 3 AND total >= 150000")
 def w4(t):
     return op.smurfing(t.txn)
 
@@ -98,11 +98,10 @@ def w13(t):
     return now.select("entity", following.alias("next")).where("next IS NOT NULL")
 
 
-@query("agg_w14_event_extraction", "SELECT o_orderkey AS entity, 'placed' AS type, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT l_orderkey, 'shipped_' || lower(l_returnflag), CAST(l_shipdate AS DATE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 400000")
+@query("agg_w14_event_extraction", "SELECT o_orderkey AS entity, 'placed' AS type, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT l_orderkey, 'shipped_' || lower(l_returnflag), CAST(l_shipdate AS DATE) FROM lineitem")
 def w14(t):
-    big = t.orders.where("o_totalprice > 400000")
-    shipped = t.lineitem.join(big, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("entity"), F.concat(F.lit("shipped_"), F.lower("l_returnflag")).alias("type"), F.to_date("l_shipdate").alias("day"))
-    return big.select(F.col("o_orderkey").alias("entity"), F.lit("placed").alias("type"), F.to_date("o_orderdate").alias("day")).unionByName(shipped)
+    shipped = t.lineitem.select(F.col("l_orderkey").alias("entity"), F.concat(F.lit("shipped_"), F.lower("l_returnflag")).alias("type"), F.to_date("l_shipdate").alias("day"))
+    return t.orders.select(F.col("o_orderkey").alias("entity"), F.lit("placed").alias("type"), F.to_date("o_orderdate").alias("day")).unionByName(shipped)
 
 
 @query("agg_w15_rapid_formation", "WITH f AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS formed, CAST(min(l_shipdate) AS DATE) AS taxed, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate) SELECT k, date_diff('day', formed, taxed) AS days, round(1 - date_diff('day', formed, taxed) / 30, 6) AS confidence FROM f WHERE date_diff('day', formed, taxed) BETWEEN 0 AND 30")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import aggregates as ag
 from ..operators import joins as jn
+from ..operators import sequences
 from .views import ctes, query
 
 R6 = lambda x, name: F.round(x, 6).alias(name)
@@ -70,14 +71,13 @@ def jn_09(t):
     return jn.interval_join(i, o, ["account"], "in_ts", "out_ts", 48 * 3600).where((F.col("in_id") != F.col("out_id")) & near).select("in_id", "out_id")
 
 
-@query("jn_10_rapid_movement", ctes("txn") + """SELECT i.id AS in_id, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(o.amount) AS DOUBLE), 2) AS moved FROM txn i JOIN txn o ON i.receiver = o.sender AND o.ts >= i.ts AND o.ts <= i.ts + INTERVAL 20 DAY AND o.id <> i.id
-WHERE i.kind = 'cash_deposit' AND o.kind <> 'cash_deposit' GROUP BY i.id, i.amount HAVING sum(o.amount) >= 0.8 * i.amount""")
+@query("jn_10_rapid_movement", ctes("txn") + """, x AS (SELECT i.id, i.receiver AS account, CAST(i.amount AS DOUBLE) AS amount, CAST(count(*) AS BIGINT) AS n, CAST(sum(o.amount) AS DOUBLE) AS moved, round(max(epoch_us(o.ts) - epoch_us(i.ts)) / 3.6e9, 6) AS hours
+FROM txn i JOIN txn o ON i.receiver = o.sender AND o.ts >= i.ts AND o.ts <= i.ts + INTERVAL 24 HOUR WHERE i.kind = 'cash_deposit' AND o.kind <> 'cash_deposit' AND i.amount >= 100000 GROUP BY i.id, i.receiver, i.amount HAVING sum(o.amount) >= 0.8 * i.amount)
+SELECT *, CASE WHEN amount >= 1000000 OR hours <= 2 THEN 'critical' WHEN amount >= 500000 OR hours <= 6 THEN 'high' WHEN amount >= 200000 OR hours <= 12 THEN 'medium' ELSE 'low' END AS severity, 0.75 AS confidence FROM x""")
 def jn_10(t):
-    i = t.txn.where("kind = 'cash_deposit'").select(F.col("receiver").alias("account"), F.col("id").alias("in_id"), F.col("ts").alias("in_ts"), F.col("amount").alias("in_amount"))
-    o = t.txn.where("kind <> 'cash_deposit'").select(F.col("sender").alias("account"), F.col("id").alias("out_id"), F.col("ts").alias("out_ts"), F.col("amount").alias("out_amount"))
-    both = jn.interval_join(i, o, ["account"], "in_ts", "out_ts", 20 * 86400).where("in_id <> out_id")
-    sums = both.groupBy("in_id", "in_amount").agg(F.count("*").alias("n"), F.sum("out_amount").alias("s")).where("s >= 0.8 * in_amount")
-    return sums.select("in_id", "n", F.round(F.col("s").cast("double"), 2).alias("moved"))
+    ins = t.txn.where("kind = 'cash_deposit'").select("id", F.col("receiver").alias("account"), "ts", "amount")
+    outs = t.txn.where("kind <> 'cash_deposit'").select("id", F.col("sender").alias("account"), "ts", "amount")
+    return sequences.rapid_movement(ins, outs)
 
 
 @query("jn_11_phoenix", ctes("directs") + "SELECT DISTINCT a.person, a.company AS failed, b.company AS formed FROM directs a JOIN directs b ON a.person = b.person AND a.company <> b.company AND a.to_date IS NOT NULL AND b.from_date >= a.to_date AND b.from_date <= a.to_date + 90")
@@ -112,18 +112,18 @@ def jn_15(t):
     return t.customer.join(best, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
 
 
-@query("jn_16_id_translation", "SELECT l_orderkey, l_linenumber, a.n_name AS seller, b.n_name AS buyer FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation b ON b.n_nationkey = c_nationkey WHERE l_quantity = 50")
+@query("jn_16_id_translation", "SELECT l_orderkey, l_linenumber, a.n_name AS seller, b.n_name AS buyer FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation b ON b.n_nationkey = c_nationkey")
 def jn_16(t):
     n = t.nation
     seller, buyer = n.select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("seller")), n.select(F.col("n_nationkey").alias("bk"), F.col("n_name").alias("buyer"))
-    l = t.lineitem.where("l_quantity = 50").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(seller), F.col("sk") == F.col("s_nationkey"))
+    l = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(seller), F.col("sk") == F.col("s_nationkey"))
     l = l.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(buyer), F.col("bk") == F.col("c_nationkey"))
     return l.select("l_orderkey", "l_linenumber", "seller", "buyer")
 
 
-@query("jn_17_details_in_one_join", "SELECT o_orderkey, count(*) AS lines, round(sum(l_quantity), 6) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 400000 GROUP BY o_orderkey")
+@query("jn_17_details_in_one_join", "SELECT o_orderkey, count(*) AS lines, round(sum(l_quantity), 6) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def jn_17(t):
-    return t.lineitem.join(t.orders.where("o_totalprice > 400000"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("lines"), R6(F.sum("l_quantity"), "quantity"))
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("lines"), R6(F.sum("l_quantity"), "quantity"))
 
 
 @query("jn_18_latest_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")

@@ -61,7 +61,7 @@ def tx_08(t):
 
 @query("tx_09_roles_near_names")
 def tx_09(t):
-    return op.roles_near_names(t.documents.where("lang = 'en'"), ["the", "of"])
+    return op.roles_near_names(t.documents, ["the", "of"])
 
 
 @query("tx_10_tagged_fields", "SELECT page_id AS doc_id, CAST(0 AS INT) AS at, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages WHERE html LIKE '%<title>%'")

@@ -120,3 +120,107 @@ def test_text(spark):
 
 def test_round_classes(spark):
     assert [one(spark, filters.roundness(F.lit(x))) for x in (300000, 150000, 20000, 1234)] == [100000, 50000, 10000, None]
+
+
+def payments(spark, rows):
+    t = spark.createDataFrame(rows, "id long, sender string, receiver string, amount double, ts string")
+    return t.withColumn("amount", F.col("amount").cast("decimal(18,2)")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@pytest.mark.parametrize(("n", "amount", "grade"), [(6, 149_000, "critical"), (4, 149_000, "high"), (3, 149_000, "medium"), (10, 142_500, "critical"), (3, 142_500, "medium")])
+def test_structuring_severity(spark, n, amount, grade):
+    t = payments(spark, [(k, "s", "r", float(amount), f"2024-01-01 {k:02d}:00:00") for k in range(n)])
+    last = max(sequences.structuring(t).collect(), key=lambda r: r.n)
+    assert (last.n, last.severity) == (n, grade)
+
+
+@pytest.mark.parametrize(("n", "amount", "grade", "sure"), [(3, 60_000, "low", 0.7), (3, 70_000, "medium", 0.7), (5, 40_000, "medium", 0.8), (7, 30_000, "high", 0.9), (10, 20_000, "critical", 0.95), (3, 400_000, "critical", 0.7), (3, 170_000, "high", 0.7)])
+def test_smurfing_severity(spark, n, amount, grade, sure):
+    t = payments(spark, [(k, f"s{k}", "r", float(amount), f"2024-01-01 {k:02d}:00:00") for k in range(n)])
+    last = max(sequences.smurfing(t).collect(), key=lambda r: r.depositors)
+    assert (last.depositors, last.severity, last.confidence) == (n, grade, pytest.approx(sure))
+
+
+def test_rapid_movement(spark):
+    times = {"in": "2024-01-01 00:00:00", "soon": "2024-01-01 01:30:00", "noon": "2024-01-01 12:00:00", "edge": "2024-01-02 00:00:00", "late": "2024-01-02 00:00:01", "before": "2023-12-31 23:59:59"}
+    gone = {"a": [("soon", 90_000)], "b": [("noon", 100_000), ("before", 500_000)], "c": [("edge", 240_000)], "d": [("late", 900_000)], "e": [("soon", 79_000)], "f": [("soon", 99_000)], "g": [("soon", 10), ("edge", 2_000_000)]}
+    amounts = {"a": 100_000, "b": 120_000, "c": 250_000, "d": 300_000, "e": 100_000, "f": 99_999, "g": 1_000_000}
+    ins = payments(spark, [(k, "", a, float(x), times["in"]) for k, (a, x) in enumerate(amounts.items())]).withColumnRenamed("receiver", "account")
+    outs = payments(spark, [(100, a, "", float(x), times[w]) for a, rows in gone.items() for w, x in rows]).withColumnRenamed("sender", "account")
+    got = {r.account: (r.n, r.moved, r.hours, r.severity, r.confidence) for r in sequences.rapid_movement(ins, outs).collect()}
+    assert got == {"a": (1, 90_000, 1.5, "critical", 0.75), "b": (1, 100_000, 12, "medium", 0.75), "c": (1, 240_000, 24, "medium", 0.75), "g": (2, 2_000_010, 24, "critical", 0.75)}
+
+
+@pytest.mark.parametrize(("name", "shown"), [("Anna-Lisa", "annalisa"), ("Mr. John  Smith", "john smith"), ("Fröken Ek", "ek"), ("Herr Dr. Öst, jr.", "öst jr"), ("Drake", "drake"), ("Mr", "mr"), ("", "")])
+def test_watchlist_name(spark, name, shown):
+    assert one(spark, names.watchlist_name(F.lit(name))) == shown
+
+
+def test_screen_against_all_pairs(spark):
+    """Every pair is compared by hand; births halve, and halved scores below the limit are no match."""
+    import random
+
+    from tarn.operators import resolution
+
+    dice = random.Random(3)
+    words = [f"w{k}" for k in range(9)]
+    made = lambda: " ".join(dice.choice(words) for _ in range(dice.randrange(1, 9)))
+    listed = [(k, made(), made() if k % 4 == 0 else None, f"i{k}", dice.randrange(3) if k % 5 else None) for k in range(60)]
+    asked = [(k, f"Dr. {dice.choice(listed)[1]} {dice.choice(['', '', 'x', dice.choice(words)])}" if k % 3 else made(), f"i{k}" if k % 10 == 0 else None, dice.randrange(3) if k % 4 else None) for k in range(80)] + [(900, None, None, 1), (901, "", None, 1)]
+
+    def plain(x):
+        return None if x is None else " ".join(x.lower().replace("dr. ", "").split())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for q, qn, qi, qb in asked:
+        for e, en, ea, ei, eb in listed:
+            a, b = plain(qn), plain(en)
+            if qi == ei:
+                want[q, e] = ("identifier", 1.0)
+            elif a is not None and a == b:
+                want[q, e] = ("exact", 1.0)
+            elif a is not None and a == plain(ea):
+                want[q, e] = ("alias", 0.95)
+            elif a:
+                x, y = set(a.split()), set(b.split())
+                score = 0.6 * (1 - distance(a, b) / max(len(a), len(b))) + 0.4 * len(x & y) / len(x | y)
+                score *= 0.5 if None not in (qb, eb) and qb != eb else 1
+                if score >= 0.85:
+                    want[q, e] = ("fuzzy", score)
+    entries = spark.createDataFrame(listed, "id long, name string, alias string, identifier string, born long")
+    queries = spark.createDataFrame(asked, "id long, name string, identifier string, born long")
+    got = {(r["query"], r.entry): (r["match"], r.score) for r in resolution.screen(queries, entries).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+    assert {"identifier", "exact", "fuzzy"} <= {m for m, _ in want.values()}
+
+
+def test_merges_beyond_a_thousand_steps(spark):
+    from tarn.operators import resolution
+
+    rows = spark.range(1500).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("merged_into"))
+    assert {r.final for r in resolution.follow_merges(rows).collect()} == {0}
+
+
+def test_summary_stops_at_the_first_long_sentence(spark):
+    assert one(spark, text.summary(F.lit("One two three four. Five. Six."), 3)) == ""
+    assert one(spark, text.summary(F.lit("One two. Three four five six. Seven."), 4)) == "One two."
+
+
+def test_short_street_forms(spark):
+    assert [one(spark, addresses.street_of(F.lit(x))) for x in ("Kungsgt 12", "Kungsvg 3", "Storg. 1")] == ["kungsgatan 12", "kungsvägen 3", "storgatan 1"]
+
+
+@pytest.mark.parametrize("key", [b"k", b"x" * 64, b"long" * 40])
+def test_blind_index(spark, key):
+    import hashlib
+    import hmac
+
+    assert one(spark, identifiers.blind_index(F.lit("5567-037485 a"), key)) == hmac.new(key, b"5567037485A", hashlib.sha256).hexdigest()
