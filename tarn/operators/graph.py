@@ -98,21 +98,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count("*").alias("degree"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """(node, rank) after a fixed number of iterations; dangling mass is dealt evenly, parallel edges add weight."""
-    e = durable(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
-    nodes = durable(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    n = nodes.count()
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank), iterated until the ranks change by less than `tolerance` a node in sum, `iterations` times at most; dangling mass is dealt evenly, parallel edges add weight.
+
+    Each node's share of its edges is worked out once; the change is looked at where the lineage is cut anyway.
+    """
+    e = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     total = e.groupBy("src").agg(F.sum("w").alias("total"))
+    e = durable(e.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w")))
+    nodes = e.select("src").distinct().withColumn("loose", F.lit(False)).unionByName(e.select(F.col("dst").alias("src")).distinct().join(e.select("src").distinct(), "src", "left_anti").withColumn("loose", F.lit(True)))
+    nodes = durable(nodes.withColumnRenamed("src", "node"))
+    n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(iterations):
-        flows = e.join(total, "src").join(rank, F.col("src") == F.col("node")).select("dst", (F.col("rank") * F.col("w") / F.col("total")).alias("part"))
-        into = flows.groupBy("dst").agg(F.sum("part").alias("s"))
-        loose = rank.join(total, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        rank = nodes.join(into, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % 3 == 2 or k == iterations - 1:
-            rank = durable(rank)
-    return rank
+        into = e.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
+        loose = rank.where("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass"))
+        new = rank.withColumnRenamed("rank", "was").join(into, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose))  # one row
+        new = new.select("node", "loose", "was", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("mass") / n)).alias("rank"))
+        if k % 4 == 3 or k == iterations - 1:
+            new = durable(new)
+            if new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
+                return new.select("node", "rank")
+        rank = new.drop("was")
+    return rank.select("node", "rank")
 
 
 def propagate(edges: DataFrame, own: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:

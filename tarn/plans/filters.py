@@ -188,9 +188,9 @@ def set_05(t):
     return op.keep_best(t.txn, ["sender", "receiver"], [F.desc("amount"), F.col("id")]).select("sender", "receiver", "id")
 
 
-@query("set_06_undirected", ctes("pay") + "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM pay")
+@query("set_06_undirected", ctes("paid") + "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM paid")
 def set_06(t):
-    return op.undirected(t.pay)
+    return op.undirected(t.paid)
 
 
 @query("set_07_alert_dedupe", ctes("event") + "SELECT entity, type, min(id) AS id FROM event GROUP BY entity, type")

@@ -11,6 +11,7 @@ from ..operators.joins import shared_pairs
 from .views import ctes, query
 
 PAYS = ", e AS (SELECT DISTINCT src, dst FROM pay), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+ALL_PAYS = PAYS.replace("FROM pay)", "FROM paid)")
 JOINED = "array_to_string({0}, '-')"
 
 
@@ -22,6 +23,10 @@ def pairs(t):
     return t.pay.select("src", "dst").distinct()
 
 
+def every_pair(t):
+    return t.paid.select("src", "dst").distinct()
+
+
 def seeds(t, *ids):
     return t.spark.createDataFrame([(i,) for i in ids], "node long")
 
@@ -39,19 +44,19 @@ LOOPS = "w AS (SELECT src AS start, dst AS node, [src, dst] AS path, 1 AS hops F
 REACH = "reach AS (SELECT src AS a, src AS b FROM u UNION SELECT r.a, u.dst FROM reach r JOIN u ON u.src = r.b)"
 
 
-@query("gr_01_neighbours", ctes("pay") + PAYS + " SELECT DISTINCT dst AS neighbour, 'out' AS way FROM e WHERE src = 7 UNION SELECT DISTINCT src, 'in' FROM e WHERE dst = 7")
+@query("gr_01_neighbours", ctes("paid") + ALL_PAYS + " SELECT DISTINCT dst AS neighbour, 'out' AS way FROM e WHERE src = 7 UNION SELECT DISTINCT src, 'in' FROM e WHERE dst = 7")
 def gr_01(t):
-    return op.neighbours(t.pay, F.lit(7))
+    return op.neighbours(t.paid, F.lit(7))
 
 
-@query("gr_02_expand", recursive("w AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < 3) SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node"))
+@query("gr_02_expand", recursive("w AS (SELECT CAST(30 AS BIGINT) AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < 3) SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node"))
 def gr_02(t):
-    return op.expand(t.pay, seeds(t, 7), 3)
+    return op.expand(t.pay, seeds(t, 30), 3)
 
 
-@query("gr_03_subgraph", recursive("w AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < 4), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node ORDER BY depth, node LIMIT 20) SELECT src, dst FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)"))
+@query("gr_03_subgraph", recursive("w AS (SELECT CAST(30 AS BIGINT) AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < 4), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node ORDER BY depth, node LIMIT 20) SELECT src, dst FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)"))
 def gr_03(t):
-    kept = op.expand(t.pay, seeds(t, 7), 4).orderBy("depth", "node").limit(20)
+    kept = op.expand(t.pay, seeds(t, 30), 4).orderBy("depth", "node").limit(20)
     return pairs(t).join(kept, F.col("src") == F.col("node"), "left_semi").join(kept, F.col("dst") == F.col("node"), "left_semi")
 
 
@@ -165,15 +170,15 @@ def gr_18(t):
     return x.where(F.size("s") > 3).select("sender", F.size("s").cast("long").alias("places"), F.array_join(F.sort_array("s"), ",").alias("all_places"))
 
 
-@query("gr_20_degree_centrality", ctes("pay") + PAYS + ", n AS (SELECT count(DISTINCT src) AS n FROM u), d AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) SELECT node, round(count(*) / (SELECT n - 1 FROM n), 6) AS centrality FROM d GROUP BY node")
+@query("gr_20_degree_centrality", ctes("paid") + ALL_PAYS + ", n AS (SELECT count(DISTINCT src) AS n FROM u), d AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) SELECT node, round(count(*) / (SELECT n - 1 FROM n), 6) AS centrality FROM d GROUP BY node")
 def gr_20(t):
-    d = op.degrees(pairs(t))
+    d = op.degrees(every_pair(t))
     return d.join(F.broadcast(d.agg(F.count("*").alias("n")))).select("node", F.round(F.col("degree") / (F.col("n") - 1), 6).alias("centrality"))
 
 
 @query("gr_21_pagerank")
 def gr_21(t):
-    return op.pagerank(t.pay).select("node", F.round("rank", 8).alias("rank"))
+    return op.pagerank(t.paid).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query("gr_22_betweenness")
@@ -183,14 +188,14 @@ def gr_22(t):
     return op.betweenness(e, n).select("node", F.round("score", 8).alias("score"))
 
 
-@query("gr_23_clustering", ctes("pay") + PAYS + ", d AS (SELECT src AS node, count(*) AS d FROM u GROUP BY src), t AS (SELECT a.src AS node, count(*) / 2 AS t FROM u a JOIN u b ON b.src = a.src AND b.dst <> a.dst JOIN u c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src) SELECT d.node, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t ON t.node = d.node")
+@query("gr_23_clustering", ctes("paid") + ALL_PAYS + ", d AS (SELECT src AS node, count(*) AS d FROM u GROUP BY src), t AS (SELECT a.src AS node, count(*) / 2 AS t FROM u a JOIN u b ON b.src = a.src AND b.dst <> a.dst JOIN u c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src) SELECT d.node, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t ON t.node = d.node")
 def gr_23(t):
-    return op.clustering(t.pay).select("node", F.round("coefficient", 6).alias("coefficient"))
+    return op.clustering(t.paid).select("node", F.round("coefficient", 6).alias("coefficient"))
 
 
 @query("gr_24_communities")
 def gr_24(t):
-    return op.communities(t.pay)
+    return op.communities(t.paid)
 
 
 @query("gr_25_components", recursive(REACH + " SELECT a AS node, min(b) AS component FROM reach GROUP BY a"))
@@ -205,15 +210,15 @@ def gr_26(t):
 
 @query("gr_27_risk_propagation")
 def gr_27(t):
-    nodes = pairs(t).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = every_pair(t).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     own = nodes.withColumn("risk", F.pmod("node", F.lit(10)) / 10)
-    return op.propagate(pairs(t), own).select("node", F.round("risk", 8).alias("risk"))
+    return op.propagate(every_pair(t), own).select("node", F.round("risk", 8).alias("risk"))
 
 
-@query("gr_28_neighbour_features", ctes("pay") + PAYS + " SELECT src AS node, count(*) AS degree, round(avg(dst % 10 / 10), 6) AS mean_risk, max(dst % 10 / 10) AS max_risk, round(avg(CASE WHEN dst % 10 >= 7 THEN 1.0 ELSE 0 END), 6) AS flagged FROM u GROUP BY src")
+@query("gr_28_neighbour_features", ctes("paid") + ALL_PAYS + " SELECT src AS node, count(*) AS degree, round(sum(dst % 10) / (10 * count(*)), 6) AS mean_risk, max(dst % 10 / 10) AS max_risk, round(avg(CASE WHEN dst % 10 >= 7 THEN 1.0 ELSE 0 END), 6) AS flagged FROM u GROUP BY src")
 def gr_28(t):
     risk = F.col("dst") % 10 / 10
-    return op.both_ways(t.pay).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.round(F.avg(risk), 6).alias("mean_risk"), F.max(risk).alias("max_risk"), F.round(F.avg((F.col("dst") % 10 >= 7).cast("int")), 6).alias("flagged"))
+    return op.both_ways(t.paid).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.round(F.sum(F.col("dst") % 10) / (10 * F.count("*")), 6).alias("mean_risk"), F.max(risk).alias("max_risk"), F.round(F.avg((F.col("dst") % 10 >= 7).cast("int")), 6).alias("flagged"))
 
 
 @query("gr_29_serial_directors", ctes("directs") + "SELECT person, count(DISTINCT company) AS n, CASE WHEN count(DISTINCT company) >= 25 THEN 'high' ELSE 'medium' END AS severity FROM directs GROUP BY person HAVING count(DISTINCT company) >= 3")
@@ -253,11 +258,11 @@ def gr_34(t):
     return op.expand(t.pay, seeds(t, 12), 2)
 
 
-@query("gr_35_priority_view", ctes("pay") + PAYS + ", d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src), k AS (SELECT node, degree, 10 * degree + 5 * (node % 10) / 10 AS p FROM d ORDER BY p DESC, node LIMIT 40) SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
+@query("gr_35_priority_view", ctes("paid") + ALL_PAYS + ", d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src), k AS (SELECT node, degree, 10 * degree + 5 * (node % 10) / 10 AS p FROM d ORDER BY p DESC, node LIMIT 40) SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
 def gr_35(t):
-    d = op.both_ways(t.pay).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    d = op.both_ways(t.paid).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     top = d.withColumn("p", 10 * F.col("degree") + 5 * (F.col("node") % 10) / 10).orderBy(F.desc("p"), "node").limit(40)
-    return pairs(t).join(top, F.col("src") == F.col("node"), "left_semi").join(top, F.col("dst") == F.col("node"), "left_semi")
+    return every_pair(t).join(top, F.col("src") == F.col("node"), "left_semi").join(top, F.col("dst") == F.col("node"), "left_semi")
 
 
 @query("gr_36_hops", recursive("w AS (SELECT CAST(30 AS BIGINT) AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < 3) SELECT DISTINCT node FROM w"))
@@ -265,10 +270,10 @@ def gr_36(t):
     return op.expand(t.pay, seeds(t, 30), 3).select("node")
 
 
-@query("tk_06_graph_view", ctes("pay") + PAYS + ", d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src ORDER BY degree DESC, node LIMIT 30) SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src IN (SELECT node FROM d) AND dst IN (SELECT node FROM d)")
+@query("tk_06_graph_view", ctes("paid") + ALL_PAYS + ", d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src ORDER BY degree DESC, node LIMIT 30) SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src IN (SELECT node FROM d) AND dst IN (SELECT node FROM d)")
 def tk_06(t):
-    top = op.both_ways(t.pay).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(30)
-    inside = pairs(t).join(top, F.col("src") == F.col("node"), "left_semi").join(top, F.col("dst") == F.col("node"), "left_semi")
+    top = op.both_ways(t.paid).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(30)
+    inside = every_pair(t).join(top, F.col("src") == F.col("node"), "left_semi").join(top, F.col("dst") == F.col("node"), "left_semi")
     return undirected(inside)
 
 

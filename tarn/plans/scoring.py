@@ -173,9 +173,9 @@ def sc_21(t):
     return best.select("id", F.coalesce("m.authority", F.lit("fiu")).alias("authority"))
 
 
-@query("sc_22_contagion", ctes("pay") + ", n AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM pay GROUP BY least(src, dst), greatest(src, dst)) SELECT a, b, round(least(1.0, 0.2 * n), 6) AS exposure, round(0.3 * least(1.0, 0.2 * n), 6) AS impact FROM n")
+@query("sc_22_contagion", ctes("paid") + ", n AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM paid GROUP BY least(src, dst), greatest(src, dst)) SELECT a, b, round(least(1.0, 0.2 * n), 6) AS exposure, round(0.3 * least(1.0, 0.2 * n), 6) AS impact FROM n")
 def sc_22(t):
-    n = t.pay.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
+    n = t.paid.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
     e = F.least(F.lit(1.0), 0.2 * c("n"))
     return n.select("a", "b", R(e).alias("exposure"), R(0.3 * e).alias("impact"))
 

@@ -206,11 +206,11 @@ def ag_09(t):
     return x.where("n >= 3 AND s >= 10000").select("sender", "part", "n", F.round(F.col("s").cast("double"), 2).alias("total"), "first_day", "last_day")
 
 
-@query("ag_10_flow_nodes", ctes("pay") + """, o AS (SELECT src AS node, count(*) AS n_out, CAST(sum(amount) AS DOUBLE) AS v_out FROM pay GROUP BY src), i AS (SELECT dst AS node, count(*) AS n_in, CAST(sum(amount) AS DOUBLE) AS v_in FROM pay GROUP BY dst),
+@query("ag_10_flow_nodes", ctes("paid") + """, o AS (SELECT src AS node, count(*) AS n_out, CAST(sum(amount) AS DOUBLE) AS v_out FROM paid GROUP BY src), i AS (SELECT dst AS node, count(*) AS n_in, CAST(sum(amount) AS DOUBLE) AS v_in FROM paid GROUP BY dst),
 b AS (SELECT coalesce(o.node, i.node) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(v_in, 0) AS v_in, coalesce(v_out, 0) AS v_out FROM o FULL JOIN i ON o.node = i.node)
 SELECT node, n_in, n_out, round(v_in - v_out, 2) AS net, CASE WHEN v_in > 1.5 * v_out THEN 'sink' WHEN v_out > 1.5 * v_in THEN 'source' WHEN v_out / v_in BETWEEN 0.8 AND 1.2 THEN 'pass_through' ELSE 'mixed' END AS role FROM b""")
 def ag_10(t):
-    return ag.flow_nodes(t.pay, "src", "dst", "amount").select("node", "n_in", "n_out", F.round("net", 2).alias("net"), "role")
+    return ag.flow_nodes(t.paid, "src", "dst", "amount").select("node", "n_in", "n_out", F.round("net", 2).alias("net"), "role")
 
 
 @query("ag_11_period_pivot", "SELECT date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) // 30 AS bucket, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS o, CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS p FROM orders GROUP BY bucket")

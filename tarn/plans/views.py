@@ -17,16 +17,18 @@ DIRECTS = """SELECT DISTINCT l_suppkey AS person, l_partkey AS company, CAST(l_s
 #: Companies with the attributes that scores need.
 COMPANY = """SELECT p_partkey AS company, p_name AS name, p_size AS employees, p_retailprice AS revenue, p_type AS industry, p_brand AS agent, p_partkey % 25 AS address,
  p_partkey % 7 <> 0 AS f_skatt, p_partkey % 5 <> 0 AS vat, p_size % 12 AS age_years FROM part"""
-#: A directed graph of payments between entities, sparse enough for paths.
-PAY = """SELECT DISTINCT o_custkey % 150 AS src, l_partkey % 150 AS dst, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS amount
- FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 400000 AND l_quantity = 50 AND o_custkey % 150 <> l_partkey % 150"""
+#: A directed graph of all payments between entities. Nodes and edges grow with the tables.
+PAID = """SELECT DISTINCT o_custkey AS src, l_partkey AS dst, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS amount
+ FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey"""
+#: The same for the largest lines: some two edges a node at any scale, so that simple paths can be listed.
+PAY = PAID + " AND l_quantity >= 48"
 #: Ownership: who owns which share of whom.
-OWNS = """SELECT DISTINCT o_custkey % 150 AS owner, l_partkey % 150 AS owned, CAST(40 + l_linenumber * 10 AS INT) AS share
- FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 400000 AND l_quantity = 50 AND o_custkey % 150 <> l_partkey % 150"""
+OWNS = """SELECT DISTINCT o_custkey AS owner, l_partkey AS owned, CAST(40 + l_linenumber * 10 AS INT) AS share
+ FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND o_custkey <> l_partkey"""
 #: Events of entities.
 EVENT = "SELECT event_id AS id, user_id AS entity, event_type AS type, ts, value FROM events"
 
-ROLES = {"txn": TXN, "directs": DIRECTS, "company": COMPANY, "pay": PAY, "owns": OWNS, "event": EVENT}
+ROLES = {"txn": TXN, "directs": DIRECTS, "company": COMPANY, "paid": PAID, "pay": PAY, "owns": OWNS, "event": EVENT}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "benchmark", "conversations")
 
 

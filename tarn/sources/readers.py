@@ -90,7 +90,7 @@ def flat_company(df: DataFrame, column: str) -> DataFrame:
 
 
 def zipped_reports(spark: SparkSession, path: str, tags: Sequence[str]) -> DataFrame:
-    """Tagged fields of the XHTML reports in ZIP files: (path, name, at, one column a tag). Broken archives give no rows."""
+    """Tagged fields of the XHTML reports in ZIP files: (path, member, at, one column a tag, named without its prefix). Broken archives give no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -101,11 +101,11 @@ def zipped_reports(spark: SparkSession, path: str, tags: Sequence[str]) -> DataF
                         rows += [(where, n, archive.read(n).decode("utf-8", "replace")) for n in archive.namelist() if n.lower().endswith((".xhtml", ".html", ".xml"))]
                 except zipfile.BadZipFile:
                     continue
-            yield pd.DataFrame(rows, columns=["path", "name", "text"])
+            yield pd.DataFrame(rows, columns=["path", "member", "text"])
 
-    texts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, text string")
-    fields = tagged_fields(texts.withColumn("id", F.struct("path", "name")), tags, "id", "text")
-    return fields.select("doc_id.path", "doc_id.name", "at", *[t.split(":")[-1] for t in tags])
+    texts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, text string")
+    fields = tagged_fields(texts.withColumn("id", F.struct("path", "member")), tags, "id", "text")
+    return fields.select("doc_id.path", "doc_id.member", "at", *[t.split(":")[-1] for t in tags])
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -70,15 +70,20 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
 
 
 def staged(stream: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], sink: Callable[[str, DataFrame, int], None], checkpoint: str, retries: int = 3):
-    """Each batch through named stages in order; a failing stage is tried again up to `retries` times, and what it gives goes to sink(stage, rows, batch)."""
+    """Each batch through named stages in order; a failing stage or sink is tried again up to `retries` times on the stage's own input.
+
+    What a stage gives goes to sink(stage, rows, batch). A sink that failed half-way gets the same (stage, batch) again, and so does every
+    sink if the batch is run again, so it must overwrite by these two: as a folder of that name, or a merge by key.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         rows = batch
         for name, f in stages:
             for left in range(retries, -1, -1):
                 try:
-                    rows = f(rows)
-                    sink(name, rows, number)
+                    made = f(rows)
+                    sink(name, made, number)
+                    rows = made
                     break
                 except Exception:
                     if not left:

@@ -224,3 +224,22 @@ def test_blind_index(spark, key):
     import hmac
 
     assert one(spark, identifiers.blind_index(F.lit("5567-037485 a"), key)) == hmac.new(key, b"5567037485A", hashlib.sha256).hexdigest()
+
+
+def test_pagerank_settles(spark):
+    """A long chain with a bridge, against dense power iteration."""
+    import numpy as np
+
+    edges = [(k, k + 1) for k in range(40)] + [(5, 0), (40, 30), (41, 2), (42, 2), (42, 2), (7, 43)]
+    nodes = sorted({x for e in edges for x in e})
+    m = np.zeros((len(nodes), len(nodes)))
+    for a, b in edges:
+        m[nodes.index(b), nodes.index(a)] += 1
+    loose = m.sum(axis=0) == 0
+    m[:, ~loose] /= m.sum(axis=0)[~loose]
+    m[:, loose] = 1 / len(nodes)
+    r = np.full(len(nodes), 1 / len(nodes))
+    for _ in range(500):
+        r = 0.15 / len(nodes) + 0.85 * m @ r
+    got = {x.node: x["rank"] for x in graph.pagerank(spark.createDataFrame(edges, "src long, dst long"), tolerance=1e-9).collect()}
+    assert got == {n: pytest.approx(v, abs=1e-7) for n, v in zip(nodes, r, strict=True)}
