@@ -53,8 +53,13 @@ CHUNK = 256
 LONGS = 2
 
 
-def _add_bits(shift: int, mask: Column):
-    return lambda total, x: total + F.shiftrightunsigned(x, shift).bitwiseAND(mask)
+def _shifted(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, bits)
+
+
+def _numbers(n: int) -> Column:
+    """0 to n - 1. Functions of them keep plans small, which a column for each would not."""
+    return F.sequence(F.lit(0), F.lit(n - 1))
 
 
 def _seeded(seed: int):
@@ -69,50 +74,41 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_simhash(df: DataFrame, tokens: str, name: str) -> DataFrame:
     """df with the SimHash of an array of hashes, an element per occurrence, as an array of longs. Three bit counters share a long."""
     mask = F.lit(1 | 1 << LANES | 1 << 2 * LANES)
+    zero = F.lit(0).cast("long")
     df = fixed(df, "__hashes", F.array(*[F.transform(tokens, _seeded(seed)) for seed in range(LONGS)]))
-    counters = [F.aggregate(F.get("__hashes", F.lit(k)), F.lit(0).cast("long"), _add_bits(j, mask)) for k in range(LONGS) for j in range(LANES)]
-    df = fixed(df, "__counters", F.array(*counters))
-    longs = []
-    for k in range(LONGS):
-        out = F.lit(0).cast("long")
-        for bit in range(64):
-            count = F.shiftrightunsigned(F.get("__counters", F.lit(k * LANES + bit % LANES)), LANES * (bit // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
-            out = out.bitwiseOR(F.when(2 * count > F.size(tokens), F.lit(-(1 << 63) if bit == 63 else 1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
-        longs.append(out)
-    return fixed(df, name, F.array(*longs)).drop("__hashes", "__counters")
+    counted = lambda hashes: F.transform(_numbers(LANES), lambda j: F.aggregate(hashes, zero, lambda total, x: total + _shifted(x, j).bitwiseAND(mask)))
+    df = fixed(df, "__counters", F.transform("__hashes", counted))
+
+    def long_of(counters: Column) -> Column:
+        count = lambda bit: _shifted(F.get(counters, bit % LANES), LANES * F.floor(bit / LANES).cast("int")).bitwiseAND(F.lit((1 << LANES) - 1))
+        power = lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        return F.aggregate(_numbers(64), zero, lambda out, bit: out.bitwiseOR(F.when(2 * count(bit) > F.size(tokens), power(bit)).otherwise(zero)))
+
+    return fixed(df, name, F.transform("__counters", long_of)).drop("__hashes", "__counters")
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
     """(first bit, bits) of radius + 1 blocks or some more, none of which lies in two longs."""
-    each = [-(-(radius + 1) // LONGS)] * LONGS
-    out = []
-    for k, n in enumerate(each):
-        sizes = [64 // n + (j < 64 % n) for j in range(n)]
-        out += [(64 * k + sum(sizes[:j]), size) for j, size in enumerate(sizes)]
-    return out
+    each = -(-(radius + 1) // LONGS)
+    sizes = [64 // each + (j < 64 % each) for j in range(each)]
+    return [(64 * k + sum(sizes[:j]), size) for k in range(LONGS) for j, size in enumerate(sizes)]
 
 
 def _block_values(fingerprint: str, radius: int) -> Column:
-    parts = [F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(F.get(fingerprint, F.lit(at // 64)), at % 64).bitwiseAND(F.lit((1 << size) - 1)).alias("bits")) for k, (at, size) in enumerate(blocks(radius))]
-    return F.array(*parts)
-
-
-def _difference(k: int) -> Column:
-    return F.get("mark", F.lit(k)).bitwiseXOR(F.get("item_mark", F.lit(k)))
+    """The bits of each block, in order."""
+    places = F.array(*[F.lit(at) for at, _ in blocks(radius)])
+    masks = F.array(*[F.lit((1 << size) - 1) for _, size in blocks(radius)])
+    return F.zip_with(places, masks, lambda at, mask: _shifted(F.get(fingerprint, F.floor(at / 64).cast("int")), at % 64).bitwiseAND(mask))
 
 
 def _distance() -> Column:
-    return sum((F.bit_count(_difference(k)) for k in range(1, LONGS)), F.bit_count(_difference(0)))
+    bits = F.zip_with("mark", "item_mark", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
 
 
-def _first_equal_block(number: str, radius: int) -> Column:
-    """Whether no block before `number` is equal, so that each pair is verified once."""
-    out = F.lit(True)
-    for k, (at, size) in enumerate(blocks(radius)):
-        mask = ((1 << size) - 1) << at % 64
-        mask -= 1 << 64 if mask >= 1 << 63 else 0
-        out = out & ((F.col(number) <= k) | (_difference(at // 64).bitwiseAND(F.lit(mask).cast("long")) != 0))
-    return out
+def _first_equal_block() -> Column:
+    """The number of the first block that is equal, so that each pair is verified once."""
+    return (F.array_position(F.zip_with("blocks", "item_blocks", lambda a, b: a == b), True) - 1).cast("int")
 
 
 def _starts(spots: str, need: str, width: str, last: str) -> Column:
@@ -170,9 +166,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("hashes", s + 1, F.col("long")).alias("part")))
     cut = laid.select("key", "doc_id", "no", "size", F.explode(cut).alias("w")).select("key", "doc_id", "no", "size", "w.start", "w.part")
     marked = with_simhash(fixed(cut, "window", of_size("part")).select("key", "doc_id", "no", "start", "window"), "window", "mark")
-    probe = marked.select("*", F.explode(_block_values("mark", radius)).alias("b")).select("key", "doc_id", "no", "start", "window", "mark", F.col("b.no").alias("block"), "b.bits")
-    index = items.select("no", "item", "item_mark", F.explode(_block_values("item_mark", radius)).alias("b")).select("no", "item", "item_mark", F.col("b.no").alias("block"), "b.bits")
-    pairs = probe.join(small(index), ["no", "block", "bits"]).where((_distance() <= radius) & _first_equal_block("block", radius))
+    marked = fixed(marked, "blocks", _block_values("mark", radius))
+    probe = marked.select("*", F.posexplode("blocks").alias("block", "bits"))
+    index = fixed(items, "item_blocks", _block_values("item_mark", radius))
+    index = index.select("no", "item", "item_mark", "item_blocks", F.posexplode("item_blocks").alias("block", "bits"))
+    pairs = probe.join(small(index), ["no", "block", "bits"]).where((F.col("block") == _first_equal_block()) & (_distance() <= radius))
     pairs = fixed(pairs.select("key", "doc_id", "no", "start", "window", "item"), "similarity", weighted_jaccard("window", "item")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before")))
     best = pairs.groupBy("key", "doc_id", "no").agg(best.alias("best"))
