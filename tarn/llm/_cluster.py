@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -54,7 +55,13 @@ def free_name(*tables: DataFrame) -> str:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started, and keeps Arrow batches of texts small.
+
+    Operators work on a megabyte of text at a time, so Spark's default of 10,000 rows a batch would only hold texts in memory, several
+    times over in the executor and its worker. Another setting of the session stands.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

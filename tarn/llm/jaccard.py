@@ -492,7 +492,8 @@ def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", tex
     are one. Rows without words all stay. An empty table gives an empty result; the columns of docs stay, whatever their names.
     """
     mark = free_name(docs)
-    rows = components.groupBy("component", "text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    # written first, as joins before a grouping by component could not split a large one
+    rows = durable(components.select("component", "text_key", "doc_id")).groupBy("component", "text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("x")
     kept = rows.where("component is not null").groupBy("component").agg(first).select(F.col("x.text_key").alias(mark), F.col("x.n").alias("n"))
     kept = durable(kept.unionByName(rows.where("component is null").select(F.col("text_key").alias(mark), F.lit(1).cast("long").alias("n"))))
