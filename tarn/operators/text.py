@@ -1,25 +1,26 @@
 """Text signals: entities by pattern, keyword scores, vocabularies, roles near names, relations, language, summaries.
 
-Word lists are parameters. Patterns are Unicode-aware. A null text gives no matches and scores of 0.
+Word lists are parameters; those of tarn/lists.py are the defaults. Patterns are Unicode-aware. A null text gives no matches and scores of 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import organisation_number, personal_number
+from ..lists import FEAR_WORDS, LANGUAGE_MARKS, NEGATIVE_WORDS, POSITIVE_WORDS, RELATION_PATTERNS, SENTIMENT_WEIGHTS, THREAT_WORDS, URGENCY_WORDS, VIOLENCE_WORDS, VOCABULARY
 
 #: Fixed patterns of the extractor, with their confidences.
 PATTERNS = {
-    "personal_number": (r"\b(?:[0-9]{2})?[0-9]{6}[-+]?[0-9]{4}\b", 0.95),
-    "organisation_number": (r"\b[0-9]{6}-?[0-9]{4}\b", 0.95),
-    "phone": (r"(?:\+46|0)[ -]?[1-9][0-9]{0,2}[ -]?[0-9]{2,3}[ -]?[0-9]{2}[ -]?[0-9]{2}\b", 0.85),
-    "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.95),
-    "money": (r"\b[0-9]{1,3}(?:[ .][0-9]{3})*(?:,[0-9]{2})?\s?(?:kr|SEK|kronor)\b", 0.9),
+    "personal_number": (r"\b\d{6,8}[-+]?\d{4}\b", 0.95),
+    "organisation_number": (r"\b(?:16)?\d{6}[-]?\d{4}\b", 0.95),
+    "phone": (r"\b0\d{1,3}[-\s]?\d{2,3}[-\s]?\d{2,3}[-\s]?\d{2,4}\b", 0.85),
+    "email": (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", 0.95),
+    "money": (r"(?i)\b\d{1,3}(?:[\s,]\d{3})*(?:[.,]\d{2})?\s*(?:kr|sek|kronor|miljoner?|mdkr|mkr|tkr)\b", 0.9),
 }
 
 
@@ -70,14 +71,11 @@ def polarity(text: Column, positive: Sequence[str], negative: Sequence[str]) ->
     return F.coalesce(F.try_divide(p - n, p + n), F.lit(0.0))
 
 
-def vocabulary_matches(docs: DataFrame, vocabulary: Mapping[str, tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word, category, severity, n) of whole-word matches, the longest first; vocabulary maps a word to (category, severity)."""
-    words = sorted(vocabulary, key=lambda w: (-len(w), w))
-    pattern = "(?iU)\\b(" + "|".join(w.replace(".", "\\.") for w in words) + ")\\b"
-    hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1))).alias("word"))
-    counted = hits.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-    table = F.create_map(*[v for w, (category, severity) in vocabulary.items() for v in (F.lit(w.lower()), F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity")))])
-    return counted.withColumn("v", F.element_at(table, F.col("word"))).select("doc_id", "word", "v.category", "v.severity", "n")
+def sentiment(text: Column) -> Column:
+    """Struct (fear, violence, urgency, threat, polarity, risk): scores of the fixed word lists, and the weighted sum of the first four, at most 1."""
+    scores = {k: keyword_score(text, words) for k, words in (("fear", FEAR_WORDS), ("violence", VIOLENCE_WORDS), ("urgency", URGENCY_WORDS), ("threat", THREAT_WORDS))}
+    risk = F.least(F.lit(1.0), sum(scores[k] * w for k, w in SENTIMENT_WEIGHTS.items()))
+    return F.struct(*[v.alias(k) for k, v in scores.items()], polarity(text, POSITIVE_WORDS, NEGATIVE_WORDS).alias("polarity"), risk.alias("risk"))
 
 
 SEVERITY_WEIGHT = {"low": 0.2, "medium": 0.5, "high": 1.0}
@@ -93,6 +91,51 @@ def threat_risk(severities: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.transform(weights, lambda w, i: w / (i + 1)), F.lit(0.0), lambda a, w: a + w) / 3)
 
 
+def vocabulary_hits(text: Column, vocabulary: Mapping[str, Mapping[str, str]] = VOCABULARY, least: str = "low") -> Column:
+    """Array of structs (category, word, severity, context) of whole-word matches, in each category the longest first.
+
+    `vocabulary` maps a category to its words with their severities; words below `least` are left out. The context has 50 characters on either side.
+    """
+    rank = list(SEVERITY_WEIGHT)
+    kept = {k: {w.lower(): v for w, v in words.items() if rank.index(v) >= rank.index(least)} for k, words in vocabulary.items()}
+    kept = {k: words for k, words in kept.items() if words}
+    empty = F.array().cast("array<struct<category:string,word:string,severity:string,context:string>>")
+    if not kept:
+        return empty
+    before, after = r"(?<=(^.{0,49}|.{50}))", r"(?=(.{0,50}))"
+    severity = F.create_map(*[F.lit(x) for k, words in kept.items() for w, v in words.items() for x in (f"{k}:{w}", v)])
+
+    def match(category: str):
+        level = lambda w: F.element_at(severity, F.concat(F.lit(f"{category}:"), w))
+        return lambda m: F.struct(F.lit(category).alias("category"), F.lower(m["b"]).alias("word"), level(F.lower(m["b"])).alias("severity"), F.concat(m["a"], m["b"], m["c"]).alias("context"))
+
+    found = []
+    for category, words in kept.items():
+        choice = "|".join(w.replace(".", "\\.") for w in sorted(words, key=lambda w: (-len(w), w)))
+        whole = F.lit(f"(?siU)\\b(?=(?:{choice})\\b){before}({choice})\\b{after}")  # the context is taken only where a word stands
+        parts = [F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3)]
+        pairs = F.arrays_zip(parts[0].alias("a"), parts[1].alias("b"), parts[2].alias("c"))
+        some = text.rlike(f"(?iU)\\b(?:{choice})\\b")
+        found.append(F.when(some, F.transform(pairs, match(category))).otherwise(empty))
+    return F.coalesce(F.flatten(F.array(*found)), empty)
+
+
+def vocabulary_matches(docs: DataFrame, vocabulary: Mapping[str, Mapping[str, str]] = VOCABULARY, least: str = "low", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, category, word, severity, context), a row a match."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(vocabulary_hits(F.col(text_col), vocabulary, least)))
+
+
+def combined_risk(text: Column, vocabulary: Mapping[str, Mapping[str, str]] = VOCABULARY) -> Column:
+    """Struct (risk, flag): the mean of the sentiment's risk and of the matches' mean severity, the first alone without matches.
+
+    The flag stands where fear, violence or threat exceeds 0.5, or a match is of high severity.
+    """
+    felt, levels = sentiment(text), F.transform(vocabulary_hits(text, vocabulary), lambda m: m["severity"])
+    mean = F.try_divide(F.aggregate(levels, F.lit(0.0), lambda a, v: a + severity_weight(v)), F.size(levels))
+    risk = F.coalesce((felt["risk"] + mean) / 2, felt["risk"])
+    return F.struct(risk.alias("risk"), ((felt["fear"] > 0.5) | (felt["violence"] > 0.5) | (felt["threat"] > 0.5) | F.array_contains(levels, "high")).alias("flag"))
+
+
 def summary(text: Column, most: int = 50) -> Column:
     """Leading sentences of at most `most` words in all, up to the first that exceeds them; empty if that is the first of all."""
     sentences = F.split(F.btrim(F.coalesce(text, F.lit(""))), "(?<=[.!?])\\s+")
@@ -113,21 +156,57 @@ def roles_near_names(docs: DataFrame, roles: Sequence[str], reach: int = 2, id_c
     return near.groupBy("doc_id", "role", "name").agg(F.round(F.max(0.8 - 0.15 * F.abs(F.col("at") - F.col("role_at"))), 6).alias("confidence"))
 
 
-def relations(docs: DataFrame, patterns: Mapping[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, relation, subject, object, confidence) of two-group patterns, each triple once; longer names are surer."""
-    hits = F.array(*[F.struct(F.lit(k).alias("relation"), F.arrays_zip(F.regexp_extract_all(text_col, F.lit(p), F.lit(1)).alias("s"), F.regexp_extract_all(text_col, F.lit(p), F.lit(2)).alias("o")).alias("pairs")) for k, p in patterns.items()])
-    x = docs.select(F.col(id_col).alias("doc_id"), F.explode(hits).alias("h")).select("doc_id", "h.relation", F.explode("h.pairs").alias("p"))
-    x = x.select("doc_id", "relation", F.col("p.s").alias("subject"), F.col("p.o").alias("object"))
-    sure = 0.5 + F.when(F.length("subject") > 5, 0.1).otherwise(0.0) + F.when(F.length("object") > 5, 0.1).otherwise(0.0)
-    return x.withColumn("confidence", F.round(sure, 6)).distinct()
+def relations(docs: DataFrame, patterns: Mapping[str, Sequence[str]] = RELATION_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, relation, subject, object, confidence) of two-group patterns, each triple once with its highest confidence.
+
+    0.5, and 0.1 more for each name of over ten characters and for each of several words, at most 0.85; names of one character do not count.
+    """
+    text, empty = F.col(text_col), F.array().cast("array<struct<relation:string,subject:string,object:string>>")
+    one, some = r"(\w+(?:\s+\w+)?)", r"(\w+(?:\s+\w+)*)"
+
+    def triple(kind: str):
+        return lambda m: F.struct(F.lit(kind).alias("relation"), m["s"].alias("subject"), m["o"].alias("object"))
+
+    hits = []
+    for k, several in patterns.items():
+        for p in several:
+            # what stands between the names is looked for first, so that few texts meet the whole pattern
+            core = r"\w" + p.removeprefix(one) if p.startswith(one) else p
+            last = next((g for g in (one, some) if core.endswith(g)), "")
+            between = text.rlike("(?iU)" + (core.removesuffix(last) + r"\w" if last else core))
+            # the same matches faster: none starts within a word, and one character class instead of a repeated group, which overflows the JVM's stack on long texts
+            whole = F.lit("(?iU)" + (r"(?:\G|\b)" if p.startswith(one) else "") + p.replace(some, r"(\w(?:[\w\s]*\w)?)"))
+            pairs = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("s"), F.regexp_extract_all(text, whole, F.lit(2)).alias("o"))
+            hits.append(F.when(between, F.transform(pairs, triple(k))).otherwise(empty))
+    x = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(F.array(*hits))).alias("h")).select("doc_id", "h.*").where("length(subject) > 1 AND length(object) > 1")
+    names = [F.col("subject"), F.col("object")]
+    sure = 0.5 + sum(F.when(test, 0.1).otherwise(0.0) for n in names for test in (F.length(n) > 10, F.contains(n, F.lit(" "))))
+    return x.groupBy("doc_id", "relation", "subject", "object").agg(F.round(F.max(F.least(F.lit(0.85), sure)), 6).alias("confidence"))
+
+
+def language(text: Column, marks: Mapping[str, Sequence[str]] = LANGUAGE_MARKS, default: str = "sv") -> Column:
+    """The language most of whose marks occur in the lower-cased text, as substrings; the default where several have as many."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    counts = {k: sum(F.contains(low, F.lit(w)).cast("int") for w in words) for k, words in marks.items()}
+    best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
+    leaders = sum((n == best).cast("int") for n in counts.values())
+    return F.when(leaders > 1, F.lit(default)).otherwise(F.coalesce(*[F.when(n == best, F.lit(k)) for k, n in counts.items()]))
 
 
-def language(text: Column, indicators: Mapping[str, Sequence[str]], default: str) -> Column:
-    """The language whose indicator words occur most, as words of the lower-cased text; the default with none, the earlier of equals."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?U)[^\\w]+", " "), F.lit(" "))
-    counts = {k: sum(F.contains(padded, F.lit(f" {w} ")).cast("int") for w in ws) for k, ws in indicators.items()}
-    best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
-    return F.when(best == 0, F.lit(default)).otherwise(F.coalesce(*[F.when(n == best, F.lit(k)) for k, n in counts.items()]))
+def token_entities(docs: DataFrame, model: Callable[[list[str]], Iterable[Iterable[tuple[str, int, int, float]]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, kind, start, stop, confidence, value) as a token classifier finds them: model(texts) gives (kind, start, stop, confidence) a text.
+
+    The model is a parameter and runs on whole Arrow batches; a null text is an empty one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            rows = [(own, k, a, b, sure, t[a:b]) for own, t, found in zip(pdf["doc_id"], texts, model(texts), strict=True) for k, a, b, sure in found]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "stop", "confidence", "value"])
+
+    schema = "doc_id long, kind string, start long, stop long, confidence double, value string"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def justified(text: Column, least: int = 10, garbage: Sequence[str] = ("test", "asdf", "ok", "n/a")) -> Column:
