@@ -5,14 +5,15 @@ A window by time takes in all rows of one timestamp (RANGE semantics), so result
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..lists import REPORTING_THRESHOLD
+from ..lists import PLAYBOOKS, REPORTING_THRESHOLD
 from .filters import just_under
 
 DAY = 86_400
@@ -179,25 +180,72 @@ def off_hours(events: DataFrame, least: int = 3) -> DataFrame:
     return events.where(odd).groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def playbook(events: DataFrame, steps: Sequence[str], days: int, absent: Sequence[str] = (), least: float = 0.5) -> DataFrame:
-    """Per entity how much of a sequence it has gone through. A step is met by the type's first event within `days` of the first step met;
-    a type in `absent` is met if it never occurs. confidence = met / steps; stage = last met step; next = the step after it.
+def progress(times: Sequence[Column], steps: Sequence[str], days: int, absent: Sequence[str] = ()) -> Column:
+    """Struct (confidence, stage, next) from the time at which each step's type occurs, null where it does not.
+
+    A step is met within `days` of the first step met, one in `absent` if its type never occurs. confidence = met / steps; stage = last met step;
+    next = the step after it.
     """
-    firsts = [F.min(F.when(F.col("type") == s, F.col("ts"))) for s in steps]
-    x = events.groupBy("entity").agg(*[f.alias(f"f{k}") for k, f in enumerate(firsts)])
     anchor, met = F.lit(None).cast("timestamp"), []
-    for k, step in enumerate(steps):
-        own = F.col(f"f{k}")
+    for step, own in zip(steps, times, strict=True):
         if step in absent:
             met.append(own.isNull())
             continue
         ok = own.isNotNull() & (anchor.isNull() | (elapsed_days(anchor, own) <= days))
         met.append(F.coalesce(ok, F.lit(False)))
         anchor = F.coalesce(anchor, F.when(own.isNotNull(), own))
-    n = sum(m.cast("int") for m in met)
     stage = F.greatest(*[F.when(m, F.lit(k + 1)).otherwise(F.lit(0)) for k, m in enumerate(met)])
-    following = F.element_at(F.array(*[F.lit(s) for s in steps], F.lit(None).cast("string")), stage + 1)
-    return x.select("entity", F.round(n / len(steps), 6).alias("confidence"), stage.alias("stage"), following.alias("next")).where(F.col("confidence") >= least)
+    following = F.get(F.array(*[F.lit(x) for x in steps]), stage)
+    return F.struct(F.round(sum(m.cast("int") for m in met) / len(steps), 6).alias("confidence"), stage.alias("stage"), following.alias("next"))
+
+
+def first_times(events: DataFrame, types: Sequence[str]) -> DataFrame:
+    """(entity, t0, t1, ..): when each type first occurs."""
+    return events.groupBy("entity").agg(*[F.min(F.when(F.col("type") == s, F.col("ts"))).alias(f"t{k}") for k, s in enumerate(types)])
+
+
+def times_in_order(events: DataFrame, steps: Sequence[str], days: int, absent: Sequence[str] = ()) -> DataFrame:
+    """(entity, t0, t1, ..): when each step first occurs after the last step met, so that steps are in order and need events of their own.
+
+    One aggregate and join a step, all by entity; no list of an entity's events is built.
+    """
+    x = events.select("entity").distinct().withColumns({"anchor": F.lit(None).cast("timestamp"), "last": F.lit(None).cast("timestamp")})
+    for k, step in enumerate(steps):
+        own = F.col(f"t{k}")
+        of_type = events.where(F.col("type") == step).select("entity", F.col("ts").alias("at"))
+        later = of_type.join(x.select("entity", "last"), "entity") if step not in absent else of_type.withColumn("last", F.lit(None).cast("timestamp"))
+        x = x.join(later.where("last IS NULL OR at > last").groupBy("entity").agg(F.min("at").alias(f"t{k}")), "entity", "left")
+        if step not in absent:
+            ok = own.isNotNull() & (F.col("anchor").isNull() | (elapsed_days(F.col("anchor"), own) <= days))
+            x = x.withColumns({"last": F.when(ok, own).otherwise(F.col("last")), "anchor": F.coalesce("anchor", own)})
+    return x.drop("anchor", "last")
+
+
+def playbook(events: DataFrame, steps: Sequence[str], days: int, absent: Sequence[str] = (), least: float = 0.5, strict_order: bool = False) -> DataFrame:
+    """(entity, confidence, stage, next): how much of a sequence each entity has gone through, from `least` on (see progress).
+
+    A step is met by its type's first event, in whatever order, and a repeated step by the same event; with strict_order by the first event after the step before.
+    """
+    x = times_in_order(events, steps, days, absent) if strict_order else first_times(events, steps)
+    return x.select("entity", progress([F.col(f"t{k}") for k in range(len(steps))], steps, days, absent).alias("p")).select("entity", "p.*").where(F.col("confidence") >= least)
+
+
+def playbooks(events: DataFrame, books: Mapping[str, tuple] = PLAYBOOKS, least: float = 0.5, strict_order: bool = False) -> DataFrame:
+    """(entity, playbook, confidence, stage, next, severity, typology) over several playbooks (steps, absent, days, severity, typology).
+
+    Without strict_order one aggregate by entity serves them all.
+    """
+    extra = lambda book: [F.lit(book[3]).alias("severity"), F.lit(book[4]).alias("typology")]
+    if strict_order:
+        parts = [playbook(events, b[0], b[2], b[1], least, True).select("entity", F.lit(k).alias("playbook"), "confidence", "stage", "next", *extra(b)) for k, b in books.items()]
+        return reduce(DataFrame.unionByName, parts)
+    types = sorted({s for b in books.values() for s in b[0]})
+    x, time = first_times(events, types), {s: F.col(f"t{k}") for k, s in enumerate(types)}
+    found = []
+    for k, b in books.items():
+        p = progress([time[s] for s in b[0]], b[0], b[2], b[1])
+        found.append(F.struct(F.lit(k).alias("playbook"), p["confidence"].alias("confidence"), p["stage"].alias("stage"), p["next"].alias("next"), *extra(b)))
+    return x.select("entity", F.inline(F.array(*found))).where(F.col("confidence") >= least)
 
 
 def trend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

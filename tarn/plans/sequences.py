@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lists import PLAYBOOKS
 from ..operators import sequences as op
 from .views import ctes, query
 
@@ -84,11 +85,37 @@ def w11(t):
     return op.off_hours(t.event)
 
 
-@query("agg_w12_playbook", ctes("event") + """, f AS (SELECT entity, min(ts) FILTER (WHERE type = 'signup') AS a, min(ts) FILTER (WHERE type = 'view') AS b, min(ts) FILTER (WHERE type = 'refund') AS c, min(ts) FILTER (WHERE type = 'purchase') AS d FROM event GROUP BY entity),
-g AS (SELECT entity, a IS NOT NULL AS m0, b IS NOT NULL AND (a IS NULL OR floor((epoch_us(b) - epoch_us(a)) / 86400000000) <= 1) AS m1, c IS NULL AS m2, d IS NOT NULL AND (coalesce(a, b) IS NULL OR floor((epoch_us(d) - epoch_us(coalesce(a, b))) / 86400000000) <= 1) AS m3 FROM f)
-SELECT entity, round((m0::INT + m1::INT + m2::INT + m3::INT) / 4, 6) AS confidence, greatest(m0::INT, 2 * m1::INT, 3 * m2::INT, 4 * m3::INT) AS stage, CASE greatest(m0::INT, 2 * m1::INT, 3 * m2::INT, 4 * m3::INT) WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'refund' WHEN 3 THEN 'purchase' END AS next FROM g WHERE (m0::INT + m1::INT + m2::INT + m3::INT) / 4 >= 0.5""")
+#: Steps that occur in a company's life, dealt over the events.
+STEPS = sorted({x for book in PLAYBOOKS.values() for x in book[0]})
+LIFE = f"SELECT user_id AS entity, ts, CASE event_id % {len(STEPS)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(STEPS)) + " END AS type FROM events WHERE value > 60"
+
+
+def book_sql(name, book):
+    """One playbook over f, a row an entity with the first time of each type."""
+    steps, absent, days, severity, typology = book
+    present = [x for x in steps if x not in absent]
+    met = []
+    for k, x in enumerate(steps):
+        before = [f"f.{y}" for y in present if y in steps[:k]]
+        since = f"coalesce({', '.join(before)})" if before else "NULL"
+        met.append(f"f.{x} IS NULL" if x in absent else f"f.{x} IS NOT NULL AND coalesce(floor((epoch_us(f.{x}) - epoch_us({since})) / 86400000000) <= {days}, true)" if before else f"f.{x} IS NOT NULL")
+    listed = ", ".join(f"({m})::INT" for m in met)
+    return f"""SELECT entity, '{name}' AS playbook, round(list_sum(m) / {len(steps)}, 6) AS confidence, list_max([m[k] * k for k in range(1, {len(steps) + 1})])::INT AS stage,
+ ([{', '.join(f"'{x}'" for x in steps)}])[list_max([m[k] * k for k in range(1, {len(steps) + 1})]) + 1] AS next, '{severity}' AS severity, '{typology}' AS typology FROM (SELECT entity, [{listed}] AS m FROM f) WHERE list_sum(m) / {len(steps)} >= 0.5"""
+
+
+@query("agg_w12_playbook", f"WITH event AS ({LIFE}), f AS (SELECT entity, {', '.join(f"min(ts) FILTER (WHERE type = '{x}') AS {x}" for x in STEPS)} FROM event GROUP BY entity) " + " UNION ALL ".join(book_sql(k, b) for k, b in PLAYBOOKS.items()))
 def w12(t):
-    return op.playbook(t.event, ["signup", "view", "refund", "purchase"], 1, absent=["refund"])
+    return op.playbooks(t.sql(LIFE))
+
+
+@query("agg_w12_strict_order", f"""WITH RECURSIVE event AS ({LIFE}), w AS (SELECT entity, 0 AS k, CAST(NULL AS TIMESTAMP) AS anchor, CAST(NULL AS TIMESTAMP) AS last, 0 AS n, 0 AS stage FROM (SELECT DISTINCT entity FROM event)
+UNION ALL SELECT entity, k + 1, coalesce(anchor, hit), CASE WHEN met THEN hit ELSE last END, n + met::INT, CASE WHEN met THEN k + 1 ELSE stage END FROM (SELECT *, hit IS NOT NULL AND (anchor IS NULL OR floor((epoch_us(hit) - epoch_us(anchor)) / 86400000000) <= 365) AS met
+ FROM (SELECT w.*, (SELECT min(e.ts) FROM event e WHERE e.entity = w.entity AND e.type = (['formed', 'foreign_owner_added', 'owner_changed', 'owner_changed'])[w.k + 1] AND (w.last IS NULL OR e.ts > w.last)) AS hit FROM w WHERE k < 4)))
+SELECT entity, round(n / 4, 6) AS confidence, stage, (['formed', 'foreign_owner_added', 'owner_changed', 'owner_changed'])[stage + 1] AS next FROM w WHERE k = 4 AND n / 4 >= 0.5""")
+def w12_strict(t):
+    steps, absent, days, *_ = PLAYBOOKS["ownership_layering"]
+    return op.playbook(t.sql(LIFE), steps, days, absent, strict_order=True)
 
 
 @query("agg_w13_next_event", ctes("event") + ", s AS (SELECT entity, list(type ORDER BY ts DESC, id DESC)[1] AS now FROM event GROUP BY entity) SELECT entity, CASE now WHEN 'signup' THEN 'view' WHEN 'view' THEN 'click' WHEN 'click' THEN 'purchase' END AS next FROM s WHERE now IN ('signup', 'view', 'click')")
