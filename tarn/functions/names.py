@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..lists import ROLES
+
 #: Words for a company's state, its legal form and articles.
 STATUS_WORDS = ("I LIKVIDATION", "I KONKURS", "UNDER KONKURS", "UNDER LIKVIDATION", "AVREGISTRERAD")
 LEGAL_FORMS = (("AKTIEBOLAGET", "AB"), ("AKTIEBOLAG", "AB"), ("HANDELSBOLAGET", "HB"), ("HANDELSBOLAG", "HB"), ("KOMMANDITBOLAGET", "KB"), ("KOMMANDITBOLAG", "KB"), ("EKONOMISK FÖRENING", "EF"))
@@ -74,7 +76,7 @@ def date_of(x: Column) -> Column:
     return F.coalesce(F.try_to_date(F.btrim(x), "yyyy-MM-dd"), F.try_to_date(F.concat_ws("-", year, number, day), "yyyy-MM-dd"))
 
 
-def role_of(role: Column, roles: Sequence[tuple[str, str]]) -> Column:
-    """The class of an exactly equal role, else of the first one, in order, that occurs in it; null otherwise."""
+def role_of(role: Column, roles: Sequence[tuple[str, str]] = ROLES, default: str | None = "UNKNOWN") -> Column:
+    """The class of an exactly equal role, else of the first one, in order, that occurs in it, else the default; null for null."""
     x = F.lower(F.btrim(role))
-    return F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in roles], *[F.when(F.contains(x, F.lit(k)), F.lit(v)) for k, v in roles])
+    return F.when(x.isNotNull(), F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in roles], *[F.when(F.contains(x, F.lit(k)), F.lit(v)) for k, v in roles], F.lit(default)))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lists import REPORTING_THRESHOLD, SEVERITY_RANK
+from ..lists import EXCLUDED, REPORTING_THRESHOLD, SEVERITY_RANK
 from .rules import Condition, Rule
 
 DEFAULT_RULES = (
@@ -47,7 +47,7 @@ def unusual_time(ts: Column, amount: Column) -> Column:
     return F.when((F.weekday(ts) >= 5) & (amount > 50_000), F.lit("weekend")).when(F.hour(ts) < 5, F.lit("night"))
 
 
-def first_category(name: Column, lists: Mapping[str, Sequence[str]]) -> Column:
+def first_category(name: Column, lists: Mapping[str, Sequence[str]] = EXCLUDED) -> Column:
     """The first category, in order, one of whose literals occurs in the lower-cased name; null if none does."""
     low = F.lower(name)
     tests = []
@@ -59,6 +59,11 @@ def first_category(name: Column, lists: Mapping[str, Sequence[str]]) -> Column:
     return F.coalesce(*tests)
 
 
+def not_excluded(name: Column, categories: Sequence[str], lists: Mapping[str, Sequence[str]] = EXCLUDED) -> Column:
+    """Whether a name's first category is none of the given ones; true without a category."""
+    return ~F.coalesce(first_category(name, lists).isin(*categories), F.lit(False))
+
+
 def severity_rank(column: Column) -> Column:
     """0 for critical to 3 for low; 4 for anything else."""
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv]), column), F.lit(4))

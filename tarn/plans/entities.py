@@ -8,6 +8,7 @@ from ..functions import addresses as ad
 from ..functions import identifiers as idn
 from ..functions import names as nm
 from ..functions import similarity as sim
+from ..lists import NICKNAMES, ROLES
 from ..operators import graph
 from ..operators import resolution as op
 from .views import query
@@ -115,9 +116,12 @@ def sf_21(t):
 PLAIN = f"translate(text, '{nm.ACCENTED}', '{nm.PLAIN}')"
 
 
-@query("sf_22_person_name", f"SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(lower({PLAIN}), '[^a-z\\s-]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+(jr|sr|ii|iii)$', '') AS name FROM documents")
+NICK = "list_transform(string_split(name, ' '), lambda w: CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NICKNAMES.items()) + " ELSE w END)"
+
+
+@query("sf_22_person_name", f"WITH n AS (SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(translate('Kalle Pelle Ek ' || text, '{nm.ACCENTED}', '{nm.PLAIN}')), '[^a-z\\s-]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+(jr|sr|ii|iii)$', '') AS name FROM documents) SELECT doc_id, array_to_string({NICK}, ' ') AS name FROM n")
 def sf_22(t):
-    return t.documents.select("doc_id", nm.person_name(c("text")).alias("name"))
+    return t.documents.select("doc_id", nm.person_name(F.concat(F.lit("Kalle Pelle Ek "), c("text")), NICKNAMES).alias("name"))
 
 
 @query("sf_23_strip_accents", f"SELECT doc_id, {PLAIN} AS plain FROM documents")
@@ -197,9 +201,13 @@ def sf_43(t):
     return t.events.select("event_id", elapsed_days(F.lit("2024-01-10 12:00:00").cast("timestamp"), c("ts")).alias("days"))
 
 
-@query("sf_44_roles", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'jewel' WHEN contains(p_name, 'bolt') THEN 'part' END AS kind FROM part")
+TITLES = ("VD", " Vice VD", "Styrelsens ordförande", "vald styrelseledamot", "extern ledamot", "Auktoriserad Revisor", "kassör", "suppleanten", "huvudansvarig revisor i bolaget", "Verkställande direktör")
+HOLDER = f"SELECT p_partkey, CASE p_partkey % {len(TITLES) + 1} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(TITLES)) + " ELSE p_name END AS title FROM part"
+
+
+@query("sf_44_roles", f"WITH h AS ({HOLDER}) SELECT p_partkey, CASE " + " ".join(f"WHEN lower(trim(title)) = '{k}' THEN '{v}'" for k, v in ROLES) + " " + " ".join(f"WHEN contains(lower(title), '{k}') THEN '{v}'" for k, v in ROLES) + " ELSE 'UNKNOWN' END AS kind FROM h")
 def sf_44(t):
-    return t.part.select("p_partkey", nm.role_of(c("p_name"), [("ring", "jewel"), ("bolt", "part")]).alias("kind"))
+    return t.sql(HOLDER).select("p_partkey", nm.role_of(c("title")).alias("kind"))
 
 
 @query("sf_45_json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lists import EXCLUDED, NO_ADDRESS_CLUSTER, NO_SERIAL_DIRECTOR
 from ..operators import filters as op
 from ..operators.rules import evaluate
 from .views import TXN, ctes, query
@@ -78,13 +79,22 @@ def flt_09(t):
     return t.events.select(F.col("event_id").alias("id"), op.unusual_time(F.col("ts"), F.col("value") * 1000).alias("reason")).where("reason IS NOT NULL")
 
 
-LISTS = {"metal": ("tin", "copper", "steel", "nickel", "brass"), "large": ("large", "economy"), "small": ("small", "medium")}
+#: Parts as companies: listed names and others.
+FIRMS = "firm AS (SELECT p_partkey, p_name || CASE p_partkey % 9 WHEN 0 THEN ' KPMG AB' WHEN 1 THEN ' Nordea Bank' WHEN 2 THEN ' Advokatbyrå' WHEN 3 THEN ' Lagerbolag' WHEN 4 THEN ' Umeå Kommun' WHEN 5 THEN ' Ratos Invest AB' ELSE ' ' || p_type END AS name FROM part)"
 
 
-@query("flt_10_exclusion_lists", """SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'tin|copper|steel|nickel|brass') THEN 'metal' WHEN regexp_matches(lower(p_type), 'large|economy') THEN 'large'
-WHEN regexp_matches(lower(p_type), 'small|medium') THEN 'small' END AS category FROM part""")
+def listed(column, literals):
+    return "(" + " OR ".join(f"contains(lower({column}), '{x}')" for x in literals) + ")"
+
+
+CATEGORY = "CASE " + " ".join(f"WHEN {listed('name', v)} THEN '{k}'" for k, v in EXCLUDED.items()) + " END"
+
+
+@query("flt_10_exclusion_lists", f"""WITH {FIRMS}, x AS (SELECT p_partkey, {CATEGORY} AS category FROM firm)
+SELECT *, category IS NULL OR category = 'corporate_service' AS for_directors, category IS NULL OR category NOT IN ('corporate_service', 'government') AS for_addresses FROM x""")
 def flt_10(t):
-    return t.part.select("p_partkey", op.first_category(F.col("p_type"), LISTS).alias("category"))
+    x, name = t.sql(f"WITH {FIRMS} SELECT * FROM firm"), F.col("name")
+    return x.select("p_partkey", op.first_category(name).alias("category"), op.not_excluded(name, NO_SERIAL_DIRECTOR).alias("for_directors"), op.not_excluded(name, NO_ADDRESS_CLUSTER).alias("for_addresses"))
 
 
 @query("flt_11_registration_anomalies", ctes("company", "directs", more="n AS (SELECT company, count(DISTINCT person) AS directors FROM directs GROUP BY company)") + """
