@@ -1,10 +1,18 @@
-"""Source and sink queries over the tables."""
+"""Source, sink and stream queries over the tables. Files are written to the shared folder and read back."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..cluster import scratch
+from ..sources import paged, readers, sinks
+from ..streaming import streams
 from .views import query
 
 c = F.col
@@ -80,13 +88,164 @@ def snk_09(t):
 
 @query("st_05_incremental_recompute", "WITH ch AS (SELECT DISTINCT user_id FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00') SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE user_id IN (SELECT user_id FROM ch) GROUP BY user_id")
 def st_05(t):
-    from ..streaming.streams import recompute_changed
-
     changed = t.events.where(c("ts") > F.lit("2024-01-29").cast("timestamp")).select("user_id")
-    return recompute_changed(t.events, changed, "user_id", lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
+    return streams.recompute_changed(t.events, changed, "user_id", lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
 
 
 @query("st_06_next_mark", "SELECT CAST(epoch_us(max(ts)) AS BIGINT) AS mark FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
 def st_06(t):
     new = readers.changed_since(t.events, "ts", F.lit("2024-01-20").cast("timestamp"))
     return readers.next_mark(new, "ts").select(F.unix_micros("mark").alias("mark"))
+
+
+def text_files(df, name, group, value):
+    """One file a group with a single line each, so that a file is one document."""
+    path = scratch(df.sparkSession, name)
+    df.select(group, value).repartition(group).write.partitionBy(group).text(path)
+    return path
+
+
+@query("src_01_packed_csv", "SELECT CAST(p_partkey AS VARCHAR) AS orgnr, 'ORG' AS kind, p_name AS name, nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END, '') AS street, CAST(p_size AS VARCHAR) AS size FROM part WHERE p_partkey % 4 <> 0")
+def src_01(t):
+    key, path = c("p_partkey"), scratch(t.spark, "packed")
+    street = F.when(key % 3 == 0, "").otherwise(c("p_type"))
+    size = F.when(key % 4 != 0, c("p_size"))  # rows without it have too few columns
+    t.part.select(F.concat(key.cast("string"), F.lit("$ORG")).alias("id"), F.concat_ws("$", "p_name", street).alias("who"), size.alias("size")).write.csv(path, sep=";", header=True)
+    return readers.packed_csv(t.spark, path, {"id": ["orgnr", "kind"], "who": ["name", "street"]}, least=3)
+
+
+@query("src_02_registry_tsv", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '5') AS orgnr, 'Åre ' || s_name AS name FROM supplier")
+def src_02(t):
+    path, own = scratch(t.spark, "registry"), F.lpad(c("s_suppkey").cast("string"), 10, "5")
+    written = F.when(c("s_suppkey") % 2 == 0, F.concat(F.lit("16"), own)).otherwise(own)
+    t.supplier.select(written.alias("orgnr"), F.concat(F.lit("Åre "), "s_name").alias("name")).write.csv(path, sep="\t", header=True, encoding="ISO-8859-1")
+    return readers.registry_tsv(t.spark, path, "orgnr")
+
+
+@query("src_03_json_companies", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def src_03(t):
+    listed = F.collect_list(F.struct(c("s_suppkey").alias("id"), c("s_name").alias("name")))
+    docs = t.supplier.groupBy("s_nationkey").agg(F.to_json(F.struct(F.lit(1).alias("meta"), listed.alias("companies"))).alias("value"))
+    return readers.json_companies(t.spark, text_files(docs, "companies", "s_nationkey", "value")).select("id", "name")
+
+
+@query("src_04_renamed_json", "SELECT s_suppkey AS id, s_name AS name, s_acctbal > 0 AS f_skatt FROM supplier")
+def src_04(t):
+    flag = F.when(c("s_acctbal") > 0, "Ja").when(c("s_suppkey") % 2 == 0, "Nej")
+    docs = t.supplier.groupBy("s_nationkey").agg(F.to_json(F.collect_list(F.struct(c("s_suppkey").alias("nr"), c("s_name").alias("namn"), flag.alias("f_skatt")))).alias("value"))
+    return readers.renamed_json(t.spark, text_files(docs, "renamed", "s_nationkey", "value"), {"nr": "id", "namn": "name"}, {"f_skatt": "Ja"})
+
+
+def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, content): each page as the only report of an archive; every tenth archive is broken."""
+    for pdf in batches:
+        rows = []
+        for own, html in zip(pdf["page_id"], pdf["html"], strict=True):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("report.xhtml", html or "")
+            rows.append((str(own), out.getvalue() if own % 10 else b"broken"))
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+
+@query("src_06_zipped_reports", "SELECT CAST(page_id AS VARCHAR) AS path, 'report.xhtml' AS member, CAST(0 AS INT) AS at, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages WHERE html LIKE '%<title>%' AND page_id % 10 <> 0")
+def src_06(t):
+    return readers.archived_reports(t.pages.select("page_id", "html").mapInPandas(zipped, "path string, content binary"), ["title"])
+
+
+@query("src_09_leaked_rows", "SELECT CAST(c_custkey AS VARCHAR) AS node, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'extra' END AS second, CAST(c_nationkey AS VARCHAR) AS country FROM customer")
+def src_09(t):
+    path, key = scratch(t.spark, "leaked"), c("c_custkey").cast("string")
+    # a comma within a name moves all fields after it, except those that are counted from the end
+    rows = t.customer.select(F.concat_ws(",", key, F.when(c("c_custkey") % 2 == 0, c("c_mktsegment")).otherwise(F.concat(F.lit("extra,"), "c_mktsegment")), F.concat(F.lit('"'), c("c_nationkey").cast("string"), F.lit('"'))).alias("value"))
+    t.spark.createDataFrame([("node,segment,country",)], "value string").unionByName(rows).write.text(path)
+    return readers.leaked_rows(t.spark, path, {"node": 0, "second": 1, "country": -1}, heading="node,segment,country")
+
+
+@query("src_10_tidy_cube", "SELECT c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation, CAST(count(*) AS DOUBLE) AS value FROM customer GROUP BY ALL")
+def src_10(t):
+    counts = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n")).groupBy("c_mktsegment")
+    cells = counts.agg(F.sort_array(F.collect_list(F.struct(c("c_nationkey"), c("n")))).alias("cells")).withColumn("codes", F.transform("cells", lambda x: x["c_nationkey"].cast("string")))
+    places = F.map_from_arrays("codes", F.sequence(F.lit(0), F.size("codes") - 1))
+    index = lambda m: F.struct(F.struct(m.alias("index")).alias("category"))
+    dimension = F.struct(index(F.create_map("c_mktsegment", F.lit(0))).getField("category").alias("category"))
+    cube = F.struct(F.array(F.lit("segment"), F.lit("nation")).alias("id"), F.struct(dimension.alias("segment"), index(places).alias("nation")).alias("dimension"), F.transform("cells", lambda x: x["n"]).alias("value"))
+    docs = cells.select("c_mktsegment", F.to_json(cube).alias("value"))
+    x = readers.tidy_cube(t.spark, text_files(docs, "cube", "c_mktsegment", "value"))
+    return x.select(F.get_json_object("key", "$.segment").alias("segment"), F.get_json_object("key", "$.nation").alias("nation"), "value")
+
+
+def company_page(page: int, options: dict) -> Iterator[tuple]:
+    """A page of a company service that counts its companies."""
+    size = int(options["size"])
+    for k in range(page * size, (page + 1) * size):
+        yield k, f"company {k}"
+
+
+@query("src_12_paged_service", "SELECT CAST(range AS BIGINT) AS id, 'company ' || range AS name FROM range(1000)")
+def src_12(t):
+    t.spark.dataSource.register(paged.PagedSource)
+    service = t.spark.read.format("paged").option("fetcher", "tarn.plans.sources:company_page").option("pages", 20).option("size", 50)
+    return service.schema("id long, name string").load()
+
+
+FORMS = ("json", "csv", "xml", "parquet")
+
+
+@query("snk_05_exports", " UNION ALL ".join(f"SELECT '{f}' AS form, s_suppkey, s_name FROM supplier" for f in FORMS))
+def snk_05(t):
+    x, read = t.supplier.select("s_suppkey", "s_name"), []
+    for form in FORMS:
+        path = scratch(t.spark, form)
+        sinks.export(x, path, form)
+        reader = t.spark.read.schema(x.schema).option("header", True).option("rowTag", "row")
+        read.append(reader.format(form).load(path).select(F.lit(form).alias("form"), "s_suppkey", "s_name"))
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])
+
+
+@query("snk_07_saved_graph", "SELECT 'vertex' AS part, s_suppkey AS src, CAST(s_nationkey AS BIGINT) AS dst FROM supplier UNION ALL SELECT DISTINCT 'edge', l_suppkey, l_partkey FROM lineitem")
+def snk_07(t):
+    path = scratch(t.spark, "graph")
+    sinks.save_graph(t.supplier.select("s_suppkey", "s_nationkey"), t.lineitem.select("l_suppkey", "l_partkey").distinct(), path)
+    vertices, edges = t.spark.read.parquet(f"{path}/vertices"), t.spark.read.parquet(f"{path}/edges")
+    v = vertices.select(F.lit("vertex").alias("part"), c("s_suppkey").alias("src"), c("s_nationkey").cast("long").alias("dst"))
+    return v.unionByName(edges.select(F.lit("edge").alias("part"), c("l_suppkey").alias("src"), c("l_partkey").alias("dst")))
+
+
+def event_stream(t):
+    """The events as a stream of their files, with UTC times. A stream reads a single file only through a pattern."""
+    source = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    return t.spark.readStream.schema(source.schema).parquet(f"{t.sf_dir}/events.parque[t]").withColumn("ts", c("ts").cast("timestamp"))
+
+
+def streamed(t, stream, name, mode="append"):
+    """What a stream gives for all that is there."""
+    table = f"{name}_{scratch(t.spark, name)[-32:]}"
+    streams.run_available(stream, table, scratch(t.spark, name), mode)
+    return t.spark.table(table)
+
+
+@query("st_01_available_now", "SELECT event_id, event_type FROM events WHERE value > 60")
+def st_01(t):
+    return streamed(t, event_stream(t).where("value > 60").select("event_id", "event_type"), "st_01")
+
+
+@query("st_02_staged_batches", "SELECT 'seen' AS stage, event_id, value FROM events UNION ALL SELECT 'scaled', event_id, value * 2 FROM events WHERE value > 60")
+def st_02(t):
+    path, x = scratch(t.spark, "staged"), event_stream(t).select("event_id", "value")
+    stages = [("seen", lambda df: df), ("scaled", lambda df: df.where("value > 60").withColumn("value", c("value") * 2))]
+    streams.staged(x, stages, lambda stage, rows, batch: rows.write.mode("overwrite").parquet(f"{path}/stage={stage}/batch={batch}"), scratch(t.spark, "staged")).awaitTermination()
+    return t.spark.read.parquet(path).select("stage", "event_id", "value")
+
+
+@query("st_04_lockout", """WITH e AS (SELECT user_id AS k, ts, event_type <> 'error' AS ok FROM events WHERE event_type IN ('error', 'purchase')), s AS (SELECT k, max(ts) FILTER (WHERE ok) AS good FROM e GROUP BY k),
+f AS (SELECT e.k, e.ts, max(e.ts) OVER (PARTITION BY e.k) AS last FROM e JOIN s ON s.k = e.k WHERE NOT ok AND (good IS NULL OR ts > good)), n AS (SELECT k, count(*) AS failures FROM f WHERE ts > last - INTERVAL 86400 SECOND GROUP BY k)
+SELECT CAST(s.k AS VARCHAR) AS key, coalesce(failures, 0) AS failures, coalesce(failures, 0) >= 2 AS blocked FROM s LEFT JOIN n ON n.k = s.k""")
+def st_04(t):
+    attempts = event_stream(t).where("event_type IN ('error', 'purchase')").select(c("user_id").cast("string").alias("key"), "ts", (c("event_type") != "error").alias("ok"))
+    return streamed(t, streams.lockout_stream(attempts, most=2, window_s=86400), "st_04", "update")
+
+
+@query("st_07_alert_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def st_07(t):
+    return streamed(t, streams.dedupe_stream(event_stream(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "40 days").select("user_id", "event_type"), "st_07")

@@ -51,10 +51,10 @@ def next_mark(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(column).alias("mark"))
 
 
-def leaked_rows(spark: SparkSession, path: str, fields: dict[str, int], separator: str = ",") -> DataFrame:
-    """Lines cut at every separator; fields by position, from the end if negative. The first line is a heading."""
+def leaked_rows(spark: SparkSession, path: str, fields: dict[str, int], separator: str = ",", heading: str | None = None) -> DataFrame:
+    """Lines cut at every separator; fields by position, from the end if negative. Lines equal to the heading go: the one given, else the first line of one file."""
     lines = spark.read.text(path).where(F.col("value") != "")
-    head = lines.first()
+    head = (heading,) if heading is not None else lines.first()
     parts = F.split("value", separator)
     rows = lines.where(F.col("value") != head[0]) if head else lines
     return rows.select(*[F.btrim(F.try_element_at(parts, F.lit(k + 1 if k >= 0 else k)), F.lit('" ')).alias(n) for n, k in fields.items()])
@@ -90,7 +90,12 @@ def flat_company(df: DataFrame, column: str) -> DataFrame:
 
 
 def zipped_reports(spark: SparkSession, path: str, tags: Sequence[str]) -> DataFrame:
-    """Tagged fields of the XHTML reports in ZIP files: (path, member, at, one column a tag, named without its prefix). Broken archives give no rows."""
+    """Tagged fields of the XHTML reports in the ZIP files of a folder (see archived_reports)."""
+    return archived_reports(spark.read.format("binaryFile").load(path), tags)
+
+
+def archived_reports(files: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """Tagged fields of the XHTML reports in archives (path, content): (path, member, at, one column a tag, named without its prefix). Broken archives give no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,7 +108,7 @@ def zipped_reports(spark: SparkSession, path: str, tags: Sequence[str]) -> DataF
                     continue
             yield pd.DataFrame(rows, columns=["path", "member", "text"])
 
-    texts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, text string")
+    texts = files.select("path", "content").mapInPandas(run, "path string, member string, text string")
     fields = tagged_fields(texts.withColumn("id", F.struct("path", "member")), tags, "id", "text")
     return fields.select("doc_id.path", "doc_id.member", "at", *[t.split(":")[-1] for t in tags])
 
