@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from tarn import lists
 from tarn.functions import addresses, identifiers, names, similarity
 from tarn.operators import filters, graph, joins, rules, sequences, text
 
@@ -113,7 +116,9 @@ def test_text(spark):
     s = {(r.kind, r.value, r.start) for r in text.spans(docs).collect()}
     assert ("email", "a.b@c.se", 9) in s
     assert one(spark, text.summary(F.lit("One two. Three four five. Six."), 5)) == "One two. Three four five."
-    assert one(spark, text.language(F.lit("och det är"), {"sv": ["och", "är"], "en": ["the"]}, "sv")) == "sv"
+    assert one(spark, text.language(F.lit("och det är"))) == "sv"
+    assert one(spark, text.language(F.lit("this is from the board"))) == "en"
+    assert one(spark, text.language(F.lit("xyz"))) == "sv"
     assert not one(spark, text.justified(F.lit("asdfasdfasdf")))
     assert one(spark, text.justified(F.lit("Checked against the register")))
 
@@ -243,3 +248,54 @@ def test_pagerank_settles(spark):
         r = 0.15 / len(nodes) + 0.85 * m @ r
     got = {x.node: x["rank"] for x in graph.pagerank(spark.createDataFrame(edges, "src long, dst long"), tolerance=1e-9).collect()}
     assert got == {n: pytest.approx(v, abs=1e-7) for n, v in zip(nodes, r, strict=True)}
+
+
+def test_text_lists(spark):
+    long = "x" * 60 + " Knark och HELLS ANGELS i " + "y" * 60
+    docs = spark.createDataFrame([(1, long), (2, "fakturaskojeri"), (3, "knarkare"), (4, None), (5, "")], "doc_id long, text string")
+    got = text.vocabulary_matches(docs).collect()
+    assert {(r.doc_id, r.category, r.word, r.severity) for r in got} == {(1, "drugs", "knark", "high"), (1, "gang", "hells angels", "high"), (2, "money_laundering", "fakturaskojeri", "high"), (2, "fraud", "fakturaskojeri", "high")}
+    at = long.index("Knark")
+    assert {r.context for r in got if r.word == "knark"} == {long[at - 50 : at + 55]}
+    assert text.vocabulary_matches(docs, {"a": {"knark": "low"}}, least="high").count() == 0
+    s = one(spark, text.sentiment(F.lit("Våldsam panik, bra")))
+    assert s.fear == pytest.approx(2 * math.log(2) / math.log(19)) and s.violence == pytest.approx(2 * math.log(3) / math.log(24))
+    assert (s.polarity, s.threat) == (1.0, 0.0) and s.risk == pytest.approx(0.35 * s.violence + 0.2 * s.fear)
+    r = one(spark, text.combined_risk(F.lit("knark")))
+    assert (r.risk, r.flag) == (0.5, True)
+    assert tuple(one(spark, text.combined_risk(F.lit(None).cast("string")))) == (0.0, False)
+
+
+def test_relations_in_text(spark):
+    docs = spark.createDataFrame([(1, "Anna Berg är VD för Nordbolaget Sverige. X äger Y1."), (2, "Bo Ek äger " + "ord " * 20000 + "slut."), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.relation, r.subject, r.object[:20], r.confidence) for r in text.relations(docs).collect()}
+    assert got == {(1, "ceo", "Anna Berg", "Nordbolaget Sverige", 0.8), (2, "owns", "Bo Ek", "ord ord ord ord ord ", 0.8)}
+
+
+def test_token_entities(spark):
+    docs = spark.createDataFrame([(1, "Anna Berg"), (2, None)], "doc_id long, text string")
+    got = text.token_entities(docs, lambda texts: [[("PER", 0, 4, 0.9)] if t else [] for t in texts]).collect()
+    assert [(r.doc_id, r.kind, r.value, r.confidence) for r in got] == [(1, "PER", "Anna", 0.9)]
+
+
+def test_fixed_lists(spark):
+    assert one(spark, names.role_of(F.lit(" Vice VD "))) == "VICE_VD"
+    assert one(spark, names.role_of(F.lit("vald styrelseledamot"))) == "STYRELSELEDAMOT"
+    assert one(spark, names.role_of(F.lit("kassör"))) == "UNKNOWN"
+    assert one(spark, names.person_name(F.lit("Kalle Ek Jr"), lists.NICKNAMES)) == "karl ek"
+    found = [one(spark, filters.first_category(F.lit(x).cast("string"), lists.EXCLUDED)) for x in ("KPMG AB", "Nordea Bank", "Lagerbolag i Norr", "Okänd Firma", None)]
+    assert found == ["audit_firm", "bank", "corporate_service", None, None]
+    assert one(spark, filters.not_excluded(F.lit("Lagerbolag"), lists.NO_SERIAL_DIRECTOR))
+    assert not one(spark, filters.not_excluded(F.lit("Lagerbolag"), lists.NO_ADDRESS_CLUSTER))
+
+
+def test_playbooks(spark):
+    rows = [(1, "formed", 1), (1, "f_skatt_registered", 5), (1, "address_to_virtual", 9), (2, "owner_changed", 1), (2, "formed", 2), (2, "foreign_owner_added", 3)]
+    events = spark.createDataFrame(rows, "entity long, type string, day int").select("entity", "type", F.timestamp_seconds(F.col("day") * 86400).alias("ts"))
+    loose = {(r.entity, r.playbook): (r.confidence, r.stage, r.next, r.severity) for r in sequences.playbooks(events).collect()}
+    assert loose[1, "invoice_factory"] == (1.0, 4, None, "high")
+    # a repeated step meets the same event again, and order does not matter
+    assert loose[2, "ownership_layering"] == (1.0, 4, None, "medium")
+    strict = {(r.entity, r.playbook): (r.confidence, r.stage, r.next) for r in sequences.playbooks(events, strict_order=True).collect()}
+    assert strict[1, "invoice_factory"] == (1.0, 4, None)
+    assert strict[2, "ownership_layering"] == (0.5, 2, "owner_changed")
