@@ -58,9 +58,9 @@ def _node(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens ^ PLACE[7]).sum(keepdims=True) + U(len(tokens))).view(np.int64)[0])
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     for at, _, words in steps(batch.column("text")):
-        for k, tokens in enumerate(shingles(words)):
+        for k, tokens in enumerate(shingles(words, size)):
             yield at + k, _set(tokens)
 
 
@@ -127,20 +127,29 @@ def _pairs(often: np.ndarray, need: int, level: int) -> np.ndarray:
     return np.concatenate(out) if out else x[:0]
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-        for k, tokens in _sets(batch):
-            n[k], node[k] = len(tokens), _node(tokens)
-        yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(node)], names=["doc_id", "text_key", "n_shingles", "node"])
+def _nodes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for k, tokens in _sets(batch, size):
+                n[k], node[k] = len(tokens), _node(tokens)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(node)], names=["doc_id", "text_key", "n_shingles", "node"])
+
+    return run
+
+
+def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, node) of each row, written: the size and the name of its set of `size`-word shingles; text_key = xxhash64(id, text)."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
+    return durable(own.mapInArrow(_nodes(size), "doc_id long, text_key long, n_shingles long, node long"))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+def _distinct(batches: Iterator[pa.RecordBatch], most: int, size: int = 5) -> Iterator[tuple[list[np.ndarray], list[int]]]:
     """Non-empty token sets and their nodes, some `most` tokens at a time, copies within a portion once."""
     sets: dict[int, np.ndarray] = {}
     held = 0
     for batch in batches:
-        for _, tokens in _sets(batch):
+        for _, tokens in _sets(batch, size):
             if len(tokens) and (node := _node(tokens)) not in sets:
                 sets[node] = tokens
                 held += len(tokens)
@@ -343,11 +352,11 @@ def _node_filter(nodes: DataFrame, bits: int) -> np.ndarray:
     return out.view(U)
 
 
-def _wanted_sets(bitmap, bits: int):
+def _wanted_sets(bitmap, bits: int, size: int):
     """The sets of nodes that the filter has, 48 bits a token."""
 
     def run(batches):
-        for sets, nodes in _distinct(batches, FLUSH):
+        for sets, nodes in _distinct(batches, FLUSH, size):
             place = np.array(nodes, np.int64).view(U) & U((1 << bits) - 1)
             hit = np.flatnonzero((bitmap.value[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1))
             blobs = [sets[k].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for k in hit.tolist()]
@@ -380,13 +389,13 @@ def _verify(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, bits: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, bits: int, percent: int, size: int) -> DataFrame:
     """The distinct pairs (hub, a, b), compared on their full sets."""
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     bitmap = spark.sparkContext.broadcast(_node_filter(ends, bits))
     give_back()
-    sets = docs.mapInArrow(_wanted_sets(bitmap, bits), "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+    sets = docs.mapInArrow(_wanted_sets(bitmap, bits, size), "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     # a hub of thousands is sent to several tasks, each with a part of its members
@@ -437,6 +446,39 @@ def _open_pairs(stars: DataFrame, named: DataFrame, percent: int, small_group: i
     return pairs, stars
 
 
+def settled(text: DataFrame, todo: DataFrame, count: int, percent: int, size: int, small_group: int = 16, rounds: int = 12) -> DataFrame:
+    """(node, root) of the components that the candidates in todo (hub, a, b) make, all compared on their full sets.
+
+    text has the column text alone, of `count` rows. Rows of todo with hub false are pairs; with hub true, a is the hub of a group that b belongs to: any two
+    members of a group that link end in one component. What `rounds` - 1 rounds of hubs leave open is compared pair by pair in the last.
+    """
+    bits = min(27, max(18, count.bit_length() + 4))
+    tested = links = None
+    for round_no in range(rounds):
+        seen = _verified(text, todo, bits, percent, size)
+        tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
+        new = seen.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        named = connected_components(links)
+        stars = seen.where("hub")
+        if stars.isEmpty() or (more := _open_pairs(stars, named, percent, small_group, round_no == rounds - 2)) is None:
+            break
+        both_ways = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        todo = durable(more[0].join(both_ways, ["a", "b"], "left_anti").unionByName(more[1]))
+        if todo.isEmpty():
+            break
+    return named
+
+
+def with_components(own: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id of the component; a null id only where it has no other), component, text_key."""
+    # an empty set is a component of its own; smallest ids are written first, so that the join can split a large component
+    labelled = own.join(durable(named), "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
+    least_id = durable(labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id")))
+    out = labelled.join(least_id, "root", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"), F.col("root").alias("component"), "text_key")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = 17, small_group: int = 16, frequent_cap: int = 1 << 21, rounds: int = 12) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included), component, text_key.
 
@@ -450,39 +492,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if rounds < 2:
         raise ValueError("the last round compares what the others leave open, so there are two at least")
     spark: SparkSession = ready(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    text = docs.select("text")
-    own = docs.withColumn("text_key", F.xxhash64("doc_id", "text"))
-    own = durable(own.mapInArrow(_nodes, "doc_id long, text_key long, n_shingles long, node long"))
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    own = document_sets(docs, id_col, text_col, 5)
     tokens, count = own.agg(F.sum("n_shingles"), F.count("*")).first()
     n_blocks = blocks_for(tokens, 1 << 20)
     # as many postings as tokens at the very most, about a third in practice
     index_blocks = blocks_for(tokens, 1 << 21)
-    bits = min(27, max(18, int(count).bit_length() + 4))
     cells = spark.sparkContext.broadcast(frequent_cells(text, n_blocks, least, frequent_cap))
     index = text.mapInArrow(_postings(n_blocks, index_blocks, cells, percent), "block long, rows binary")
     # a bucket gets what some blocks' postings make
     packed = index.groupBy("block").applyInPandas(_candidates(small_group, percent, blocks_for(index_blocks, 8)), "bucket long, hub boolean, pairs binary")
     todo = durable(packed.groupBy("bucket").applyInPandas(_summed, "hub boolean, a long, b long"))
-    tested = links = None
-    for round_no in range(rounds):
-        seen = _verified(text, todo, bits, percent)
-        tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
-        new = seen.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        named = connected_components(links)
-        stars = seen.where("hub")
-        if stars.isEmpty() or (more := _open_pairs(stars, named, percent, small_group, round_no == rounds - 2)) is None:
-            break
-        both_ways = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        todo = durable(more[0].join(both_ways, ["a", "b"], "left_anti").unionByName(more[1]))
-        if todo.isEmpty():
-            break
-    # an empty set is a component of its own; smallest ids are written first, so that the join can split a large component
-    labelled = own.join(durable(named), "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
-    least_id = durable(labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id")))
-    out = labelled.join(least_id, "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"), F.col("root").alias("component"), "text_key")
+    named = settled(text, todo, int(count), percent, 5, small_group, rounds)
+    return with_components(own, named)
 
 
 def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align
 from .decontaminate import contaminated
 from .fingerprints import fingerprints
+from .forest import near_duplicates
 from .jaccard import jaccard_components
 from .lm import lm_scores
 from .mixing import mix
 from .quality import quality_scores
 from .records import read_records, write_records
 from .shards import shard_documents
+from .sortmeans import cluster, with_inertia
 from .urls import filter_urls
 from .warc import read_warc, write_warc
 
@@ -24,9 +27,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_tokenizer() -> str:
     """Path of the public vocabulary that the token-ID query uses."""
+    return public_vocabulary("word_bpe_49k.json")
+
+
+def public_vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +76,45 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
+
+
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_jaccard_join, op5_fingerprints, op6_url_filters, op7_shards, op8_token_records, op9_warc, op10_lm_scores)
+    f.__name__: f
+    for f in (op1_mix_sources, op2_decontaminate, op3_quality, op4_jaccard_join, op5_fingerprints, op6_url_filters, op7_shards, op8_token_records, op9_warc, op10_lm_scores)
+    + (op11_align_tokenizers, op12_minhash_forest, op13_sort_means)
 }
 
 #: Words of DuckDB's column `text`: A-Z lower-cased, split as the contract says.
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
-OP4 = f"""
+
+def near_duplicates_sql(size: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of `size`-word shingles have a Jaccard similarity of at least `percent` in a hundred."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh
-      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {size - 1}], ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
-reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
-SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+found AS (SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
        least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
-FROM documents LEFT JOIN n USING (doc_id)
+FROM documents LEFT JOIN n USING (doc_id))
+SELECT *{more} FROM found
 """
 
+
 #: Every window that holds a shingle of the item, at every offset, compared as multisets; the best of each item and document, the first of
 #: equals. A document shorter than the item is one window. Items of fewer than five words are left out, as the table has none.
 OP2 = f"""
@@ -113,4 +139,34 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM m
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op4_jaccard_join": OP4, "op9_warc": OP9}
+
+def sort_means_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, salt: str = "2:") -> str:
+    """Lloyd's rounds written out; every vector is compared with every centroid, component by component."""
+    parts = [f"""
+v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{salt}' || vec_id)) - 1 AS INT) AS cluster, v AS c FROM v QUALIFY cluster < {k})"""]
+    distance = f"list_sum([(v[i] - c[i]) * (v[i] - c[i]) for i in range(1, {dims + 1})])"
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, c := cluster)) AS x
+      FROM (SELECT vec_id, v, cluster, CAST({distance} AS BIGINT) AS d FROM v CROSS JOIN c{r}) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (SELECT cluster, list(mean ORDER BY i) AS c FROM
+      (SELECT x.c AS cluster, i, CAST((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS mean FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY ALL) GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, x.c AS cluster, x.d AS distance, CAST(sum(x.d) OVER (PARTITION BY x.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(x.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON cluster = x.c
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2,
+    "op4_jaccard_join": near_duplicates_sql(5, 75),
+    "op9_warc": OP9,
+    "op12_minhash_forest": near_duplicates_sql(2, 80, ", doc_id = component_id AS kept"),
+    "op13_sort_means": sort_means_sql(),
+}
