@@ -19,6 +19,11 @@ def flagged(flags: Mapping[str, Column], weights: Mapping[str, float]) -> tuple[
     return score, F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in sure.items()]))), ",")
 
 
+def shell_like(score: Column, flags: Column) -> Column:
+    """Three flags or more, or a score of 0.4 or more."""
+    return (flags >= 3) | (F.round(score, 9) >= 0.4)
+
+
 def bands(score: Column, high: float, medium: float) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..cluster import durable
 from ..lists import PLAYBOOKS, REPORTING_THRESHOLD
 from .filters import just_under
 
@@ -31,6 +31,42 @@ def forward(key: str, ts: str, seconds: int) -> WindowSpec:
     return Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(0, seconds * 1_000_000)
 
 
+def with_distinct(df: DataFrame, key: str, value: str, ts: str, seconds: int, name: str, ahead: bool = False) -> DataFrame:
+    """df with the number of different values in the trailing (or coming) `seconds` of its key, both ends included, nulls not counted.
+
+    Each row stands for its value from its own time until it leaves the window or the value's next row takes over; the count is a running sum of
+    rows that begin and end, so no set is built.
+    """
+    at, end = "__at", "__end"
+    m = -micros(ts) if ahead else micros(ts)
+    rows = df.withColumn(at, m)
+    following = F.lead(at).over(Window.partitionBy(key, value).orderBy(at))
+    rows = rows.withColumn(end, F.when(F.col(value).isNotNull(), F.least(F.col(at) + seconds * 1_000_000 + 1, following)))
+    begins = rows.withColumn("__step", F.when(F.col(value).isNotNull(), 1).otherwise(0)).withColumn("__row", F.lit(True)).drop(end)
+    ends = rows.where(F.col(end).isNotNull()).select(key, F.col(end).alias(at), F.lit(-1).alias("__step"), F.lit(False).alias("__row"))
+    upto = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    out = begins.unionByName(ends, allowMissingColumns=True).withColumn(name, F.sum("__step").over(upto).cast("int")).where("__row")
+    return out.select(*[F.col(c) for c in df.columns], name)
+
+
+def spans(anchors: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, start, end, anchors): windows of a key that overlap or touch, merged into maximal spans that do not."""
+    w = anchors.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(key, F.col(start).alias("start"), F.col(end).alias("end"))
+    before = Window.partitionBy(key).orderBy("start", "end")
+    fresh = F.coalesce(F.col("start") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    numbered = w.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("anchors")).drop("island")
+
+
+def in_spans(rows: DataFrame, found: DataFrame, key: str, ts: str) -> DataFrame:
+    """rows that lie in a span of their key, with the span's start, end and anchors. Rows and spans are swept together once a key, without pairs."""
+    marks = found.select(key, F.col("start").alias("__at"), F.struct("start", "end", "anchors").alias("__span"), F.lit(0).alias("__kind"))
+    both = rows.withColumn("__at", F.col(ts)).withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    latest = F.last("__span", ignorenulls=True).over(Window.partitionBy(key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("__span", latest).where((F.col("__kind") == 1) & (F.col("__at") <= F.col("__span.end")))
+    return out.select(*[F.col(c) for c in rows.columns], F.col("__span.start").alias("start"), F.col("__span.end").alias("end"), F.col("__span.anchors").alias("anchors"))
+
+
 def elapsed_days(start: Column, end: Column) -> Column:
     """Whole 24-hour periods from start to end, rounded down."""
     return F.floor((F.unix_micros(end) - F.unix_micros(start)) / (DAY * 1_000_000))
@@ -42,17 +78,23 @@ def severity(amount: Column, amounts: Sequence[float], other: Column, others: Se
     return F.when(reached[0], "critical").when(reached[1], "high").when(reached[2], "medium").otherwise("low")
 
 
-def structuring(txns: DataFrame, days: int = 7, least: int = 3, total: float = REPORTING_THRESHOLD, low: float = 142_500, high: float = 150_000) -> DataFrame:
+def structuring(txns: DataFrame, days: int = 7, least: int = 3, total: float = REPORTING_THRESHOLD, low: float = 142_500, high: float = 150_000, collapse: bool = False) -> DataFrame:
     """Payments just under the threshold, per sender over trailing days: one row per anchor whose window has `least` of them and `total`.
 
-    Severity by total or number of payments, confidence min(0.95, 0.5 + 0.1 (n - least)).
+    Severity by total or number of payments, confidence min(0.95, 0.5 + 0.1 (n - least)). collapse=True merges windows that overlap, from their
+    first payment to their anchor, into spans (start, end, anchors) and judges all payments of a span together.
     """
     under = txns.where((F.col("amount") >= low) & (F.col("amount") < high))
     w = trailing("sender", "ts", days * DAY)
-    found = under.select("id", "sender", F.count("*").over(w).alias("n"), F.sum("amount").over(w).alias("total")).where((F.col("n") >= least) & (F.col("total") >= total))
+    found = under.select("id", "sender", "ts", F.min("ts").over(w).alias("from"), F.count("*").over(w).alias("n"), F.sum("amount").over(w).alias("total")).where((F.col("n") >= least) & (F.col("total") >= total))
+    shown = ["id", "sender"]
+    if collapse:
+        inside = in_spans(under.select("sender", "ts", "amount"), spans(found, "sender", "from", "ts"), "sender", "ts")
+        shown = ["sender", "start", "end", "anchors"]
+        found = inside.groupBy(*shown).agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
     grade = severity(F.col("total"), [k * REPORTING_THRESHOLD for k in (5, 3, 2)], F.col("n"), (10, 7, 5))
     confidence = F.least(F.lit(0.95), 0.5 + (F.col("n") - least) * 0.1)
-    return found.select("id", "sender", "n", F.col("total").cast("double").alias("total"), grade.alias("severity"), F.round(confidence, 6).alias("confidence"))
+    return found.select(*shown, "n", F.col("total").cast("double").alias("total"), grade.alias("severity"), F.round(confidence, 6).alias("confidence"))
 
 
 def structuring_forward(txns: DataFrame, days: int = 3, least: int = 3, threshold: float = REPORTING_THRESHOLD) -> DataFrame:
@@ -72,17 +114,25 @@ def structuring_share(txns: DataFrame, least: int = 5, share: float = 0.3) -> Da
     return txns.groupBy("sender").agg(F.count("*").alias("n"), k.alias("k")).where((F.col("n") > least) & (F.col("k") / F.col("n") > share))
 
 
-def smurfing(txns: DataFrame, days: int = 7, least: int = 3, total: float = REPORTING_THRESHOLD) -> DataFrame:
+def smurfing(txns: DataFrame, days: int = 7, least: int = 3, total: float = REPORTING_THRESHOLD, collapse: bool = False) -> DataFrame:
     """Recipients with `least` different depositors and `total` in trailing days; one row per anchor.
 
-    Severity by total or number of depositors, confidence 0.7 + min(0.25, 0.05 (depositors - least)).
+    Severity by total or number of depositors, confidence 0.7 + min(0.25, 0.05 (depositors - least)). collapse=True merges windows that overlap, from
+    their first payment to their anchor, into spans (start, end, anchors) and judges all payments of a span together.
     """
     w = trailing("receiver", "ts", days * DAY)
-    x = txns.select("id", "receiver", F.size(F.collect_set("sender").over(w)).alias("depositors"), F.sum("amount").over(w).cast("double").alias("total"))
-    x = x.where((F.col("depositors") >= least) & (F.col("total") >= total))
+    x = txns.select("id", "receiver", "sender", "ts", F.min("ts").over(w).alias("from"), F.sum("amount").over(w).cast("double").alias("total"))
+    x = with_distinct(x, "receiver", "sender", "ts", days * DAY, "depositors").where((F.col("depositors") >= least) & (F.col("total") >= total))
+    shown = ["id", "receiver"]
+    if collapse:
+        inside = in_spans(txns.select("receiver", "sender", "ts", "amount"), spans(x, "receiver", "from", "ts"), "receiver", "ts")
+        shown = ["receiver", "start", "end", "anchors"]
+        # a span's senders first, so that no task holds a set of them
+        each = inside.groupBy(*shown, "sender").agg(F.sum("amount").alias("part"))
+        x = each.groupBy(*shown).agg(F.count("sender").cast("int").alias("depositors"), F.sum("part").cast("double").alias("total"))
     grade = severity(F.col("total"), (1_000_000, 500_000, 200_000), F.col("depositors"), (10, 7, 5))
     confidence = 0.7 + F.least(F.lit(0.25), (F.col("depositors") - least) * 0.05)
-    return x.select("*", grade.alias("severity"), F.round(confidence, 6).alias("confidence"))
+    return x.select(*shown, "depositors", "total", grade.alias("severity"), F.round(confidence, 6).alias("confidence"))
 
 
 def rapid_movement(ins: DataFrame, outs: DataFrame, hours: int = 24, least: float = 100_000, share: float = 0.8) -> DataFrame:
@@ -110,13 +160,25 @@ def velocity_spikes(now: DataFrame, history: DataFrame, key: str, ts: str, facto
     return x.where(F.col("ratio") > factor).select(key, "n", F.round("ratio", 6).alias("ratio"), F.round(F.least(F.lit(1.0), (F.col("ratio") - 3) / 5 + 0.6), 6).alias("confidence"))
 
 
-def bursts(events: DataFrame, hours: int = 24, least: int = 3) -> DataFrame:
-    """Anchors whose next `hours` hold `least` events of the entity; risk is the mean of n / 20, types / 5 and 1 / (1 + hours spanned), each at most 1."""
+def bursts(events: DataFrame, hours: int = 24, least: int = 3, collapse: bool = False) -> DataFrame:
+    """Anchors whose next `hours` hold `least` events of the entity; risk is the mean of n / 20, types / 5 and 1 / (1 + hours spanned), each at most 1.
+
+    collapse=True merges windows that overlap, from their anchor to their last event, into spans (start, end, anchors) and judges all events of a span together.
+    """
     w = forward("entity", "ts", hours * 3600)
-    x = events.select("id", "entity", "ts", F.count("*").over(w).alias("n"), F.size(F.collect_set("type").over(w)).alias("types"), ((F.max(micros("ts")).over(w) - micros("ts")) / 3.6e9).alias("span"))
+    x = events.select("id", "entity", "type", "ts", F.count("*").over(w).alias("n"), F.max("ts").over(w).alias("to"))
+    x = x.withColumn("span", (micros("to") - micros("ts")) / 3.6e9)
+    shown = ["id", "entity"]
+    if collapse:
+        inside = in_spans(events.select("entity", "type", "ts"), spans(x.where(F.col("n") >= least), "entity", "ts", "to"), "entity", "ts")
+        shown = ["entity", "start", "end", "anchors"]
+        each = inside.groupBy(*shown, "type").agg(F.count("*").alias("part"))
+        x = each.groupBy(*shown).agg(F.sum("part").alias("n"), F.count("type").cast("int").alias("types")).withColumn("span", (micros("end") - micros("start")) / 3.6e9)
+    else:
+        x = with_distinct(x, "entity", "type", "ts", hours * 3600, "types", ahead=True).where(F.col("n") >= least)
     part = lambda c: F.least(F.lit(1.0), c)
     risk = (part(F.col("n") / 20) + part(F.col("types") / 5) + 1 / (1 + F.col("span"))) / 3
-    return x.where(F.col("n") >= least).select("id", "entity", "n", "types", F.round(risk, 6).alias("risk"))
+    return x.select(*shown, "n", "types", F.round(risk, 6).alias("risk"))
 
 
 def coordinated(events: DataFrame, entities: Sequence, seconds: int = 3600, least: int = 2) -> DataFrame:
@@ -141,37 +203,58 @@ def contiguous(events: DataFrame, types: Sequence[str]) -> DataFrame:
 
 
 def greedy_clusters(events: DataFrame, seconds: int = DAY, least: int = 5) -> DataFrame:
-    """Non-overlapping clusters per entity: from the first free event, all within `seconds`; `least` or more make a cluster and are used up, else one event is passed over."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        t = pdf["ts"].astype("int64").to_numpy() // 1000 if str(pdf["ts"].dtype).endswith("[ns]") else pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        ids, out, i = pdf["id"].to_numpy(), [], 0
-        ends = t.searchsorted(t + seconds * 1_000_000, side="right")
-        while i < len(t):
-            n = int(ends[i]) - i
-            if n >= least:
-                out.append((pdf["entity"].iloc[0], int(ids[i]), n))
-                i += n
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=["entity", "first_id", "n"])
+    """(entity, first_id, n): non-overlapping clusters per entity. From the first free event, all within `seconds`; `least` or more make a cluster and are used up, else one event is passed over.
 
-    return events.select("entity", "id", "ts").groupBy("entity").applyInPandas(run, "entity long, first_id long, n long")
+    A range window counts what each event would use up, and with it the next event that could begin a cluster. From each entity's first such
+    event the chosen ones are those on its chain of next ones, found by doubling the pointers: as many rounds as the logarithm of the longest chain.
+    """
+    order = Window.partitionBy("entity").orderBy("ts", "id")
+    x = events.select("entity", "id", "ts").withColumn("place", F.row_number().over(order)).withColumn("tie", F.rank().over(Window.partitionBy("entity").orderBy("ts")))
+    # the window's count has the earlier ones of its own moment too
+    x = x.withColumn("n", F.count("*").over(forward("entity", "ts", seconds)) - F.col("place") + F.col("tie"))
+    rest = Window.partitionBy("entity").orderBy("place").rowsBetween(0, Window.unboundedFollowing)
+    x = durable(x.withColumn("head", F.first(F.when(F.col("n") >= least, F.col("place")), ignorenulls=True).over(rest)))
+    heads = x.where(F.col("n") >= least).select("entity", "place", (F.col("place") + F.col("n")).alias("after"))
+    target = x.select("entity", F.col("place").alias("after"), F.col("head").alias("next"))
+    step = durable(heads.join(target, ["entity", "after"], "left").select("entity", "place", "next"))
+    chosen = durable(step.groupBy("entity").agg(F.min("place").alias("place")))
+    while True:
+        ahead = chosen.join(step.where("next IS NOT NULL"), ["entity", "place"]).select("entity", F.col("next").alias("place"))
+        more = durable(ahead.join(chosen, ["entity", "place"], "left_anti"))
+        if more.isEmpty():
+            break
+        chosen = durable(chosen.unionByName(more))
+        again = step.select("entity", F.col("place").alias("next"), F.col("next").alias("beyond"))
+        step = durable(step.join(again, ["entity", "next"], "left").select("entity", "place", F.col("beyond").alias("next")))
+    return x.join(chosen, ["entity", "place"]).select("entity", F.col("id").alias("first_id"), "n")
 
 
 def greedy_dedupe(patterns: DataFrame, share: float = 0.5) -> DataFrame:
-    """Patterns (entity, id, start, end, confidence, events array) kept by falling confidence unless one kept overlaps in time and shares `share` of the events."""
+    """Patterns (entity, id, start, end, confidence, events array) kept by falling confidence unless one kept overlaps in time and shares `share` of the events.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values(["confidence", "id"], ascending=[False, True]).itertuples():
-            mine = set(r.events)
-            if not any(r.start <= k.end and k.start <= r.end and len(mine & set(k.events)) >= share * len(mine) for k in kept):
-                kept.append(r)
-        return pd.DataFrame([(k.entity, k.id) for k in kept], columns=["entity", "id"])
-
-    return patterns.groupBy("entity").applyInPandas(run, "entity long, id long")
+    Of equal confidence the smaller id goes first; patterns without events share none. Only patterns that share events meet. In each round those are kept that no
+    open pattern before them contests, and what they contest is dropped, until all is settled.
+    """
+    own = patterns.select("entity", "id", "start", "end", "confidence", F.array_distinct("events").alias("events"))
+    member = own.select("entity", "id", "start", "end", "confidence", F.size("events").alias("size"), F.explode("events").alias("event"))
+    first = member.select("entity", "event", F.col("id").alias("by"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("confidence").alias("c2"))
+    goes_first = (F.col("c2") > F.col("confidence")) | ((F.col("c2") == F.col("confidence")) & (F.col("by") < F.col("id")))
+    met = member.join(first, ["entity", "event"]).where(goes_first & (F.col("start") <= F.col("e2")) & (F.col("s2") <= F.col("end")))
+    contest = durable(met.groupBy("entity", "id", "by").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= share * F.col("size")).select("entity", "id", "by"))
+    every = own.select("entity", "id").distinct()
+    kept = every.join(contest, ["entity", "id"], "left_anti")
+    dropped = None
+    while True:
+        kept = durable(kept)
+        lost = durable(contest.join(kept.withColumnRenamed("id", "by"), ["entity", "by"], "left_semi").select("entity", "id").distinct())
+        if lost.isEmpty():
+            break
+        dropped = lost if dropped is None else dropped.unionByName(lost)
+        settled = kept.unionByName(lost)
+        contest = contest.join(settled, ["entity", "id"], "left_anti").join(lost.withColumnRenamed("id", "by"), ["entity", "by"], "left_anti")
+        contest = durable(contest)
+        kept = every.join(dropped, ["entity", "id"], "left_anti").join(contest, ["entity", "id"], "left_anti")
+    return kept
 
 
 def off_hours(events: DataFrame, least: int = 3) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import durable
 from ..functions import addresses as ad
 from ..functions import identifiers as idn
 from ..functions import names as nm
 from ..functions import similarity as sim
 from ..lists import NICKNAMES, ROLES
+from ..operators import features as feat
 from ..operators import graph
 from ..operators import resolution as op
-from .views import query
+from .views import DIRECTS, query
 
 c = F.col
 LUHN = "(10 - list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(s[i] AS INT) * 2 > 9 THEN CAST(s[i] AS INT) * 2 - 9 ELSE CAST(s[i] AS INT) * 2 END ELSE CAST(s[i] AS INT) END for i in range(1, len(s) + 1)]) % 10) % 10"
@@ -255,6 +257,130 @@ def er_04(t):
     return op.compare(op.candidate_pairs(m, e), m, e).where("score = 0.99")
 
 
+#: Mentions and candidates with the attributes of each type.
+PERSONS = """pm AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS STRING) END AS identifier, CAST(1950 + c_custkey % 40 AS INT) AS birth_year, CAST('1950-01-01' AS DATE) + CAST(c_custkey % 300 AS INT) AS birth_date, CASE WHEN c_custkey % 5 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END END AS gender FROM customer),
+pe AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey AS STRING) AS identifier, CAST(1950 + s_suppkey % 30 AS INT) AS birth_year, CAST('1950-01-01' AS DATE) + CAST(s_suppkey % 300 AS INT) AS birth_date, CASE WHEN s_suppkey % 3 = 0 THEN 'F' ELSE 'M' END AS gender FROM supplier)"""
+PLACES = """am AS (SELECT c_custkey AS id, concat(c_mktsegment, ' street ', CAST(c_custkey % 20 AS STRING)) AS name, CAST(10000 + c_custkey % 90000 AS STRING) AS postal, c_mktsegment AS city FROM customer),
+ae AS (SELECT s_suppkey AS id, concat('BUILDING street ', CAST(s_suppkey % 20 AS STRING)) AS name, CASE WHEN s_suppkey % 6 > 0 THEN CAST(10000 + s_suppkey % 90000 AS STRING) END AS postal, CASE s_suppkey % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'HOUSE' END AS city FROM supplier)"""
+FIRMS = """cm AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 4 = 1 THEN CAST(p_partkey - 1 AS STRING) END AS identifier, CAST(10000 + p_partkey % 50 AS STRING) AS postal, lower(p_brand) AS city FROM part WHERE p_partkey % 2 = 1),
+ce AS (SELECT p_partkey AS id, p_name AS name, CAST(p_partkey AS STRING) AS identifier, CAST(10000 + p_partkey % 30 AS STRING) AS postal, p_brand AS city FROM part WHERE p_partkey % 2 = 0)"""
+LINKS = {
+    "person": ("SELECT DISTINCT o_custkey AS id, l_partkey AS link FROM orders JOIN lineitem ON l_orderkey = o_orderkey", "SELECT DISTINCT l_suppkey AS id, l_partkey AS link FROM lineitem"),
+    "company": (f"SELECT DISTINCT company AS id, person AS link FROM ({DIRECTS}) d WHERE company % 2 = 1", f"SELECT DISTINCT company AS id, person AS link FROM ({DIRECTS}) d WHERE company % 2 = 0"),
+}
+
+
+def overlap_sql(kind, pairs):
+    """The Jaccard similarity of links for the pairs of a CTE p."""
+    return f"""ml AS ({LINKS[kind][0]}), cl AS ({LINKS[kind][1]}), nm AS (SELECT id, count(*) AS n FROM ml GROUP BY id), nc AS (SELECT id, count(*) AS n FROM cl GROUP BY id), {pairs}
+sh AS (SELECT mention, candidate, count(*) AS k FROM p JOIN ml ON ml.id = mention JOIN cl ON cl.id = candidate AND cl.link = ml.link GROUP BY mention, candidate),
+ov AS (SELECT p.mention, p.candidate, coalesce(k, 0)::DOUBLE / (nm.n + nc.n - coalesce(k, 0)) AS overlap FROM p JOIN nm ON nm.id = p.mention JOIN nc ON nc.id = p.candidate LEFT JOIN sh ON sh.mention = p.mention AND sh.candidate = p.candidate)"""
+
+
+#: Every pair with a common director: those of 0.5 or more are the candidates.
+MET = "pp AS (SELECT ml.id AS mention, cl.id AS candidate, count(*) AS k FROM ml JOIN cl ON cl.link = ml.link GROUP BY ml.id, cl.id), p AS (SELECT mention, candidate FROM pp JOIN nm ON nm.id = mention JOIN nc ON nc.id = candidate WHERE k >= 0.5 * (nm.n + nc.n - k)),"
+TOKENS = "len(list_intersect(string_split(lower(m.name), ' '), string_split(lower(e.name), ' '))) / len(list_distinct(list_concat(string_split(lower(m.name), ' '), string_split(lower(e.name), ' '))))"
+NAMES = f"jaro_winkler_similarity(lower(m.name), lower(e.name)) AS name_jaro_winkler, {TOKENS} AS name_token_jaccard, 1 - levenshtein(lower(m.name), lower(e.name)) / greatest(length(m.name), length(e.name)) AS name_levenshtein_norm"
+
+
+def same(column):
+    return f"(m.{column} = e.{column})::INT::DOUBLE"
+
+
+PERSON_SQL = f"{HITS}, {PERSONS}, {overlap_sql('person', '')}, v AS (SELECT p.mention, p.candidate, {same('identifier')} AS identifier_match, {NAMES}, {same('birth_year')} AS birth_year_match, {same('birth_date')} AS birth_date_match, {same('gender')} AS gender_match, overlap AS network_overlap, overlap AS company_overlap FROM p JOIN pm m ON m.id = p.mention JOIN pe e ON e.id = p.candidate LEFT JOIN ov ON ov.mention = p.mention AND ov.candidate = p.candidate) "
+COMPANY_SQL = f"WITH {FIRMS}, {overlap_sql('company', MET)}, v AS (SELECT p.mention, p.candidate, {same('identifier')} AS identifier_match, {NAMES}, {same('postal')} AS postal_code_match, (lower(m.city) = lower(e.city))::INT::DOUBLE AS city_match, overlap AS network_overlap, overlap AS director_overlap FROM p JOIN cm m ON m.id = p.mention JOIN ce e ON e.id = p.candidate JOIN ov ON ov.mention = p.mention AND ov.candidate = p.candidate) "
+ADDRESS_SQL = f"{HITS}, {PLACES}, u AS (SELECT p.mention, p.candidate, jaro_winkler_similarity(lower(m.name), lower(e.name)) AS name_jaro_winkler, {same('postal')} AS postal_code_match, jaro_winkler_similarity(lower(m.city), lower(e.city)) AS city_match FROM p JOIN am m ON m.id = p.mention JOIN ae e ON e.id = p.candidate), v AS (SELECT *, 0.4 * coalesce(postal_code_match, 0) + 0.3 * coalesce(city_match, 0) + 0.3 * coalesce(name_jaro_winkler, 0) AS address_similarity FROM u) "
+
+
+def rounded(*names):
+    return "SELECT mention, candidate, " + ", ".join(f"round({x}, 6) AS {x}" for x in names) + " FROM v"
+
+
+PERSON_FEATURES = ("identifier_match", "name_jaro_winkler", "name_token_jaccard", "name_levenshtein_norm", "birth_year_match", "birth_date_match", "gender_match", "network_overlap", "company_overlap")
+COMPANY_FEATURES = ("identifier_match", "name_jaro_winkler", "name_token_jaccard", "name_levenshtein_norm", "postal_code_match", "city_match", "network_overlap", "director_overlap")
+ADDRESS_FEATURES = ("name_jaro_winkler", "postal_code_match", "city_match", "address_similarity")
+
+
+def shown_features(df, names):
+    return df.select("mention", "candidate", *[F.round(x, 6).alias(x) for x in names])
+
+
+def links(t, kind):
+    return t.sql(LINKS[kind][0]), t.sql(LINKS[kind][1])
+
+
+def sides(t, roles, m, e):
+    return t.sql(f"WITH {roles} SELECT * FROM {m}"), t.sql(f"WITH {roles} SELECT * FROM {e}")
+
+
+def person_features(t):
+    p = op.candidate_pairs(*mentions(t))
+    return feat.pair_features(p, *sides(t, PERSONS, "pm", "pe"), "PERSON", feat.network_overlap(p, *links(t, "person")))
+
+
+def company_features(t):
+    p = feat.linked_candidates(*links(t, "company"))
+    return feat.pair_features(p, *sides(t, FIRMS, "cm", "ce"), "COMPANY", p)
+
+
+def address_features(t):
+    return feat.pair_features(op.candidate_pairs(*mentions(t)), *sides(t, PLACES, "am", "ae"), "ADDRESS")
+
+
+@query("er_03_network_candidates", f"WITH {overlap_sql('company', MET)} SELECT mention, candidate, round(overlap, 6) AS overlap FROM ov")
+def er_03_network(t):
+    return feat.linked_candidates(*links(t, "company")).withColumn("overlap", F.round("overlap", 6))
+
+
+@query("er_03_person_features", PERSON_SQL + rounded(*PERSON_FEATURES))
+def er_03_person(t):
+    return shown_features(person_features(t), PERSON_FEATURES)
+
+
+@query("er_03_company_features", COMPANY_SQL + rounded(*COMPANY_FEATURES))
+def er_03_company(t):
+    return shown_features(company_features(t), COMPANY_FEATURES)
+
+
+@query("er_03_address_features", ADDRESS_SQL + rounded(*ADDRESS_FEATURES))
+def er_03_address(t):
+    return shown_features(address_features(t), ADDRESS_FEATURES)
+
+
+def score_sql(start, weights, every):
+    """Both scores: over the features present on both sides, and over all weights, `every` in sum."""
+    own, compat = weights
+    mean = f"coalesce(({' + '.join(f'coalesce({x} * {w}, 0)' for x, w in own.items())}) / nullif({' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE {w} END' for x, w in own.items())}, 0), 0)"
+    whole = f"({' + '.join(f'coalesce({x} * {w}, 0)' for x, w in compat.items())}) / {every}"
+    known = "identifier_match = 1" if "identifier_match" in compat else "false"
+    return start + f"SELECT mention, candidate, round(CASE WHEN {known} THEN 0.99 ELSE least(1.0, {mean}) END, 6) AS score, round(CASE WHEN {known} THEN 0.99 ELSE least(1.0, {whole}) END, 6) AS compat_score FROM v"
+
+
+def scores_of(features, kind):
+    both = feat.typed_score(features, kind).join(feat.typed_score(features, kind, compat=True).withColumnRenamed("score", "compat_score"), ["mention", "candidate"])
+    return both.select("mention", "candidate", F.round("score", 6).alias("score"), F.round("compat_score", 6).alias("compat_score"))
+
+
+P_OWN = dict(zip(PERSON_FEATURES, (10, 2, 1.5, 1, 1.5, 3, 0.5, 2.5, 2), strict=True))
+C_OWN = {"identifier_match": 10, "name_jaro_winkler": 3, "name_token_jaccard": 2, "name_levenshtein_norm": 1.5, "postal_code_match": 1, "director_overlap": 2}
+A_OWN = {"name_jaro_winkler": 2, "postal_code_match": 2.5, "city_match": 1.5, "address_similarity": 3}
+
+
+@query("er_04_person_scores", score_sql(PERSON_SQL, (P_OWN, P_OWN), 27.8))
+def er_04_person(t):
+    return scores_of(durable(person_features(t)), "PERSON")
+
+
+@query("er_04_company_scores", score_sql(COMPANY_SQL, (C_OWN, C_OWN | {"city_match": 0.3, "network_overlap": 2.5}), 30.8))
+def er_04_company(t):
+    return scores_of(durable(company_features(t)), "COMPANY")
+
+
+@query("er_04_address_scores", score_sql(ADDRESS_SQL, (A_OWN, A_OWN), 33.0))
+def er_04_address(t):
+    return scores_of(durable(address_features(t)), "ADDRESS")
+
+
 @query("er_05_decisions", HITS + SCORE + ", k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, candidate) AS k FROM s) SELECT m.id AS mention, CASE WHEN score >= 0.95 THEN 'AUTO_MATCH' WHEN score >= 0.6 THEN 'REVIEW' ELSE 'NEW_ENTITY' END AS decision, coalesce(score, 1.0) AS score FROM m LEFT JOIN k ON k.mention = m.id AND k.k = 1")
 def er_05(t):
     m, e = mentions(t)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import communities, trails
 from ..operators import graph as op
 from ..operators.aggregates import flow_nodes
 from ..operators.filters import undirected
@@ -99,19 +100,41 @@ def gr_08(t):
     return x.join(n, F.col("p1") == F.col("node"), "left_semi").join(n, F.col("p2") == F.col("node"), "left_semi").select(text("path").alias("path"))
 
 
-CHAIN = "w AS (SELECT src AS start, dst AS node, [src, dst] AS path, day AS first, day AS last, 1 AS hops FROM pay UNION ALL SELECT start, p.dst, list_append(path, p.dst), first, p.day, hops + 1 FROM w JOIN pay p ON p.src = w.node WHERE hops < 4 AND p.day >= last AND p.day <= first + 700 AND NOT list_contains(path, p.dst))"
+T = "t AS (SELECT id, src, dst, CAST(epoch(ts) AS BIGINT) AS sec, amount FROM transfer{0})"
+BAND = "CASE WHEN {0} >= {2} OR {1} >= 1000000 THEN 'critical' WHEN {0} >= {3} OR {1} >= 500000 THEN 'high' WHEN {0} >= {4} OR {1} >= 200000 THEN 'medium' ELSE 'low' END"
+CHAIN = ctes("transfer").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {T.format('')},
+w AS (SELECT [src, dst] AS path, [id] AS ids, dst AS node, sec AS first, sec AS last, amount, amount AS smallest, 1 AS hops FROM t WHERE amount >= 50000
+ UNION ALL SELECT list_append(path, t.dst), list_append(ids, t.id), t.dst, first, t.sec, w.amount, least(smallest, t.amount), hops + 1
+ FROM w JOIN t ON t.src = w.node WHERE hops < 10 AND t.sec >= last AND t.sec <= first + 72 * 3600 AND t.amount >= 50000 AND NOT list_contains(path, t.dst))
+SELECT {JOINED.format('path')} AS path, {JOINED.format('ids')} AS transactions, CAST(hops AS INT) AS hops, (last - first) / 3600.0 AS hours, CAST(amount AS DOUBLE) AS amount, {BAND.format('hops', 'smallest', 7, 5, 4)} AS severity, round(0.7 + least(0.25, hops * 0.05), 6) AS confidence
+FROM w WHERE hops >= 3 AND """
 
 
-@query("gr_09_layering_chains", recursive(CHAIN + f" SELECT {JOINED.format('path')} AS path, first, last FROM w WHERE hops >= 3"))
+def chains(df):
+    return df.select(text("path").alias("path"), text("transactions").alias("transactions"), "hops", "hours", F.col("amount").cast("double").alias("amount"), "severity", F.round("confidence", 6).alias("confidence"))
+
+
+@query("gr_09_layering_chains", CHAIN + "(hops = 10 OR NOT EXISTS (SELECT 1 FROM t WHERE t.src = w.node AND t.sec >= w.last AND NOT list_contains(w.path, t.dst)))")
 def gr_09(t):
-    days = F.when(F.size("day_path") == 0, F.lit(True)).otherwise((F.col("e_day") >= F.element_at("day_path", F.greatest(F.size("day_path"), F.lit(1)))) & (F.col("e_day") <= F.date_add(F.get("day_path", F.lit(0)), 700)))
-    x = op.paths(t.pay.select("src", "dst", "day"), all_nodes(t), 4, lambda step: days, carry=("day",)).where("hops >= 3")
-    return x.select(text("path").alias("path"), F.get("day_path", F.lit(0)).alias("first"), F.element_at("day_path", -1).alias("last"))
+    return chains(trails.layering(t.transfer))
+
 
+@query("gr_09_layering_in_window", CHAIN + "(hops = 10 OR NOT EXISTS (SELECT 1 FROM t WHERE t.src = w.node AND t.sec >= w.last AND t.sec <= w.first + 72 * 3600 AND t.amount >= 50000 AND NOT list_contains(w.path, t.dst)))")
+def gr_09_window(t):
+    return chains(trails.layering(t.transfer, windowed=True))
 
-@query("gr_10_round_trips", recursive(LOOPS.format(6) + f" SELECT DISTINCT {JOINED.format('list_sort(list_distinct(path))')} AS members FROM w WHERE node = start AND hops >= 2"))
+
+@query("gr_10_round_trips", ctes("transfer").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {T.format(' WHERE lots >= 48')},
+o AS (SELECT src AS node, row_number() OVER (ORDER BY min(struct_pack(sec := sec, id := id))) AS place FROM t GROUP BY src),
+e AS (SELECT t.*, a.place AS ps, b.place AS pd FROM t JOIN o a ON a.node = t.src JOIN o b ON b.node = t.dst),
+w AS (SELECT src AS start, ps AS place, dst AS node, [src, dst] AS path, [id] AS ids, amount AS a0, amount AS a1, sec AS s0, sec AS s1, 1 AS hops FROM e WHERE pd > ps AND amount >= 50000
+ UNION ALL SELECT start, place, e.dst, list_append(path, e.dst), list_append(ids, e.id), a0, e.amount, s0, e.sec, hops + 1
+ FROM w JOIN e ON e.src = w.node WHERE hops < 8 AND w.node <> start AND (e.dst = start OR (e.pd > place AND NOT list_contains(path, e.dst))))
+SELECT {JOINED.format('path')} AS path, {JOINED.format('ids')} AS transactions, CAST(hops AS INT) AS hops, round((a0 - a1)::DOUBLE / a0::DOUBLE, 6) AS loss, CAST(floor((s1 - s0) / 86400.0) AS BIGINT) AS days, {BAND.format('hops', 'a0', 6, 4, 3)} AS severity
+FROM w WHERE node = start AND (a0 - a1) <= 0.15 * a0 AND s1 < s0 + 31 * 86400""")
 def gr_10(t):
-    return op.cycles(pairs(t), 6).select(text(F.sort_array(F.array_distinct("path"))).alias("members")).distinct()
+    x = trails.round_trips(t.transfer.where("lots >= 48"))
+    return x.select(text("path").alias("path"), text("transactions").alias("transactions"), "hops", F.round("loss", 6).alias("loss"), "days", "severity")
 
 
 OWN = "o AS (SELECT owner AS src, owned AS dst, max(share) AS share FROM owns GROUP BY owner, owned)"
@@ -195,6 +218,11 @@ def gr_23(t):
 
 @query("gr_24_communities")
 def gr_24(t):
+    return communities.louvain(t.paid)
+
+
+@query("gr_24_label_propagation")
+def gr_24_labels(t):
     return op.communities(t.paid)
 
 

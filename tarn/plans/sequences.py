@@ -33,6 +33,19 @@ def w2(t):
     return op.structuring(t.txn, days=30, least=2, low=75_000)
 
 
+#: Windows (key, a, b) merged into spans, with what lies in them.
+ISLANDS = """f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM w),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM f), s AS (SELECT key, min(a) AS a, max(b) AS b, count(*) AS anchors FROM g GROUP BY key, k)"""
+
+
+@query("agg_w2_structuring_spans", ctes("txn") + f""", u AS (SELECT * FROM txn WHERE amount >= 75000 AND amount < 150000), v AS (SELECT sender AS key, ts AS b, min(ts) {trail('sender', 30)} AS a, count(*) {trail('sender', 30)} AS n, sum(amount) {trail('sender', 30)} AS total FROM u),
+w AS (SELECT * FROM v WHERE n >= 2 AND total >= 150000), {ISLANDS}, x AS (SELECT key, a, b, anchors, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM s JOIN u ON sender = key AND ts BETWEEN a AND b GROUP BY key, a, b, anchors)
+SELECT key AS sender, CAST(a AS DATE) AS "start", CAST(b AS DATE) AS "end", anchors, n, total, CASE WHEN total >= 750000 OR n >= 10 THEN 'critical' WHEN total >= 450000 OR n >= 7 THEN 'high' WHEN total >= 300000 OR n >= 5 THEN 'medium' ELSE 'low' END AS severity, round(least(0.95, 0.5 + (n - 2) * 0.1), 6) AS confidence FROM x""")
+def w2_spans(t):
+    x = op.structuring(t.txn, days=30, least=2, low=75_000, collapse=True)
+    return x.withColumns({c: F.to_date(c) for c in ("start", "end")})
+
+
 @query("agg_w3_structuring_share", ctes("txn") + "SELECT sender, count(*) AS n, CAST(count(*) FILTER (WHERE amount > 127500 AND amount < 150000) AS BIGINT) AS k FROM txn GROUP BY sender HAVING count(*) > 5 AND count(*) FILTER (WHERE amount > 127500 AND amount < 150000) / count(*) > 0.1")
 def w3(t):
     return op.structuring_share(t.txn, share=0.1)
@@ -43,6 +56,13 @@ def w4(t):
     return op.smurfing(t.txn)
 
 
+@query("agg_w4_smurfing_spans", ctes("txn") + f""", v AS (SELECT receiver AS key, ts AS b, min(ts) {trail('receiver', 7)} AS a, len(list_distinct(list(sender) {trail('receiver', 7)})) AS n, sum(amount) {trail('receiver', 7)} AS total FROM txn),
+w AS (SELECT * FROM v WHERE n >= 3 AND total >= 150000), {ISLANDS}, x AS (SELECT key, a, b, anchors, CAST(count(DISTINCT sender) AS INT) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM s JOIN txn ON receiver = key AND ts BETWEEN a AND b GROUP BY key, a, b, anchors)
+SELECT key AS receiver, CAST(a AS DATE) AS "start", CAST(b AS DATE) AS "end", anchors, n AS depositors, total, CASE WHEN total >= 1000000 OR n >= 10 THEN 'critical' WHEN total >= 500000 OR n >= 7 THEN 'high' WHEN total >= 200000 OR n >= 5 THEN 'medium' ELSE 'low' END AS severity, round(0.7 + least(0.25, (n - 3) * 0.05), 6) AS confidence FROM x""")
+def w4_spans(t):
+    return op.smurfing(t.txn, collapse=True).withColumns({c: F.to_date(c) for c in ("start", "end")})
+
+
 @query("agg_w5_velocity", ctes("event") + """, m AS (SELECT max(ts) AS t FROM event), h AS (SELECT entity, count(*) / greatest(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000), 1) AS base FROM event, m WHERE ts <= m.t - INTERVAL 1 DAY GROUP BY entity),
 n AS (SELECT entity, count(*) AS n FROM event, m WHERE ts > m.t - INTERVAL 1 DAY GROUP BY entity), r AS (SELECT n.entity, n, n / coalesce(base, 1) AS ratio FROM n LEFT JOIN h ON h.entity = n.entity)
 SELECT entity, n, round(ratio, 6) AS ratio, round(least(1.0, (ratio - 3) / 5 + 0.6), 6) AS confidence FROM r WHERE ratio > 1.5""")
@@ -58,6 +78,13 @@ def w6(t):
     return op.bursts(t.event)
 
 
+@query("agg_w6_burst_spans", ctes("event") + f""", v AS (SELECT entity AS key, ts AS a, max(ts) {ahead('entity', '24 HOUR')} AS b, count(*) {ahead('entity', '24 HOUR')} AS n FROM event), w AS (SELECT * FROM v WHERE n >= 3), {ISLANDS},
+x AS (SELECT key, a, b, anchors, count(*) AS n, CAST(count(DISTINCT type) AS INT) AS types, (epoch_us(b) - epoch_us(a)) / 3.6e9 AS span FROM s JOIN event ON entity = key AND ts BETWEEN a AND b GROUP BY key, a, b, anchors)
+SELECT key AS entity, epoch_us(a) AS "start", epoch_us(b) AS "end", anchors, n, types, round((least(1.0, n / 20) + least(1.0, types / 5) + 1 / (1 + span)) / 3, 6) AS risk FROM x""")
+def w6_spans(t):
+    return op.bursts(t.event, collapse=True).withColumns({c: F.unix_micros(c) for c in ("start", "end")})
+
+
 @query("agg_w7_coordinated", ctes("event") + ", e AS (SELECT * FROM event WHERE entity IN (1,2,3,4,5,6,7,8,9,10)) SELECT a.id, count(DISTINCT b.entity) AS n, round(count(DISTINCT b.entity) / 10, 6) AS confidence FROM e a JOIN e b ON b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.id HAVING count(DISTINCT b.entity) >= 2")
 def w7(t):
     return op.coordinated(t.event, list(range(1, 11)))
@@ -75,7 +102,10 @@ def w9(t):
     return op.greedy_dedupe(x.where("confidence >= 3"))
 
 
-@query("agg_w10_greedy_clusters")
+@query("agg_w10_greedy_clusters", ctes("event").replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT entity, id, ts, row_number() OVER (PARTITION BY entity ORDER BY ts, id) AS i FROM event),
+x AS (SELECT a.entity, a.id, a.i, count(*) AS n FROM o a JOIN o b ON b.entity = a.entity AND b.i >= a.i AND b.ts <= a.ts + INTERVAL 24 HOUR GROUP BY a.entity, a.id, a.i),
+w AS (SELECT entity, CAST(1 AS BIGINT) AS i FROM o WHERE i = 1 UNION ALL SELECT w.entity, CASE WHEN n >= 4 THEN w.i + n ELSE w.i + 1 END FROM w JOIN x ON x.entity = w.entity AND x.i = w.i)
+SELECT x.entity, id AS first_id, n FROM x JOIN w ON w.entity = x.entity AND w.i = x.i WHERE n >= 4""")
 def w10(t):
     return op.greedy_clusters(t.event, least=4)
 

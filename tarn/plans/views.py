@@ -22,13 +22,16 @@ PAID = """SELECT DISTINCT o_custkey AS src, l_partkey AS dst, CAST(o_orderdate A
  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey"""
 #: The same for the largest lines: some two edges a node at any scale, so that simple paths can be listed.
 PAY = PAID + " AND l_quantity >= 48"
+#: Each of these payments by itself, with its time.
+TRANSFER = """SELECT l_orderkey * 8 + l_linenumber AS id, o_custkey AS src, l_partkey AS dst, o_orderdate AS ts, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, l_quantity AS lots
+ FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <> l_partkey"""
 #: Ownership: who owns which share of whom.
 OWNS = """SELECT DISTINCT o_custkey AS owner, l_partkey AS owned, CAST(40 + l_linenumber * 10 AS INT) AS share
  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND o_custkey <> l_partkey"""
 #: Events of entities.
 EVENT = "SELECT event_id AS id, user_id AS entity, event_type AS type, ts, value FROM events"
 
-ROLES = {"txn": TXN, "directs": DIRECTS, "company": COMPANY, "paid": PAID, "pay": PAY, "owns": OWNS, "event": EVENT}
+ROLES = {"txn": TXN, "directs": DIRECTS, "company": COMPANY, "paid": PAID, "pay": PAY, "transfer": TRANSFER, "owns": OWNS, "event": EVENT}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "benchmark", "conversations")
 
 
