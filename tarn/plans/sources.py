@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..cluster import scratch
-from ..sources import paged, readers, sinks
+from ..sources import json_array, paged, readers, sinks
 from ..streaming import streams
 from .views import query
 
@@ -129,6 +129,15 @@ def src_03(t):
     return readers.json_companies(t.spark, text_files(docs, "companies", "s_nationkey", "value")).select("id", "name")
 
 
+@query("src_03_json_stream", "SELECT s_suppkey AS id, s_name || ' {\"}]' AS name, s_acctbal AS balance FROM supplier")
+def src_03_stream(t):
+    inner = F.struct(c("s_acctbal").alias("balance"), F.array(F.lit("]"), F.lit("}")).alias("marks"))
+    row = F.to_json(F.struct(c("s_suppkey").alias("id"), F.concat("s_name", F.lit(' {"}]')).alias("name"), inner.alias("inner")))
+    whole = F.concat(F.lit('{"meta": {"companies": [1]}, "companies": ['), F.array_join(F.collect_list(row), ", "), F.lit('], "after": [{"id": -1}]}'))
+    docs = t.supplier.groupBy("s_nationkey").agg(whole.alias("value"))
+    return json_array.json_array(t.spark, text_files(docs, "stream", "s_nationkey", "value"), "id long, name string, inner struct<balance: double>", "companies").select("id", "name", "inner.balance")
+
+
 @query("src_04_renamed_json", "SELECT s_suppkey AS id, s_name AS name, s_acctbal > 0 AS f_skatt FROM supplier")
 def src_04(t):
     flag = F.when(c("s_acctbal") > 0, "Ja").when(c("s_suppkey") % 2 == 0, "Nej")

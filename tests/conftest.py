@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
@@ -15,7 +16,7 @@ DATA_001 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("local[8]", shuffle_partitions=8, memory="6g")
+    s = session(os.environ.get("TARN_TEST_MASTER", "local[8]"), shuffle_partitions=8, memory="6g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
