@@ -85,3 +85,9 @@ def give_back() -> None:
     """The same for the driver, after collecting its garbage."""
     gc.collect()
     trim()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that nothing refers to any more, which else stay until the driver happens to collect its garbage."""
+    give_back()
+    spark._jvm.System.gc()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import blocks_for, durable, free_name, give_back, ready, trim
+from ._cluster import blocks_for, durable, free_name, give_back, ready, release, trim
 from ._words import PLACE, U, mix, shingles, steps
 from .components import connected_components
 
@@ -455,11 +455,14 @@ def settled(text: DataFrame, todo: DataFrame, count: int, percent: int, size: in
     bits = min(27, max(18, count.bit_length() + 4))
     tested = links = None
     for round_no in range(rounds):
+        release(text.sparkSession)
         seen = _verified(text, todo, bits, percent, size)
         tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
         new = seen.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
+        release(text.sparkSession)
         named = connected_components(links)
+        release(text.sparkSession)
         stars = seen.where("hub")
         if stars.isEmpty() or (more := _open_pairs(stars, named, percent, small_group, round_no == rounds - 2)) is None:
             break
