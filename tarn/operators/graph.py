@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..cluster import durable
 
@@ -149,6 +150,35 @@ def clustering(edges: DataFrame) -> DataFrame:
     return d.join(corners, "node", "left").select("node", F.coalesce(F.try_divide(2 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("coefficient"))
 
 
+def priority_view(edges: DataFrame, scores: DataFrame, cap: int = 500, mode: str = "connected") -> DataFrame:
+    """(node, degree, score, priority): the `cap` nodes of highest priority out of scores (node, score), of equals the smallest.
+
+    connected: 10 degree + 5 score, and nodes without edges only once 80 % of the cap is filled; high_risk: 100 score + degree. Parallel edges count each.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    n = scores.join(ends, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    n = n.withColumn("priority", 10 * F.col("degree") + 5 * F.col("score") if mode == "connected" else 100 * F.col("score") + F.col("degree"))
+    order = [F.desc("priority"), F.asc("node")]
+    if mode != "connected":
+        return n.orderBy(*order).limit(cap)
+    first = -(-cap * 4 // 5)
+    head = n.where("degree > 0").orderBy(*order).limit(first)
+    edge = head.agg(F.count("*").alias("n"), F.min(F.struct("priority", (-F.col("node")).alias("m"))).alias("last")).first()
+    if edge["n"] < first:
+        return head
+    priority, node = edge["last"]["priority"], -edge["last"]["m"]
+    later = (F.col("priority") < priority) | ((F.col("priority") == priority) & (F.col("node") > node))
+    return head.unionByName(n.where(later).orderBy(*order).limit(cap - first))
+
+
+def ranked_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(component, size, mean_score, max_score, rank) of the components of more than one node that edges make among nodes (node, score); the highest score first, then the largest."""
+    inside = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").where("src <> dst")
+    members = components(inside).join(nodes, "node")
+    c = members.groupBy("component").agg(F.count("*").alias("size"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("max_score"), F.desc("size"), "component")))  # no more rows than the view has nodes
+
+
 def triangles(pairs: DataFrame) -> DataFrame:
     """(x, y, z), x < y < z, mutually linked in undirected pairs (a < b)."""
     p = pairs.select("a", "b").distinct()

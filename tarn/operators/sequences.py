@@ -331,6 +331,21 @@ def playbooks(events: DataFrame, books: Mapping[str, tuple] = PLAYBOOKS, least:
     return x.select("entity", F.inline(F.array(*found))).where(F.col("confidence") >= least)
 
 
+def next_steps(matches: DataFrame, books: Mapping[str, tuple] = PLAYBOOKS) -> DataFrame:
+    """matches (entity, playbook, stage, ..) with `expected`: the playbook's steps beyond the stage, joined by commas, but for those that must not occur (in a playbook with such steps, a repeated one is named once)."""
+    out = F.lit(None).cast("string")
+    for name, (steps, absent, *_) in books.items():
+        later = F.slice(F.array(*[F.lit(x) for x in steps]), F.col("stage") + 1, len(steps))
+        kept = F.array_except(later, F.array(*[F.lit(x) for x in absent])) if absent else later
+        out = F.when(F.col("playbook") == name, F.array_join(kept, ",")).otherwise(out)
+    return matches.withColumn("expected", out)
+
+
+def find_playbook(events: DataFrame, name: str, books: Mapping[str, tuple] = PLAYBOOKS, least: float = 0.5, strict_order: bool = False) -> DataFrame:
+    """Entities that have gone through at least `least` of one playbook, with the steps still expected."""
+    return next_steps(playbooks(events, {name: books[name]}, least, strict_order), books)
+
+
 def trend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(last - first) / first by order; 0 with fewer than two rows or a first of 0."""
     first, last = F.min_by(value, order), F.max_by(value, order)
@@ -350,6 +365,19 @@ def chain_breaks(entries: DataFrame, key: str, order: str, own: str, previous: s
     return entries.withColumn("expected", F.lag(own).over(w)).where(~F.col(previous).eqNullSafe(F.col("expected"))).drop("expected")
 
 
+def entry_digest(content: Column, previous: Column) -> Column:
+    """SHA-256 of an entry's content and the digest before it, lowercase hex; the first entry has an empty one before it."""
+    return F.sha2(F.concat_ws("|", F.coalesce(content, F.lit("")), F.coalesce(previous, F.lit(""))), 256)
+
+
+def verify_chain(entries: DataFrame, key: str, order: str, content: Column, own: str, previous: str) -> DataFrame:
+    """entries with a fault: `link` where `previous` is not the digest stored before, `content` where the entry's own digest does not follow from its content and `previous`."""
+    expected = F.lag(own).over(Window.partitionBy(key).orderBy(order))
+    linked = F.col(previous).eqNullSafe(expected)
+    sound = F.col(own).eqNullSafe(entry_digest(content, F.col(previous)))
+    return entries.withColumn("fault", F.when(~linked, "link").when(~sound, "content")).where("fault IS NOT NULL")
+
+
 def rate_limited(events: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
     """Events that are beyond `most` in the trailing `seconds` of their key."""
     return events.withColumn("n", F.count("*").over(trailing(key, ts, seconds))).where(F.col("n") > most)

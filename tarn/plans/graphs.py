@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import communities, trails
+from ..cluster import durable
+from ..operators import communities, companies, trails
 from ..operators import graph as op
 from ..operators.aggregates import flow_nodes
 from ..operators.filters import undirected
@@ -175,10 +176,24 @@ def gr_15(t):
     return n.join(shared.groupBy("address").agg(F.count("*").alias("directors")), "address")
 
 
-@query("gr_16_rapid_rotation", ctes("directs") + "SELECT company, count(*) AS n, CAST(count(to_date) AS BIGINT) AS ended FROM directs GROUP BY company HAVING count(*) >= 3 AND count(to_date) > 1 AND count(to_date) / count(*) > 0.5")
+@query("gr_16_rapid_rotation", ctes("directs") + "SELECT company, count(*) AS n, CAST(count(to_date) AS BIGINT) AS ended FROM directs GROUP BY company HAVING count(*) > 3 AND count(to_date) > 2 AND count(to_date) / count(*) > 0.5")
 def gr_16(t):
-    x = t.directs.groupBy("company").agg(F.count("*").alias("n"), F.count("to_date").alias("ended"))
-    return x.where((F.col("n") >= 3) & (F.col("ended") > 1) & (F.col("ended") / F.col("n") > 0.5))
+    return companies.rotating(t.directs)
+
+
+#: Companies with dates and states.
+STATES = """SELECT p_partkey AS company, p_partkey % 3 <> 0 AS f_skatt, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS vat, CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN p_size END AS employees, CAST('1998-06-30' AS DATE) - CAST(p_partkey % 900 AS INT) AS formed,
+ CASE WHEN p_partkey % 5 = 0 THEN 'virtual' ELSE 'office' END AS address_type, CASE WHEN p_partkey % 6 = 5 THEN 'closed' ELSE 'active' END AS status, CAST('1998-06-30' AS DATE) - CAST(p_partkey % 300 AS INT) AS status_from, CASE WHEN p_partkey % 2 = 0 THEN 'dormant' END AS previous_status, CAST('1997-06-30' AS DATE) - CAST(p_partkey % 1000 AS INT) AS previous_from FROM part"""
+
+
+@query("gr_16_invoice_factory", f"SELECT company FROM ({STATES}) s WHERE f_skatt AND NOT coalesce(vat, false) AND coalesce(employees, 0) = 0 AND formed > DATE '1997-06-30' AND address_type = 'virtual'")
+def gr_16_invoices(t):
+    return companies.invoice_factories(t.sql(STATES), "1998-06-30").select("company")
+
+
+@query("gr_16_dormant_reactivation", f"SELECT company FROM ({STATES}) s WHERE status = 'active' AND previous_status = 'dormant' AND previous_from + INTERVAL 2 YEAR < status_from AND status_from > DATE '1997-12-30'")
+def gr_16_reactivated(t):
+    return companies.reactivated(t.sql(STATES), "1998-06-30").select("company")
 
 
 @query("gr_17_nominee_network", ctes("company", "directs") + ", d AS (SELECT DISTINCT person, directs.company, agent || address AS address FROM directs JOIN company ON company.company = directs.company) SELECT person, count(*) AS n FROM d GROUP BY person HAVING count(*) > 5 AND count(*) = count(DISTINCT address)")
@@ -286,11 +301,28 @@ def gr_34(t):
     return op.expand(t.pay, seeds(t, 12), 2)
 
 
-@query("gr_35_priority_view", ctes("paid") + ALL_PAYS + ", d AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY src), k AS (SELECT node, degree, 10 * degree + 5 * (node % 10) / 10 AS p FROM d ORDER BY p DESC, node LIMIT 40) SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
+#: Every part and customer number is a node; many have no payment of the largest lines.
+VIEW = """n AS (SELECT p_partkey AS node, CAST(p_partkey % 50 AS DOUBLE) AS score FROM part), pe AS (SELECT src, dst FROM pay),
+d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM pe UNION ALL SELECT dst FROM pe) GROUP BY node), r AS (SELECT n.node, coalesce(degree, 0) AS degree, score, 10 * coalesce(degree, 0) + 5 * score AS priority FROM n LEFT JOIN d ON d.node = n.node),
+h AS (SELECT *, row_number() OVER (ORDER BY priority DESC, node) AS k FROM r), c AS (SELECT * FROM h WHERE degree > 0 ORDER BY k LIMIT 80), z AS (SELECT max(k) AS k, count(*) AS n FROM c),
+v AS (SELECT node, degree, score, priority FROM c UNION ALL (SELECT h.node, degree, score, priority FROM h, z WHERE h.k > z.k AND z.n = 80 ORDER BY h.k LIMIT 20))"""
+
+
+def view(t):
+    scores = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 50).cast("double").alias("score"))
+    return op.priority_view(t.pay, scores, 100)
+
+
+@query("gr_35_priority_view", ctes("pay", more=VIEW) + "SELECT * FROM v")
 def gr_35(t):
-    d = op.both_ways(t.paid).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    top = d.withColumn("p", 10 * F.col("degree") + 5 * (F.col("node") % 10) / 10).orderBy(F.desc("p"), "node").limit(40)
-    return every_pair(t).join(top, F.col("src") == F.col("node"), "left_semi").join(top, F.col("dst") == F.col("node"), "left_semi")
+    return view(t)
+
+
+@query("gr_35_ranked_clusters", ctes("pay", more=VIEW).replace("WITH ", "WITH RECURSIVE ", 1) + """, i AS (SELECT DISTINCT src, dst FROM pe WHERE src <> dst AND src IN (SELECT node FROM v) AND dst IN (SELECT node FROM v)), b AS (SELECT src, dst FROM i UNION SELECT dst, src FROM i),
+reach AS (SELECT src AS a, src AS b FROM b UNION SELECT r.a, b.dst FROM reach r JOIN b ON b.src = r.b), m AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)
+SELECT component, count(*) AS size, round(avg(score), 6) AS mean_score, max(score) AS max_score, CAST(row_number() OVER (ORDER BY max(score) DESC, count(*) DESC, component) AS INT) AS rank FROM m JOIN v ON v.node = m.node GROUP BY component""")
+def gr_35_clusters(t):
+    return op.ranked_clusters(t.pay, durable(view(t)).select("node", "score")).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query("gr_36_hops", recursive("w AS (SELECT CAST(30 AS BIGINT) AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM w JOIN u ON u.src = w.node WHERE depth < 3) SELECT DISTINCT node FROM w"))

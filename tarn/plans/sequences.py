@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lists import PLAYBOOKS
+from ..operators import companies as co
 from ..operators import sequences as op
 from .views import ctes, query
 
@@ -148,24 +149,39 @@ def w12_strict(t):
     return op.playbook(t.sql(LIFE), steps, days, absent, strict_order=True)
 
 
-@query("agg_w13_next_event", ctes("event") + ", s AS (SELECT entity, list(type ORDER BY ts DESC, id DESC)[1] AS now FROM event GROUP BY entity) SELECT entity, CASE now WHEN 'signup' THEN 'view' WHEN 'view' THEN 'click' WHEN 'click' THEN 'purchase' END AS next FROM s WHERE now IN ('signup', 'view', 'click')")
+@query("agg_w13_next_event", f"""WITH event AS ({LIFE}), f AS (SELECT entity, {', '.join(f"min(ts) FILTER (WHERE type = '{x}') AS {x}" for x in STEPS)} FROM event GROUP BY entity), m AS (""" + book_sql("invoice_factory", PLAYBOOKS["invoice_factory"]).replace(">= 0.5", ">= 0.6") + """)
+SELECT entity, confidence, stage, array_to_string(list_filter((['formed', 'f_skatt_registered', 'vat_registered', 'address_to_virtual'])[stage + 1:], lambda x: x <> 'vat_registered'), ',') AS expected FROM m""")
 def w13(t):
-    now = t.event.groupBy("entity").agg(F.max_by("type", F.struct("ts", "id")).alias("now"))
-    following = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "view", "view", "click", "click", "purchase")]), F.col("now"))
-    return now.select("entity", following.alias("next")).where("next IS NOT NULL")
+    return op.find_playbook(t.sql(LIFE), "invoice_factory", least=0.6).select("entity", "confidence", "stage", "expected")
 
 
-@query("agg_w14_event_extraction", "SELECT o_orderkey AS entity, 'placed' AS type, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT l_orderkey, 'shipped_' || lower(l_returnflag), CAST(l_shipdate AS DATE) FROM lineitem")
+#: A wide row a company, with a column a dated event.
+WIDE = """SELECT p_partkey AS company, p_size % 5 AS directors, CASE WHEN p_partkey % 10 > 0 THEN CAST('1985-01-01' AS DATE) + CAST(p_partkey * 7 % 5000 AS INT) END AS formed, CASE WHEN p_partkey % 4 > 0 THEN CAST('1985-01-01' AS DATE) + CAST(p_partkey * 7 % 5000 + p_partkey % 45 - 5 AS INT) END AS f_skatt,
+ CASE WHEN p_partkey % 3 = 0 THEN CAST('1992-01-01' AS DATE) + CAST(p_size * 9 AS INT) END AS vat, CASE WHEN p_partkey % 7 = 0 THEN CAST('1999-01-01' AS DATE) + CAST(p_size AS INT) END AS dissolved, p_partkey % 4 = 0 AS generic, p_size % 3 = 0 AS idle FROM part"""
+DATED = {"formed": "formed", "f_skatt": "f_skatt_registered", "vat": "vat_registered", "dissolved": "dissolved"}
+
+
+@query("agg_w14_event_extraction", f"WITH wide AS ({WIDE}) " + " UNION ALL ".join(f"SELECT company AS entity, '{kind}' AS type, CAST({column} AS DATE) AS day FROM wide WHERE {column} IS NOT NULL" for column, kind in DATED.items()))
 def w14(t):
-    shipped = t.lineitem.select(F.col("l_orderkey").alias("entity"), F.concat(F.lit("shipped_"), F.lower("l_returnflag")).alias("type"), F.to_date("l_shipdate").alias("day"))
-    return t.orders.select(F.col("o_orderkey").alias("entity"), F.lit("placed").alias("type"), F.to_date("o_orderdate").alias("day")).unionByName(shipped)
+    return co.events_of(t.sql(WIDE), "company", DATED)
 
 
-@query("agg_w15_rapid_formation", "WITH f AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS formed, CAST(min(l_shipdate) AS DATE) AS taxed, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate) SELECT k, date_diff('day', formed, taxed) AS days, round(1 - date_diff('day', formed, taxed) / 30, 6) AS confidence FROM f WHERE date_diff('day', formed, taxed) BETWEEN 0 AND 30")
+@query("agg_w15_rapid_formation", f"WITH wide AS ({WIDE}) SELECT company AS entity, CAST(date_diff('day', formed, f_skatt) AS INT) AS days, round(1 - date_diff('day', formed, f_skatt) / 30, 6) AS confidence, 'medium' AS severity FROM wide WHERE date_diff('day', formed, f_skatt) BETWEEN 0 AND 30")
 def w15(t):
-    first = t.lineitem.groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).alias("taxed"))
-    x = t.orders.join(first, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("k"), F.datediff("taxed", F.to_date("o_orderdate")).alias("days"))
-    return x.where("days BETWEEN 0 AND 30").select("k", "days", F.round(1 - F.col("days") / 30, 6).alias("confidence"))
+    return co.rapid_formation(co.events_of(t.sql(WIDE), "company", DATED)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("agg_w15_dormant", f"WITH wide AS ({WIDE}) SELECT company, round(date_diff('day', formed, DATE '1998-06-30') / 365, 6) AS age, 0.5 AS confidence, 'low' AS severity FROM wide WHERE date_diff('day', formed, DATE '1998-06-30') / 365 >= 5 AND directors = 1")
+def w15_dormant(t):
+    return co.dormant(t.sql(WIDE), F.col("directors"), F.col("formed"), "1998-06-30").select("company", F.round("age", 6).alias("age"), "confidence", "severity")
+
+
+SIGNS = {"single_director": "directors = 1", "generic_sni": "generic", "young_company": "formed > DATE '1996-06-30'", "no_employees": "idle"}
+
+
+@query("agg_w15_indicators", f"WITH wide AS ({WIDE}), l AS (SELECT company, list_filter([" + ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in SIGNS.items()) + "], lambda x: x IS NOT NULL) AS k FROM wide) SELECT company, array_to_string(k, ',') AS matched, len(k) / 4 AS confidence, CASE WHEN len(k) >= 4 THEN 'high' ELSE 'medium' END AS severity FROM l WHERE len(k) >= 3")
+def w15_indicators(t):
+    return co.indicated(t.sql(WIDE), {k: F.expr(x) for k, x in SIGNS.items()}).select("company", "matched", "confidence", "severity")
 
 
 CHANGES = "ch AS (SELECT person, company, from_date AS day, 'added' AS change FROM directs UNION ALL SELECT person, company, to_date, 'removed' FROM directs WHERE to_date IS NOT NULL)"
@@ -176,10 +192,23 @@ def changes(t):
     return d.select("person", "company", F.col("from_date").alias("day"), F.lit("added").alias("change")).unionByName(d.where("to_date IS NOT NULL").select("person", "company", F.col("to_date").alias("day"), F.lit("removed").alias("change")))
 
 
-@query("agg_w16_director_velocity", ctes("directs", more=CHANGES) + "SELECT person, count(*) AS changes, round(count(*) / (730 / 365.0), 6) AS per_year, count(*) / (730 / 365.0) > 2 AS high FROM ch WHERE day >= DATE '1998-01-01' - 730 AND day <= DATE '1998-01-01' GROUP BY person")
+def rates_sql(key):
+    return f"SELECT {key}, count(*) AS changes, CAST(count(*) FILTER (WHERE change = 'added') AS BIGINT) AS added, CAST(count(*) FILTER (WHERE change = 'removed') AS BIGINT) AS removed, round(count(*) / (730 / 365.0), 6) AS per_year, count(*) / (730 / 365.0) > 2 AS high FROM ch WHERE day >= DATE '1998-01-01' - 730 AND day <= DATE '1998-01-01' GROUP BY {key}"
+
+
+@query("agg_w16_director_velocity", ctes("directs", more=CHANGES) + rates_sql("person"))
 def w16(t):
-    x = changes(t).where("day >= DATE '1998-01-01' - 730 AND day <= DATE '1998-01-01'").groupBy("person").agg(F.count("*").alias("changes"))
-    return x.select("person", "changes", F.round(F.col("changes") / 2, 6).alias("per_year"), (F.col("changes") / 2 > 2).alias("high"))
+    return co.change_rates(changes(t), "person", "1998-01-01").withColumn("per_year", F.round("per_year", 6))
+
+
+@query("agg_w16_company_velocity", ctes("directs", more=CHANGES) + rates_sql("company"))
+def w16_company(t):
+    return co.change_rates(changes(t), "company", "1998-01-01").withColumn("per_year", F.round("per_year", 6))
+
+
+@query("agg_w16_velocity_summary", ctes("directs", more=CHANGES) + f", r AS ({rates_sql('company')}) SELECT count(*) AS keys, round(avg(per_year), 6) AS mean, max(per_year) AS largest, CAST(count(*) FILTER (WHERE high) AS BIGINT) AS n_high FROM r")
+def w16_summary(t):
+    return co.rate_summary(co.change_rates(changes(t), "company", "1998-01-01")).withColumn("mean", F.round("mean", 6))
 
 
 @query("agg_w17_change_log", ctes("directs", more=CHANGES) + "SELECT * FROM ch")
@@ -193,10 +222,15 @@ def w18(t):
     return x.select("o_custkey", F.round("trend", 6).alias("trend"))
 
 
-@query("agg_w19_adjacent_gaps", "WITH g AS (SELECT o_custkey, date_diff('day', lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), CAST(o_orderdate AS DATE)) AS gap FROM orders) SELECT o_custkey, min(gap) AS gap FROM g GROUP BY o_custkey HAVING min(gap) < 30")
+#: Directorships with each company's address, industry and formation.
+BOARDS = "b AS (SELECT DISTINCT person, d.company, CASE WHEN d.company % 9 > 0 THEN d.company % 400 END AS address, CASE WHEN d.company % 8 > 0 THEN CAST(10 + d.company % 3 AS STRING) END AS industry, CASE WHEN d.company % 11 > 0 THEN CAST('1990-01-01' AS DATE) + CAST(d.company * 37 % 3000 AS INT) END AS formed FROM directs d)"
+
+
+@query("agg_w19_alike_companies", ctes("directs", more=BOARDS) + """, g AS (SELECT person, date_diff('day', formed, lead(formed) OVER (PARTITION BY person ORDER BY formed, company)) AS gap FROM b WHERE formed IS NOT NULL), m AS (SELECT person, min(gap) AS gap FROM g GROUP BY person),
+s AS (SELECT person, count(address) > count(DISTINCT address) AS shared_address, count(industry) > 1 AND count(DISTINCT substr(industry, 1, 2)) = 1 AS same_industry FROM b GROUP BY person HAVING count(DISTINCT company) >= 2)
+SELECT s.person, shared_address, same_industry, coalesce(gap < 30, false) AS close_formation, shared_address OR same_industry OR coalesce(gap < 30, false) AS alike FROM s LEFT JOIN m ON m.person = s.person""")
 def w19(t):
-    gap = F.datediff(F.to_date("o_orderdate"), F.lag(F.to_date("o_orderdate")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-    return t.orders.select("o_custkey", gap.alias("gap")).groupBy("o_custkey").agg(F.min("gap").alias("gap")).where("gap < 30")
+    return co.alike(t.sql(ctes("directs", more=BOARDS) + "SELECT * FROM b"))
 
 
 @query("agg_w20_behaviour", ctes("txn") + ", b AS (SELECT id, sender, amount, avg(amount) OVER w AS mean, max(amount) OVER w AS top FROM txn WINDOW w AS (PARTITION BY sender ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT id, sender, coalesce(amount > 5 * mean, false) AS above_mean, coalesce(amount > 1.5 * top, false) AS above_max FROM b WHERE amount > 5 * mean OR amount > 1.5 * top")
@@ -207,12 +241,19 @@ def w20(t):
 HASHES = "h AS (SELECT event_id, user_id, sha256(CAST(event_id AS VARCHAR)) AS own, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE lag(sha256(CAST(event_id AS VARCHAR))) OVER (PARTITION BY user_id ORDER BY event_id) END AS previous FROM events)"
 
 
-@query("agg_w21_hash_chain", f"WITH {HASHES} SELECT event_id FROM (SELECT *, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS expected FROM h) WHERE previous IS DISTINCT FROM expected")
+#: Chains of two entries, the second made from the first; some stored digests and links are spoilt.
+HASHES = """c AS (SELECT event_id, event_id // 2 AS chain, concat(event_type, ':', CAST(event_id AS STRING)) AS content FROM events), p AS (SELECT *, lag(sha256(content || '|')) OVER (PARTITION BY chain ORDER BY event_id) AS before FROM c),
+h AS (SELECT event_id, chain, content, CASE WHEN event_id % 50 = 1 THEN 'x' ELSE before END AS previous FROM p), d AS (SELECT *, CASE WHEN event_id % 70 = 5 THEN 'y' ELSE sha256(content || '|' || coalesce(previous, '')) END AS own FROM h)"""
+
+
+@query("agg_w21_hash_chain", f"WITH {HASHES}, l AS (SELECT *, lag(own) OVER (PARTITION BY chain ORDER BY event_id) AS expected FROM d) SELECT event_id, CASE WHEN previous IS DISTINCT FROM expected THEN 'link' ELSE 'content' END AS fault FROM l WHERE previous IS DISTINCT FROM expected OR own <> sha256(content || '|' || coalesce(previous, ''))")
 def w21(t):
-    own = F.sha2(F.col("event_id").cast("string"), 256)
-    before = F.lag(own).over(Window.partitionBy("user_id").orderBy("event_id"))
-    h = t.events.select("event_id", "user_id", own.alias("own"), F.when(F.col("event_id") % 50 == 0, F.lit("x")).otherwise(before).alias("previous"))
-    return op.chain_breaks(h, "user_id", "event_id", "own", "previous").select("event_id")
+    content, nothing = F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")), F.lit(None).cast("string")
+    h = t.events.select("event_id", F.floor(F.col("event_id") / 2).alias("chain"), content.alias("content"))
+    before = F.lag(op.entry_digest(F.col("content"), nothing)).over(Window.partitionBy("chain").orderBy("event_id"))
+    h = h.withColumn("previous", F.when(F.col("event_id") % 50 == 1, "x").otherwise(before))
+    h = h.withColumn("own", F.when(F.col("event_id") % 70 == 5, "y").otherwise(op.entry_digest(F.col("content"), F.col("previous"))))
+    return op.verify_chain(h, "chain", "event_id", F.col("content"), "own", "previous").select("event_id", "fault")
 
 
 @query("agg_w22_trend_bonus", ctes("event") + ", s AS (SELECT id, count(*) FILTER (WHERE value >= 50) OVER (PARTITION BY entity ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM event) SELECT id, CASE WHEN k >= 2 THEN round(least(0.15, 0.05 * k), 6) ELSE 0 END AS bonus FROM s")
