@@ -27,3 +27,34 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Stages:
+    """Tables that a long loop writes to the shared folder and reads back, so that its plans keep no memory of earlier rounds.
+
+    A checkpoint would keep the constraints that Spark has inferred, which double from round to round where the same tables are joined again and again.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.paths = spark, scratch(spark, name), {}
+        self.n = 0
+
+    def put(self, df: DataFrame, slot: str) -> DataFrame:
+        """df, written and read back; what the slot held before the last put is deleted."""
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        self.paths.setdefault(slot, []).append(path)
+        while len(self.paths[slot]) > 2:
+            self._remove(self.paths[slot].pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, keep: str) -> None:
+        """Deletes all tables but those of one slot."""
+        for slot in [s for s in self.paths if s != keep]:
+            for path in self.paths.pop(slot):
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

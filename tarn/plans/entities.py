@@ -12,6 +12,7 @@ from ..functions import similarity as sim
 from ..lists import NICKNAMES, ROLES
 from ..operators import features as feat
 from ..operators import graph
+from ..operators import lifecycle as life
 from ..operators import resolution as op
 from .views import DIRECTS, query
 
@@ -99,7 +100,7 @@ def sf_05(t):
     return name_pairs(t).select("c_custkey", F.round(sim.gestalt(c("s_name"), c("c_name")), 6).alias("score"))
 
 
-@query("sf_06_watchlist_score", f"SELECT c_custkey, round(0.6 * (1 - levenshtein(s_name, c_name) / greatest(length(s_name), length(c_name))) + 0.4 * (lower(s_name) = lower(c_name))::INT, 6) AS score {NAMES}")
+@query("sf_06_watchlist_score", f"SELECT c_custkey, round(0.6 * (1 - levenshtein(s_name, c_name) / greatest(length(s_name), length(c_name))) + 0.4 * len(list_intersect(string_split(lower(s_name), ' '), string_split(lower(c_name), ' '))) / len(list_distinct(list_concat(string_split(lower(s_name), ' '), string_split(lower(c_name), ' ')))), 6) AS score {NAMES}")
 def sf_06(t):
     return name_pairs(t).select("c_custkey", F.round(sim.watchlist_score(c("s_name"), c("c_name")), 6).alias("score"))
 
@@ -459,8 +460,52 @@ def er_13(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", kind.alias("relation"), F.when(c("l_linestatus") == "F", 0.95).otherwise(0.7).alias("confidence"))
 
 
-@query("spec_03_resolution_accuracy", "WITH p AS (SELECT doc_id, n_chars > 2500 AS said FROM documents), j AS (SELECT said, quality = 1 AS truth FROM p JOIN labels l ON l.doc_id = p.doc_id) SELECT round(count(*) FILTER (WHERE NOT said AND NOT truth) / count(*) FILTER (WHERE NOT truth), 6) AS specificity, round(count(*) FILTER (WHERE said AND truth) / count(*) FILTER (WHERE truth), 6) AS sensitivity FROM j")
+#: Labelled are all pairs that blocking gave; facts are the automatic matches, of which some were superseded.
+@query("spec_03_resolution_accuracy", HITS + SCORE + """, k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, candidate) AS k FROM s), f AS (SELECT mention, candidate FROM k WHERE k = 1 AND score >= 0.95 AND mention % 10 <> 0),
+j AS (SELECT p.mention = p.candidate AS truth, f.mention IS NOT NULL AS said FROM p LEFT JOIN f ON f.mention = p.mention AND f.candidate = p.candidate), n AS (SELECT count(*) AS total, CAST(count(*) FILTER (WHERE truth AND said) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE NOT truth AND said) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE truth AND NOT said) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE NOT truth AND NOT said) AS BIGINT) AS tn FROM j)
+SELECT *, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(tp / nullif(tp + fn, 0), 6) AS sensitivity FROM n""")
 def spec_03(t):
-    said, truth = c("n_chars") > 2500, c("quality") == 1
-    j = t.documents.join(t.labels, "doc_id")
-    return j.agg(F.round(F.try_divide(F.count_if(~said & ~truth), F.count_if(~truth)), 6).alias("specificity"), F.round(F.try_divide(F.count_if(said & truth), F.count_if(truth)), 6).alias("sensitivity"))
+    m, e = mentions(t)
+    p = durable(op.candidate_pairs(m, e))
+    name = lambda mark, x: F.concat(F.lit(mark), x.cast("string"))
+    matched = op.decide(m, op.compare(p, m, e)).where("decision = 'AUTO_MATCH'")
+    facts = matched.select(name("e", c("entity")).alias("subject"), name("m", c("mention")).alias("object"), F.when(c("mention") % 10 == 0, 1).alias("superseded"))
+    labelled = p.select(name("m", c("mention")).alias("a"), name("e", c("candidate")).alias("b"), (c("mention") == c("candidate")).alias("is_same"))
+    return life.resolution_accuracy(labelled, facts).withColumns({x: F.round(x, 6) for x in ("specificity", "sensitivity")})
+
+
+#: Entities and requests of their lives.
+LIVES = """SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN 'COMPANY' ELSE 'PERSON' END AS type, CASE WHEN c_custkey % 17 = 0 THEN 'ANONYMIZED' WHEN c_custkey % 19 = 0 THEN 'MERGED' ELSE 'ACTIVE' END AS status, c_name AS name, c_mktsegment AS city FROM customer"""
+MERGES = "SELECT c_custkey - CAST(c_custkey % 3 AS INT) AS canonical, c_custkey AS secondary, (c_custkey % 14) / 12.0 AS confidence FROM customer"
+#: Merges with the days on which they hold.
+FACTS = "SELECT c_custkey AS id, c_custkey - 1 - c_custkey % 3 AS subject, c_custkey AS object, CAST('2020-01-01' AS DATE) + CAST(c_custkey % 400 AS INT) AS valid_from, CASE WHEN c_custkey % 4 = 0 THEN CAST('2020-06-01' AS DATE) + CAST(c_custkey % 500 AS INT) END AS valid_to FROM customer WHERE c_custkey % 5 > 0"
+
+
+@query("er_12_merge_requests", f"WITH e AS ({LIVES}), r AS ({MERGES}) SELECT canonical, secondary, CASE WHEN canonical = secondary THEN 'itself' WHEN confidence > 1 THEN 'confidence' WHEN a.type <> b.type THEN 'type' WHEN a.status <> 'ACTIVE' OR b.status <> 'ACTIVE' THEN 'status' END AS error FROM r JOIN e a ON a.id = canonical JOIN e b ON b.id = secondary")
+def er_12_merges(t):
+    return life.merge_outcomes(t.sql(MERGES), t.sql(LIVES)).select("canonical", "secondary", "error")
+
+
+@query("er_12_closure", f"WITH RECURSIVE f AS ({FACTS}), a AS (SELECT subject, object FROM f WHERE valid_from <= DATE '2020-12-01' AND (valid_to IS NULL OR valid_to > DATE '2020-12-01')), u AS (SELECT subject AS src, object AS dst FROM a UNION SELECT object, subject FROM a), reach AS (SELECT src AS a, src AS b FROM u UNION SELECT r.a, u.dst FROM reach r JOIN u ON u.src = r.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
+def er_12_closure(t):
+    """From the closure of half a year before and the facts that changed since."""
+    facts = durable(t.sql(FACTS))
+    changed = facts.where("(valid_from > DATE '2020-06-15' AND valid_from <= DATE '2020-12-01') OR (valid_to > DATE '2020-06-15' AND valid_to <= DATE '2020-12-01')")
+    return life.updated_closure(durable(life.closure(facts, "2020-06-15")), facts, changed, "2020-12-01")
+
+
+SPLITS = "SELECT s_suppkey AS request, s_suppkey * 3 AS entity, CASE WHEN s_suppkey % 6 > 0 THEN s_name END AS name, CASE s_suppkey % 5 WHEN 0 THEN ARRAY() WHEN 1 THEN ARRAY(s_suppkey * 30, s_suppkey * 30 + 40) ELSE ARRAY(s_suppkey * 30, s_suppkey * 30 + 1) END AS facts FROM supplier"
+OWNED = "SELECT event_id AS id, event_id // 10 AS entity FROM events"
+
+
+@query("er_12_splits", "WITH f AS (" + OWNED + "), r AS (" + SPLITS.replace("ARRAY()", "CAST([] AS BIGINT[])").replace("ARRAY(", "list_value(") + """), o AS (SELECT request, entity, CASE WHEN len(facts) = 0 THEN 'nothing' WHEN coalesce(trim(name), '') = '' THEN 'name' WHEN EXISTS (SELECT 1 FROM (SELECT unnest(facts) AS id) x LEFT JOIN f ON f.id = x.id WHERE f.entity IS DISTINCT FROM r.entity) THEN 'foreign' END AS error FROM r),
+m AS (SELECT x.id, 'e-' || substr(sha256('split|' || x.request || '|' || o.entity), 1, 16) AS new_entity FROM (SELECT request, unnest(facts) AS id FROM r) x JOIN o ON o.request = x.request WHERE error IS NULL) SELECT f.id, coalesce(new_entity, CAST(f.entity AS VARCHAR)) AS entity FROM f LEFT JOIN m ON m.id = f.id""")
+def er_12_splits(t):
+    facts = t.events.select(c("event_id").alias("id"), F.floor(c("event_id") / 10).alias("entity"))
+    return life.split(facts, t.sql(SPLITS.replace("ARRAY()", "CAST(ARRAY() AS ARRAY<BIGINT>)")))[0]
+
+
+@query("er_12_anonymise", f"WITH e AS ({LIVES}) SELECT id, type, CASE WHEN done THEN 'ANONYMIZED' ELSE status END AS status, CASE WHEN done THEN 'ANONYMIZED_PERSON_' || upper(substr(sha256('anonymize:' || id), 1, 8)) ELSE name END AS name, CASE WHEN NOT done THEN city END AS city FROM (SELECT *, id % 4 = 1 AND type = 'PERSON' AND status <> 'ANONYMIZED' AND (id % 9 <> 0 OR id % 2 = 0 OR id % 5 = 1) AS done FROM e)")
+def er_12_anonymise(t):
+    e = t.sql(LIVES)
+    return life.anonymise(e, e.where("id % 4 = 1").select("id", (c("id") % 5 == 1).alias("override")), e.where("id % 9 = 0 AND id % 2 = 1").select("id"), ["city"])[0]
