@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: tokens of two vocabularies whose byte ranges end together, counted in id-striped dense matrices.
 
-Encoding. A space and the text are encoded by both tokenizers. Neither merges across the edge from a character that is no white space to a
-space (the byte-level pattern splits there, and no piece holds a space after a character that is none; `_Pair` checks that), so a text is cut there into
-units, and each different unit is encoded once and remembered. Where both tokens end, a group of tokens ends; the two tokens that end there
-are linked.
+Encoding. A space and the text are encoded by both tokenizers, some megabyte of texts at a time; token ends are sums of byte lengths, so all texts of a step are
+aligned by a few array operations. Where both tokens end, a group of tokens ends; the two tokens that end there are linked. A longer text is cut
+between a character that is no white space and a space: the byte-level pattern splits there, and no piece holds a space after another character
+(`_Pair` checks that; else such texts stay whole).
 
 Counting. A task deals the links of some million tokens, a portion, by stripes of ids of side b (id modulo the number of stripes). A stripe's
 part of the count matrix is a dense block, a row for each of its b ids and a column for each a id; `np.add.at` adds the portions' links, and row
@@ -15,11 +15,10 @@ Scoring. The links lie by the same stripe and part, each with its whole stripe's
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,18 +28,21 @@ from pyspark.sql import functions as F
 
 from ._cluster import new_dir, ready, trim
 
-#: Characters of text that are cut into units at a time.
+#: Characters of text that are encoded at a time.
 STEP_CHARS = 1 << 20
 #: A portion ends after so many links or documents; the latter are numbered in 16 bits.
 PORTION_LINKS, PORTION_DOCS = 1 << 20, 60_000
-#: Units that a worker remembers from one text to the next, none of them longer than LONG_UNIT.
-REMEMBERED, LONG_UNIT = 300_000, 64
 #: Bits of an a id within a link's code.
 A_BITS = 24
 EDGE = re.compile(r"(?<=\S) (?=\s*\S)")
+#: Runs that rank merging would take long over.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: Fixed value: how a byte-level vocabulary splits text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 ENCODED = "portion long, idx int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, stripe int, codes binary, totals binary, spread binary, docs binary, times binary"
 _held: dict = {}
+NONE = np.zeros(0, np.uint64)
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,94 +52,117 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def rank_encoding(path: str):
+    """The plain byte-level vocabulary of a `tokenizers` file as ranks of `tiktoken`, which gives the same ids several times faster; None for any other vocabulary.
+
+    That holds where ids follow the merges: then a merge's rank is its id, and both take the merge of lowest rank first.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    letters = byte_letters()
+    vocab = {bytes(map(letters.__getitem__, x)): k for x, k in model["vocab"].items() if all(c in letters for c in x) and x not in {t["content"] for t in told.get("added_tokens", ())}}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and told.get("normalizer") is None
+    if not plain or any(before.get(k) != v for k, v in usual.items()) or [model["vocab"].get(m) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
+
+
 class _Pair:
-    """Two tokenizers, the bytes of their tokens, and the units met so far."""
+    """Two tokenizers, with the bytes, lengths and written ids of their tokens."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        self.a, self.b, self.ranks = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), rank_encoding(path_a)
         self.a.encode_special_tokens = True
         letters = byte_letters()
         self.bytes_a = {k: bytes(map(letters.__getitem__, entry)) for entry, k in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in entry)}
         pieces = [(k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size())]
         self.bytes_b = {k: bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in pieces}
-        self.by_unit = not any(re.search(r"\S ", p.replace("▁", " ")) for k, p in pieces if not self.b.is_byte(k))
-        self.units: dict[str, tuple | None] = {}
-        self.long: list[str] = []
-
-    def aligned(self, unit: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """(tokens of a, of b, groups, their text, codes of the links); None where the bytes differ."""
-        own_a, own_b = [self.bytes_a[x] for x in ids_a], [self.bytes_b[x] for x in ids_b]
-        whole = b" " + unit.encode()
-        if b"".join(own_a) != whole or b"".join(own_b) != whole:
-            return None
-        i = j = at_a = at_b = from_a = from_b = 0
-        groups, codes = [], []
-        while i < len(ids_a) or j < len(ids_b):
-            if at_a <= at_b and i < len(ids_a):
-                at_a += len(own_a[i])
-                i += 1
-            else:
-                at_b += len(own_b[j])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-                codes.append(ids_b[j - 1] << A_BITS | ids_a[i - 1])
-                from_a, from_b = i, j
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), tuple(codes)
-
-    def look_up(self, units: list[str]) -> dict[str, tuple | None]:
-        """The remembered units, all of these among them."""
-        for u in self.long:
-            del self.units[u]
-        if len(self.units) > REMEMBERED:
-            self.units = {}
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
-        self.long = [u for u in new if len(u) > LONG_UNIT]
-        if new:
-            ids_a = self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)
-            ids_b = self.b.encode(new, num_threads=1)
-            self.units |= {u: self.aligned(u, x.ids, y) for u, x, y in zip(new, ids_a, ids_b, strict=True)}
-        return self.units
-
-    def units_of(self, text: str) -> Iterator[list[str]]:
-        if not self.by_unit:
-            yield [text]
-            return
+        self.may_cut = not any(re.search(r"\S ", p.replace("▁", " ")) for k, p in pieces if not self.b.is_byte(k))
+        self.length_a, self.length_b = (np.array([len(of.get(k, b"")) for k in range(max(of) + 1)]) for of in (self.bytes_a, self.bytes_b))
+        written = lambda n, end: np.array([b"%d%s" % (k, end) for k in range(n)], dtype=object)
+        self.say_a = [written(len(self.length_a), end) for end in (b",", b"|")]
+        self.say_b = [written(len(self.length_b), end) for end in (b",", b";")]
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranks is None:
+            return [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.ranks.encode_ordinary(" " + t) if not LONG_RUN.search(t) else self.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+    def aligned(self, texts: list[str]) -> list[tuple[int, int, int, bytes, np.ndarray] | None]:
+        """Per text, which is not empty: tokens of a, of b, groups, the groups written with a last semicolon, codes of the links; None where the bytes differ."""
+        own_a, own_b = self.encode_a(texts), self.b.encode(texts, num_threads=1)
+        wholes = [b" " + t.encode() for t in texts]
+        good = [k for k, w in enumerate(wholes) if b"".join(map(self.bytes_a.__getitem__, own_a[k])) == w == b"".join(map(self.bytes_b.__getitem__, own_b[k]))]
+        out: list = [None] * len(texts)
+        if not good:
+            return out
+        a, b = (np.concatenate([np.array(own[k], np.int64) for k in good]) for own in (own_a, own_b))
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        meet = np.minimum(np.searchsorted(end_b, end_a), len(b) - 1)
+        last_a = np.flatnonzero(end_b[meet] == end_a)
+        last_b = meet[last_a]
+        codes = b[last_b].astype(np.uint64) << np.uint64(A_BITS) | a[last_a].astype(np.uint64)
+        # each group's tokens of a, then those of b
+        group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+        said = np.empty(len(a) + len(b), dtype=object)
+        place_a, place_b = np.arange(len(a)) + np.r_[0, last_b + 1][group_a], np.arange(len(b)) + (last_a + 1)[group_b]
+        said[place_a], said[place_b] = self.say_a[0][a], self.say_b[0][b]
+        said[place_a[last_a]], said[place_b[last_b]] = self.say_a[1][a[last_a]], self.say_b[1][b[last_b]]
+        tops = np.cumsum([len(wholes[k]) for k in good])
+        to_a, to_b, to_group = (np.searchsorted(x, tops, side="right").tolist() for x in (end_a, end_b, end_a[last_a]))
+        i = j = g = 0
+        for k, x, y, z in zip(good, to_a, to_b, to_group, strict=True):
+            out[k] = (x - i, y - j, z - g, b"".join(said[i + j : x + y].tolist()), codes[g:z])
+            i, j, g = x, y, z
+        return out
+
+    def parts_of(self, text: str) -> Iterator[str]:
         at = 0
-        while len(text) - at > STEP_CHARS and (m := EDGE.search(text, at + STEP_CHARS)):
-            yield EDGE.split(text[at : m.start()])
+        while self.may_cut and len(text) - at > STEP_CHARS and (m := EDGE.search(text, at + STEP_CHARS)):
+            yield text[at : m.start()]
             at = m.end()
-        yield EDGE.split(text[at:])
+        yield text[at:]
 
-    def document(self, text: str | None) -> tuple[list, array]:
+    def document(self, text: str | None) -> tuple[list, np.ndarray]:
         """([n_a, n_b, n_groups, n_links, groups_sha256], codes); zeros for a text without tokens."""
-        n_a = n_b = n_groups = 0
-        codes, digest = array("Q"), hashlib.sha256()
-        for units in self.units_of(text) if text else ():
-            own = list(map(self.look_up(units).__getitem__, units))
-            if None in own:
-                return [0, 0, 0, 0, ""], array("Q")
-            of_a, of_b, groups, said, links = zip(*own, strict=True)
-            digest.update((";" * bool(n_groups) + ";".join(said)).encode())
-            n_a, n_b, n_groups = n_a + sum(of_a), n_b + sum(of_b), n_groups + sum(groups)
-            codes.extend(chain.from_iterable(links))
-        return [n_a, n_b, n_groups, len(codes), digest.hexdigest() if n_a else ""], codes
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[list, array]]:
-        """The same of each; new units of some megabyte of texts are encoded together."""
+        counts, codes, digest, held = np.zeros(3, np.int64), [], hashlib.sha256(), b""
+        for part in self.parts_of(text) if text else ():
+            if (own := self.aligned([part])[0]) is None:
+                return [0, 0, 0, 0, ""], NONE
+            digest.update(held)
+            counts, held = counts + own[:3], own[3]
+            codes.append(own[4])
+        digest.update(held[:-1])
+        return self.told(counts.tolist(), digest, np.concatenate(codes) if codes else NONE)
+
+    @staticmethod
+    def told(counts: list[int], digest, codes: np.ndarray) -> tuple[list, np.ndarray]:
+        return [*counts, len(codes), digest.hexdigest() if counts[0] else ""], codes
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[list, np.ndarray]]:
+        """The same of each; some megabyte of texts are encoded and aligned together."""
         at = 0
         while at < len(texts):
             to, chars = at, 0
             while to < len(texts) and (to == at or chars + len(texts[to] or "") <= STEP_CHARS):
                 chars += len(texts[to] or "")
                 to += 1
-            if to > at + 1:
-                self.look_up([u for text in texts[at:to] if text for units in self.units_of(text) for u in units])
-            yield from map(self.document, texts[at:to])
+            if to == at + 1:
+                yield self.document(texts[at])
+            else:
+                found = iter(self.aligned([t for t in texts[at:to] if t]))
+                for t in texts[at:to]:
+                    own = next(found) if t else None
+                    yield self.told(list(own[:3]), hashlib.sha256(own[3][:-1]), own[4]) if own else ([0, 0, 0, 0, ""], NONE)
             at = to
 
 
@@ -152,12 +177,12 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def _links(portion: int, parts: list[array], stripes: int) -> pa.RecordBatch | None:
+def _links(portion: int, parts: list[np.ndarray], stripes: int) -> pa.RecordBatch | None:
     """A row for each stripe: different codes, how often each is linked, in how many documents, and those documents with their shares."""
     lengths = [len(p) for p in parts]
     if not sum(lengths):
         return None
-    codes = np.concatenate([np.frombuffer(p, np.uint64) for p in parts if len(p)])
+    codes = np.concatenate(parts)
     keys = codes << np.uint64(16) | np.repeat(np.arange(len(parts), dtype=np.uint64), lengths)
     keys, times = np.unique(keys, return_counts=True)
     codes = keys >> np.uint64(16)
