@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import durable
+from ..cluster import Stages, durable
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -27,17 +25,29 @@ def neighbours(edges: DataFrame, node: Column, direction: str = "both") -> DataF
     return parts[direction].distinct()
 
 
+#: A frontier of so many nodes goes to all tasks; a larger one meets the edges by a shuffle.
+SMALL_FRONTIER = 100_000
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """(node, depth) of all nodes within `hops` of the seeds (node), by breadth-first frontiers."""
-    e = edges.select("src", "dst").distinct() if directed else both_ways(edges)
-    seen = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    """(node, depth) of all nodes within `hops` of the seeds (node), by breadth-first frontiers.
+
+    The edges are stored once and never shuffled while frontiers are small; undirected steps look at both ends of the same rows.
+    """
+    e = durable(edges.select("src", "dst").where("src <> dst"))
+    frontier = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, n = frontier, frontier.count()
     for k in range(1, hops + 1):
-        step = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        here = F.broadcast(frontier) if n <= SMALL_FRONTIER else frontier
+        step = e.join(here, F.col("node") == F.col("src")).select(F.col("dst").alias("next"))
+        if not directed:
+            step = step.unionByName(e.join(here, F.col("node") == F.col("dst")).select(F.col("src").alias("next")))
+        step = step.select(F.col("next").alias("node")).distinct()
         frontier = durable(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
-        seen = durable(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -78,19 +88,27 @@ def shortest_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node that each reaches; labels spread to neighbours and jump to their own label's label."""
-    e = durable(both_ways(edges))
-    label = durable(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
+    """(node, component): the smallest node that each reaches, for all nodes with a neighbour.
+
+    Edges are kept as (higher, lower). A large star ties a node's higher neighbours to its lowest one, a small star its lower ones; both
+    only move minima, so rounds grow with the logarithm of the longest path and a hub is never gathered. Settled once count and checksum stand still.
+    """
+    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    stages = Stages(edges.sparkSession, "components")
+    now, seen = stages.put(now, "edges"), None
     for _ in range(rounds):
-        near = e.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
-        new = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", "m").alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("c2"))
-        new = durable(new.join(jump, "component", "left").select("node", F.least("component", "c2").alias("component")))
-        changed = not new.exceptAll(label).isEmpty()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+        ends = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = ends.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = stages.put(small.where("u <> v").distinct(), "edges")
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == seen:
+            named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        seen = state
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -187,46 +205,43 @@ def triangles(pairs: DataFrame) -> DataFrame:
     return first.join(second, "y").join(p.select(F.col("a").alias("x"), F.col("b").alias("z")), ["x", "z"]).select("x", "y", "z")
 
 
-def betweenness(edges: DataFrame, undirected_nodes: int) -> DataFrame:
-    """(node, score), exact and normalised, of a directed graph whose adjacency fits a worker (its edges are counted first).
+def betweenness(edges: DataFrame, undirected_nodes: int, pivots: int | None = None, depth: int = 200) -> DataFrame:
+    """(node, score), normalised, of a directed graph: the share of shortest paths between others that pass a node.
 
-    Sources are dealt over tasks; each runs a breadth-first search with dependency sums.
+    All searches advance together, a level at a time: rows (source, node, ways) meet the edges, and on the way back each level hands its dependencies to the one
+    before. Exact from all nodes as sources; with `pivots` from so many, those of smallest hash, and scaled up to all. Rows grow with sources times reached
+    nodes, so a large graph needs pivots. A search that goes on beyond `depth` levels is an error.
     """
-    e = edges.select("src", "dst").distinct()
-    if (n := e.count()) > 2_000_000:
-        raise ValueError(f"{n} edges: sample the sources or cut the graph")
-    adjacency: dict = {}
-    for s, d in e.collect():  # at most the bound above
-        adjacency.setdefault(s, []).append(d)
-    shared = e.sparkSession.sparkContext.broadcast(adjacency)
-
-    def run(batches):
-        total: dict = {}
-        for pdf in batches:
-            for s in pdf["node"]:
-                order, before, ways, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in shared.value.get(v, ()):
-                        if w not in depth:
-                            depth[w], ways[w], before[w] = depth[v] + 1, 0.0, []
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                load = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        load[v] += ways[v] / ways[w] * (1 + load[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + load[w]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
-
+    stages = Stages(edges.sparkSession, "betweenness")
+    e = stages.put(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    scale = 1 / max(1, (undirected_nodes - 1) * (undirected_nodes - 2))
-    return nodes.mapInPandas(run, "node long, part double").groupBy("node").agg((F.sum("part") * scale).alias("score"))
+    share = 1.0
+    if pivots is not None and (n := nodes.count()) > pivots:
+        nodes, share = nodes.orderBy(F.xxhash64("node"), "node").limit(pivots), n / pivots
+    levels = [stages.put(nodes.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("ways")), "level 0")]
+    seen = levels[0].select("source", "node")
+    while True:
+        step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        level = stages.put(step.join(seen, ["source", "node"], "left_anti"), f"level {len(levels)}")
+        if level.isEmpty():
+            break
+        if len(levels) > depth:
+            raise RuntimeError(f"paths of more than {depth} edges")
+        levels.append(level)
+        seen = seen.unionByName(level.select("source", "node"))
+    load, total = None, None
+    for k in range(len(levels) - 1, 0, -1):
+        here = levels[k].withColumn("load", F.lit(0.0)) if load is None else levels[k].join(load, ["source", "node"], "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
+        here = stages.put(here, f"load {k}")
+        part = here.groupBy("node").agg(F.sum("load").alias("part"))
+        total = part if total is None else total.unionByName(part)
+        back = here.select("source", F.col("node").alias("dst"), ((1 + F.col("load")) / F.col("ways")).alias("each")).join(e, "dst")
+        load = levels[k - 1].select("source", F.col("node").alias("src"), "ways").join(back, ["source", "src"]).groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("ways") * F.col("each")).alias("load"))
+    scale = share / max(1, (undirected_nodes - 1) * (undirected_nodes - 2))
+    every = levels[0].select("node", F.lit(0.0).alias("part")) if total is None else total.unionByName(levels[0].select("node", F.lit(0.0).alias("part")))
+    out = stages.put(every.groupBy("node").agg((F.sum("part") * scale).alias("score")), "out")
+    stages.close("out")
+    return out
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

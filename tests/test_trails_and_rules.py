@@ -10,7 +10,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import aggregates, casework, communities, features, sequences, trails
+from tarn.operators import aggregates, casework, communities, features, graph, sequences, trails
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 PAYMENTS = "id long, src long, dst long, ts timestamp, amount decimal(18,2)"
@@ -389,3 +389,67 @@ def test_evasion(spark):
     alone = casework.isolation(c("d"), c("l"), c("o"), c("p"), c("n"))
     got = [(round(r[0], 6), round(r[1], 6), r[2]) for r in df.select(alone, *casework.evasion(alone, casework.synthetic_compliance(c("f"), c("t"), c("idle")), casework.below_threshold(c("m"), c("b")))).collect()]
     assert got == [(0.45, 0.78, "high"), (0.25, 0.1, "low"), (0.7, 0.28, "low")]
+
+
+# graph loops
+
+
+def plain_betweenness(edges):
+    out = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            out[a].add(b)
+    nodes = {x for e in edges for x in e if e[0] != e[1]}
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        depth, ways, order = {s: 0}, Counter({s: 1}), [s]
+        for v in order:
+            for w in out[v]:
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    ways[w] += ways[v]
+        load = Counter()
+        for w in reversed(order):
+            for v in order:
+                if w in out[v] and depth[w] == depth[v] + 1:
+                    load[v] += ways[v] / ways[w] * (1 + load[w])
+            if w != s:
+                total[w] += load[w]
+    return total
+
+
+def test_betweenness_components_and_expansion(spark):
+    rng = random.Random(20)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] + [(50, 50), (60 + 0, 61)] + [(70 + k, 71 + k) for k in range(5)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = plain_betweenness(edges)
+    got = {r.node: r.score for r in graph.betweenness(df, len(want)).collect()}
+    scale = 1 / ((len(want) - 1) * (len(want) - 2))
+    assert got == pytest.approx({k: v * scale for k, v in want.items()})
+
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    depth = {70: 0, 0: 0}
+    order = list(depth)
+    for v in order:
+        for w in sorted(near[v]):
+            if w not in depth:
+                depth[w] = depth[v] + 1
+                order.append(w)
+    seeds = spark.createDataFrame([(70,), (0,)], "node long")
+    assert {r.node: r.depth for r in graph.expand(df, seeds, 4).collect()} == {k: d for k, d in depth.items() if d <= 4}
+    named = {r.node: r.component for r in graph.components(df).collect()}
+    reach = {}
+    for v in sorted(near):
+        if v not in reach:
+            todo = [v]
+            for x in todo:
+                if x not in reach:
+                    reach[x] = v
+                    todo += near[x]
+    assert named == reach
