@@ -394,7 +394,8 @@ def er_06(t):
     return op.decide(m, op.compare(op.candidate_pairs(m, e), m, e)).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("er_07_clusters")
+@query("er_07_clusters", HITS.replace("WITH ", "WITH RECURSIVE ", 1) + SCORE + """, l AS (SELECT mention AS a, candidate + 1000000 AS b FROM s WHERE score >= 0.6), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON u.a = r.b),
+c AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a), n AS (SELECT id, name FROM m UNION ALL SELECT id + 1000000, name FROM e) SELECT component, arg_min(name, (-length(name), name)) AS canonical, count(*) AS size FROM c JOIN n ON n.id = c.id GROUP BY component""")
 def er_07(t):
     m, e = mentions(t)
     links = op.compare(op.candidate_pairs(m, e), m, e).where("score >= 0.6").select(c("mention").alias("src"), (c("candidate") + 1_000_000).alias("dst"))

@@ -251,7 +251,11 @@ def gr_26(t):
     return op.cycles(pairs(t), 4).groupBy("hops").agg(F.count("*").alias("n"))
 
 
-@query("gr_27_risk_propagation")
+SPREAD = ", b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), o AS MATERIALIZED (SELECT DISTINCT src AS node, (src % 10)::DOUBLE / 10 AS own FROM b), r0 AS (SELECT node, own AS risk FROM o)"
+SPREAD += "".join(f", r{k + 1} AS MATERIALIZED (SELECT o.node, CASE WHEN m IS NULL THEN own ELSE (1 - 0.85) * own + 0.85 * m END AS risk FROM o LEFT JOIN (SELECT src, avg(risk) AS m FROM b JOIN r{k} ON r{k}.node = dst GROUP BY src) x ON x.src = o.node)" for k in range(10))
+
+
+@query("gr_27_risk_propagation", ctes("paid") + ALL_PAYS + SPREAD + " SELECT node, round(risk, 8) AS risk FROM r10")
 def gr_27(t):
     nodes = every_pair(t).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     own = nodes.withColumn("risk", F.pmod("node", F.lit(10)) / 10)
