@@ -91,6 +91,25 @@ def threat_risk(severities: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.transform(weights, lambda w, i: w / (i + 1)), F.lit(0.0), lambda a, w: a + w) / 3)
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern that matches any of the words, the longest that fits first: words with a common beginning share it, so a place in a text is tried once a letter, not once a word."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [("\\" + ch if not ch.isalnum() and ch != " " else ch) + pattern(child) for ch, child in sorted(node.items()) if ch]
+        if not ways:
+            return ""
+        joined = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return joined + "?" if "" in node else joined
+
+    return pattern(tree)
+
+
 def vocabulary_hits(text: Column, vocabulary: Mapping[str, Mapping[str, str]] = VOCABULARY, least: str = "low") -> Column:
     """Array of structs (category, word, severity, context) of whole-word matches, in each category the longest first.
 
@@ -109,15 +128,24 @@ def vocabulary_hits(text: Column, vocabulary: Mapping[str, Mapping[str, str]] =
         level = lambda w: F.element_at(severity, F.concat(F.lit(f"{category}:"), w))
         return lambda m: F.struct(F.lit(category).alias("category"), F.lower(m["b"]).alias("word"), level(F.lower(m["b"])).alias("severity"), F.concat(m["a"], m["b"], m["c"]).alias("context"))
 
+    low, odd = F.lower(text), text.rlike("[\u0130\u017f\u212a\u212b]")
+
+    def whole(words: Iterable[str]) -> str:
+        """A whole word; places whose letter begins none are passed over first."""
+        return f"(?={'[' + ''.join(sorted({w[0] for w in words})) + ']'})\\b(?:{any_of(words)})\\b"
+
+    def some(words: Iterable[str]) -> Column:
+        # letters that only ignoring case makes equal to others are left to the slower pattern
+        return low.rlike(f"(?U){whole(words)}") | (odd & text.rlike(f"(?iU){whole(words)}"))
+
     found = []
     for category, words in kept.items():
-        choice = "|".join(w.replace(".", "\\.") for w in sorted(words, key=lambda w: (-len(w), w)))
-        whole = F.lit(f"(?siU)\\b(?=(?:{choice})\\b){before}({choice})\\b{after}")  # the context is taken only where a word stands
-        parts = [F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3)]
+        placed = F.lit(f"(?siU)(?={whole(words)}){before}({any_of(words)})\\b{after}")  # the context is taken only where a word stands
+        parts = [F.regexp_extract_all(text, placed, F.lit(k)) for k in (1, 2, 3)]
         pairs = F.arrays_zip(parts[0].alias("a"), parts[1].alias("b"), parts[2].alias("c"))
-        some = text.rlike(f"(?iU)\\b(?:{choice})\\b")
-        found.append(F.when(some, F.transform(pairs, match(category))).otherwise(empty))
-    return F.coalesce(F.flatten(F.array(*found)), empty)
+        found.append(F.when(some(words), F.transform(pairs, match(category))).otherwise(empty))
+    every = sorted({w for words in kept.values() for w in words})
+    return F.when(some(every), F.flatten(F.array(*found))).otherwise(empty)
 
 
 def vocabulary_matches(docs: DataFrame, vocabulary: Mapping[str, Mapping[str, str]] = VOCABULARY, least: str = "low", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
