@@ -59,12 +59,13 @@ def layering(payments: DataFrame, hops: int = 3, longest: int = 10, hours: int =
         steps = steps.where((F.col("e_sec") >= F.col("last")) & (F.col("e_sec") <= F.col("first") + window) & ~F.array_contains("path", F.col("e_dst")))
         grown = None
         if k < longest:
-            grown = steps.select(F.concat("path", F.array("e_dst")).alias("path"), F.concat("transactions", F.array("id")).alias("transactions"), F.col("e_dst").alias("node"), "first", F.col("e_sec").alias("last"), "amount", F.least("smallest", "e_amount").alias("smallest"))
+            grown = steps.select(F.concat("path", F.array("e_dst")).alias("path"), F.concat("transactions", F.array("id")).alias("transactions"), F.col("e_dst").alias("node"), "first", F.col("last").alias("before"), F.col("e_sec").alias("last"), "amount", F.least("smallest", "e_amount").alias("smallest"))
             grown = durable(grown)
         if k >= hops:
             ended = now
             if k < longest and windowed:
-                ended = now.join(grown.select(F.slice("transactions", 1, k).alias("transactions")).distinct(), "transactions", "left_anti")
+                # by all that decides on a next payment: payments may share an id
+                ended = now.join(grown.select(F.slice("path", 1, k + 1).alias("path"), "first", F.col("before").alias("last")).distinct(), ["path", "first", "last"], "left_anti")
             elif k < longest:
                 goes_on = F.exists("latest", lambda x: (x["sec"] >= F.col("last")) & ~F.array_contains("path", x["dst"]))
                 ended = now.join(latest, "node", "left").where(~F.coalesce(goes_on, F.lit(False))).drop("latest")
@@ -72,7 +73,7 @@ def layering(payments: DataFrame, hops: int = 3, longest: int = 10, hours: int =
             out = ended if out is None else out.unionByName(ended)
         if grown is None or grown.isEmpty():
             break
-        now = grown
+        now = grown.drop("before")
     if out is None:
         out = now.limit(0).withColumn("hops", F.lit(0))
     severity = _band(F.col("hops"), {name: (F.col("hops") >= n) | (F.col("smallest") >= amount) for name, n, amount in (("critical", 7, 1_000_000), ("high", 5, 500_000), ("medium", 4, 200_000))})

@@ -63,6 +63,13 @@ def test_layering_grades_and_windows(spark):
     assert trails.layering(both.limit(0)).count() == 0
 
 
+def test_layering_in_a_window_of_payments_that_share_ids(spark):
+    short = [(k, k, k + 1, START + timedelta(hours=k), Decimal(60_000)) for k in range(3)]
+    longer = [(k, 50 + k, 51 + k, START + timedelta(hours=k), Decimal(60_000)) for k in range(4)]
+    got = Counter(tuple(x.path) for x in trails.layering(spark.createDataFrame([*short, *longer], PAYMENTS), windowed=True).collect())
+    assert got == {(0, 1, 2, 3): 1, (50, 51, 52, 53, 54): 1, (51, 52, 53, 54): 1}
+
+
 def brute_round_trips(rows, longest=8, least=50_000, days=30, loss=Decimal("0.15")):
     out = defaultdict(list)
     kept = sorted((r for r in rows if r[1] is not None and r[2] is not None and r[1] != r[2] and r[3] is not None), key=lambda r: (r[3], r[0]))
