@@ -54,6 +54,11 @@ def shared_pairs(edges: DataFrame, group: str, member: str, least: int) -> DataF
     return x.join(y, "m").where("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def least_of(right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): the smallest value of each key, so that a precedence join meets a row a key, however many have it. Null keys and values, which never match, are left out."""
+    return right.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
+
+
 def precedence_join(left: DataFrame, attempts: Sequence[tuple[str, DataFrame, Column]], key: str, value: str) -> DataFrame:
     """(key, value, via): each left row's match of the first attempt, in order, that has one; of several, the smallest value."""
     parts = [left.join(right, on).select(key, F.col(value), F.lit(name).alias("via"), F.lit(k).alias("rank")) for k, (name, right, on) in enumerate(attempts)]
