@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import durable
+
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, seconds: int, how: str = "inner") -> DataFrame:
     """Rows of equal keys with left_ts <= right_ts <= left_ts + seconds.
@@ -54,6 +56,25 @@ def shared_pairs(edges: DataFrame, group: str, member: str, least: int) -> DataF
     return x.join(y, "m").where("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+#: Pairs of one key that one part of it makes, and left rows that it has at least.
+PART_PAIRS, PART_ROWS = 1_000_000, 1000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The inner join on columns that both sides have, for keys that make many pairs out of few rows.
+
+    A key with many pairs is cut into parts: its left rows are dealt over them, its right rows are in each. So no task makes all pairs of a key, and pairs are not shuffled.
+    """
+    counted = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    parts = F.least(F.ceil(F.col("__l") * F.col("__r") / PART_PAIRS), F.ceil(F.col("__l") / PART_ROWS)).cast("int")
+    sizes = durable(counted(left, "__l").join(counted(right, "__r"), list(keys)).select(*keys, parts.alias("__parts")))
+    x = left.join(sizes, list(keys)).withColumn("__part", F.pmod(F.xxhash64(*left.columns), "__parts").cast("int")).drop("__parts")
+    y = right.join(sizes, list(keys)).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few rows stay dealt over all tasks
+    on = [*keys, "__part"]
+    return x.repartition(n, *on).join(y.repartition(n, *on).hint("merge"), on).drop("__part")
+
+
 def least_of(right: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): the smallest value of each key, so that a precedence join meets a row a key, however many have it. Null keys and values, which never match, are left out."""
     return right.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(value))

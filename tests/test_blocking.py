@@ -67,3 +67,12 @@ def test_exact_screening_makes_no_fuzzy_pairs(spark):
 def test_precedence_over_the_least_value_of_each_key(spark):
     right = spark.createDataFrame([(5, "a"), (3, "a"), (4, "b"), (None, "b"), (9, None)], "v long, k string")
     assert {tuple(r) for r in joins.least_of(right, "k", "v").collect()} == {("a", 3), ("b", 4)}
+
+
+def test_dealt_join_is_the_join_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_PAIRS", 10)
+    monkeypatch.setattr(joins, "PART_ROWS", 2)
+    a = spark.createDataFrame([(k, k % 3 if k % 7 else None) for k in range(60)] + [(1, 1)], "x long, k long")
+    b = spark.createDataFrame([(k, k % 4) for k in range(40)] + [(5, 1), (6, None)], "y long, k long")
+    got, want = (sorted(tuple(r) for r in df.select("x", "y", "k").collect()) for df in (joins.dealt_join(a, b, ["k"]), a.join(b, "k")))
+    assert got == want
