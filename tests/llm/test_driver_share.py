@@ -36,3 +36,24 @@ def test_components_merge_what_new_links_join(spark):
         want = {tuple(r) for r in connected_components(spark.createDataFrame(every, "a long, b long")).collect()}
         got = [tuple(r) for r in named.collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rounds_read_the_texts_once(spark, monkeypatch):
+    ready(spark)
+    base = [f"w{k}" for k in range(60)]
+    # the far ones link with each other, but not with the hub; that is settled in a later round
+    texts = [" ".join(base)] + [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(0, 60, 3)]
+    texts += [" ".join([f"z{k}" for k in range(25)] + base[25:59] + [f"end{k}"]) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = {r.doc_id: r.node for r in jaccard.document_sets(docs, "doc_id", "text", 5).collect()}
+    todo = durable(spark.createDataFrame([(True, node[0], node[k]) for k in range(1, len(texts))], "hub boolean, a long, b long"))
+    scans, rounds = [], []
+    wanted, verified = jaccard._wanted_sets, jaccard._verified
+    monkeypatch.setattr(jaccard, "_wanted_sets", lambda *a: scans.append(1) or wanted(*a))
+    monkeypatch.setattr(jaccard, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    named = {r.node: r.root for r in jaccard.settled(docs.select("text"), todo, len(texts), 75, 5).collect()}
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(named[node[k]], []).append(k)
+    assert sorted(groups.values()) == [list(range(21)), list(range(21, 27))]
+    assert len(rounds) > 1 and len(scans) == 1
