@@ -103,3 +103,15 @@ def resolution_accuracy(labelled: DataFrame, same_as: DataFrame) -> DataFrame:
     yes, true = F.coalesce("said", F.lit(False)), F.col("is_same")
     n = p.agg(F.count("*").alias("total"), F.count_if(true & yes).alias("tp"), F.count_if(~true & yes).alias("fp"), F.count_if(true & ~yes).alias("fn"), F.count_if(~true & ~yes).alias("tn"))
     return n.withColumn("specificity", F.try_divide("tn", F.col("tn") + F.col("fp"))).withColumn("sensitivity", F.try_divide("tp", F.col("tp") + F.col("fn")))
+
+
+def blocking_accuracy(scored: DataFrame, same: Column, superseded: Column, auto: float) -> DataFrame:
+    """What `resolution_accuracy` says of all pairs in scored (mention, candidate, score), the best of each mention being its fact from `auto` on; ties: the smallest candidate.
+
+    Pairs are summed by mention where they are made, and never listed. same: whether a pair is one entity; superseded: whether a mention's fact says nothing.
+    """
+    by = scored.groupBy("mention").agg(F.count("*").alias("n"), F.count_if(same).alias("true"), F.min(F.struct((-F.col("score")).alias("s"), "candidate", same.alias("same"))).alias("b"))
+    said = (-F.col("b.s") >= auto) & ~superseded
+    n = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(said & F.col("b.same")).alias("tp"), F.count_if(said & ~F.col("b.same")).alias("fp"), F.coalesce(F.sum("true"), F.lit(0)).alias("true"))
+    n = n.select("total", "tp", "fp", (F.col("true") - F.col("tp")).alias("fn"), (F.col("total") - F.col("true") - F.col("fp")).alias("tn"))
+    return n.withColumn("specificity", F.try_divide("tn", F.col("tn") + F.col("fp"))).withColumn("sensitivity", F.try_divide("tp", F.col("tp") + F.col("fn")))
