@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import Stages, durable
+from ..cluster import Stages, durable, parts_for
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -146,26 +146,37 @@ def propagate(edges: DataFrame, own: DataFrame, iterations: int = 10, damping: f
     """(node, risk): (1 - d) own + d mean of the neighbours, a neighbour without a score counting 0; isolated nodes keep their own."""
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = durable(e)
-    risk = own.select("node", F.col("risk"))
+    degree = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    # written, as every iteration needs it
+    state = durable(own.select("node", F.col("risk").alias("own")).join(degree, "node", "left").withColumn("risk", F.col("own")))
     for k in range(iterations):
-        near = e.join(risk, F.col("dst") == F.col("node"), "left").groupBy("src").agg(F.avg(F.coalesce("risk", F.lit(0.0))).alias("mean"))
-        risk = own.select("node", F.col("risk").alias("own")).join(near, F.col("node") == F.col("src"), "left").select("node", F.when(F.col("mean").isNull(), F.col("own")).otherwise((1 - damping) * F.col("own") + damping * F.col("mean")).alias("risk"))
+        sums = e.join(state.select(F.col("node").alias("dst"), "risk"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("risk").alias("sum"))
+        mean = F.coalesce("sum", F.lit(0.0)) / F.col("degree")
+        state = state.join(sums, "node", "left").select("node", "own", "degree", F.when(F.col("degree").isNull(), F.col("own")).otherwise((1 - damping) * F.col("own") + damping * mean).alias("risk"))
         if k % 3 == 2 or k == iterations - 1:
-            risk = durable(risk)
-    return risk
+            state = durable(state)
+    return state.select("node", "risk")
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """(node, coefficient) of the simple undirected graph. Edges point from the lower degree, so each triangle is found once."""
-    e = both_ways(edges)
+    """(node, coefficient) of the simple undirected graph. Edges point from the lower degree, so each triangle is found once.
+
+    A node's later neighbours, no more than the square root of twice the edges, are one row. To each of them go those after it, where they meet its own.
+    """
+    e = durable(both_ways(edges))
+    n = parts_for(e.sparkSession, e.count())
     d = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
     half = e.join(d.select(F.col("node").alias("src"), F.col("d").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("d").alias("dd")), "dst")
-    half = half.where(F.struct("ds", "src") < F.struct("dd", "dst")).select("src", "dst")
-    x, y = half.select("src", F.col("dst").alias("p")), half.select("src", F.col("dst").alias("q"))
-    wedges = x.join(y, "src").where("p < q")
-    closed = wedges.join(e.select(F.col("src").alias("p"), F.col("dst").alias("q")), ["p", "q"])
-    corners = closed.select(F.explode(F.array("src", "p", "q")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
-    return d.join(corners, "node", "left").select("node", F.coalesce(F.try_divide(2 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("coefficient"))
+    half = half.where(F.struct("ds", "src") < F.struct("dd", "dst"))
+    later = durable(half.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dd", "dst")))["dst"].alias("near")))
+    tails = later.where("size(near) > 1").select("src", "near", F.posexplode("near").alias("at", "p")).where("at < size(near) - 1")
+    tails = tails.select("src", "p", F.slice("near", F.col("at") + 2, F.size("near")).alias("tail"))
+    there = later.select(F.col("src").alias("p"), F.col("near").alias("own")).repartition(n, "p").hint("shuffle_hash")
+    closed = tails.repartition(n, "p").join(there, "p").select("src", "p", F.array_intersect("tail", "own").alias("q"))
+    corner = lambda node, t: F.struct(node.alias("node"), t.cast("long").alias("t"))
+    corners = F.concat(F.array(*[corner(F.col(k), F.size("q")) for k in ("src", "p")]), F.transform("q", lambda x: corner(x, F.lit(1))))
+    counts = closed.where("size(q) > 0").select(F.explode(corners).alias("x")).groupBy("x.node").agg(F.sum("x.t").alias("t"))
+    return d.join(counts, "node", "left").select("node", F.coalesce(F.try_divide(2 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("coefficient"))
 
 
 def priority_view(edges: DataFrame, scores: DataFrame, cap: int = 500, mode: str = "connected") -> DataFrame:
@@ -247,8 +258,11 @@ def betweenness(edges: DataFrame, undirected_nodes: int, pivots: int | None = No
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, community) by label propagation: each round a node takes its neighbours' most frequent label, the smallest of several."""
     e = durable(both_ways(edges))
-    label = e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    n = parts_for(e.sparkSession, e.count())
+    label = durable(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
-        votes = e.join(label, F.col("dst") == F.col("node")).groupBy("src", "community").agg(F.count("*").alias("votes"))
+        there = label.withColumnRenamed("node", "dst").repartition(n, "dst").hint("shuffle_hash")
+        # dealt by node alone, so that the count of votes and the choice need no further shuffle
+        votes = e.repartition(n, "dst").join(there, "dst").repartition(n, "src").groupBy("src", "community").agg(F.count("*").alias("votes"))
         label = durable(votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("votes"), "community")).alias("x")).select("node", F.col("x.community").alias("community")))
     return label
