@@ -89,3 +89,12 @@ def test_spans_take_small_batches(spark):
         assert text.spans(docs).count() == 3 and spark.conf.get(cluster.BATCH) == "500"
     finally:
         spark.conf.set(cluster.BATCH, before)
+
+
+def test_betweenness_by_tasks_and_by_joins(spark, monkeypatch):
+    edges = spark.createDataFrame(edges_of(24, 60, 5), "src long, dst long")
+    monkeypatch.setattr(graph, "SEARCH_PLACES", 200)
+    tasks = {r.node: r.score for r in graph.betweenness(edges, 24).collect()}
+    monkeypatch.setattr(graph, "SEARCHED_EDGES", 0)
+    joins = {r.node: r.score for r in graph.betweenness(edges, 24, depth=30).collect()}
+    assert tasks == pytest.approx(joins) and max(tasks.values()) > 0
