@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import small_batches
 from ..functions.identifiers import organisation_number, personal_number
 from ..lists import FEAR_WORDS, LANGUAGE_MARKS, NEGATIVE_WORDS, POSITIVE_WORDS, RELATION_PATTERNS, SENTIMENT_WEIGHTS, THREAT_WORDS, URGENCY_WORDS, VIOLENCE_WORDS, VOCABULARY
 
@@ -50,6 +51,7 @@ def spans(docs: DataFrame, kinds: Sequence[str] = tuple(PATTERNS), id_col: str =
                         end = stop
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "stop", "value"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, kind string, start long, stop long, value string")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import small_batches
 from ..operators.text import html_text, tagged_fields
 
 
@@ -108,6 +109,7 @@ def archived_reports(files: DataFrame, tags: Sequence[str]) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "member", "text"])
 
+    small_batches(files.sparkSession)
     texts = files.select("path", "content").mapInPandas(run, "path string, member string, text string")
     fields = tagged_fields(texts.withColumn("id", F.struct("path", "member")), tags, "id", "text")
     return fields.select("doc_id.path", "doc_id.member", "at", *[t.split(":")[-1] for t in tags])
