@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from tarn.llm import jaccard
+from tarn.llm import components, jaccard
 from tarn.llm._cluster import durable, ready
 from tarn.llm.components import connected_components
 
@@ -57,3 +57,41 @@ def test_rounds_read_the_texts_once(spark, monkeypatch):
         groups.setdefault(named[node[k]], []).append(k)
     assert sorted(groups.values()) == [list(range(21)), list(range(21, 27))]
     assert len(rounds) > 1 and len(scans) == 1
+
+
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "durable", lambda df: written.append(1) or durable(df))
+    rows = lambda edges: {tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert rows([(1, 5), (6, 1), (2, 7), (7, 2), (3, 3)]) == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)}
+    assert rows([]) == set()
+    assert len(written) == 2
+    assert rows([(k, k + 1) for k in range(40)] + [(50, 60), (51, 60)]) == {(k, 0) for k in range(41)} | {(50, 50), (51, 50), (60, 50)}
+
+
+def test_no_plan_of_the_rounds_is_large(spark, monkeypatch):
+    ready(spark)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)] + [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(0, 60, 3)]
+    # more far ones than a token's pairs are listed for, so that they get hubs of their own
+    texts += [" ".join([f"z{k}" for k in range(25)] + base[25:59] + [f"end{k}"]) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = {r.doc_id: r.node for r in jaccard.document_sets(docs, "doc_id", "text", 5).collect()}
+    todo = durable(spark.createDataFrame([(True, node[0], node[k]) for k in range(1, len(texts))], "hub boolean, a long, b long"))
+    exchanges, hubs = [], []
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return durable(df)
+
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "durable", counted)
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda sets, pairs, percent: hubs.append(pairs.where("hub").count()) or verified(sets, pairs, percent))
+    named = {r.node: r.root for r in jaccard.settled(docs.select("text"), todo, len(texts), 75, 5, small_group=2).collect()}
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(named[node[k]], []).append(k)
+    assert sorted(groups.values()) == [list(range(21)), list(range(21, 33))]
+    assert len(hubs) > 1 and hubs[1] > 0
+    assert max(exchanges) <= 12, exchanges
