@@ -37,6 +37,8 @@ def w2(t):
 #: Windows (key, a, b) merged into spans, with what lies in them.
 ISLANDS = """f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM w),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM f), s AS (SELECT key, min(a) AS a, max(b) AS b, count(*) AS anchors FROM g GROUP BY key, k)"""
+#: The same, where windows of equal ends get one number, whichever of them comes first.
+ISLANDS_TIED = ISLANDS.replace("ORDER BY a, b ROWS UNBOUNDED PRECEDING", "ORDER BY a, b RANGE UNBOUNDED PRECEDING")
 
 
 @query("agg_w2_structuring_spans", ctes("txn") + f""", u AS (SELECT * FROM txn WHERE amount >= 75000 AND amount < 150000), v AS (SELECT sender AS key, ts AS b, min(ts) {trail('sender', 30)} AS a, count(*) {trail('sender', 30)} AS n, sum(amount) {trail('sender', 30)} AS total FROM u),
@@ -58,7 +60,7 @@ def w4(t):
 
 
 @query("agg_w4_smurfing_spans", ctes("txn") + f""", v AS (SELECT receiver AS key, ts AS b, min(ts) {trail('receiver', 7)} AS a, len(list_distinct(list(sender) {trail('receiver', 7)})) AS n, sum(amount) {trail('receiver', 7)} AS total FROM txn),
-w AS (SELECT * FROM v WHERE n >= 3 AND total >= 150000), {ISLANDS}, x AS (SELECT key, a, b, anchors, CAST(count(DISTINCT sender) AS INT) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM s JOIN txn ON receiver = key AND ts BETWEEN a AND b GROUP BY key, a, b, anchors)
+w AS (SELECT * FROM v WHERE n >= 3 AND total >= 150000), {ISLANDS_TIED}, x AS (SELECT key, a, b, anchors, CAST(count(DISTINCT sender) AS INT) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM s JOIN txn ON receiver = key AND ts BETWEEN a AND b GROUP BY key, a, b, anchors)
 SELECT key AS receiver, CAST(a AS DATE) AS "start", CAST(b AS DATE) AS "end", anchors, n AS depositors, total, CASE WHEN total >= 1000000 OR n >= 10 THEN 'critical' WHEN total >= 500000 OR n >= 7 THEN 'high' WHEN total >= 200000 OR n >= 5 THEN 'medium' ELSE 'low' END AS severity, round(0.7 + least(0.25, (n - 3) * 0.05), 6) AS confidence FROM x""")
 def w4_spans(t):
     return op.smurfing(t.txn, collapse=True).withColumns({c: F.to_date(c) for c in ("start", "end")})
