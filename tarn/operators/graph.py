@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import Stages, durable, parts_for
+from ..cluster import Stages, durable, parts_for, release
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -328,11 +328,15 @@ def betweenness(edges: DataFrame, undirected_nodes: int, pivots: int | None = No
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) by label propagation: each round a node takes its neighbours' most frequent label, the smallest of several."""
+    """(node, community) by label propagation: each round a node takes its neighbours' most frequent label, the smallest of several.
+
+    A round's shuffle files, each as large as the edges, go once its labels are written, so that the disk holds no more of them as rounds go on.
+    """
     e = durable(both_ways(edges))
     n = parts_for(e.sparkSession, e.count())
     label = durable(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
+        release(e.sparkSession)
         there = label.withColumnRenamed("node", "dst").repartition(n, "dst").hint("shuffle_hash")
         # dealt by node alone, so that the count of votes and the choice need no further shuffle
         votes = e.repartition(n, "dst").join(there, "dst").repartition(n, "src").groupBy("src", "community").agg(F.count("*").alias("votes"))
